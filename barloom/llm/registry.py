@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, line_dedup, secrets, sharding
+from barloom.llm import decontaminate, line_dedup, media, minhash, packing, secrets, sharding, token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     each = (
-        sharding.op4_virtual_slot_shards, decontaminate.op8_benchmark_decontamination, secrets.op9_blob_ledger_secrets, line_dedup.op10_distinct_site_lines,
+        media.op2_tar_media_columns, minhash.op3_bbit_minhash, sharding.op4_virtual_slot_shards, token_shards.op5_feistel_token_shards,
+        packing.op6_best_fit_packing, decontaminate.op8_benchmark_decontamination, secrets.op9_blob_ledger_secrets, line_dedup.op10_distinct_site_lines,
     )
     return {f.__name__: f for f in each}
 
