@@ -3,10 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm.common import stored
+from barloom.llm import decontaminate, langid, line_dedup, minhash, packing
+from barloom.llm.common import broadcast_below, stored, text_key
 
-STAGES: list = []
+#: Rejected ids are broadcast up to so many; beyond it both sides of the join shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs but for the rows whose id, which may be null, is among the rejected."""
+    ids = broadcast_below(stored(rejected.select(F.col("doc_id").alias("_gone")).distinct(), "rejected"), BROADCAST_IDS)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language of the corpus."""
+    found = langid.identify(docs, langid.fit(docs), "doc_id", "text", F.col("lang"), F.col("source"))
+    gone = stored(found.where(~F.col("accepted")).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct(), "rejected")
+    same = docs["doc_id"].eqNullSafe(F.col("_gone")) & (text_key(docs["text"]) == F.col("_h"))
+    return docs.join(broadcast_below(gone, BROADCAST_IDS), same, "left_anti")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes lines that many sites share from all but their first document, and documents left without
+    any text by that."""
+    out = line_dedup.remove_boilerplate(docs)
+    left = out.where((F.col("n_lines_removed") == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near copies."""
+    found = stored(minhash.near_duplicates(docs, minhash.Params(words=2)), "near-copies")
+    kept = _without(docs, found.where(~F.col("kept")))
+    repeated = not found.where("kept").groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that benchmark items make up a twentieth or more of."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("decontamination", decontamination), ("packing", packed)]
 ORACLE_SQL = None
 
 
