@@ -32,6 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Python tasks get whole texts, so the session's Arrow batches are held to so many rows; Spark's own
+    default of 10,000 may be gigabytes of text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(rows, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a stored frame has at most so many rows; asked before each explicit broadcast."""
     return df.limit(rows + 1).count() <= rows

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.deploy import ship
-from barloom.llm.common import broadcast_below, reject_clash, stored, text_key, text_or_empty
+from barloom.llm.common import broadcast_below, reject_clash, stored, text_batches, text_key, text_or_empty
 
 BUCKETS = 1 << 16
 #: Labelled rows a language that the model is fitted on, at most.
@@ -134,6 +134,7 @@ def identify(
     declaration, suffix or host adds no evidence. Repeated rows have a row each, an empty table gives an
     empty one, and no other column of rows is read."""
     ship(rows.sparkSession)
+    text_batches(rows.sparkSession)
     languages = model.languages
     if not languages:
         raise ValueError("the model knows no language")

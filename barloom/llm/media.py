@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.deploy import ship
-from barloom.llm.common import reject_clash, shared_folder, stored, text_or_empty
+from barloom.llm.common import reject_clash, shared_folder, stored, text_batches, text_or_empty
 from barloom.llm.files import Replacing, at
 
 WIDTH = 576
@@ -77,6 +77,7 @@ def store(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text")
     rows without an id are stored too; an empty table writes nothing. Shards of a task that was lost are
     named by no row."""
     ship(docs.sparkSession)
+    text_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file, name, size, held = None, "", 0, {}

@@ -4,9 +4,9 @@ Each document's shingle set gets minima under many hash functions. Bands of mini
 which candidates meet; of the minima themselves only the low bits stay, packed into a few integers, and
 the share of agreeing ones, corrected for chance collisions, says which candidates are worth an exact
 comparison of full sets. Documents with equal sets form a class before any of this, so copies cost
-nothing further. Within a bucket, members are compared with one hub and not with each other; buckets
-that a round leaves in more than one component go on to the next, until every bucket is of one component
-or all its pairs across components were compared.
+nothing further. Within a bucket, members are compared with one hub and not with each other. Only buckets
+that this leaves in more than one component are looked at whole, in tiles whose results are at most a
+link for two components.
 
 Classes are the nodes of all joins, named by 64 of the 128 bits of a set's hash; two sets that share
 those are noticed, and the run asks for another seed."""
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.deploy import ship
-from barloom.llm.common import broadcast_below, reject_clash, stored, text_key, text_or_empty
+from barloom.llm.common import broadcast_below, reject_clash, stored, text_batches, text_key, text_or_empty
 
 BROADCAST_ROWS = 1_000_000  # of ids alone
 _MASK = (1 << 64) - 1
@@ -43,9 +43,8 @@ class Params:
     bits: int = 2
     slack: float = 0.2
     seed: int = 20240229
-    #: A round compares all pairs that remain in open buckets if they are at most so many for each of the
-    #: buckets' rows; else further hubs, twice as many each time.
-    pairs_per_row: int = 16
+    #: Documents on a side of a tile; a task holds two sides' sets.
+    block: int = 256
 
 
 # --- one document's set -------------------------------------------------------------------------------
@@ -193,14 +192,18 @@ def estimate(a: str, b: str, p: Params):
     return ((1 - differ / F.lit(float(k))) - F.lit(chance)) / F.lit(1 - chance)
 
 
+def _texts(nodes: DataFrame, texts_of: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """node, text. The nodes' ids are broadcast if they are few enough; else the documents shuffle."""
+    wanted = stored(texts_of.join(nodes, "node", "left_semi"), "candidates")
+    return stored(_plain(docs, key, text).join(broadcast_below(wanted, BROADCAST_ROWS), ["id", "tk"]).select("node", "text").dropDuplicates(["node"]), "candidate-texts")
+
+
 def confirmed(pairs: DataFrame, texts_of: DataFrame, docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs (hub, node) whose full sets are similar enough. texts_of: node, and the id and tk of a row
     of docs with its text. Texts of candidates alone are shuffled, dealt by hub; a hub with many partners
     is dealt out over several parts, each with its own copy of the hub's text, and a task holds one hub's
     set at a time."""
-    nodes = pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct()
-    wanted = stored(texts_of.join(nodes, "node", "left_semi"), "candidates")
-    texts = stored(_plain(docs, key, text).join(broadcast_below(wanted, BROADCAST_ROWS), ["id", "tk"]).select("node", "text").dropDuplicates(["node"]), "candidate-texts")
+    texts = _texts(pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct(), texts_of, docs, key, text)
     parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / 200).cast("int").alias("parts"))
     members = pairs.join(parts, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     hubs = parts.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -246,26 +249,74 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own)
 
 
-def _open_pairs(buckets: DataFrame, labels: DataFrame, turn: int, last: int, p: Params) -> tuple[DataFrame | None, int]:
-    """Pairs to compare in this turn, from buckets that still hold more than one component, and the turn
-    that it amounts to. Each pair across components has a member outside its bucket's largest component;
-    such members are hubs by the hash of their name, more in each turn and all in the last."""
+def _open_links(buckets: DataFrame, labels: DataFrame, texts_of: DataFrame, docs: DataFrame, p: Params, key: str, text: str) -> DataFrame | None:
+    """Links (hub, node) across components within buckets that still hold more than one; None if there are no
+    such buckets. Any such pair has a member outside its bucket's largest component. Those members meet all
+    of the bucket in tiles of p.block by p.block documents, which a task compares exactly and holds one at a
+    time; of the links between two components a tile returns one. Buckets with equal members count once."""
     labelled = stored(buckets.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    sizes = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    open_ = stored(
-        sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max(F.struct("n", "component"))["component"].alias("largest")).where("parts > 1"),
-        "open-buckets",
-    )
-    rows, across = open_.agg(F.sum("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("squares")) / 2)).first()
-    if rows is None:
-        return None, last
-    turn = last if across <= p.pairs_per_row * rows else turn
-    members = stored(labelled.join(open_.select("band", "largest"), "band"), "open-members")
-    hubs = members.where((F.col("component") != F.col("largest")) & (F.pmod(F.xxhash64("band", "node"), F.lit(1 << (last - turn))) == 0))
-    met = hubs.select("band", F.col("component").alias("c1"), F.col("node").alias("x")).join(
-        members.select(F.col("band").alias("band2"), F.col("component").alias("c2"), F.col("node").alias("y")), (F.col("band") == F.col("band2")) & (F.col("c1") != F.col("c2"))
-    )
-    return met.select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node")).distinct(), turn
+    sizes = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    open_ = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("most"), F.bit_xor("x").alias("x")).where("parts > 1")
+    open_ = open_.groupBy("x", "rows", "parts").agg(F.min(F.struct("band", "most")).alias("b")).select("b.band", "rows", F.col("b.most.n").alias("largest_n"), F.col("b.most.component").alias("largest"))
+    open_ = stored(open_, "open-buckets")
+    if open_.isEmpty():
+        return None
+
+    def tiles(n):
+        return F.ceil(n / p.block).cast("int")
+
+    members = labelled.join(open_.withColumns({"across": tiles(F.col("rows") - F.col("largest_n")), "down": tiles(F.col("rows"))}), "band")
+    place = F.xxhash64("node")
+    mine, all_ = F.pmod(place, F.col("across")).cast("int"), F.pmod(place, F.col("down")).cast("int")
+    outside = members.where(F.col("component") != F.col("largest")).select("band", mine.alias("a"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("d"), F.lit(0).alias("side"), "node", "component")
+    every = members.select("band", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("a"), all_.alias("d"), F.lit(1).alias("side"), "node", "component")
+    placed = stored(outside.union(every), "tiles")
+    texts = _texts(placed.select("node").distinct(), texts_of, docs, key, text)
+    dealt = placed.join(texts, "node").repartition("band", "a", "d").sortWithinPartitions("band", "a", "d", "side")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, sides = None, ([], [])
+        for batch in batches:
+            out = []
+            for *own, side, node, component, body in zip(*[batch[c] for c in ("band", "a", "d", "side", "node", "component", "text")], strict=True):
+                if own != tile:
+                    out += _links_in_tile(*sides, p)
+                    tile, sides = own, ([], [])
+                sides[side].append((node, component, shingle_set(body, p.words, p.seed)))
+            yield pd.DataFrame(out, columns=["hub", "node"]).astype("int64")
+        yield pd.DataFrame(_links_in_tile(*sides, p), columns=["hub", "node"]).astype("int64")
+
+    return stored(dealt.mapInPandas(compare, "hub long, node long"), "open-links")
+
+
+def _links_in_tile(rows: list[tuple], columns: list[tuple], p: Params) -> list[tuple[int, int]]:
+    """One link, as (smaller node, larger node), for each two components that have any between rows and
+    columns, both of (node, component, set). Intersections are counted for all pairs at once, as products of
+    incidence matrices over the hashes that both sides hold, some thousands of them at a time."""
+    if not rows or not columns:
+        return []
+    both = np.zeros((len(rows), len(columns)), np.float32)
+    shared = np.intersect1d(np.unique(np.concatenate([s for *_, s in rows])), np.unique(np.concatenate([s for *_, s in columns])), assume_unique=True)
+    for i in range(0, len(shared), 4096):
+        some = shared[i : i + 4096]
+
+        def incidence(side: list[tuple], some=some) -> np.ndarray:
+            out = np.zeros((len(side), len(some)), np.float32)
+            for k, (*_, s) in enumerate(side):
+                s = s[np.searchsorted(s, some[0]) : np.searchsorted(s, some[-1], "right")]
+                at = np.searchsorted(some, s)
+                out[k, at[some[at] == s]] = 1
+            return out
+
+        both += incidence(rows) @ incidence(columns).T
+    n, m = (np.array([len(s) for *_, s in side], np.float64) for side in (rows, columns))
+    a, b = (np.array([c for _, c, _ in side], np.int64) for side in (rows, columns))
+    linked = (100 * both >= p.percent * (n[:, None] + m[None, :] - both)) & (a[:, None] != b[None, :])
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for i, j in np.argwhere(linked):
+        x, y = rows[i][0], columns[j][0]
+        found.setdefault(tuple(sorted((int(a[i]), int(b[j])))), (min(x, y), max(x, y)))
+    return list(found.values())
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,6 +327,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), key: str = "doc_id",
     own text. Empty tables give empty ones. Only the id and text columns of docs are read, whatever
     others it has."""
     ship(docs.sparkSession)
+    text_batches(docs.sparkSession)
     signed = stored(signatures(docs, p, key, text), "signatures")
     linked = signed.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     classes = stored(linked.groupBy("s1", "s2").agg(F.min(F.struct("id", "tk")).alias("rep")).select(F.col("s1").alias("node"), "s2", "rep.id", "rep.tk"), "classes")
@@ -284,9 +336,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), key: str = "doc_id",
     reps = linked.join(classes.select("node", "id", "tk"), ["id", "tk"]).where("node = s1").dropDuplicates(["node"])
     reps = stored(reps.select("node", "sig", "bands"), "representatives")
     banded = reps.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.count(F.lit(1)).alias("n")).where("hub < other")
-    shared = stored(shared, "shared-bands")
-    buckets = stored(banded.join(shared.select("band", "hub"), "band"), "buckets")
+    shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other")
+    buckets = stored(banded.join(shared.drop("other"), "band"), "buckets")
     texts_of = classes.select("node", "id", "tk")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -294,23 +345,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), key: str = "doc_id",
         likely = pairs.join(one, "node").join(two, "hub").where(estimate("sig1", "sig2", p) >= p.percent / 100 - p.slack).select("hub", "node")
         return stored(confirmed(stored(likely, "likely-pairs"), texts_of, docs, p, key, text), "links")
 
-    tried = stored(buckets.where("hub <> node").select("hub", "node").distinct(), "tried")
-    edges = links(tried)
+    edges = links(stored(buckets.where("hub <> node").select("hub", "node").distinct(), "star-pairs"))
     labels = stored(components(edges), "labels")
-    most = shared.agg(F.max("n")).first()[0] or 1
-    turn, last = 1, max(1, int(most).bit_length())
-    while turn <= last:
-        pairs, turn = _open_pairs(buckets, labels, turn, last, p)
-        if pairs is None:
-            break
-        fresh = stored(pairs.join(tried, ["hub", "node"], "left_anti"), "fresh-pairs")
-        found = links(fresh)
-        if not found.isEmpty():
-            edges = edges.union(found)
-            labels = stored(components(edges), "labels")
-        if turn < last:
-            tried = stored(tried.union(fresh), "tried")
-        turn += 1
+    across = _open_links(buckets.select("band", "node"), labels, texts_of, docs, p, key, text)
+    if across is not None and not across.isEmpty():
+        # Old components are one edge a node; only what the new links touch changes.
+        labels = stored(components(labels.select(F.col("component").alias("hub"), "node").union(across)), "labels")
     grouped = classes.select("node", "id").join(labels, "node")
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     named = classes.join(stored(grouped.join(least, "component").select("node", "component_id"), "component-ids"), "node", "left")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.deploy import ship
-from barloom.llm.common import reject_clash, shared_folder, stored
+from barloom.llm.common import reject_clash, shared_folder, stored, text_batches
 from barloom.llm.files import Replacing, read_range
 from barloom.llm.tokens import END, default_tokenizer, document_ids
 
@@ -98,6 +98,7 @@ def materialise(docs: DataFrame, folder: str, order_key: int, tokenizer: str | N
     that is lost is run again and writes the same file."""
     spark = docs.sparkSession
     ship(spark)
+    text_batches(spark)
     tokens = stored(_tokenised(docs, tokenizer or default_tokenizer(), key, text), "tokenised")
     # A row per task that tokenised.
     totals = tokens.groupBy("part").agg(F.sum("n").alias("n")).toPandas().sort_values("part")
