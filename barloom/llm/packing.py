@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.deploy import ship
-from barloom.llm.common import reject_clash, stored
+from barloom.llm.common import reject_clash, stored, text_batches
 from barloom.llm.tokens import default_tokenizer, document_ids
 
 CAPACITY = 2048
 #: Ranks among pieces of one length are taken in so many parts, as a third of all pieces may be of it.
 PARTS = 64
+#: More than there are pieces of one length.
+_RANKS = 1 << 50
 #: (length, how many) of each length in a sequence, and how many sequences are like it.
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
@@ -157,18 +159,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
     return plain.mapInPandas(rows, "id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _places(patterns: list[Pattern]) -> dict[int, np.ndarray]:
-    """For each length, rows (first rank, pieces in a sequence, first sequence, offset of the first), by rank.
-    Their number is that of the patterns' parts, bounded by the capacity."""
-    rows, rank, sequence = defaultdict(list), Counter(), 0
+def _places(patterns: list[Pattern]) -> np.ndarray:
+    """Rows (length * _RANKS + first rank, first rank, pieces in a sequence, first sequence, offset of the first
+    piece), in order. Their number is that of the patterns' parts, bounded by the capacity."""
+    rows, rank, sequence = [(-1, 0, 1, 0, 0)], Counter(), 0
     for content, times in patterns:
         offset = 0
         for length, each in content:
-            rows[length].append((rank[length], each, sequence, offset))
+            rows.append((length * _RANKS + rank[length], rank[length], each, sequence, offset))
             rank[length] += each * times
             offset += each * length
         sequence += times
-    return {length: np.array(r, np.int64) for length, r in rows.items()}
+    return np.array(sorted(rows), np.int64)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,23 +179,23 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     A document is its ids and an END; null and empty texts are an END alone. An empty table has no
     pieces. Repeated rows are packed each, ids may be null, and other columns of docs are not read."""
     ship(docs.sparkSession)
+    text_batches(docs.sparkSession)
     cut = stored(pieces(docs, tokenizer or default_tokenizer(), capacity, key, text), "pieces")
     parted = cut.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
     # At most capacity x PARTS rows.
     counted = parted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "part"])
-    before = counted["n"].groupby(counted["length"]).cumsum() - counted["n"]
-    firsts = {(int(length), int(part)): int(b) for length, part, b in zip(counted["length"], counted["part"], before, strict=True)}
+    before = np.zeros((capacity + 1, PARTS), np.int64)
+    before[counted["length"], counted["part"]] = counted["n"].groupby(counted["length"]).cumsum() - counted["n"]
     places = _places(plan({int(k): int(n) for k, n in counted.groupby("length")["n"].sum().items()}, capacity))
     ranked = parted.withColumn("nth", F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "piece", "ids_crc32")) - 1)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for (length, part), rows in batch.groupby(["length", "part"], sort=False):
-                rank = rows["nth"].to_numpy(np.int64) + firsts[int(length), int(part)]
-                at = places[int(length)]
-                first, each, sequence, offset = at[np.searchsorted(at[:, 0], rank, "right") - 1].T
-                seq, copy = np.divmod(rank - first, each)
-                yield rows.assign(sequence_id=sequence + seq, offset=offset + copy * length)[["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"id": "Int64"})
+            length = batch["length"].to_numpy(np.int64)
+            rank = batch["nth"].to_numpy(np.int64) + before[length, batch["part"].to_numpy(np.int64)]
+            at = places[np.searchsorted(places[:, 0], length * _RANKS + rank, "right") - 1]
+            sequence, copy = np.divmod(rank - at[:, 1], np.maximum(at[:, 2], 1))
+            yield batch.assign(sequence_id=at[:, 3] + sequence, offset=at[:, 4] + copy * length)[["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"id": "Int64"})
 
     out = ranked.mapInPandas(place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", key)

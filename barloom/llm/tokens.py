@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 import numpy as np
@@ -9,6 +10,8 @@ import numpy as np
 END = 0  # follows each document
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: ASCII punctuation but for the apostrophe, which may begin a part with letters.
+_PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _TOKENIZERS: dict[str, TextTokens] = {}
 
 
@@ -21,40 +24,86 @@ def default_tokenizer() -> str:
 class TextTokens:
     """Ids by a tokenizer of the `tokenizers` library that drops white space and lower-cases, so that a text's
     ids are those of its chunks between ASCII white space, one after the other. Chunks' ids are kept as
-    packed bytes, up to so many chunks; then the store starts anew."""
+    packed bytes, up to so many chunks; then the store starts anew.
 
-    def __init__(self, path: str, keep: int = 500_000):
+    The tokenizer must split words into letters, single digits and runs of other characters, and mark the
+    last token of each part by a suffix; then a chunk's letters and the punctuation that ends it are
+    independent, and many words are encoded as one text that those marks divide again."""
+
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        if "Lowercase" not in self._tokenizer.normalizer.__getstate__().decode():
-            raise ValueError(f"{Path(path).name} does not lower-case")
+        described = json.loads(self._tokenizer.to_str())
+        suffix = described["model"].get("end_of_word_suffix")
+        if '"Lowercase"' not in json.dumps(described["normalizer"]) or not suffix:
+            raise ValueError(f"{Path(path).name} does not lower-case or mark ends of words")
+        ends = [i for token, i in described["model"]["vocab"].items() if token.endswith(suffix)]
+        self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        self._ends[ends] = True
         self._keep, self._known = keep, {}
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        """Each chunk by itself."""
         found = self._tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Chunks of letters alone, as one text; one by one if that does not divide into as many."""
+        if not words:
+            return []
+        ids = np.array(self._tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        stops = (np.flatnonzero(self._ends[ids]) + 1) * ids.itemsize
+        if len(stops) != len(words) or stops[-1] != ids.nbytes:
+            return self._encode(words)
+        data, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
+        return [data[a:b] for a, b in zip(starts, stops.tolist(), strict=True)]
+
     def _learn(self, new: set[bytes]) -> None:
-        """A comma or full stop that ends a chunk after an ASCII letter or digit is a token of its own; what
-        stands before it is often known already."""
-        known = self._known
-        ends = {c for c in new if len(c) > 1 and c[-1] in b",." and c[-2:-1].isalnum()}
-        wanted = [c for c in {c[:-1] for c in ends} | (new - ends) | {b",", b"."} if c not in known]
-        known.update(zip(wanted, self._encode(wanted), strict=True))
-        known.update((c, known[c[:-1]] + known[c[-1:]]) for c in ends)
+        known, words, others, tailed = self._known, [], set(), []
+        for c in new:
+            if c.isalpha():  # ASCII letters
+                words.append(c)
+                continue
+            stem = c.rstrip(_PUNCTUATION)
+            if stem.isalpha() or stem.decode().lower().isalpha():
+                if len(stem) < len(c):
+                    tail = c[len(stem) :]
+                    tailed.append((c, stem, tail))
+                    others.add(tail)
+                if stem not in known:
+                    words.append(stem)
+            else:
+                others.add(c)
+        words = list(dict.fromkeys(words))
+        for i in range(0, len(words), 2000):
+            known.update(zip(words[i : i + 2000], self._encode_words(words[i : i + 2000]), strict=True))
+        rest = [c for c in others if c not in known]
+        known.update(zip(rest, self._encode(rest), strict=True))
+        known.update([(c, known[stem] + known[tail]) for c, stem, tail in tailed])
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self._known) > self._keep:
             self._known = {}
-        chunks = [t.encode("utf-8", "replace").translate(_LOWER).split() for t in texts]
         get = self._known.get
-        out = [list(map(get, c)) for c in chunks]
-        if new := {c for cs, ids in zip(chunks, out, strict=True) if None in ids for c, i in zip(cs, ids, strict=True) if i is None}:
+        chunks = [t.encode("utf-8", "replace").translate(_LOWER).split() for t in texts]
+        found = [list(map(get, c)) for c in chunks]
+        new, holes = set(), []
+        for own, ids in zip(chunks, found, strict=True):
+            at = -1
+            while True:
+                try:
+                    at = ids.index(None, at + 1)
+                except ValueError:
+                    break
+                new.add(own[at])
+                holes.append((ids, at, own[at]))
+        if new:
             self._learn(new)
-            out = [[i if i is not None else get(c) for c, i in zip(cs, ids, strict=True)] if None in ids else ids for cs, ids in zip(chunks, out, strict=True)]
-        return [b"".join(ids) for ids in out]
+            for ids, at, chunk in holes:
+                ids[at] = get(chunk)
+        return [b"".join(ids) for ids in found]
 
 
 def tokenizer(path: str) -> TextTokens:
