@@ -1,0 +1 @@
+"""Analytics over series of market bars, as Spark jobs."""
