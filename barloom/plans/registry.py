@@ -30,15 +30,19 @@ def query(sql: str | None, name: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def r6(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to six decimals, or fewer where differences of large sums are taken, and -0.0 to 0.0: sums may
-    differ in their last bits by their order."""
-    return df.withColumns({n: F.round(n, places) + 0.0 for n, t in df.dtypes if t == "double"})
+#: Square roots of differences of large sums.
+COARSE = ("boll_up", "boll_low", "upper")
 
 
-def s6(select: str, doubles: str, places: int = 6) -> str:
+def r6(df: DataFrame) -> DataFrame:
+    """Doubles to six decimals (three if coarse), as sums may differ in their last bits by their order. What is
+    added before keeps quotients that end in a 5 there from falling on either side."""
+    return df.withColumns({n: F.round(F.col(n) + 1e-8, 3 if n in COARSE else 6) + 0.0 for n, t in df.dtypes if t == "double"})
+
+
+def s6(select: str, doubles: str) -> str:
     """SQL that rounds the named columns of a selection likewise."""
-    return f"SELECT * REPLACE ({', '.join(f'round({d}, {places}) + 0.0 AS {d}' for d in doubles.split())}) FROM ({select})"
+    return f"SELECT * REPLACE ({', '.join(f'round({d} + 1e-8, {3 if d in COARSE else 6}) + 0.0 AS {d}' for d in doubles.split())}) FROM ({select})"
 
 
 BAR_DOUBLES = "open high low close volume amount"
@@ -94,10 +98,10 @@ def sma(spark, d):
     return r6(rows.select("code", "ts", *[indicators.sma(p).alias(f"ma_{p}") for p in (5, 10, 20, 60, 120)]))
 
 
-@query(o.with_(o.windows(), s6("SELECT code, ts, boll_up, boll_mid, boll_low FROM w", "boll_up boll_mid boll_low", 3)))
+@query(o.with_(o.windows(), s6("SELECT code, ts, boll_up, boll_mid, boll_low FROM w", "boll_up boll_mid boll_low")))
 def boll(spark, d):
     up, mid, low = indicators.boll(20, 2.0)
-    return r6(indicators.ordered(fx.bars_d(spark, d)).select("code", "ts", up.alias("boll_up"), mid.alias("boll_mid"), low.alias("boll_low")), 3)
+    return r6(indicators.ordered(fx.bars_d(spark, d)).select("code", "ts", up.alias("boll_up"), mid.alias("boll_mid"), low.alias("boll_low")))
 
 
 @query(o.with_(o.windows(), s6("SELECT code, volume, avg5, CASE WHEN n < 5 THEN 1 WHEN avg5 = 0 THEN 0 ELSE volume / avg5 END AS ratio, CASE WHEN volume / avg5 > 2 THEN 'very_active' WHEN volume / avg5 > 1.5 THEN 'active' WHEN volume / avg5 < 0.5 THEN 'inactive' ELSE 'normal' END AS activity FROM w WHERE i = n - 1", "volume avg5 ratio")))
@@ -117,19 +121,19 @@ def ema(spark, d):
     return r6(indicators.ema(fx.bars_d(spark, d), (12,)).select("code", "ts", "ema_12"))
 
 
-def _of_indicators(name: str, columns: str, source: str = "d", places: int = 6) -> None:
+def _of_indicators(name: str, columns: str, source: str = "d") -> None:
     make = {"d": fx.bars_d, "h": fx.bars_h, "m": fx.bars_m}[source]
-    sql = o.with_(o.indicators(source), s6(f"SELECT code, ts, {', '.join(columns.split())} FROM ind", columns, places))
-    query(sql, name)(lambda spark, d: r6(indicators.indicators(make(spark, d)).select("code", "ts", *columns.split()), places))
+    sql = o.with_(o.indicators(source), s6(f"SELECT code, ts, {', '.join(columns.split())} FROM ind", columns))
+    query(sql, name)(lambda spark, d: r6(indicators.indicators(make(spark, d)).select("code", "ts", *columns.split())))
 
 
 _of_indicators("macd", "dif dea hist")
 _of_indicators("kdj", "k d j")
 _of_indicators("rsi", "rsi_6 rsi_12 rsi_24")
 _ALL = "ma_5 ma_10 ma_20 ma_60 ma_120 dif dea hist k d j boll_up boll_mid boll_low rsi_6 rsi_12 rsi_24 change change_pct avg5 ratio"
-_of_indicators("indicators_all", _ALL, places=3)
-_of_indicators("indicators_hourly", _ALL, "h", 3)
-_of_indicators("indicators_many", _ALL, "m", 3)
+_of_indicators("indicators_all", _ALL)
+_of_indicators("indicators_hourly", _ALL, "h")
+_of_indicators("indicators_many", _ALL, "m")
 
 
 @query(o.with_(o.indicators(params=o.MIXED), s6("SELECT code, ts, dif, dea, hist, k, d, j FROM ind", "dif dea hist k d j")))
@@ -210,11 +214,11 @@ def summary_label(spark, d):
     return rows.select("code", "ts", "summary", "summary_strength", F.array_join("states", ",").alias("states"))
 
 
-@query(o.with_(o.indicators() + f", lab AS ({_LABELS})", s6("SELECT i.code, i.ts, i.close AS close, l.trend_label AS trend, i.ma_5 AS ma5, i.dif AS dif, i.j AS j, i.rsi_6 AS rsi6, i.boll_up AS upper, i.ratio AS ratio FROM ind i JOIN lab l USING (code, ts)", "close ma5 dif j rsi6 upper ratio", 3)))
+@query(o.with_(o.indicators() + f", lab AS ({_LABELS})", s6("SELECT i.code, i.ts, i.close AS close, l.trend_label AS trend, i.ma_5 AS ma5, i.dif AS dif, i.j AS j, i.rsi_6 AS rsi6, i.boll_up AS upper, i.ratio AS ratio FROM ind i JOIN lab l USING (code, ts)", "close ma5 dif j rsi6 upper ratio")))
 def indicator_json(spark, d):
     docs = signals.as_json(signals.state_labels(indicators.indicators(fx.bars_d(spark, d))))
     parsed = F.from_json("json", "close double, ma struct<trend:string,ma5:double>, macd struct<dif:double>, kdj struct<j:double>, rsi struct<rsi6:double>, boll struct<upper:double>, volume struct<ratio:double>")
-    return r6(docs.select("code", "ts", parsed.alias("x")).select("code", "ts", "x.close", "x.ma.trend", "x.ma.ma5", "x.macd.dif", "x.kdj.j", "x.rsi.rsi6", "x.boll.upper", "x.volume.ratio"), 3)
+    return r6(docs.select("code", "ts", parsed.alias("x")).select("code", "ts", "x.close", "x.ma.trend", "x.ma.ma5", "x.macd.dif", "x.kdj.j", "x.rsi.rsi6", "x.boll.upper", "x.volume.ratio"))
 
 
 # --- cycles ------------------------------------------------------------------------------------------
@@ -477,10 +481,10 @@ gr AS (SELECT code, day, printf('%02d:%02d', minute // 60, minute % 60) AS time,
   FROM grid LEFT JOIN mi USING (code, day, minute) WINDOW w AS (PARTITION BY code, day ORDER BY minute ROWS UNBOUNDED PRECEDING))"""
 
 
-@query(f"WITH {_GRID} {s6('SELECT code, day, time, price, volume, vwap FROM gr', 'price vwap', 4)}")
+@query(f"WITH {_GRID} {s6('SELECT code, day, time, price, volume, vwap FROM gr', 'price vwap')}")
 def running_vwap(spark, d):
     rows = intraday.on_grid(fx.minutes(spark, d), fx.last_closes(spark, d))
-    return r6(rows.withColumn("volume", F.col("volume").cast("long")), 4)
+    return r6(rows.withColumn("volume", F.col("volume").cast("long")))
 
 
 @query("SELECT (row_number() OVER (ORDER BY m) - 1)::INTEGER AS slot, m::INTEGER AS minute, printf('%02d:%02d', m // 60, m % 60) AS time FROM (SELECT unnest(range(570, 691) || range(780, 901)) AS m)")
@@ -494,7 +498,7 @@ def vwap(spark, d):
     return r6(intraday.vwap(rows, ("code", "day")))
 
 
-@query(f"WITH {_TICKS}, s AS (SELECT code, sum(CASE WHEN status = 1 THEN volume ELSE 0 END)::BIGINT AS \"inner\", sum(CASE WHEN status = 0 THEN volume ELSE 0 END)::BIGINT AS \"outer\" FROM tk GROUP BY code) SELECT code, \"inner\", \"outer\", round(\"inner\" / (\"inner\" + \"outer\") * 100, 6) + 0.0 AS inner_pct, round(\"outer\" / (\"inner\" + \"outer\") * 100, 6) + 0.0 AS outer_pct FROM s")
+@query(f"WITH {_TICKS}, s AS (SELECT code, sum(CASE WHEN status = 1 THEN volume ELSE 0 END)::BIGINT AS \"inner\", sum(CASE WHEN status = 0 THEN volume ELSE 0 END)::BIGINT AS \"outer\" FROM tk GROUP BY code) SELECT code, \"inner\", \"outer\", round(\"inner\" / (\"inner\" + \"outer\") * 100 + 1e-8, 6) + 0.0 AS inner_pct, round(\"outer\" / (\"inner\" + \"outer\") * 100 + 1e-8, 6) + 0.0 AS outer_pct FROM s")
 def inner_outer(spark, d):
     return r6(intraday.inner_outer(fx.ticks(spark, d)))
 
