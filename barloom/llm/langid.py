@@ -131,13 +131,14 @@ def identify(
 
     Accepted are rows whose text has letters, whose trigrams are as likely as texts of some language, and
     whose posterior is `accept` or more. A null text is an empty one and is not accepted; a null or unknown
-    declaration, suffix or host adds no evidence. Repeated rows have a row each, an empty table gives an
+    declaration, suffix or host adds no evidence. A model of no language accepts nothing. Repeated rows have a row each, an empty table gives an
     empty one, and no other column of rows is read."""
     ship(rows.sparkSession)
     text_batches(rows.sparkSession)
     languages = model.languages
-    if not languages:
-        raise ValueError("the model knows no language")
+    if not languages:  # fitted on no row
+        nothing = {c: F.lit(None).cast(t) for c, t in (("language", "string"), ("posterior", "double"), ("text_language", "string"), ("declared", "string"), ("host", "string"))}
+        return rows.select(F.col(key).cast("long").alias(key), text_key(text).alias("h"), *[x.alias(c) for c, x in nothing.items()], F.lit(False).alias("accepted"))
     plain = rows.select(F.col(key).cast("long").alias("id"), text_key(text).alias("h"), (declared if declared is not None else F.lit(None)).cast("string").alias("declared"), (host if host is not None else F.lit(None)).cast("string").alias("host"), text_or_empty(F.col(text)).alias("text"))
     plain = plain.withColumn("declared", F.lower(F.regexp_extract(F.coalesce("declared", F.lit("")), r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1)))
     scored = stored(_evidence(plain, model), "language-evidence")

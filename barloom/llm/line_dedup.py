@@ -82,10 +82,11 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "
     stay null. A null site counts as none. Rows repeated with the same id and text lose the same lines.
     An input column of the name n_lines_removed is replaced."""
     # What goes grows with the documents, so both sides shuffle at any size.
-    gone = boilerplate_places(docs, min_sites, key, text, site).withColumnsRenamed({"id": "_id", "h": "_h", "gone": "_gone"})
-    met = docs.drop("n_lines_removed").join(gone, docs[key].eqNullSafe(F.col("_id")) & (text_key(docs[text]) == F.col("_h")), "left")
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("_gone")))
-    return met.withColumns({text: cleaned, "n_lines_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).select(*[c for c in docs.columns if c != "n_lines_removed"], "n_lines_removed")
+    gone = boilerplate_places(docs, min_sites, key, text, site)
+    met = docs.join(gone, docs[key].eqNullSafe(gone["id"]) & (text_key(docs[text]) == gone["h"]), "left")
+    cleaned = F.when(gone["gone"].isNull(), docs[text]).otherwise(_without(docs[text], gone["gone"]))
+    columns = [cleaned.alias(text) if c == text else docs[c] for c in docs.columns if c != "n_lines_removed"]
+    return met.select(*columns, F.when(gone["gone"].isNull(), 0).otherwise(F.size(gone["gone"])).cast("long").alias("n_lines_removed"))
 
 
 def op10_distinct_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

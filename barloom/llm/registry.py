@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, html_extract, langid, line_dedup, media, minhash, packing, secret_scan, sharding, token_shards
+from barloom.llm import decontaminate, html_extract, langid, line_dedup, media, minhash, oracles, packing, secret_scan, sharding, token_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,4 +20,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_bbit_minhash": oracles.NEAR_COPIES, "op8_benchmark_decontamination": oracles.CONTAMINATION, "op10_distinct_site_lines": oracles.LINES}
