@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from barloom.deploy import ship
 from barloom.llm.common import reject_clash, shared_folder, stored, text_batches
 from barloom.llm.files import Replacing, read_range
-from barloom.llm.tokens import END, default_tokenizer, document_ids
+from barloom.llm.tokens import END, default_tokenizer, document_ids, forget
 
 LENGTH = 2048
 PER_SHARD = 4096
@@ -108,6 +108,7 @@ def materialise(docs: DataFrame, folder: str, order_key: int, tokenizer: str | N
     order = Feistel(max(count, 1), order_key)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
             starts = np.array([base[int(p)] for p in batch["part"]], np.int64) + batch["off"].to_numpy(np.int64)
             out = []
@@ -124,6 +125,7 @@ def materialise(docs: DataFrame, folder: str, order_key: int, tokenizer: str | N
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come by shard, slot and pos; a sequence's rows may go on in the next batch."""
+        forget()
         out, shard, file, own, head = [], None, None, [], None
 
         def end_sequence() -> None:

@@ -30,7 +30,7 @@ class TextTokens:
     last token of each part by a suffix; then a chunk's letters and the punctuation that ends it are
     independent, and many words are encoded as one text that those marks divide again."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -113,6 +113,11 @@ def tokenizer(path: str) -> TextTokens:
     return _TOKENIZERS[path]
 
 
+def forget() -> None:
+    """Frees what this process's tokenizers know, for tasks that have no use for it."""
+    _TOKENIZERS.clear()
+
+
 def document_ids(texts, path: str, block: int = 200):
     """uint32 arrays of the texts' ids with END, in order; nulls are empty texts."""
     tokens, end = tokenizer(path), np.array([END], "<u4").tobytes()
