@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -146,17 +147,20 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's ids, cut where they exceed the capacity."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for id_, ids in zip(batch["id"], document_ids(batch["text"], tokenizer), strict=True):
-                for k, start in enumerate(range(0, len(ids), capacity)):
+            at, out = [], []
+            for k, ids in enumerate(document_ids(batch.column(1).to_pylist(), tokenizer)):
+                for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
-                    out.append((id_, k, start, len(part), zlib.crc32(part.tobytes())))
-            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"]).astype({"id": "Int64"})
-
-    plain = reject_clash(docs, key, text).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return plain.mapInPandas(rows, "id long, piece int, start long, length long, ids_crc32 long")
+                    at.append(k)
+                    out.append((piece, start, len(part), zlib.crc32(part)))
+            numbers = np.array(out, np.int64).reshape(-1, 4)
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers[:, 0], pa.int32()), *[pa.array(numbers[:, c]) for c in (1, 2, 3)]]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32"])
+
+    plain = reject_clash(docs, key, text).select(F.col(key).cast("long").alias("id"), F.encode(text, "UTF-8").alias("text"))
+    return plain.mapInArrow(rows, "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _places(patterns: list[Pattern]) -> np.ndarray:

@@ -30,7 +30,7 @@ class TextTokens:
     last token of each part by a suffix; then a chunk's letters and the punctuation that ends it are
     independent, and many words are encoded as one text that those marks divide again."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -45,14 +45,14 @@ class TextTokens:
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         """Each chunk by itself."""
-        found = self._tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        found = self._tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         """Chunks of letters alone, as one text; one by one if that does not divide into as many."""
         if not words:
             return []
-        ids = np.array(self._tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self._tokenizer.encode(b" ".join(words).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
         stops = (np.flatnonzero(self._ends[ids]) + 1) * ids.itemsize
         if len(stops) != len(words) or stops[-1] != ids.nbytes:
             return self._encode(words)
@@ -66,7 +66,7 @@ class TextTokens:
                 words.append(c)
                 continue
             stem = c.rstrip(_PUNCTUATION)
-            if stem.isalpha() or stem.decode().lower().isalpha():
+            if stem.isalpha() or stem.decode("utf-8", "replace").lower().isalpha():
                 if len(stem) < len(c):
                     tail = c[len(stem) :]
                     tailed.append((c, stem, tail))
@@ -82,12 +82,12 @@ class TextTokens:
         known.update(zip(rest, self._encode(rest), strict=True))
         known.update([(c, known[stem] + known[tail]) for c, stem, tail in tailed])
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def packed(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, given in UTF-8."""
         if len(self._known) > self._keep:
             self._known = {}
         get = self._known.get
-        chunks = [t.encode("utf-8", "replace").translate(_LOWER).split() for t in texts]
+        chunks = [t.translate(_LOWER).split() for t in texts]
         found = [list(map(get, c)) for c in chunks]
         new, holes = set(), []
         for own, ids in zip(chunks, found, strict=True):
@@ -119,9 +119,9 @@ def forget() -> None:
 
 
 def document_ids(texts, path: str, block: int = 200):
-    """uint32 arrays of the texts' ids with END, in order; nulls are empty texts."""
+    """uint32 arrays of the texts' ids with END, in order. texts: UTF-8 bytes or strings; nulls are empty."""
     tokens, end = tokenizer(path), np.array([END], "<u4").tobytes()
-    texts = ["" if not isinstance(t, str) else t for t in texts]
     for i in range(0, len(texts), block):
-        for ids in tokens.packed(texts[i : i + block]):
+        plain = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace") for t in texts[i : i + block]]
+        for ids in tokens.packed(plain):
             yield np.frombuffer(ids + end, "<u4")
