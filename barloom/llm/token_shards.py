@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +27,10 @@ PER_SHARD = 4096
 ID = np.dtype("<u2")
 
 
+_FILL = np.array([END], ID).tobytes()
+_SEQUENCES = pa.schema([(c, pa.int64()) for c in ("sequence", "slot", "shard", "byte_offset", "n_tokens")] + [("doc_ids", pa.list_(pa.int64())), ("ids_crc32", pa.int64())])
+
+
 class Feistel:
     """A keyed permutation of 0 .. n-1: a balanced Feistel network over the next even number of bits, walked
     on from results that are n or more until one is below."""
@@ -89,13 +92,16 @@ def _tokenised(docs: DataFrame, tokenizer: str, key: str, text: str) -> DataFram
     return plain.mapInArrow(rows, "part int, off long, id long, n long, ids binary")
 
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
 def _pressed(ids) -> bytes:
     """Ids as they travel between tasks; about two thirds of their size in a shard."""
-    return pa.compress(memoryview(ids).cast("B"), codec="zstd", asbytes=True)
+    return _ZSTD.compress(memoryview(ids).cast("B"), asbytes=True)
 
 
 def _restored(data: bytes, n: int) -> bytes:
-    return pa.decompress(data, n * ID.itemsize, codec="zstd", asbytes=True)
+    return _ZSTD.decompress(data, n * ID.itemsize, asbytes=True)
 
 
 def shard_file(folder: str, shard: int) -> str:
@@ -120,50 +126,63 @@ def materialise(docs: DataFrame, folder: str, order_key: int, tokenizer: str | N
     count = -(-total // length)
     order = Feistel(max(count, 1), order_key)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            starts = np.array([base[int(p)] for p in batch["part"]], np.int64) + batch["off"].to_numpy(np.int64)
-            out = []
-            for start, id_, n, pressed in zip(starts.tolist(), batch["id"], batch["n"].tolist(), batch["ids"], strict=True):
-                ids, done = _restored(pressed, n), 0
-                while done < n:
-                    sequence, pos = divmod(start + done, length)
-                    some = min(length - pos, n - done)
-                    out.append((sequence, pos, id_, some, _pressed(ids[done * ID.itemsize : (done + some) * ID.itemsize])))
-                    done += some
-            frame = pd.DataFrame(out, columns=["sequence", "pos", "id", "n", "ids"]).astype({"id": "Int64"})
-            slots = order.slots(frame["sequence"].to_numpy()) if len(frame) else np.empty(0, np.int64)
-            yield frame.assign(slot=slots, shard=slots // per_shard)[["shard", "slot", "pos", "sequence", "id", "n", "ids"]]
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts, offs, _, sizes, pressed = (batch.column(c).to_pylist() for c in range(5))
+            of, sequences, places, counts, data = [], [], [], [], []
+            for k, (part, off, n) in enumerate(zip(parts, offs, sizes, strict=True)):
+                start, done = base[part] + off, 0
+                if (start % length) + n <= length:  # the document lies in one sequence
+                    pieces = [(start // length, start % length, n, pressed[k])]
+                else:
+                    ids, pieces = _restored(pressed[k], n), []
+                    while done < n:
+                        sequence, pos = divmod(start + done, length)
+                        some = min(length - pos, n - done)
+                        pieces.append((sequence, pos, some, _pressed(ids[done * ID.itemsize : (done + some) * ID.itemsize])))
+                        done += some
+                for sequence, pos, some, body in pieces:
+                    of.append(k)
+                    sequences.append(sequence)
+                    places.append(pos)
+                    counts.append(some)
+                    data.append(body)
+            numbers = np.array(sequences, np.int64)
+            slots = order.slots(numbers) if len(numbers) else numbers
+            columns = [pa.array(slots // per_shard), pa.array(slots), pa.array(places, pa.int32()), pa.array(numbers), batch.column(2).take(pa.array(of, pa.int64())), pa.array(counts, pa.int32()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "pos", "sequence", "id", "n", "ids"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by shard, slot and pos; a sequence's rows may go on in the next batch."""
         forget()
-        out, shard, file, own, head = [], None, None, [], None
+        out, shard, file, own, ids, head = [], None, None, [], [], None
 
         def end_sequence() -> None:
             if head is None:
                 return
-            body = b"".join(x for _, x in own)
-            whole = body + np.full(length - len(body) // ID.itemsize, END, ID).tobytes()
+            body = b"".join(own)
+            whole = body + bytes(_FILL * (length - len(body) // ID.itemsize))
             file.write(whole)
-            out.append((head[1], head[0], head[2], head[0] % per_shard * length * ID.itemsize, len(body) // ID.itemsize, [i for i, _ in own], zlib.crc32(whole)))
+            slot, sequence, s = head
+            out.append((sequence, slot, s, slot % per_shard * length * ID.itemsize, len(body) // ID.itemsize, list(ids), zlib.crc32(whole)))
 
-        def flush() -> pd.DataFrame:
-            frame = pd.DataFrame(out, columns=["sequence", "slot", "shard", "byte_offset", "n_tokens", "doc_ids", "ids_crc32"])
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 7
             out.clear()
-            return frame
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEQUENCES, strict=True)], schema=_SEQUENCES)
 
         for batch in batches:
-            for s, slot, sequence, id_, n, pressed in zip(*[batch[c] for c in ("shard", "slot", "sequence", "id", "n", "ids")], strict=True):
+            for s, slot, _, sequence, id_, n, pressed in zip(*[batch.column(c).to_pylist() for c in range(7)], strict=True):
                 if head is None or head[0] != slot:
                     end_sequence()
-                    own, head = [], (slot, sequence, s)
+                    own, ids, head = [], [], (slot, sequence, s)
                     if s != shard:
                         if file:
                             file.close()
                         shard, file = s, Replacing(shard_file(folder, s))
-                own.append((None if pd.isna(id_) else int(id_), _restored(pressed, n)))
+                own.append(_restored(pressed, n))
+                ids.append(id_)
             yield flush()
         end_sequence()
         if file:
@@ -171,9 +190,9 @@ def materialise(docs: DataFrame, folder: str, order_key: int, tokenizer: str | N
         yield flush()
 
     shards = max(1, -(-count // per_shard))
-    placed = tokens.mapInPandas(cut, "shard long, slot long, pos int, sequence long, id long, n int, ids binary")
+    placed = tokens.mapInArrow(cut, "shard long, slot long, pos int, sequence long, id long, n int, ids binary")
     dealt = placed.repartitionById(min(shards, 100_000), F.pmod(F.col("shard"), F.lit(100_000)).cast("int")).sortWithinPartitions("shard", "slot", "pos")
-    return stored(dealt.mapInPandas(write, "sequence long, slot long, shard long, byte_offset long, n_tokens long, doc_ids array<long>, ids_crc32 long"), "sequences")
+    return stored(dealt.mapInArrow(write, "sequence long, slot long, shard long, byte_offset long, n_tokens long, doc_ids array<long>, ids_crc32 long"), "sequences")
 
 
 def read_on(folder: str, slot: int, how_many: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:

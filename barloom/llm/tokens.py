@@ -41,6 +41,9 @@ class TextTokens:
         ends = [i for token, i in described["model"]["vocab"].items() if token.endswith(suffix)]
         self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
         self._ends[ends] = True
+        # The same for ASCII letters in lower case alone, which no other step would change.
+        described |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self._plain = Tokenizer.from_str(json.dumps(described))
         self._keep, self._known = keep, {}
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
@@ -48,11 +51,9 @@ class TextTokens:
         found = self._tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+    def _encode_words(self, words: list[bytes], by) -> list[bytes]:
         """Chunks of letters alone, as one text; one by one if that does not divide into as many."""
-        if not words:
-            return []
-        ids = np.array(self._tokenizer.encode(b" ".join(words).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+        ids = np.array(by.encode_batch_fast([b" ".join(words).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
         stops = (np.flatnonzero(self._ends[ids]) + 1) * ids.itemsize
         if len(stops) != len(words) or stops[-1] != ids.nbytes:
             return self._encode(words)
@@ -75,9 +76,12 @@ class TextTokens:
                     words.append(stem)
             else:
                 others.add(c)
-        words = list(dict.fromkeys(words))
-        for i in range(0, len(words), 2000):
-            known.update(zip(words[i : i + 2000], self._encode_words(words[i : i + 2000]), strict=True))
+        plain, wide = [], []
+        for w in dict.fromkeys(words):
+            (plain if w.isascii() else wide).append(w)
+        for some, by in ((plain, self._plain), (wide, self._tokenizer)):
+            for i in range(0, len(some), 1000):
+                known.update(zip(some[i : i + 1000], self._encode_words(some[i : i + 1000], by), strict=True))
         rest = [c for c in others if c not in known]
         known.update(zip(rest, self._encode(rest), strict=True))
         known.update([(c, known[stem] + known[tail]) for c, stem, tail in tailed])
