@@ -22,6 +22,7 @@ from barloom.llm.common import broadcast_below, reject_clash, stored, text_batch
 BUCKETS = 1 << 16
 #: Labelled rows a language that the model is fitted on, at most.
 FIT_ROWS = 300
+_PARTS = 64
 #: How far, in nats a trigram, a text may lie below the mean of the languages' own texts. Those vary by a few
 #: tenths, and other prose of the same language lies one or two lower; random letters lie five or more lower.
 FLOOR = 3.0
@@ -58,7 +59,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int
     counts of some hundred texts change little with more. Rows without text or label are left out."""
     chosen = reject_clash(labelled, text, label).where(F.col(text).isNotNull() & F.col(label).isNotNull())
     ids = chosen.select(F.col(label).alias("label"), F.xxhash64(F.lit(5), F.col(text)).alias("h")).distinct()
-    first = ids.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= rows).select("label", "h")
+    # The lowest of each of many parts of a label first, so that no task sorts a label whole.
+    parted = Window.partitionBy("label", F.pmod("h", F.lit(_PARTS))).orderBy("h")
+    lowest = ids.withColumn("r", F.row_number().over(parted)).where(F.col("r") <= rows)
+    first = lowest.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= rows).select("label", "h")
     sample = chosen.select(F.col(label).alias("label"), F.xxhash64(F.lit(5), F.col(text)).alias("h"), F.col(text).alias("text")).join(broadcast_below(stored(first, "sample"), 100_000), ["label", "h"])
     texts = sample.dropDuplicates(["label", "h"]).select("label", "text").toPandas()
     languages = tuple(sorted(texts["label"].unique()))
