@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -27,3 +28,13 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(top)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, which driver and executors share; only where that setting is
+    absent, as in a local session, is a folder of this machine made and set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="barloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"

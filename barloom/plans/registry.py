@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.deploy import work_folder
 from barloom.functions import codes as c
 from barloom.functions import values as v
 from barloom.operators import backtest, blocks, cycles, indicators, intraday, params, screen, securities, signals, textsections
 from barloom.plans import fixtures as fx
 from barloom.plans import oracles as o
 from barloom.sources import bars, store
+from barloom.streaming import bars as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -624,7 +626,31 @@ def workday_insert_ignore(spark, d):
     return store.insert_missing(old, day.select("date").withColumn("source", F.lit(1)), ("date",))
 
 
-# --- text, and streams' batch twins ------------------------------------------------------------------
+# --- streams, run over what is there, and text ----------------------------------------------------------
+
+
+@query(o.with_(o.bars("h"), s6("SELECT code, ts, open, high, low, close, volume, amount FROM bars", BAR_DOUBLES)))
+def stream_bars(spark, d):
+    """Hourly bars by a stream over the events, whole."""
+    out = work_folder(spark, "stream-bars")
+    events = spark.readStream.schema(fx.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    trades = events.select(F.col("event_type").alias("code"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1).alias("volume"))
+    made = streaming.bars(trades, 3)
+    made.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}.state").trigger(availableNow=True).start().awaitTermination()
+    return r6(spark.read.schema(made.schema).parquet(out).drop("ktype"))
+
+
+@query(o.with_(o.indicators(), s6("SELECT code, ts, dif, dea, hist, k, d, j, rsi_6, rsi_12, rsi_24 FROM ind", "dif dea hist k d j rsi_6 rsi_12 rsi_24")))
+def stream_indicators(spark, d):
+    """Indicators by a stream of daily bars, a year to a batch."""
+    source, out = work_folder(spark, "stream-source"), work_folder(spark, "stream-indicators")
+    rows = fx.bars_d(spark, d)
+    for year in range(1992, 2003):
+        rows.where(F.year("ts") == year).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    made = streaming.indicators(stream)
+    made.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}.state").trigger(availableNow=True).start().awaitTermination()
+    return r6(spark.read.schema(made.schema).parquet(out))
 
 
 @query(None)
