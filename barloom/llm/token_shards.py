@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from barloom.deploy import ship
 from barloom.llm.common import reject_clash, shared_folder, stored, text_batches
 from barloom.llm.files import Replacing, read_range
-from barloom.llm.tokens import END, default_tokenizer, document_ids, forget
+from barloom.llm.tokens import END, default_tokenizer, document_ids, forget, tokenizer as tokenizer_of
 
 LENGTH = 2048
 PER_SHARD = 4096
 ID = np.dtype("<u2")
+#: Chunks whose ids a process keeps; its tasks here do little else.
+KEEP = 1_200_000
 
 
 _FILL = np.array([END], ID).tobytes()
@@ -78,9 +80,7 @@ def _tokenised(docs: DataFrame, tokenizer: str, key: str, text: str) -> DataFram
         part, off = TaskContext.get().partitionId(), 0
         for batch in batches:
             offs, sizes, out = [], [], []
-            for ids in document_ids(batch.column(1).to_pylist(), tokenizer):
-                if ids.max() > np.iinfo(ID).max:
-                    raise ValueError("an id does not fit its file format")
+            for ids in document_ids(batch.column(1).to_pylist(), tokenizer, KEEP):
                 offs.append(off)
                 sizes.append(len(ids))
                 out.append(_pressed(ids.astype(ID)))
@@ -118,7 +118,11 @@ def materialise(docs: DataFrame, folder: str, order_key: int, tokenizer: str | N
     spark = docs.sparkSession
     ship(spark)
     text_batches(spark)
-    tokens = stored(_tokenised(docs, tokenizer or default_tokenizer(), key, text), "tokenised")
+    path = tokenizer or default_tokenizer()
+    if tokenizer_of(path).largest_id() > np.iinfo(ID).max:
+        raise ValueError("ids do not fit the shards' format")
+    forget()
+    tokens = stored(_tokenised(docs, path, key, text), "tokenised")
     # A row per task that tokenised.
     totals = tokens.groupBy("part").agg(F.sum("n").alias("n")).toPandas().sort_values("part")
     base = dict(zip(totals["part"].astype(int), (totals["n"].cumsum() - totals["n"]).astype(int), strict=True))

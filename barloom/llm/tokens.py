@@ -8,11 +8,13 @@ from pathlib import Path
 import numpy as np
 
 END = 0  # follows each document
+#: Chunks whose ids a process keeps: some 170 bytes each.
+KEEP = 600_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: ASCII punctuation but for the apostrophe, which may begin a part with letters.
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_TOKENIZERS: dict[str, TextTokens] = {}
+_TOKENIZERS: dict[tuple[str, int], TextTokens] = {}
 
 
 def default_tokenizer() -> str:
@@ -30,7 +32,7 @@ class TextTokens:
     last token of each part by a suffix; then a chunk's letters and the punctuation that ends it are
     independent, and many words are encoded as one text that those marks divide again."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -46,6 +48,9 @@ class TextTokens:
         self._plain = Tokenizer.from_str(json.dumps(described))
         self._keep, self._known = keep, {}
 
+    def largest_id(self) -> int:
+        return len(self._ends) - 1
+
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         """Each chunk by itself."""
         found = self._tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
@@ -110,11 +115,11 @@ class TextTokens:
         return [b"".join(ids) for ids in found]
 
 
-def tokenizer(path: str) -> TextTokens:
+def tokenizer(path: str, keep: int = KEEP) -> TextTokens:
     """This process's one for that file, so that tasks of a worker share what it knows."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = TextTokens(path)
-    return _TOKENIZERS[path]
+    if (path, keep) not in _TOKENIZERS:
+        _TOKENIZERS[path, keep] = TextTokens(path, keep)
+    return _TOKENIZERS[path, keep]
 
 
 def forget() -> None:
@@ -122,9 +127,9 @@ def forget() -> None:
     _TOKENIZERS.clear()
 
 
-def document_ids(texts, path: str, block: int = 200):
+def document_ids(texts, path: str, keep: int = KEEP, block: int = 200):
     """uint32 arrays of the texts' ids with END, in order. texts: UTF-8 bytes or strings; nulls are empty."""
-    tokens, end = tokenizer(path), np.array([END], "<u4").tobytes()
+    tokens, end = tokenizer(path, keep), np.array([END], "<u4").tobytes()
     for i in range(0, len(texts), block):
         plain = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace") for t in texts[i : i + block]]
         for ids in tokens.packed(plain):
