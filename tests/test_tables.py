@@ -99,11 +99,40 @@ def test_frames_and_bars(spark):
 
 
 def test_ticks(spark):
-    body = struct.pack("<H", 2) + b"\0" * 4 + b"".join(struct.pack("<H", m) + b"".join(map(wire.encode_varint, v)) + b"\0" * 8 * (m == 571) for m, v in ((570, (1000, 5000000, 1)), (571, (-3, 7, 0))))
+    body = struct.pack("<H", 2) + b"\0" * 4 + b"".join(bytes(m) + b"".join(map(wire.encode_varint, v)) + b"\0" * 8 * (m[1] == 0x31) for m, v in (((0x09, 0x30), (1000, 5000000, 1)), ((0x09, 0x31), (-3, 7, 0))))
     rows = wire.raw_ticks(spark.createDataFrame([("1", body)], "code string, body binary"))
     assert [(r.minute, r.value, r.volume) for r in intraday.undelta(rows, "price_delta", 100.0).orderBy("seq").collect()] == [(570, 10.0, 5000000), (571, 9.97, 7)]
 
 
+def test_other_responses(spark):
+    v = lambda *x: b"".join(map(wire.encode_varint, x))
+    quote = b"\0\0" + struct.pack("<H", 1) + b"\x01600000\0\0" + v(1050, -50, -10, 20, -30, 0, 0, 1234, 0) + struct.pack("<I", 0x4A000000) + v(11, 22, 0, 0) + v(-1, 1, 5, 6) * 5 + b"\0\0" + v(0, 0, 0, 0) + b"\0" * 4
+    got = wire.quotes(wire.raw_quotes(spark.createDataFrame([(quote,), (b"",), (None,)], "body binary"))).collect()
+    assert len(got) == 1 and (got[0].code, got[0].price, got[0].last_close, got[0].open, got[0].high, got[0].low, got[0].volume, got[0].s_vol, got[0].b_vol) == ("600000", 10.5, 10.0, 10.4, 10.7, 10.2, 1234, 11, 22)
+    assert [tuple(x) for x in got[0].bid_ask] == [(10.49, 10.51, 5, 6)] * 5
+    line = struct.pack("<H", 2) + b"\0\0\0\x50" + v(1000, 0, 7, -5, 0, -8)
+    rows = wire.minutes(wire.raw_minutes(spark.createDataFrame([("1", line)], "code string, body binary"))).orderBy("seq").collect()
+    assert [(r.time, r.price, r.number) for r in rows] == [("09:31", 10.0, 7), ("09:32", 9.95, -8)]
+    index = struct.pack("<H", 1) + struct.pack("<I", 20240102) + v(3000000, 1000, 2000, -500) + struct.pack("<IIHH", 0x4A000000, 0x4B000000, 700, 300)
+    bar = wire.bars(wire.raw_bars(spark.createDataFrame([("999999", 9, index)], "code string, ktype int, body binary"), breadth=True)).first()
+    assert (bar.open, bar.close, bar.up_count, bar.down_count) == (3000.0, 3001.0, 700, 300)
+    assert intraday.breadth(spark.createDataFrame([("x", DAY, 3, 1), ("x", DAY, 0, 0)], "code string, ts timestamp, up_count int, down_count int")).select("breadth").collect() == [(0.75,), (None,)]
+    codes_ = struct.pack("<H", 2) + b"600000\0\0" + "浦发银行".encode("gbk") + b"\0" * 13 + b"short"
+    assert [(bytes(r.code), bytes(r.name).decode("gbk")) for r in wire.records(spark.createDataFrame([(codes_,)], "body binary"), "securities").collect()] == [(b"600000", "浦发银行")]
+    call = struct.pack("<H", 1) + struct.pack("<HfIh3xB", 565, 10.5, 1000, -300, 7)
+    assert tuple(wire.records(spark.createDataFrame([(call,)], "body binary"), "auctions").first()) == (565, 10.5, 1000, -300, 7)
+    money = bytes(9) + struct.pack(wire.FINANCE_FORM, 1.5, 1, 2, 20240101, 19991110, *range(30))
+    found = wire.finance(spark.createDataFrame([(money,), (b"x",)], "body binary")).collect()
+    assert len(found) == 1 and (found[0].float_shares, found[0].ipo, found[0].total_shares, found[0].reserved) == (1.5, 19991110, 0.0, 29.0)
+    acts = bytes(9) + struct.pack("<H", 2) + struct.pack("<8xIB4f", 20240301, 1, 2.5, 0.0, -3.0, 0.125) + struct.pack("<8xIB4I", 20240302, 5, 0x4A000000, 0, 0x4A800000, 0)
+    got = wire.corp_actions(wire.records(spark.createDataFrame([("1", acts)], "code string, body binary"), "corp_actions")).orderBy("date").collect()
+    assert (str(got[0].date), got[0].a, got[0].b, got[0].c, got[0].d) == ("2024-03-01", 2.5, 0.0, -3.0, 0.125) and (got[1].category, got[1].a) == (5, 2.0**21)
+    toc = struct.pack("<H", 1) + struct.pack("<64s80sII", "公司概况".encode("gbk"), b"1.txt", 3, 4)
+    entries = wire.records(spark.createDataFrame([("1", toc)], "code string, body binary"), "company_toc").withColumns({"name": wire.text_of(F.col("name")), "filename": wire.text_of(F.col("filename"))})
+    files = spark.createDataFrame([("1", "1.txt", b"0123456789")], "code string, filename string, content binary")
+    assert bytes(textsections.from_toc(entries, files, "公司概况").first().part) == b"3456"
+
+
 def test_block_files(spark, tmp_path):
     def record(name, kind, members):
         body = b"".join(c.encode().ljust(7, b"\0") for c in members)
