@@ -25,7 +25,7 @@ KEYS = ("code", "ktype")
 
 def ordered(bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Adds i, the 0-based place in the series, and n, its length."""
-    return bars.withColumns({"i": F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    return bars.withColumns({"i": (F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1).cast("long"), "n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
 
 
 def _rows(before: int, keys: tuple[str, ...] = KEYS):

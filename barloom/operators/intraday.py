@@ -68,7 +68,7 @@ def undelta_bars(rows: DataFrame, scale: float = 1000.0, keys: tuple[str, ...] =
 
 def minute_labels(rows: DataFrame, keys: tuple[str, ...] = ("code",), order: str = "seq") -> DataFrame:
     """Adds the 0-based slot of each row in its day and that minute's HH:MM."""
-    slot = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    slot = (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long")
     return rows.withColumn("slot", slot).withColumn("time", slot_clock(F.col("slot")))
 
 

@@ -154,7 +154,7 @@ def indicators_mixed_params(spark, d):
 def resolve_params(spark, d):
     rows = params.resolved(fx.bars_d(spark, d).select("code").distinct())
     total = F.aggregate("rsi", F.lit(0), lambda a, x: a + x)
-    return rows.select("code", "category", "macd_fast", "macd_slow", "macd_signal", "kdj_n", "kdj_m1", "kdj_m2", "boll_n", "boll_k", F.size("ma").alias("n_ma"), total.alias("rsi_sum"))
+    return rows.select("code", "category", "macd_fast", "macd_slow", "macd_signal", "kdj_n", "kdj_m1", "kdj_m2", "boll_n", "boll_k", F.size("ma").cast("long").alias("n_ma"), total.alias("rsi_sum"))
 
 
 def _crosses(name: str, cross, sql: str) -> None:
@@ -607,7 +607,7 @@ def cache_ttl(spark, d):
 
 @query("SELECT lpad(user_id::VARCHAR, 6, '0') AS code, max(ts) AS analyzed_at FROM events GROUP BY ALL")
 def history_upsert(spark, d):
-    e = fx.table(spark, d, "events").select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"), F.col("ts").alias("analyzed_at"), "event_id")
+    e = fx.table(spark, d, "events").select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"), F.col("ts").cast("timestamp").alias("analyzed_at"), "event_id")
     old = store.last_wins(e.where("event_id % 2 = 0"), ("code",), F.col("analyzed_at")).drop("event_id")
     newer = e.join(old.withColumnRenamed("analyzed_at", "seen"), "code", "left").where("seen IS NULL OR analyzed_at > seen").select("code", "analyzed_at")
     return store.viewed(old, newer)
