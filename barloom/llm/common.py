@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
+from barloom.deploy import work_folder as shared_folder
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share.
+__all__ = ["broadcast_below", "lower_ascii", "reject_clash", "shared_folder", "small_enough", "stored", "text_batches", "text_key", "text_or_empty"]
 
-    Only where that setting is absent (a local session, as in tests) is a folder of this machine
-    made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="barloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
