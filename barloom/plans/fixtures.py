@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.deploy import ship
 from barloom.functions.codes import add_prefix, lookup
 from barloom.sources.bars import from_trades
 
@@ -82,3 +83,49 @@ def raw_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def finance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), (F.abs("s_acctbal") * 1e4).alias("float_shares"))
+
+
+def _two_bytes(n):
+    """16 bits, least byte first."""
+    whole = F.unhex(F.lpad(F.hex(n), 4, "0"))
+    return F.concat(F.substring(whole, 2, 1), F.substring(whole, 1, 1))
+
+
+def _zeros(n: int):
+    return F.unhex(F.lit("00" * n))
+
+
+def block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block file of each brand: its first 399 members, as many as a record holds."""
+    first = Window.partitionBy("block_name").orderBy("seq")
+    rows = block_members(spark, sf_dir).where(F.col("block_name").startswith("Brand")).withColumn("r", F.row_number().over(first)).where("r <= 399")
+    codes = F.transform(F.array_sort(F.collect_list(F.struct("seq", "stock_code"))), lambda m: F.concat(F.encode(m["stock_code"], "US-ASCII"), _zeros(1)))
+    of = rows.groupBy("block_name").agg(F.min_by("block_type", "seq").alias("kind"), F.count(F.lit(1)).alias("n"), codes.alias("codes"))
+    body = F.aggregate("codes", _zeros(0), lambda a, x: F.concat(a, x))
+    record = F.concat(_zeros(2), F.rpad(F.encode("block_name", "US-ASCII"), F.lit(9), _zeros(1)), _two_bytes(F.col("n")), _two_bytes(F.col("kind")), body)
+    return of.select(F.concat(_zeros(384), F.rpad(record, F.lit(2813), _zeros(1))).alias("content"))
+
+
+def tick_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture of each code's and day's trades, as a compressed response."""
+    import struct
+    import zlib
+
+    import pandas as pd
+
+    from barloom.sources.wire import RESPONSE_PREFIX, encode_varint
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows, last, body = rows.sort_values("seq"), 0, b""
+        for minute, cents, size, status in zip(rows["minute"], rows["cents"], rows["volume"], rows["status"], strict=True):
+            hour, rest = divmod(int(minute), 60)
+            body += bytes([hour // 10 << 4 | hour % 10, rest // 10 << 4 | rest % 10]) + b"".join(map(encode_varint, (int(cents) - last, int(size), int(status))))
+            last = int(cents)
+        body = struct.pack("<HI", len(rows), 0) + body + bytes(8)
+        data = zlib.compress(body)
+        data = body if len(data) == len(body) else data
+        return pd.DataFrame({"code": [key[0]], "day": [key[1]], "data": [RESPONSE_PREFIX + struct.pack("<BIBHHH", 12, 1, 0, 1, len(data), len(body)) + data]})
+
+    ship(spark)
+    rows = ticks(spark, sf_dir).select("code", F.to_date("ts").alias("day"), "seq", (F.hour("ts") * 60 + F.minute("ts")).alias("minute"), F.round(F.col("price") * 100).cast("long").alias("cents"), "volume", "status")
+    return rows.groupBy("code", "day").applyInPandas(pack, "code string, day date, data binary")

@@ -14,7 +14,7 @@ from barloom.functions import values as v
 from barloom.operators import backtest, blocks, cycles, indicators, intraday, params, screen, securities, signals, textsections
 from barloom.plans import fixtures as fx
 from barloom.plans import oracles as o
-from barloom.sources import bars, store
+from barloom.sources import bars, store, wire
 from barloom.streaming import bars as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -653,6 +653,29 @@ def stream_indicators(spark, d):
     return r6(spark.read.schema(made.schema).parquet(out))
 
 
+_A, _B, _C, _D = "(v >> 24)", "((v >> 16) & 255)", "((v >> 8) & 255)", "(v & 255)"
+_POWER, _FINE = f"pow(2.0, {_A} * 2 - 127)", f"(CASE WHEN {_B} & 128 <> 0 THEN 2 ELSE 1 END)"
+
+
+@query(f"SELECT event_id, round(({_POWER} + CASE WHEN {_B} > 128 THEN {_POWER} * (64 + ({_B} & 127)) / 64 ELSE {_POWER} * {_B} / 128 END + {_POWER} * {_C} / 32768 * {_FINE} + {_POWER} * {_D} / 8388608 * {_FINE}) + 1e-8, 6) + 0.0 AS volume FROM (SELECT event_id, 1124073472 + (event_id * 7919) % 67108864 AS v FROM events)")
+def volume_decode(spark, d):
+    return r6(fx.table(spark, d, "events").select("event_id", wire.volume(F.lit(1124073472) + F.col("event_id") * 7919 % 67108864).alias("volume")))
+
+
+@query(f"WITH {_MEMBERS} SELECT block_name, first_value(block_type) OVER (PARTITION BY block_name ORDER BY seq) AS block_type, stock_code FROM (SELECT *, row_number() OVER (PARTITION BY block_name ORDER BY seq) AS r FROM mem WHERE starts_with(block_name, 'Brand')) WHERE r <= 399")
+def block_file_decode(spark, d):
+    found = wire.block_members(fx.block_files(spark, d))
+    return found.select(wire.text_of(F.col("block_name")).alias("block_name"), "block_type", "stock_code")
+
+
+@query(f"WITH {_TICKS} SELECT code, day, row_number() OVER (PARTITION BY code, day ORDER BY seq) - 1 AS seq, minute, round(price + 1e-8, 6) + 0.0 AS price, volume, status::INTEGER AS status FROM tk")
+def frame_decode(spark, d):
+    """Trades through captured responses and back."""
+    raw = wire.raw_ticks(wire.frames(fx.tick_captures(spark, d)).select("code", "day", "body"))
+    found = intraday.undelta(raw, "price_delta", 100.0, ("code", "day"))
+    return r6(found.select("code", "day", F.col("seq").cast("long").alias("seq"), "minute", F.col("value").alias("price"), "volume", "status"))
+
+
 @query(None)
 def text_sections(spark, d):
     """All documents' sections; without SQL, as it is checked line by line in the tests."""
