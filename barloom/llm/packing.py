@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from barloom.deploy import ship
 from barloom.llm.common import reject_clash, stored, text_batches
-from barloom.llm.tokens import default_tokenizer, document_ids
+from barloom.llm.tokens import KEEP, default_tokenizer, document_ids
 
 CAPACITY = 2048
 #: Ranks among pieces of one length are taken in so many parts, as a third of all pieces may be of it.
@@ -144,13 +144,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     return fixed + best_fit(left, capacity)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", keep: int = KEEP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's ids, cut where they exceed the capacity."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, out = [], []
-            for k, ids in enumerate(document_ids(batch.column(1).to_pylist(), tokenizer)):
+            for k, ids in enumerate(document_ids(batch.column(1).to_pylist(), tokenizer, keep)):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     at.append(k)
@@ -177,14 +177,15 @@ def _places(patterns: list[Pattern]) -> np.ndarray:
     return np.array(sorted(rows), np.int64)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: its place in its document, its sequence, and its offset there.
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", keep: int = KEEP) -> DataFrame:
+    """One row per piece: its place in its document, its sequence, and its offset there. keep: chunks whose ids a
+    process keeps, which trades its memory for its time.
 
     A document is its ids and an END; null and empty texts are an END alone. An empty table has no
     pieces. Repeated rows are packed each, ids may be null, and other columns of docs are not read."""
     ship(docs.sparkSession)
     text_batches(docs.sparkSession)
-    cut = stored(pieces(docs, tokenizer or default_tokenizer(), capacity, key, text), "pieces")
+    cut = stored(pieces(docs, tokenizer or default_tokenizer(), capacity, key, text, keep), "pieces")
     parted = cut.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
     # At most capacity x PARTS rows.
     counted = parted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "part"])

@@ -50,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, keep=300_000)  # the executors have four stages behind them
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("decontamination", decontamination), ("packing", packed)]
