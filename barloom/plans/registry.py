@@ -232,7 +232,7 @@ _CYCLE = f"SELECT code, indicator, buy_ts, sell_ts, buy_i, sell_i, buy_price, se
 def _cycles(name: str, kinds: tuple[str, ...]) -> None:
     names = ", ".join(f"'{k}'" for k in kinds)
     query(o.with_(o.cycles(), s6(f"{_CYCLE} WHERE indicator IN ({names})", _CYCLE_DOUBLES)), name)(
-        lambda spark, d: r6(cycles.cycles(indicators.indicators(fx.bars_d(spark, d)), kinds).drop("ktype", "rank"))
+        lambda spark, d: r6(cycles.cycles(indicators.indicators(fx.bars_d(spark, d)).persist(), kinds).drop("ktype", "rank"))
     )
 
 
@@ -244,7 +244,7 @@ _cycles("cycles_all", tuple(cycles.KINDS))
 
 @query(o.with_(o.cycles(), s6("SELECT code, indicator, count(*) AS cycles, avg(CASE WHEN return_pct > 0 THEN 1 ELSE 0 END) AS win_rate, avg(return_pct) AS avg_return, printf('周期数: %d | 胜率: %.1f%% | 平均收益: %.2f%%', count(*), avg(CASE WHEN return_pct > 0 THEN 1.0 ELSE 0 END) * 100, avg(return_pct)) AS summary FROM cyc GROUP BY code, indicator", "win_rate avg_return")))
 def cycle_summary(spark, d):
-    return r6(cycles.cycle_summary(cycles.cycles(indicators.indicators(fx.bars_d(spark, d))), "code", "indicator"))
+    return r6(cycles.cycle_summary(cycles.cycles(indicators.indicators(fx.bars_d(spark, d)).persist()), "code", "indicator"))
 
 
 # --- back-test ---------------------------------------------------------------------------------------
@@ -257,7 +257,7 @@ _CHG = " ".join(f"chg_{k}" for k in _DAYS)
 
 
 def _backtested(spark, d):
-    frame = indicators.indicators(fx.bars_d(spark, d))
+    frame = indicators.indicators(fx.bars_d(spark, d)).persist()
     return frame, backtest.dedup_states(signals.signals(frame))
 
 
@@ -302,7 +302,8 @@ def _names(spark, d):
 
 
 def _universe(spark, d):
-    frame = indicators.indicators(fx.bars_m(spark, d))
+    """The indicator frame, which its readers share, and its signals."""
+    frame = indicators.indicators(fx.bars_m(spark, d)).persist()
     return frame, signals.signals(frame)
 
 
