@@ -301,9 +301,10 @@ def _names(spark, d):
     return fx.table(spark, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.col("s_name").alias("name"))
 
 
-def _universe(spark, d):
-    """The indicator frame, which its readers share, and its signals."""
-    frame = indicators.indicators(fx.bars_m(spark, d)).persist()
+def _universe(spark, d, shared: bool = False):
+    """The indicator frame, kept if more than its signals are read, and these."""
+    frame = indicators.indicators(fx.bars_m(spark, d))
+    frame = frame.persist() if shared else frame
     return frame, signals.signals(frame)
 
 
@@ -315,7 +316,7 @@ def screen_latest_buy(spark, d):
 
 @query(o.with_(f"{o.signals('m')}, {_NAMES}", s6("SELECT code, name, close FROM ind JOIN names USING (code) WHERE i = n - 1 AND code IN (SELECT code FROM kept WHERE type = '金叉')", "close")))
 def screen_any_signal(spark, d):
-    frame, found = _universe(spark, d)
+    frame, found = _universe(spark, d, True)
     hit = screen.with_any(screen.last_rows(frame).select("code", "ktype", "close"), found, "golden_cross")
     return r6(screen.named(hit, _names(spark, d)).select("code", "name", "close"))
 
@@ -325,7 +326,7 @@ _TABLE = "close change change_pct ma_5 ma_10 ma_20 dif dea k d j rsi_6"
 
 @query(o.with_(f"{o.signals('m')}, s1 AS (SELECT code, ts, string_agg(indicator || type, ', ' ORDER BY detector, sub) AS signals FROM kept GROUP BY code, ts)", s6(f"SELECT code, ind.ts, {', '.join(_TABLE.split())}, coalesce(s1.signals, '-') AS signals FROM ind LEFT JOIN s1 USING (code, ts) WHERE i = n - 1", _TABLE)))
 def screen_table(spark, d):
-    frame, found = _universe(spark, d)
+    frame, found = _universe(spark, d, True)
     return r6(screen.table(frame, found).drop("ktype"))
 
 
