@@ -23,6 +23,7 @@ BUCKETS = 1 << 16
 #: Labelled rows a language that the model is fitted on, at most.
 FIT_ROWS = 300
 _PARTS = 64
+_BLOCK = 1 << 20
 #: How far, in nats a trigram, a text may lie below the mean of the languages' own texts. Those vary by a few
 #: tenths, and other prose of the same language lies one or two lower; random letters lie five or more lower.
 FLOOR = 3.0
@@ -34,14 +35,14 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _LETTERS = bytes(c if c in b"abcdefghijklmnopqrstuvwxyz" or c > 127 else 32 for c in _LOWER)
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Bucket of each byte trigram of the text's letters, runs of other characters being one space."""
+def trigrams(text: str) -> Iterator[np.ndarray]:
+    """Bucket of each byte trigram of the text's letters, runs of other characters being one space; a block at a
+    time, so that long texts take little memory at once."""
     data = b" ".join([b"", *text.encode("utf-8", "replace").translate(_LETTERS).split(), b""])
-    if len(data) < 3:
-        return np.empty(0, np.int64)
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    x = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)
-    return (x >> np.uint32(16)).astype(np.int64)
+    for at in range(0, len(data) - 2, _BLOCK):
+        b = np.frombuffer(data, np.uint8, min(_BLOCK + 2, len(data) - at), at).astype(np.uint32)
+        x = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)
+        yield (x >> np.uint32(16)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -69,11 +70,14 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int
     counts = np.full((max(1, len(languages)), BUCKETS), smoothing)
     held = [[] for _ in languages]
     for label_, body in zip(texts["label"], texts["text"], strict=True):
-        k, x = languages.index(label_), trigrams(body)
-        counts[k] += np.bincount(x, minlength=BUCKETS)
-        held[k].append(x)
+        k, own = languages.index(label_), np.zeros(BUCKETS)
+        for x in trigrams(body):
+            own += np.bincount(x, minlength=BUCKETS)
+        counts[k] += own
+        at = np.flatnonzero(own)
+        held[k].append((at, own[at]))
     logp = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-    means = [float(logp[k][x].mean()) for k, own in enumerate(held) for x in own if len(x) >= 30]
+    means = [float(logp[k][at] @ n / n.sum()) for k, own in enumerate(held) for at, n in own if n.sum() >= 30]
     return Model(languages, logp, float(np.mean(means)) - FLOOR if means else -np.inf)
 
 
@@ -89,10 +93,12 @@ def _evidence(rows: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = []
             for body in batch["text"]:
-                x = trigrams(body)
-                ll = np.array([float(p[x].sum(dtype=np.float64)) for p in model.logp[: len(model.languages)]])
-                best = float(ll.max()) if len(ll) else 0.0
-                found.append((len(x), (ll - best).tolist(), best / len(x) if len(x) else 0.0))
+                n, ll = 0, np.zeros(len(model.languages))
+                for x in trigrams(body):
+                    n += len(x)
+                    ll += [p[x].sum(dtype=np.float64) for p in model.logp]
+                best = float(ll.max())
+                found.append((n, (ll - best).tolist(), best / n if n else 0.0))
             yield batch.drop(columns=["text"]).assign(n_grams=[f[0] for f in found], ll=[f[1] for f in found], mean_ll=[f[2] for f in found]).astype({"id": "Int64"})
 
     return rows.mapInPandas(score, "id long, h long, declared string, host string, n_grams long, ll array<double>, mean_ll double")

@@ -14,6 +14,7 @@ those are noticed, and the run asks for another seed."""
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -52,6 +53,8 @@ class Params:
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_GAP = re.compile(rb"[\x09-\x0D\x20]")
+_STRETCH = 1 << 20
 #: Longer words are hashed one by one.
 _LONG_WORD = 4096
 
@@ -75,9 +78,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str, seed: int) -> np.ndarray:
     """64-bit hashes of the words between ASCII white space, A-Z lower-cased."""
-    data = text.encode("utf-8", "surrogatepass").translate(_LOWER)
-    if not data:
-        return np.empty(0, np.uint64)
+    data, parts, at = text.encode("utf-8", "surrogatepass").translate(_LOWER), [], 0
+    while at < len(data):  # in stretches that end between words, so that long texts take little memory at once
+        gap = _GAP.search(data, at + _STRETCH)
+        end = gap.start() if gap else len(data)
+        parts.append(_hashes(data[at:end], seed))
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def _hashes(data: bytes, seed: int) -> np.ndarray:
     octets = np.frombuffer(data, np.uint8)
     inside = ~_SPACE[octets]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))

@@ -143,6 +143,15 @@ def test_near_copies_of_awkward_rows(spark, odd, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_long_texts_are_hashed_in_stretches(monkeypatch):
+    whole = minhash.word_hashes(LONG, 1)
+    monkeypatch.setattr(minhash, "_STRETCH", 50)
+    assert (minhash.word_hashes(LONG, 1) == whole).all() and len(whole) == 12000 and len(minhash.word_hashes(" \t", 1)) == 0
+    blocks = np.concatenate(list(langid.trigrams(LONG)))
+    monkeypatch.setattr(langid, "_BLOCK", 50)
+    assert (np.concatenate(list(langid.trigrams(LONG))) == blocks).all() and not list(langid.trigrams("")) and not list(langid.trigrams("1 2"))
+
+
 def test_chains_of_near_copies_join(spark):
     """Each text is a copy of the one before but for a few words, and far from the first."""
     words = [f"w{i}" for i in range(60)]
