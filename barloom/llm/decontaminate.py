@@ -115,7 +115,7 @@ def near_places(docs: DataFrame, first: str, second: str, within: int, key: str
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", share: int = 20) -> DataFrame:
-    """One row per row of docs: how many of its words lie in an occurrence of any item's window, which items
+    """One row per row of docs, with h (tells apart rows that repeat a key with another text): how many of its words lie in an occurrence of any item's window, which items
     those are, and whether they are at least one in `share` of its words.
 
     A null text has no words; an empty items table hits nothing. A null item id reads as "null". Items
@@ -154,7 +154,7 @@ def _judged(rows: DataFrame, candidates: DataFrame, window: int, key: str, share
     """Compares candidates with the documents' own words. c goes to the documents by broadcast if few
     documents have any; else both sides shuffle."""
     right = broadcast_below(candidates, BROADCAST_ROWS // 4).withColumnsRenamed({"id": "id2", "h": "h2"})
-    met = rows.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left").select("id", words(F.col("text")).alias("w"), "c")
+    met = rows.join(right, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left").select("id", "h", words(F.col("text")).alias("w"), "c")
     # The words become a lambda's variable, so that they are split once for a document and not for each place.
     found = F.transform(F.array("w"), lambda w: F.array_sort(F.flatten(F.transform("c", lambda x: _runs(w, x, window)))))[0]
     covered = F.aggregate(
@@ -162,14 +162,14 @@ def _judged(rows: DataFrame, candidates: DataFrame, window: int, key: str, share
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], a["upto"]))).alias("n"), F.greatest(a["upto"], x["end"]).alias("upto")),
     )["n"]
     items = F.coalesce(F.array_sort(F.array_distinct(F.col("hits")["item"])), F.array().cast("array<string>"))
-    out = met.select("id", F.size("w").cast("long").alias("n_words"), F.when(F.col("c").isNotNull(), found).alias("hits")).select(
-        F.col("id").alias(key), "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), items.alias("items")
+    out = met.select("id", "h", F.size("w").cast("long").alias("n_words"), F.when(F.col("c").isNotNull(), found).alias("hits")).select(
+        F.col("id").alias(key), "h", "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), items.alias("items")
     )
     return out.select(
-        key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        key, "h", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items",
     )
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items")
+    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("h", "items")

@@ -330,7 +330,8 @@ def _links_in_tile(rows: list[tuple], columns: list[tuple], p: Params) -> list[t
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: n_shingles, component_id (the smallest id that links reach) and kept.
+    """One row per row of docs: key, h (tells apart rows that repeat a key with another text), n_shingles,
+    component_id (the smallest id that links reach) and kept.
 
     A text without words, or null, has an empty set and is linked with nothing; so is a row without an id.
     Repeated rows share their component, and rows that repeat an id with another text are linked by their
@@ -365,11 +366,11 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), key: str = "doc_id",
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
     named = classes.join(stored(grouped.join(least, "component").select("node", "component_id"), "component-ids"), "node", "left")
     named = named.select(F.col("node").alias("s1"), F.coalesce("component_id", "id").alias("component_id"), F.lit(True).alias("linked"))
-    rows = signed.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("s1")).alias("s1"))
+    rows = signed.select("id", "tk", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("s1")).alias("s1"))
     component = F.coalesce("component_id", "id")
-    return rows.join(named, "s1", "left").select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return rows.join(named, "s1", "left").select(F.col("id").alias(key), F.col("tk").alias("h"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents, on shingles of two words."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Params(words=2))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Params(words=2)).drop("h")

@@ -13,17 +13,17 @@ BROADCAST_IDS = 1_000_000
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs but for the rows whose id, which may be null, is among the rejected."""
-    ids = broadcast_below(stored(rejected.select(F.col("doc_id").alias("_gone")).distinct(), "rejected"), BROADCAST_IDS)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti")
+    """docs but for the rows whose id, which may be null, and text are among the rejected (doc_id, h); a row
+    that repeats a rejected one's id with another text stays."""
+    gone = stored(rejected.select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct(), "rejected")
+    gone = broadcast_below(gone, BROADCAST_IDS)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (text_key(docs["text"]) == gone["_h"]), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language of the corpus."""
     found = langid.identify(docs, langid.fit(docs), "doc_id", "text", F.col("lang"), F.col("source"))
-    gone = stored(found.where(~F.col("accepted")).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_h")).distinct(), "rejected")
-    gone = broadcast_below(gone, BROADCAST_IDS)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (text_key(docs["text"]) == gone["_h"]), "left_anti")
+    return _without(docs, found.where(~F.col("accepted")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -476,6 +476,16 @@ def test_pipeline(spark, docs):
     assert len(kept) == docs.count()
 
 
+def test_only_the_rejected_text_of_an_id_goes(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    near = " ".join(f"word{i} of a long text" for i in range(60))
+    other = " ".join(f"quite another text {i * i}" for i in range(60))
+    rows = [(3, near), (5, near + " end"), (5, other), (6, item), (6, other + " six"), (None, item), (None, other + " none")]
+    source = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    assert set(pairs(corpus_pipeline.near_copies(spark, source.where("doc_id < 6"), SF))) == {rows[0], rows[2]}
+    assert set(pairs(corpus_pipeline.decontamination(spark, source, SF))) == {*rows[:3], rows[4], rows[6]}
+
+
 def test_stages_take_awkward_rows(spark, odd, none):
     for source in (odd, none):
         frame = source
