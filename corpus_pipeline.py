@@ -36,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near copies."""
-    found = stored(minhash.near_duplicates(docs, minhash.Params(words=2)), "near-copies")
+    found = stored(minhash.near_duplicates(docs), "near-copies")
     kept = _without(docs, found.where(~F.col("kept")))
     repeated = not found.where("kept").groupBy("doc_id").count().where("count > 1").isEmpty()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -476,6 +476,17 @@ def test_pipeline(spark, docs):
     assert len(kept) == docs.count()
 
 
+def test_the_stage_of_near_copies_takes_five_words(spark, docs):
+    base = [f"w{i}" for i in range(100)]
+    apart = [w if i % 10 else f"x{i}" for i, w in enumerate(base)]  # no near copy at either
+    few = [w if i % 25 else f"y{i}" for i, w in enumerate(base)]  # a near copy at two words, none at five
+    rows = [(1, " ".join(base)), (2, " ".join(apart)), (3, " ".join(few)), (4, " ".join(base) + " end")]
+    for source in (spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA), docs):
+        c = brute.components(pairs(source), 5)
+        assert sorted(pairs(corpus_pipeline.near_copies(spark, source, SF))) == sorted((d, t) for d, t in pairs(source) if c[d][2])
+    assert [brute.components(rows, n)[3][2] for n in (2, 5)] == [False, True]
+
+
 def test_only_the_rejected_text_of_an_id_goes(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
     near = " ".join(f"word{i} of a long text" for i in range(60))
