@@ -191,28 +191,26 @@ def scores(blocks: list[Node]) -> np.ndarray:
     return smooth([text_ratio[b.path] for b in blocks]) * smooth([mark_ratio[b.path] for b in blocks])
 
 
-def main_text(page: str | None, share: float = 0.1) -> str:
-    """The content blocks' text, one line each, in page order. Where the page marks its article (an article or
-    main element), paths outside of it are not content and those inside are, unless they are mostly links;
-    elsewhere a path is content from `share` of the page's mean score by text on. A page without text, or
+def main_text(page: str | None, share: float = 0.1, prior: float = 4.0) -> str:
+    """The content blocks' text, one line each, in page order. A path is content from `share` of the page's mean
+    score by text on, unless it is mostly links. Where the page marks its article (article or main elements
+    that hold over a quarter of the text), scores inside of it count `prior` times. A page without text, or
     null, gives an empty text."""
     blocks = [b for b in nodes(page or "") if b.text()]
     if not blocks:
         return ""
-    inside = [b for b in blocks if b.article]
-    if sum(len(b.text()) for b in inside) * 4 > sum(len(b.text()) for b in blocks):
-        blocks = inside
     value = scores(blocks)
     weight = np.array([len(b.text()) for b in blocks], float)
+    inside = np.array([b.article for b in blocks])
+    if weight[inside].sum() * 4 > weight.sum():
+        value = np.where(inside, prior * value, value)
     threshold = share * float((value * weight).sum() / weight.sum())
     by_path = defaultdict(list)
     for b, v in zip(blocks, value, strict=True):
         by_path[b.path].append((v, len(b.text()), b.linked))
-    keeps = {}
-    for path, found in by_path.items():
-        mean, size, linked = np.mean([v for v, _, _ in found]), sum(n for _, n, _ in found), sum(k for _, _, k in found)
-        keeps[path] = linked * 2 <= size and (blocks is inside or mean >= threshold)
-    kept = [b for b in blocks if keeps[b.path]]
+    text_paths = {path for path, found in by_path.items() if sum(k for _, _, k in found) * 2 <= sum(n for _, n, _ in found)}
+    keeps = {path for path in text_paths if np.mean([v for v, _, _ in by_path[path]]) >= threshold}
+    kept = [b for b in blocks if b.path in keeps]
     return "\n".join(b.text() for b in (kept or blocks))
 
 

@@ -88,6 +88,14 @@ def test_path_scores_prefer_prose():
     assert score[prose].min() > score[~prose][:3].max()
 
 
+def test_scores_decide_beside_a_marked_article():
+    prose = "".join(f"<p>Paragraph {i} of the article, with commas, stops; and more of them, so that it counts as prose.</p>" for i in range(8))
+    other = "".join(f"<p>Passage {i} of the story goes on here, outside, with commas, stops; and as much prose as before.</p>" for i in range(8))
+    notice = "<div class=x><span>Offer ends soon</span></div>" * 6
+    got = html_extract.main_text(f"<body><article>{prose}{notice}</article><section>{other}</section></body>")
+    assert "Paragraph 7" in got and "Passage 7" in got and "Offer" not in got
+
+
 # --- op2
 
 
