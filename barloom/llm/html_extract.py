@@ -46,6 +46,8 @@ TELLING = re.compile(
     r"(?<![a-z])(?:ads?|adverts?|advertisements?|adslot|adsense|banner|breadcrumbs?|comments?|commentlist|respond|disqus|cookies?|consent|gdpr|dialog|footer|foot|header|masthead|menu|menubar|modal|nav|navbar|"
     r"navigation|newsletter|notice|notices|alert|pager|pagination|popup|promo|promotion|related|recommended|share|sharing|sidebar|skip|social|sponsored?|subscribe|tags|toolbar|topbar|widget|complementary|contentinfo|search)(?![a-z])",
 )
+#: Elements that belong to the text of what holds them.
+STRUCTURE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption".split())
 #: A body of text under one of these is not set apart by its class, nor is the article itself.
 NEVER = frozenset("html body article main".split())
 
@@ -64,6 +66,8 @@ class Node:
     linked: int = 0
     article: bool = False
     heading: bool = False
+    #: Numbers of the open block elements, the page's own 0 first.
+    within: tuple[int, ...] = (0,)
 
     def text(self) -> str:
         return _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -75,6 +79,7 @@ class _Open:
     apart: bool
     link: bool
     article: bool
+    number: int
 
 
 def _apart(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -109,6 +114,7 @@ def nodes(page: str) -> list[Node]:
                 return
             blocks = [o.tag for o in stack if o.tag in BLOCK]
             current = Node("/".join(blocks), article=bool(stack) and stack[-1].article, heading=bool(blocks) and re.fullmatch("h[1-6]", blocks[-1]) is not None)
+            current.within = (0, *(o.number for o in stack if o.tag in BLOCK))
             out.append(current)
         decoded = html.unescape(piece)
         current.parts.append(decoded)
@@ -157,9 +163,9 @@ def nodes(page: str) -> list[Node]:
         if tag in BLOCK:  # an inline element left open does not reach into the next block
             while stack and stack[-1].tag not in BLOCK:
                 stack.pop()
-        top = stack[-1] if stack else _Open("", False, False, False)
+        top = stack[-1] if stack else _Open("", False, False, False, 0)
         article = top.article or tag in ("article", "main")
-        opened = _Open(tag, top.apart or _apart(tag, m[3], top.article), top.link or tag == "a", article)
+        opened = _Open(tag, top.apart or _apart(tag, m[3], top.article), top.link or tag == "a", article, at)
         if tag in RAW:
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
             if not opened.apart:
@@ -191,9 +197,32 @@ def scores(blocks: list[Node]) -> np.ndarray:
     return smooth([text_ratio[b.path] for b in blocks]) * smooth([mark_ratio[b.path] for b in blocks])
 
 
+def _belongs(blocks: list[Node], chosen: list[bool]) -> list[bool]:
+    """Whether each block stands between chosen ones of one container, or in structured text (lists, tables,
+    headings, code) of a container that holds chosen blocks itself."""
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for i, (b, c) in enumerate(zip(blocks, chosen, strict=True)):
+        for container in b.within[-2:] if c else ():
+            first.setdefault(container, i)
+            last[container] = i
+    out = []
+    for i, b in enumerate(blocks):
+        tags, structured, found = b.path.split("/"), True, False
+        for depth in range(len(b.within) - 1, -1, -1):
+            container = b.within[depth]
+            found = container in first and (structured or first[container] < i < last[container])
+            if found:
+                break
+            structured = structured and depth > 0 and tags[depth - 1] in STRUCTURE
+        out.append(found)
+    return out
+
+
 def main_text(page: str | None, share: float = 0.1, prior: float = 4.0) -> str:
     """The content blocks' text, one line each, in page order. A path is content from `share` of the page's mean
-    score by text on, unless it is mostly links. Where the page marks its article (article or main elements
+    score by text on, unless it is mostly links; so are lists, tables, headings and the like beside content, and
+    whatever stands between content of one container. Where the page marks its article (article or main elements
     that hold over a quarter of the text), scores inside of it count `prior` times. A page without text, or
     null, gives an empty text."""
     blocks = [b for b in nodes(page or "") if b.text()]
@@ -210,7 +239,8 @@ def main_text(page: str | None, share: float = 0.1, prior: float = 4.0) -> str:
         by_path[b.path].append((v, len(b.text()), b.linked))
     text_paths = {path for path, found in by_path.items() if sum(k for _, _, k in found) * 2 <= sum(n for _, n, _ in found)}
     keeps = {path for path in text_paths if np.mean([v for v, _, _ in by_path[path]]) >= threshold}
-    kept = [b for b in blocks if b.path in keeps]
+    chosen = [b.path in keeps for b in blocks]
+    kept = [b for b, c, r in zip(blocks, chosen, _belongs(blocks, chosen), strict=True) if c or (r and b.path in text_paths)]
     return "\n".join(b.text() for b in (kept or blocks))
 
 

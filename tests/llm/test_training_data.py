@@ -96,6 +96,23 @@ def test_scores_decide_beside_a_marked_article():
     assert "Paragraph 7" in got and "Passage 7" in got and "Offer" not in got
 
 
+@pytest.mark.parametrize("n", [5, 8, 12, 20])
+def test_short_parts_of_an_unmarked_article_stay(n):
+    prose = [f"<p>Paragraph {i}, " + "with words and commas and more of them " * 8 + "; and, so: on. It ends.</p>" for i in range(8)]
+    parts = {
+        "list": "<ul>" + "".join(f"<li>an item of some words {i}</li>" for i in range(n)) + "</ul>",
+        "table": "<table>" + "".join(f"<tr><td>cell {i}</td><td>value {i}</td></tr>" for i in range(n)) + "</table>",
+        "code": "<div><pre>" + "</pre><pre>".join(f"run step {i}" for i in range(n)) + "</pre></div>",
+    }
+    links = "<ul>" + "".join(f"<li><a href=x>elsewhere {i}</a></li>" for i in range(n)) + "</ul>"
+    for name, part in parts.items():
+        for at in (4, 8) if name != "code" else (4,):
+            page = "<body><div>" + "".join([*prose[:at], part, *prose[at:]]) + f"</div><div>{links}</div></body>"
+            got = html_extract.main_text(page)
+            assert all(f"{word} {i}" in got for i in range(n) for word in {"list": ["words"], "table": ["cell", "value"], "code": ["step"]}[name])
+            assert "Paragraph 7" in got and "elsewhere" not in got
+
+
 # --- op2
 
 
