@@ -29,7 +29,7 @@ BLOCK = frozenset(
     "hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements that are not the article's text.
-APART = frozenset("nav aside footer form script style noscript template svg button select option textarea iframe object canvas dialog menu head title label input math audio video map search".split())
+APART = frozenset("nav aside footer script style noscript template svg button select option textarea iframe object canvas dialog menu head title label input math audio video map search".split())
 #: Which open elements a start tag closes, up to the nearest of the second list.
 CLOSES = {
     "p": ({"p"}, set()),
@@ -68,6 +68,8 @@ class Node:
     heading: bool = False
     #: Numbers of the open block elements, the page's own 0 first.
     within: tuple[int, ...] = (0,)
+    #: Numbers of the open elements that a telling word, or being a form, may set apart.
+    told: tuple[int, ...] = ()
 
     def text(self) -> str:
         return _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -80,25 +82,48 @@ class _Open:
     link: bool
     article: bool
     number: int
+    told: tuple[int, ...]
 
 
-def _apart(tag: str, attributes: str, inside_article: bool) -> bool:
+def _apart(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is set apart for certain, and whether it is told to be by a word or by being a form."""
     if tag in APART or (tag == "header" and not inside_article):
-        return True
+        return True, False
+    told = tag == "form"
     if tag in NEVER or not attributes:
-        return False
+        return False, told
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
         if name.lower() in ("class", "id", "role"):
-            if TELLING.search(value):
-                return True
+            told = told or TELLING.search(value) is not None
         elif name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true") or (name.lower() == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            return True, False
+    return False, told
+
+
+def _around_the_page(blocks: list[Node]) -> set[int]:
+    """Told elements that are but wrappers of the page: they hold over half of its text and the marked article,
+    or nine tenths of the text where no article is marked."""
+    size = [len(b.text()) for b in blocks]
+    held: dict[int, int] = defaultdict(int)
+    chain: dict[int, tuple[int, ...]] = {}
+    for b, n in zip(blocks, size, strict=True):
+        for at, number in enumerate(b.told):
+            held[number] += n
+            chain[number] = b.told[:at]
+    out = set()
+    for number, n in held.items():
+        if n * 2 <= sum(size):
+            continue
+        marked = [number in b.told for b in blocks if b.article and (number in b.told or b.told == chain[number][: len(b.told)])]
+        if all(marked) if marked else n * 10 >= sum(size) * 9:
+            out.add(number)
+    return out
 
 
 def nodes(page: str) -> list[Node]:
-    """The page's blocks outside of elements set apart, in order. Missing and stray end tags are made up for
+    """The page's blocks outside of elements set apart, in order. A form, or an element of a telling class, id or
+    role, is not set apart if it holds most of the page. Missing and stray end tags are made up for
     as browsers do in common cases: a paragraph ends at the next block, an item at the next item."""
     stack: list[_Open] = []
     out: list[Node] = []
@@ -114,6 +139,7 @@ def nodes(page: str) -> list[Node]:
                 return
             blocks = [o.tag for o in stack if o.tag in BLOCK]
             current = Node("/".join(blocks), article=bool(stack) and stack[-1].article, heading=bool(blocks) and re.fullmatch("h[1-6]", blocks[-1]) is not None)
+            current.told = stack[-1].told if stack else ()
             current.within = (0, *(o.number for o in stack if o.tag in BLOCK))
             out.append(current)
         decoded = html.unescape(piece)
@@ -163,16 +189,20 @@ def nodes(page: str) -> list[Node]:
         if tag in BLOCK:  # an inline element left open does not reach into the next block
             while stack and stack[-1].tag not in BLOCK:
                 stack.pop()
-        top = stack[-1] if stack else _Open("", False, False, False, 0)
+        top = stack[-1] if stack else _Open("", False, False, False, 0, ())
         article = top.article or tag in ("article", "main")
-        opened = _Open(tag, top.apart or _apart(tag, m[3], top.article), top.link or tag == "a", article, at)
+        apart, told = _apart(tag, m[3], top.article)
+        opened = _Open(tag, top.apart or apart, top.link or tag == "a", article, at, (*top.told, at) if told else top.told)
         if tag in RAW:
             end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-            if not opened.apart:
+            if not opened.apart and not told:
                 text(page[at : end.start() if end else size])
             at = end.end() if end else size
             continue
         stack.append(opened)
+    if any(b.told for b in out):
+        around = _around_the_page(out)
+        out = [b for b in out if around.issuperset(b.told)]
     return out
 
 

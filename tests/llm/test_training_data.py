@@ -113,6 +113,18 @@ def test_short_parts_of_an_unmarked_article_stay(n):
             assert "Paragraph 7" in got and "elsewhere" not in got
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div class="with-nav"', 'section id="search-results"', "form", 'div role="search"'])
+def test_wrappers_of_a_page_are_not_set_apart(wrapper):
+    article = "".join(f"<p>Paragraph {i} of the article, with commas, stops; and more of them.</p>" for i in range(8))
+    aside = '<div class="sidebar"><p>Side, note.</p></div><form><p>Your name, please.</p></form>'
+    want = "\n".join(f"Paragraph {i} of the article, with commas, stops; and more of them." for i in range(8))
+    for marked in (f"<article>{article}</article>", f"<main>{article}</main>", f"<div>{article}</div>"):
+        assert html_extract.main_text(f"<body><{wrapper}>{marked}{aside}</{wrapper.split()[0]}></body>") == want
+    comments = '<div id="comments">' + "<article><p>A comment, and a long one: it goes on, and on, about it.</p></article>" * 40 + "</div>"
+    assert html_extract.main_text(f"<body><{wrapper}><article>{article}</article>{comments}</{wrapper.split()[0]}></body>") == want
+    assert html_extract.main_text(f"<body><article>{article}</article>{comments}</body>") == want
+
+
 # --- op2
 
 
