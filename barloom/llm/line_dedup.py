@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import broadcast_below, reject_clash, stored, text_key, text_or_empty
 
 MIN_SITES = 10
-MIN_CHARS = 20
+#: A line of these alone is blank, which is no line to judge.
+BLANKS = " \t\r\x0b\x0c\u00a0\u3000"
 LG_K = 12
 #: Relative distance from the threshold below which a sketch's estimate does not decide: over five
 #: standard errors of a sketch with 2^12 registers.
@@ -21,13 +22,13 @@ BROADCAST_ROWS = 200_000
 
 def _lines(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
     """id and h (which tells apart rows that repeat an id with another text), site, pos and two hashes of
-    each line, trimmed of blanks, that is long enough to judge; the two together are its 128-bit name."""
+    each line but blank ones, trimmed of spaces; the two together are its 128-bit name."""
     line = F.trim(F.col("line"))
     return (
         reject_clash(docs, key, text, site)
         .select(F.col(key).alias("id"), text_key(text).alias("h"), F.col(site).cast("string").alias("site"), F.posexplode(F.split(text_or_empty(F.col(text)), "\n")).alias("pos", "line"))
         .select("id", "h", "site", "pos", line.alias("line"))
-        .where(F.char_length("line") >= MIN_CHARS)
+        .where(F.trim("line", F.lit(BLANKS)) != "")
         .select("id", "h", "site", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
     )
 
@@ -78,8 +79,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "
     """docs with all its columns and rows; text has lost every line that stands on min_sites or more sites,
     but for that line's first place. n_lines_removed says how many went.
 
-    Lines are compared without surrounding blanks, and those under MIN_CHARS code points stay. Null texts
-    stay null. A null site counts as none. Rows repeated with the same id and text lose the same lines.
+    Lines of any length are compared, without surrounding spaces; blank ones stay. Null texts stay null. A null site counts as none. Rows repeated with the same id and text lose the same lines.
     An input column of the name n_lines_removed is replaced."""
     # What goes grows with the documents, so both sides shuffle at any size.
     gone = boilerplate_places(docs, min_sites, key, text, site)

@@ -484,6 +484,16 @@ def test_few_sites_or_short_lines_stay(spark):
     assert line_dedup.remove_boilerplate(df, min_sites=9).agg(F.sum("n_lines_removed")).first()[0] == 49
 
 
+def test_short_lines_are_judged(spark, docs):
+    rows = [(i, f"Les.\n\n \t\nown line {i}\n{'few' if i < 9 else i}", f"s{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = by_id(line_dedup.remove_boilerplate(df), "text", "n_lines_removed")
+    assert got == sorted(((d, t if d == 0 else t.removeprefix("Les.\n"), min(d, 1)) for d, t, _ in rows), key=str)
+    source = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    want = sorted(((d, *x) for d, x in brute.without_boilerplate(source, min_chars=1).items()), key=str)
+    assert by_id(line_dedup.remove_boilerplate(docs), "text", "n_lines_removed") == want
+
+
 # --- the pipeline
 
 
