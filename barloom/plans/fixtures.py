@@ -96,14 +96,18 @@ def _zeros(n: int):
 
 
 def block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A block file of each brand: its first 399 members, as many as a record holds."""
-    first = Window.partitionBy("block_name").orderBy("seq")
-    rows = block_members(spark, sf_dir).where(F.col("block_name").startswith("Brand")).withColumn("r", F.row_number().over(first)).where("r <= 399")
+    """A file of each block whose name fits a record's nine bytes: its members in order, up to 399 a record, in
+    as many records as they take."""
+    order = Window.partitionBy("block_name").orderBy("seq")
+    fits = block_members(spark, sf_dir).where(F.octet_length("block_name").between(1, 9))
+    rows = fits.withColumns({"nth": F.floor((F.row_number().over(order) - 1) / 399), "kind": F.first("block_type").over(order)})
     codes = F.transform(F.array_sort(F.collect_list(F.struct("seq", "stock_code"))), lambda m: F.concat(F.encode(m["stock_code"], "US-ASCII"), _zeros(1)))
-    of = rows.groupBy("block_name").agg(F.min_by("block_type", "seq").alias("kind"), F.count(F.lit(1)).alias("n"), codes.alias("codes"))
+    of = rows.groupBy("block_name", "nth").agg(F.first("kind").alias("kind"), F.count(F.lit(1)).alias("n"), codes.alias("codes"))
     body = F.aggregate("codes", _zeros(0), lambda a, x: F.concat(a, x))
     record = F.concat(_zeros(2), F.rpad(F.encode("block_name", "US-ASCII"), F.lit(9), _zeros(1)), _two_bytes(F.col("n")), _two_bytes(F.col("kind")), body)
-    return of.select(F.concat(_zeros(384), F.rpad(record, F.lit(2813), _zeros(1))).alias("content"))
+    records = of.select("block_name", "nth", F.hex(F.rpad(record, F.lit(2813), _zeros(1))).alias("record"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "record"))), lambda r: r["record"]), "")
+    return records.groupBy("block_name").agg(whole.alias("records")).select(F.concat(_zeros(384), F.unhex("records")).alias("content"))
 
 
 def tick_captures(spark: SparkSession, sf_dir: str) -> DataFrame:

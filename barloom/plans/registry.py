@@ -647,7 +647,8 @@ def stream_indicators(spark, d):
     """Indicators by a stream of daily bars, a year to a batch."""
     source, out = work_folder(spark, "stream-source"), work_folder(spark, "stream-indicators")
     rows = fx.bars_d(spark, d)
-    for year in range(1992, 2003):
+    years = rows.select(F.year("ts").alias("year")).where("year IS NOT NULL").distinct().orderBy("year")
+    for (year,) in years.collect():
         rows.where(F.year("ts") == year).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     made = streaming.indicators(stream)

@@ -3,6 +3,7 @@
 import datetime
 import struct
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from barloom.deploy import work_folder
 from barloom.functions import codes, values
 from barloom.operators import blocks, intraday, textsections
+from barloom.plans import fixtures, registry
 from barloom.schemas import BARS
 from barloom.sources import bars, store, wire
 from barloom.streaming import bars as streaming
@@ -148,6 +150,27 @@ def test_block_files(spark, tmp_path):
     assert blocks.block_list(members).count() == 1
 
 
+def test_whole_blocks_are_filed(spark, tmp_path):
+    rows = [(k, f"Brand#{11 + k % 2}", "PROMO TIN" if k % 3 else "STANDARD POLISHED TIN", 1 + k % 3) for k in range(2000)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in registry.queries()["block_file_decode"](spark, str(tmp_path)).collect())
+    kinds, want = {}, []
+    for k, *names, size in rows:
+        for name in (*names, str(size)):
+            if len(name) <= 9:
+                want.append((name, kinds.setdefault(name, size % 4), f"{k * 48271 % 1000000:06d}"))
+    assert got == sorted(want) and max(Counter(n for n, *_ in got).values()) > 2 * 399
+
+
+def test_all_years_are_streamed(spark, tmp_path):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(60)
+    moved = orders.withColumn("o_orderdate", F.when(F.col("o_orderkey") % 2 == 0, F.add_months("o_orderdate", 240)).otherwise(F.col("o_orderdate")).cast(orders.schema["o_orderdate"].dataType))
+    moved.write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry.queries()["stream_indicators"](spark, str(tmp_path)).select("code", "ts").collect()
+    want = fixtures.bars_d(spark, str(tmp_path)).select("code", "ts").collect()
+    assert sorted(got) == sorted(want) and max(r.ts.year for r in want) > 2005
+
+
 def test_packed_times(spark):
     rows = spark.createDataFrame([((20 << 11) + 3 * 100 + 14, 571)], "d int, m int")
     assert str(rows.select(values.packed_minute(F.col("d"), F.col("m"))).first()[0]) == "2024-03-14 09:31:00"
