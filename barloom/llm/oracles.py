@@ -2,7 +2,7 @@
 
 LINES = """
 WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
-wide AS (SELECT trim(line, ' ') AS name, min({'d': doc_id, 'p': pos}) AS first FROM l WHERE length(trim(line, ' ')) >= 20 GROUP BY trim(line, ' ') HAVING count(DISTINCT source) >= 10),
+wide AS (SELECT trim(line, ' ') AS name, min({'d': doc_id, 'p': pos}) AS first FROM l WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12) || chr(160) || chr(12288)) <> '' GROUP BY trim(line, ' ') HAVING count(DISTINCT source) >= 10),
 marked AS (SELECT l.*, coalesce({'d': doc_id, 'p': pos} <> wide.first, false) AS gone FROM l LEFT JOIN wide ON wide.name = trim(l.line, ' ')),
 kept AS (SELECT doc_id, count(*) FILTER (gone) AS n, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t FROM marked GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_lines_removed, length(t) AS n_chars_left, md5(t) AS text_md5 FROM documents LEFT JOIN kept USING (doc_id)

@@ -76,13 +76,14 @@ def crc(text):
     return zlib.crc32((text or "").encode())
 
 
-def without_boilerplate(docs, min_sites=10, min_chars=20):
-    """docs: (id, text, site), ids distinct."""
+def without_boilerplate(docs, min_sites=10):
+    """docs: (id, text, site), ids distinct. Lines of blanks alone are no lines."""
+    blank = " \t\r\x0b\x0c\u00a0\u3000"
     sites, first = defaultdict(set), {}
     for d, text, site in sorted(docs, key=lambda r: r[0]):
         for i, line in enumerate((text or "").split("\n")):
             line = line.strip(" ")
-            if len(line) >= min_chars:
+            if line.strip(blank):
                 if site is not None:
                     sites[line].add(site)
                 first.setdefault(line, (d, i))
@@ -91,7 +92,7 @@ def without_boilerplate(docs, min_sites=10, min_chars=20):
         kept, gone = [], 0
         for i, line in enumerate((text or "").split("\n")):
             name = line.strip(" ")
-            if len(name) >= min_chars and len(sites[name]) >= min_sites and first[name] != (d, i):
+            if name.strip(blank) and len(sites[name]) >= min_sites and first[name] != (d, i):
                 gone += 1
             else:
                 kept.append(line)
