@@ -665,7 +665,7 @@ def volume_decode(spark, d):
     return r6(fx.table(spark, d, "events").select("event_id", wire.volume(F.lit(1124073472) + F.col("event_id") * 7919 % 67108864).alias("volume")))
 
 
-@query(f"WITH {_MEMBERS} SELECT block_name, first_value(block_type) OVER (PARTITION BY block_name ORDER BY seq) AS block_type, stock_code FROM (SELECT *, row_number() OVER (PARTITION BY block_name ORDER BY seq) AS r FROM mem WHERE starts_with(block_name, 'Brand')) WHERE r <= 399")
+@query(f"WITH {_MEMBERS} SELECT block_name, first_value(block_type) OVER (PARTITION BY block_name ORDER BY seq) AS block_type, stock_code FROM mem WHERE strlen(block_name) BETWEEN 1 AND 9")
 def block_file_decode(spark, d):
     found = wire.block_members(fx.block_files(spark, d))
     return found.select(wire.text_of(F.col("block_name")).alias("block_name"), "block_type", "stock_code")
