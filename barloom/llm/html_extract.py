@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-A text node's tag path is the list of open elements above it. Over a page, paths of the article's text hold
-much text and much punctuation for each node; those of menus, notices and lists of links hold little. Per
-path both are summed and divided by its nodes, weighted by their spread, smoothed along the page, fused
-into one score, and cut at a threshold. Elements that HTML itself or a telling class or id sets apart from
-the article (navigation, forms, adverts, reader comments) take no part."""
+A text node's tag path is the list of open elements from the root down to it. Over a page, paths of the article's
+text hold much text and much punctuation for each node; those of menus, notices and lists of links hold little.
+Per path, text, punctuation and linked text are summed. The ratios of text and of punctuation to nodes are smoothed
+along the page and fused into one score; links lower it, as does a telling class, id or role above; a marked
+article raises it. Blocks' paths that score above a threshold are content.
+
+Elements that HTML itself sets apart (navigation, asides, footers, scripts, what is hidden) are not read."""
 
 from __future__ import annotations
 
@@ -32,246 +34,338 @@ BLOCK = frozenset(
 APART = frozenset("nav aside footer script style noscript template svg button select option textarea iframe object canvas dialog menu head title label input math audio video map search".split())
 #: Which open elements a start tag closes, up to the nearest of the second list.
 CLOSES = {
-    "p": ({"p"}, set()),
-    "li": ({"li", "p"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd", "p"}, {"dl"}),
-    "dd": ({"dt", "dd", "p"}, {"dl"}),
-    "tr": ({"tr", "td", "th", "p"}, {"table"}),
-    "td": ({"td", "th", "p"}, {"tr", "table"}),
-    "th": ({"td", "th", "p"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
+    "p": (("p",), ()),
+    "li": (("li", "p"), ("ul", "ol", "menu", "dir")),
+    "dt": (("dt", "dd", "p"), ("dl",)),
+    "dd": (("dt", "dd", "p"), ("dl",)),
+    "tr": (("tr", "td", "th", "p"), ("table",)),
+    "td": (("td", "th", "p"), ("tr", "table")),
+    "th": (("td", "th", "p"), ("tr", "table")),
+    "option": (("option",), ("select",)),
 }
 #: Words of a class, id or role that tell what an element is.
-TELLING = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisements?|adslot|adsense|banner|breadcrumbs?|comments?|commentlist|respond|disqus|cookies?|consent|gdpr|dialog|footer|foot|header|masthead|menu|menubar|modal|nav|navbar|"
-    r"navigation|newsletter|notice|notices|alert|pager|pagination|popup|promo|promotion|related|recommended|share|sharing|sidebar|skip|social|sponsored?|subscribe|tags|toolbar|topbar|widget|complementary|contentinfo|search)(?![a-z])",
+TELLING = frozenset(
+    "ad ads advert adverts advertisement advertisements adslot adsense banner breadcrumb breadcrumbs comment comments commentlist respond disqus cookie cookies consent gdpr dialog footer foot header masthead "
+    "menu menubar modal nav navbar navigation newsletter notice notices alert pager pagination popup promo promotion related recommended share sharing sidebar skip social sponsor sponsored subscribe tags "
+    "toolbar topbar widget complementary contentinfo search".split()
 )
+#: Words of a class, id or role that tell nothing.
+NEUTRAL = frozenset("area bar block box container content div group has holder inner is item items js list outer page row section site the with wrap wrapper".split())
 #: Elements that belong to the text of what holds them.
 STRUCTURE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption".split())
-#: A body of text under one of these is not set apart by its class, nor is the article itself.
+#: These are the article, whatever their class.
 NEVER = frozenset("html body article main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: What a score is multiplied with below a form or an element whose name is a telling word, has one among two or
+#: has one among more. Below the last, much text still counts as content.
+TOLD, HALF_TOLD, HINTED = 0.005, 0.02, 0.5
+#: What a score is multiplied with in a marked article.
+PRIOR = 4.0
+#: Share of the page's mean score, by text, above which a path is content.
+SHARE = 0.1
+
+_ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?=[\s/]|$))", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…·。，、；：！？¿¡]")
 _SPACE = re.compile(r"\s+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
-@dataclass
-class Node:
-    """One block's text under one tag path."""
+@dataclass(slots=True)
+class Element:
+    """An open or closed element. path numbers its tag path, one number for all elements of that path with the
+    same weight; block is its nearest element, itself included, that makes a block."""
 
-    path: str
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
+    tag: str
+    parent: Element | None
+    path: int
+    weight: float = 1.0
+    apart: bool = False
+    link: bool = False
     article: bool = False
-    heading: bool = False
-    #: Numbers of the open block elements, the page's own 0 first.
-    within: tuple[int, ...] = (0,)
-    #: Numbers of the open elements that a telling word, or being a form, may set apart.
-    told: tuple[int, ...] = ()
+    block: Element | None = None
+    #: First and last of the content blocks that it holds as their own element or the one above.
+    first: int = -1
+    last: int = -1
+    #: Whether it, or an element that it is structured text of, holds content so.
+    near: bool = False
 
-    def text(self) -> str:
-        return _SPACE.sub(" ", "".join(self.parts)).strip()
 
+@dataclass(slots=True)
+class Block:
+    """One block's text: its element, and for each text node the path, own length, marks, linked length."""
 
-@dataclass
-class _Open:
-    tag: str
-    apart: bool
-    link: bool
-    article: bool
-    number: int
-    told: tuple[int, ...]
-
-
-def _apart(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether an element is set apart for certain, and whether it is told to be by a word or by being a form."""
-    if tag in APART or (tag == "header" and not inside_article):
-        return True, False
-    told = tag == "form"
-    if tag in NEVER or not attributes:
-        return False, told
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() in ("class", "id", "role"):
-            told = told or TELLING.search(value) is not None
-        elif name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true") or (name.lower() == "style" and re.search(r"display\s*:\s*none", value)):
-            return True, False
-    return False, told
-
-
-def _around_the_page(blocks: list[Node]) -> set[int]:
-    """Told elements that are but wrappers of the page: they hold over half of its text and the marked article,
-    or nine tenths of the text where no article is marked."""
-    size = [len(b.text()) for b in blocks]
-    held: dict[int, int] = defaultdict(int)
-    chain: dict[int, tuple[int, ...]] = {}
-    for b, n in zip(blocks, size, strict=True):
-        for at, number in enumerate(b.told):
-            held[number] += n
-            chain[number] = b.told[:at]
-    out = set()
-    for number, n in held.items():
-        if n * 2 <= sum(size):
-            continue
-        marked = [number in b.told for b in blocks if b.article and (number in b.told or b.told == chain[number][: len(b.told)])]
-        if all(marked) if marked else n * 10 >= sum(size) * 9:
-            out.add(number)
-    return out
+    element: Element
+    parts: list[str] = field(default_factory=list)
+    nodes: list[list] = field(default_factory=list)
 
+    def text(self) -> str:
+        return _SPACE.sub(" ", "".join(self.parts)).strip()
 
-def nodes(page: str) -> list[Node]:
-    """The page's blocks outside of elements set apart, in order. A form, or an element of a telling class, id or
-    role, is not set apart if it holds most of the page. Missing and stray end tags are made up for
-    as browsers do in common cases: a paragraph ends at the next block, an item at the next item."""
-    stack: list[_Open] = []
-    out: list[Node] = []
-    current: Node | None = None
-    at, size = 0, len(page)
 
-    def text(piece: str) -> None:
+def told(tag: str, attributes: list[tuple[str, str]]) -> float:
+    """The weight of an element's own name: the more of it telling words make up, the less."""
+    weight = TOLD if tag == "form" else 1.0
+    for name, value in attributes:
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                parts = [p for p in map(str.lower, _PARTS.findall(token))]
+                telling = sum(p in TELLING for p in parts)
+                if telling:
+                    others = sum(p not in TELLING and p not in NEUTRAL for p in parts)
+                    weight = min(weight, TOLD if not others else HALF_TOLD if others <= telling else HINTED)
+    return weight
+
+
+def _hidden(attributes: list[tuple[str, str]]) -> bool:
+    return any(n == "hidden" or (n == "aria-hidden" and v.lower() == "true") or (n == "style" and re.search(r"display\s*:\s*none", v, re.I)) for n, v in attributes)
+
+
+class _Tags:
+    """Reads a page's tags in one pass: what is looked for and isn't there is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self._none_after = page, {}
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self._none_after.get(what, len(self.page) + 1):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self._none_after[what] = at
+        return found
+
+    def end_of_tag(self, at: int) -> int:
+        """Where the tag's `>` is, -1 if there is none. Quoted values may hold it; a quote that isn't closed, or
+        is by the quote of a later tag, opens nothing."""
+        close = first = self.find(">", at)
+        while close >= 0:
+            quotes = [(q, c) for c in "\"'" if 0 <= (q := self.find(c, at)) < close]
+            if not quotes:
+                return close
+            opened, mark = min(quotes)
+            at = opened + 1
+            if self.page[:opened].endswith("=") or self.page[max(0, opened - 50) : opened].rstrip().endswith("="):
+                end = self.find(mark, at)
+                if end < 0 or (end > close and not re.match(r"[\s/>]", self.page[end + 1 : end + 2])):
+                    return first
+                at = end + 1
+                close = self.find(">", at)
+        return first
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks with text, in order, outside of elements set apart. Missing and stray end tags are made up
+    for as browsers do in common cases: a paragraph ends at the next block, an item at the next item."""
+    tags, size, at = _Tags(page), len(page), 0
+    paths: dict[tuple, int] = {}
+    root = Element("", None, 0)
+    root.block = root
+    stack, places = [root], defaultdict(list)
+    block_places = [0]
+    out: list[Block] = []
+    current: Block | None = None
+
+    def text(piece: str, decode: bool = True) -> None:
         nonlocal current
-        if not piece or (stack and stack[-1].apart):
+        top = stack[-1]
+        if not piece or top.apart:
             return
         if current is None:
             if not piece.strip():
                 return
-            blocks = [o.tag for o in stack if o.tag in BLOCK]
-            current = Node("/".join(blocks), article=bool(stack) and stack[-1].article, heading=bool(blocks) and re.fullmatch("h[1-6]", blocks[-1]) is not None)
-            current.told = stack[-1].told if stack else ()
-            current.within = (0, *(o.number for o in stack if o.tag in BLOCK))
+            current = Block(top.block)
             out.append(current)
-        decoded = html.unescape(piece)
-        current.parts.append(decoded)
-        if stack and stack[-1].link:
-            current.linked += len(decoded.strip())
-
-    def close(tags: set[str], until: set[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in until:
-                return
-            if stack[i].tag in tags:
-                del stack[i:]
-                close(tags, until)
-                return
-            if stack[i].tag in BLOCK and not tags & {"li", "dt", "dd", "tr", "td", "th", "option"}:
-                return
+        piece = html.unescape(piece) if decode else piece
+        current.parts.append(piece)
+        n = len(piece.strip())
+        if n:
+            current.nodes.append([top.path, 0 if top.link else n, 0 if top.link else len(_PUNCTUATION.findall(piece)), n if top.link else 0])
+
+    def push(element: Element) -> None:
+        places[element.tag].append(len(stack))
+        if element.tag in BLOCK:
+            block_places.append(len(stack))
+        stack.append(element)
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in BLOCK:
+                block_places.pop()
+
+    def close(own: tuple[str, ...], until: tuple[str, ...]) -> None:
+        """The outermost of the open elements to close that no other block but them and no boundary lies above."""
+        bound = max([0, *(places[t][-1] for t in until if places[t])])
+        if own == ("p",):  # a paragraph ends only if it is the innermost block
+            bound = max(bound, block_places[-1] - 1)
+        found = [p for t in own for p in places[t][-1:] if p > bound]
+        while found:
+            cut(min(found))
+            found = [p for t in own for p in places[t][-1:] if p > bound]
 
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        start = tags.find("<", at)
+        if start < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        text(page[at:start])
+        follows = page[start + 1 : start + 2]
+        if follows in ("!", "?"):
+            if page.startswith("<!--", start):
+                end = tags.find("-->", start + 2)
+                at = end + 3 if end >= 0 else size
+            elif page.startswith("<![CDATA[", start):
+                end = tags.find("]]>", start)
+                at = end + 3 if end >= 0 else size
+            else:
+                end = tags.find(">", start)
+                at = end + 1 if end >= 0 else size
             continue
-        tag = m[2].lower()
+        closing = follows == "/"
+        name = _NAME.match(page, start + 1 + closing)
+        if name is None:
+            if closing:  # no element's end: as a comment
+                end = tags.find(">", start)
+                at = end + 1 if end >= 0 else size
+            else:
+                text("<")
+                at = start + 1
+            continue
+        end = tags.end_of_tag(name.end())
+        if end < 0:  # the page ends within a tag
+            break
+        at = end + 1
+        tag = name[0].lower()
         if tag in BLOCK:
             current = None
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
+        if closing:
+            if places[tag] and (tag in BLOCK or places[tag][-1] > block_places[-1]):
+                cut(places[tag][-1])
             continue
         if tag == "br":
             text(" ")
         if tag in VOID:
             continue
-        if tag in CLOSES:
-            close(*CLOSES[tag])
-        elif tag in BLOCK:
-            close({"p"}, set())
         if tag in BLOCK:  # an inline element left open does not reach into the next block
-            while stack and stack[-1].tag not in BLOCK:
-                stack.pop()
-        top = stack[-1] if stack else _Open("", False, False, False, 0, ())
-        article = top.article or tag in ("article", "main")
-        apart, told = _apart(tag, m[3], top.article)
-        opened = _Open(tag, top.apart or apart, top.link or tag == "a", article, at, (*top.told, at) if told else top.told)
+            cut(block_places[-1] + 1)
+            close(*CLOSES.get(tag, CLOSES["p"]))
+            cut(block_places[-1] + 1)
+        top, inside = stack[-1], page[name.end() : end]
+        attributes = [(n.lower(), a or b or c) for n, a, b, c in _ATTRIBUTE.findall(inside)] if "=" in inside or "hidden" in inside.lower() else []
+        weight = 1.0 if tag in NEVER else told(tag, attributes)
+        path = paths.setdefault((top.path, tag, weight), len(paths) + 1)
+        element = Element(tag, top, path, top.weight * weight, top.apart or tag in APART or (tag == "header" and not top.article) or (tag not in NEVER and _hidden(attributes)), top.link or tag == "a", top.article or tag in ("article", "main"))
+        element.block = element if tag in BLOCK else top.block
         if tag in RAW:
-            end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-            if not opened.apart and not told:
-                text(page[at : end.start() if end else size])
-            at = end.end() if end else size
+            stop = _RAW_END[tag].search(page, at)
+            push(element)
+            text(page[at : stop.start() if stop else size], tag in ("textarea", "title"))
+            cut(len(stack) - 1)
+            if not stop:
+                break
+            shut = tags.find(">", stop.end())
+            at = shut + 1 if shut >= 0 else size
             continue
-        stack.append(opened)
-    if any(b.told for b in out):
-        around = _around_the_page(out)
-        out = [b for b in out if around.issuperset(b.told)]
-    return out
-
-
-def scores(blocks: list[Node]) -> np.ndarray:
-    """Each block's score: its path's text ratio and punctuation ratio (sums over the path's blocks divided by
-    their number, times the spread of their lengths, so that a path of many alike short blocks counts for
-    little), each smoothed with the neighbours on the page by a Gaussian, then fused by their product."""
-    length, marks = defaultdict(list), defaultdict(list)
-    for b in blocks:
-        text = b.text()
-        own = max(0, len(text) - b.linked)
-        length[b.path].append(own)
-        marks[b.path].append(len(_PUNCTUATION.findall(text)) if own else 0)
-    text_ratio = {p: sum(v) / len(v) * (1 + np.std(v) / (1 + np.mean(v))) for p, v in length.items()}
-    mark_ratio = {p: (1 + sum(v)) / len(v) for p, v in marks.items()}
-    kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    kernel /= kernel.sum()
-
-    def smooth(values: list[float]) -> np.ndarray:
-        return np.convolve(np.pad(np.array(values, float), 2, mode="edge"), kernel, mode="valid")
-
-    return smooth([text_ratio[b.path] for b in blocks]) * smooth([mark_ratio[b.path] for b in blocks])
-
-
-def _belongs(blocks: list[Node], chosen: list[bool]) -> list[bool]:
+        push(element)
+    return [b for b in out if b.nodes]
+
+
+_KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
+_KERNEL /= _KERNEL.sum()
+
+
+def _smooth(values: list[float]) -> np.ndarray:
+    return np.convolve(np.pad(np.array(values, float), 2, mode="edge"), _KERNEL, mode="valid")
+
+
+def scores(found: list[Block]) -> np.ndarray:
+    """Each block's score. Per tag path: its text ratio (text outside of links by nodes, times the spread of their
+    lengths, so that a path of many alike short nodes counts for little) and its punctuation ratio. Both are
+    smoothed with the neighbours on the page by a Gaussian and fused by their product; a block's is the mean
+    over its text. What links hold of the text of the block's path is taken off."""
+    nodes = [n for b in found for n in b.nodes]
+    lengths, marks, linked, whole = defaultdict(list), defaultdict(int), defaultdict(int), defaultdict(int)
+    for path, own, m, _ in nodes:
+        lengths[path].append(own)
+        marks[path] += m
+    for b in found:
+        for _, own, _, in_links in b.nodes:
+            linked[b.element.path] += in_links
+            whole[b.element.path] += own + in_links
+    text_ratio = {p: sum(v) / len(v) * (1 + np.std(v) / (1 + sum(v) / len(v))) for p, v in lengths.items()}
+    mark_ratio = {p: (1 + marks[p]) / len(v) for p, v in lengths.items()}
+    fused = _smooth([text_ratio[n[0]] for n in nodes]) * _smooth([mark_ratio[n[0]] for n in nodes])
+    out, at = [], 0
+    for b in found:
+        of = [own + in_links for _, own, _, in_links in b.nodes]
+        mean = float(np.dot(fused[at : at + len(of)], of)) / sum(of)
+        share = linked[b.element.path] / whole[b.element.path]
+        out.append(mean * (1 - share if share <= 0.5 else 0.0))
+        at += len(of)
+    return np.array(out)
+
+
+def _belongs(found: list[Block], chosen: list[bool]) -> list[bool]:
     """Whether each block stands between chosen ones of one container, or in structured text (lists, tables,
     headings, code) of a container that holds chosen blocks itself."""
-    first: dict[int, int] = {}
-    last: dict[int, int] = {}
-    for i, (b, c) in enumerate(zip(blocks, chosen, strict=True)):
-        for container in b.within[-2:] if c else ():
-            first.setdefault(container, i)
-            last[container] = i
+    depth = [0] * (len(found) + 1)
+    held = []
+    for i, b in enumerate(found):
+        if chosen[i]:
+            for e in (b.element, b.element.parent.block if b.element.parent else None):
+                if e is not None:
+                    if e.first < 0:
+                        e.first = i
+                        held.append(e)
+                    e.last = i
+    for e in held:
+        e.near = True
+        if e.first + 1 < e.last:
+            depth[e.first + 1] += 1
+            depth[e.last] -= 1
+    between, open_ = [], 0
+    for d in depth[:-1]:
+        open_ += d
+        between.append(open_ > 0)
+    known: dict[int, bool] = {}
     out = []
-    for i, b in enumerate(blocks):
-        tags, structured, found = b.path.split("/"), True, False
-        for depth in range(len(b.within) - 1, -1, -1):
-            container = b.within[depth]
-            found = container in first and (structured or first[container] < i < last[container])
-            if found:
-                break
-            structured = structured and depth > 0 and tags[depth - 1] in STRUCTURE
-        out.append(found)
+    for i, b in enumerate(found):
+        e, chain = b.element, []
+        while id(e) not in known and not e.near and e.tag in STRUCTURE and e.parent is not None:
+            chain.append(e)
+            e = e.parent.block
+        answer = known.get(id(e), e.near)
+        known.update((id(x), answer) for x in chain)
+        out.append(between[i] or answer)
     return out
 
 
-def main_text(page: str | None, share: float = 0.1, prior: float = 4.0) -> str:
-    """The content blocks' text, one line each, in page order. A path is content from `share` of the page's mean
-    score by text on, unless it is mostly links; so are lists, tables, headings and the like beside content, and
-    whatever stands between content of one container. Where the page marks its article (article or main elements
-    that hold over a quarter of the text), scores inside of it count `prior` times. A page without text, or
-    null, gives an empty text."""
-    blocks = [b for b in nodes(page or "") if b.text()]
-    if not blocks:
+def main_text(page: str | None, share: float = SHARE, prior: float = PRIOR) -> str:
+    """The content blocks' text, one line each, in page order. A path is content if its mean score is above `share`
+    of the page's mean score, by text. So are lists, tables, headings and the like beside content, and whatever
+    stands between content of one container; but for what its name tells apart, and lists of links outside of a
+    marked article. A page without text, or of links alone, or null, gives an empty text."""
+    found = blocks(page or "")
+    if not found:
         return ""
-    value = scores(blocks)
-    weight = np.array([len(b.text()) for b in blocks], float)
-    inside = np.array([b.article for b in blocks])
-    if weight[inside].sum() * 4 > weight.sum():
-        value = np.where(inside, prior * value, value)
-    threshold = share * float((value * weight).sum() / weight.sum())
+    weight = np.array([b.element.weight for b in found])
+    value = scores(found) * weight * np.where([b.element.article for b in found], prior, 1.0)
+    size = np.array([sum(own + in_links for _, own, _, in_links in b.nodes) for b in found], float) * weight
+    threshold = share * float((value * size).sum() / size.sum())
     by_path = defaultdict(list)
-    for b, v in zip(blocks, value, strict=True):
-        by_path[b.path].append((v, len(b.text()), b.linked))
-    text_paths = {path for path, found in by_path.items() if sum(k for _, _, k in found) * 2 <= sum(n for _, n, _ in found)}
-    keeps = {path for path in text_paths if np.mean([v for v, _, _ in by_path[path]]) >= threshold}
-    chosen = [b.path in keeps for b in blocks]
-    kept = [b for b, c, r in zip(blocks, chosen, _belongs(blocks, chosen), strict=True) if c or (r and b.path in text_paths)]
-    return "\n".join(b.text() for b in (kept or blocks))
+    for b, v in zip(found, value, strict=True):
+        by_path[b.element.path].append(v)
+    content = {path for path, of in by_path.items() if sum(of) / len(of) > threshold}
+    chosen = [b.element.path in content for b in found]
+    top = weight.max()
+    kept = []
+    for b, c, belongs in zip(found, chosen, _belongs(found, chosen), strict=True):
+        if c or (belongs and b.element.weight > HALF_TOLD * top and (b.element.article or sum(n[3] for n in b.nodes) * 2 <= sum(n[1] + n[3] for n in b.nodes))):
+            kept.append(b.text())
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, key: str = "page_id", page: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
@@ -293,5 +387,3 @@ def extract(pages: DataFrame, key: str = "page_id", page: str = "html", keep: tu
 
 def op1_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-
-

@@ -1,9 +1,13 @@
 """Plain restatements of what the operators return, one document after the other."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
+
+from barloom.llm import html_extract
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 
@@ -98,3 +102,143 @@ def without_boilerplate(docs, min_sites=10):
                 kept.append(line)
         out[d] = (None if text is None else "\n".join(kept), gone)
     return out
+
+
+class _Tree(HTMLParser):
+    """Text nodes of a page, each with its whole list of open elements (number, tag, weight)."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.texts, self.n, self.block = [], [], 0, 0
+
+    def _end_block(self):
+        self.block += 1
+
+    def handle_starttag(self, tag, attrs):
+        h = html_extract
+        if tag in h.BLOCK:
+            self._end_block()
+            while self.open and self.open[-1][1] not in h.BLOCK:
+                self.open.pop()
+            own, until = h.CLOSES.get(tag, h.CLOSES["p"])
+            while True:
+                hit = None
+                for i in range(len(self.open) - 1, -1, -1):
+                    if self.open[i][1] in until or (own == ("p",) and self.open[i][1] in h.BLOCK and self.open[i][1] != "p"):
+                        break
+                    if self.open[i][1] in own:
+                        hit = i
+                        if own == ("p",):
+                            break
+                if hit is None:
+                    break
+                del self.open[hit:]
+            while self.open and self.open[-1][1] not in h.BLOCK:
+                self.open.pop()
+        if tag == "br":
+            self.handle_data(" ")
+        if tag in h.VOID:
+            return
+        self.n += 1
+        named = {k: v or "" for k, v in attrs}
+        weight = 1.0
+        if tag not in h.NEVER:
+            weight = 0.005 if tag == "form" else 1.0
+            for token in " ".join(named.get(k, "") for k in ("class", "id", "role")).split():
+                parts = [x.lower() for x in re.findall("[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+", token)]
+                good = [x for x in parts if x in h.TELLING]
+                rest = [x for x in parts if x not in h.TELLING and x not in h.NEUTRAL]
+                if good:
+                    weight = min(weight, 0.5 if len(rest) > len(good) else 0.02 if rest else 0.005)
+        inside = any(t in ("article", "main") for _, t, _, _ in self.open)
+        apart = tag in h.APART or (tag == "header" and not inside) or "hidden" in named
+        self.open.append((self.n, tag, weight, apart))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if tag in html_extract.BLOCK:
+            self._end_block()
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][1] == tag:
+                del self.open[i:]
+                return
+            if tag not in html_extract.BLOCK and self.open[i][1] in html_extract.BLOCK:
+                return
+
+    def handle_data(self, data):
+        if not any(apart for *_, apart in self.open):
+            self.texts.append((self.block, tuple(self.open), data))
+
+
+def main_text(page):
+    """The definition of html_extract.main_text(), with every sum taken anew for every block."""
+    tree = _Tree()
+    tree.feed(page)
+    tree.close()
+    groups = defaultdict(list)
+    for block, chain, data in tree.texts:
+        if block in groups or data.strip():
+            groups[block].append((chain, data))
+    found = []  # chain of the block's element, its text, its nodes
+    for parts in groups.values():
+        chain = parts[0][0]
+        while chain and chain[-1][1] not in html_extract.BLOCK:
+            chain = chain[:-1]
+        nodes = [(c, len(d.strip()), len(re.findall(r"[.,;:!?…·。，、；：！？¿¡]", d)), any(t == "a" for _, t, _, _ in c)) for c, d in parts if d.strip()]
+        found.append((chain, re.sub(r"\s+", " ", "".join(d for _, d in parts)).strip(), nodes))
+    if not found:
+        return ""
+
+    def path(chain):
+        return tuple((t, w) for _, t, w, _ in chain)
+
+    every = [n for _, _, nodes in found for n in nodes]
+    texts, marks = [], []
+    for chain, *_ in every:
+        same = [n for n in every if path(n[0]) == path(chain)]
+        own = [0 if n[3] else n[1] for n in same]
+        mean = sum(own) / len(own)
+        texts.append(mean * (1 + math.sqrt(sum((x - mean) ** 2 for x in own) / len(own)) / (1 + mean)))
+        marks.append((1 + sum(0 if n[3] else n[2] for n in same)) / len(own))
+
+    def smooth(v, i):
+        weights = [math.exp(-k * k / 2) for k in range(-2, 3)]
+        return sum(w * v[min(max(i + k, 0), len(v) - 1)] for w, k in zip(weights, range(-2, 3), strict=True)) / sum(weights)
+
+    fused = [smooth(texts, i) * smooth(marks, i) for i in range(len(every))]
+    values, sizes, at = [], [], 0
+    for chain, _, nodes in found:
+        n = sum(x[1] for x in nodes)
+        value = sum(fused[at + k] * x[1] for k, x in enumerate(nodes)) / n
+        at += len(nodes)
+        alike = [x for c, _, more in found if path(c) == path(chain) for x in more]
+        share = sum(x[1] for x in alike if x[3]) / sum(x[1] for x in alike)
+        weight = math.prod(w for _, _, w, _ in chain)
+        values.append(value * (0 if share > 0.5 else 1 - share) * weight * (4 if any(t in ("article", "main") for _, t, _, _ in chain) else 1))
+        sizes.append(n * weight)
+    threshold = 0.1 * sum(v * s for v, s in zip(values, sizes, strict=True)) / sum(sizes)
+    chosen = []
+    for chain, *_ in found:
+        same = [v for (c, *_), v in zip(found, values, strict=True) if path(c) == path(chain)]
+        chosen.append(sum(same) / len(same) > threshold)
+    blocks = [[0, *(n for n, t, _, _ in chain if t in html_extract.BLOCK)] for chain, *_ in found]
+    tags = [["", *(t for _, t, _, _ in chain if t in html_extract.BLOCK)] for chain, *_ in found]
+    spans = defaultdict(list)
+    for i, c in enumerate(chosen):
+        for number in blocks[i][-2:] if c else ():
+            spans[number].append(i)
+    top = max(math.prod(w for _, _, w, _ in chain) for chain, *_ in found)
+    out = []
+    for i, (chain, text, nodes) in enumerate(found):
+        belongs = any(s[0] < i < s[-1] for s in spans.values())
+        for number, tag in zip(blocks[i][::-1], tags[i][::-1], strict=True):
+            belongs = belongs or number in spans
+            if tag not in html_extract.STRUCTURE:
+                break
+        linked = sum(x[1] for x in nodes if x[3]) * 2 > sum(x[1] for x in nodes)
+        article = any(t in ("article", "main") for _, t, _, _ in chain)
+        if chosen[i] or (belongs and math.prod(w for _, _, w, _ in chain) > 0.02 * top and (article or not linked)):
+            out.append(text)
+    return "\n".join(out)

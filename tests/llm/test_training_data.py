@@ -2,7 +2,10 @@
 texts, ties, repeated rows, no rows, and columns of other names that operators use inside."""
 
 import hashlib
+import html
 import math
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -82,10 +85,55 @@ def test_extraction_keeps_rows(spark):
 
 def test_path_scores_prefer_prose():
     page = "<body>" + "<div class=x><span><a href=#>link</a></span></div>" * 5 + "<div class=y>" + "<p>Some prose, with marks; more of it, and more.</p>" * 4 + "</div></body>"
-    blocks = html_extract.nodes(page)
+    blocks = html_extract.blocks(page)
     score = html_extract.scores(blocks)
-    prose = np.array([b.path.endswith("p") for b in blocks])
-    assert score[prose].min() > score[~prose][:3].max()
+    prose = np.array([b.element.tag == "p" for b in blocks])
+    assert score[prose].min() > score[~prose].max()
+
+
+def article_of(page):
+    """What the sample pages' articles say, by their own plain form."""
+    parts = re.split("</?(?:p|h1)>", re.search("<article>(.*?)</article>", page, re.S)[1])
+    texts = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", " ", re.sub("</?b>", "", x)))).strip() for x in parts]
+    return "\n".join(x for x in texts if x)
+
+
+def test_sample_pages_are_reduced_to_their_article(spark, monkeypatch):
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r.page_id: r.text for r in html_extract.op1_tag_path_text(spark, SF).collect()}
+    assert got == {k: article_of(p) for k, p in pages.items()} == {k: brute.main_text(p) for k, p in pages.items()}
+    monkeypatch.setattr(html_extract, "scores", lambda found: np.zeros(len(found)))
+    assert {html_extract.main_text(p) for p in pages.values()} == {""}
+
+
+PROSE = "".join(f"<p>Paragraph {i} of the article, with commas, stops; and <b>more</b> of them, so that it <a href=x>counts</a> as prose.</p>" for i in range(6))
+ODD_PAGES = [
+    "", "bare text", "<p>a<p>b", "<ul><li>one<li>two, more<ul><li>inner</ul><li>three</ul>", f"<div class=menu><a href=x>Home</a> <a href=y>News</a></div><div class=post>{PROSE}</div><div class=foot>me</div>",
+    f"<article>{PROSE}<div class='story-search-rescue'><p>Rescued, they said, at last; it was late.</p></div><p id='banner-of-heaven'>A banner, of heaven, it was.</p><ul><li><a href=a>Ref one</a></li></ul></article>",
+    f"<body><div class='layout has-sidebar'><div>{PROSE}<table><tr><td>1<td>2<tr><td>3</table></div><div class=sidebar><p>Side, note.</p></div></div><form>Name, please <input></form></body>",
+    f"<main>{PROSE}</main><div id=comments>{'<article><p>A comment, and a long one: on, and on.</p></article>' * 30}</div>", f"<h1>Title here</h1><div><div>{PROSE}</div><p>Short</p></div><ul>{'<li><a href=x>elsewhere</a></li>' * 9}</ul>",
+    "<dl><dt>a<dd>b, b<dt>c<dd>d</dl>text, after<b>bold<p>more <i>it", "<p>x &amp; y &eacute;&#8217; &nbsp; z<br>w</p><!-- no, no --><p hidden>gone</p><script>var a='<p>';</script>",
+]
+
+
+@pytest.mark.parametrize("page", ODD_PAGES)
+def test_pages_match_the_restated_definition(page):
+    assert html_extract.main_text(page) == brute.main_text(page)
+
+
+def test_what_the_article_holds_stays():
+    got = html_extract.main_text(ODD_PAGES[5])
+    assert "Rescued" in got and "heaven" in got and "Ref one" in got and html_extract.main_text('<p title="x>Hello world.</p>') == "Hello world."
+    assert html_extract.main_text('<p title="a > b">Hello, <a title=\'"\' href="?x=1>2">you</a>.</p>') == "Hello, you."
+    assert html_extract.main_text("<nav><a href=x>Menu</a></nav><div><a href=y>Only</a> <a href=z>links</a></div>") == ""
+
+
+@pytest.mark.parametrize("page", ["<a " * 20000, "<div>" * 20000 + "<p>deep, yes.</p>", "<div>t" * 20000, '<a x="' * 20000, "<ul><li>x" * 20000, "<" * 60000, "<!--" * 20000, "<script>" * 20000, "<p><b>" * 20000])
+def test_hostile_markup_takes_linear_time(page):
+    html_extract.main_text(page[:1000])
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 5
 
 
 def test_scores_decide_beside_a_marked_article():
