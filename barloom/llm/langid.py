@@ -7,7 +7,7 @@ suffix down: a host draws on its registered domain, that on its suffix, that on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.deploy import ship
+from barloom.llm import html_extract
 from barloom.llm.common import broadcast_below, reject_clash, stored, text_batches, text_key, text_or_empty
 
 BUCKETS = 1 << 16
@@ -27,6 +28,9 @@ _BLOCK = 1 << 20
 #: How far, in nats a trigram, a text may lie below the mean of the languages' own texts. Those vary by a few
 #: tenths, and other prose of the same language lies one or two lower; random letters lie five or more lower.
 FLOOR = 3.0
+#: A text's own mean is off by the spread of single trigrams over the root of their number; so many times that is
+#: allowed for.
+ERRORS = 3.0
 #: Fixed value: languages that a country's suffix speaks for.
 SUFFIX_LANGUAGES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
 
@@ -47,38 +51,66 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """languages, and a row of log probabilities of each trigram bucket for each. floor: the mean log
-    probability of a trigram, under the likeliest language, below which a text is in none of them."""
+    """languages, and a row of log probabilities of each trigram bucket for each; mean and spread: of a trigram's
+    log probability in the texts that it was fitted on, under their own language."""
 
     languages: tuple[str, ...]
     logp: np.ndarray
-    floor: float
+    mean: float
+    spread: float
 
+    def floor(self, n: Column) -> Column:
+        """The mean log probability below which a text of n trigrams is in none of the languages."""
+        return F.lit(self.mean - FLOOR) - F.lit(ERRORS * self.spread) / F.sqrt(n)
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = FIT_ROWS, smoothing: float = 0.5) -> Model:
+
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = FIT_ROWS, smoothing: float = 0.5, read: Callable[[DataFrame], DataFrame] | None = None) -> Model:
     """Fits on at most `rows` rows of each label, those whose text hashes lowest; a bounded sample, as the
-    counts of some hundred texts change little with more. Rows without text or label are left out."""
+    counts of some hundred texts change little with more. read: makes the sample's texts of what stands in its
+    column `text`. Rows without text or label are left out."""
+    ship(labelled.sparkSession)
     chosen = reject_clash(labelled, text, label).where(F.col(text).isNotNull() & F.col(label).isNotNull())
     ids = chosen.select(F.col(label).alias("label"), F.xxhash64(F.lit(5), F.col(text)).alias("h")).distinct()
-    # The lowest of each of many parts of a label first, so that no task sorts a label whole.
+    # The lowest of each of many parts of a label first, so that no task sorts a label whole: the second window
+    # has _PARTS times `rows` rows of a label at most.
     parted = Window.partitionBy("label", F.pmod("h", F.lit(_PARTS))).orderBy("h")
     lowest = ids.withColumn("r", F.row_number().over(parted)).where(F.col("r") <= rows)
     first = lowest.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("r") <= rows).select("label", "h")
     sample = chosen.select(F.col(label).alias("label"), F.xxhash64(F.lit(5), F.col(text)).alias("h"), F.col(text).alias("text")).join(broadcast_below(stored(first, "sample"), 100_000), ["label", "h"])
-    texts = sample.dropDuplicates(["label", "h"]).select("label", "text").toPandas()
-    languages = tuple(sorted(texts["label"].unique()))
-    counts = np.full((max(1, len(languages)), BUCKETS), smoothing)
-    held = [[] for _ in languages]
-    for label_, body in zip(texts["label"], texts["text"], strict=True):
-        k, own = languages.index(label_), np.zeros(BUCKETS)
-        for x in trigrams(body):
-            own += np.bincount(x, minlength=BUCKETS)
-        counts[k] += own
-        at = np.flatnonzero(own)
-        held[k].append((at, own[at]))
-    logp = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-    means = [float(logp[k][at] @ n / n.sum()) for k, own in enumerate(held) for at, n in own if n.sum() >= 30]
-    return Model(languages, logp, float(np.mean(means)) - FLOOR if means else -np.inf)
+    sample = sample.dropDuplicates(["label", "h"])
+    counted = _counts(read(sample) if read else sample)
+    own = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows a label at most
+    languages = tuple(sorted(own["label"].unique()))
+    counts = np.zeros((max(1, len(languages)), BUCKETS))
+    counts[own["label"].map({x: k for k, x in enumerate(languages)}).to_numpy(int), own["bucket"].to_numpy(int)] = own["n"].to_numpy(float)
+    smoothed = counts + smoothing
+    logp = np.log(smoothed / smoothed.sum(axis=1, keepdims=True)).astype(np.float32)
+    total = counts.sum()
+    if not total:
+        return Model(languages, logp, -np.inf, 0.0)
+    mean = float((counts * logp).sum() / total)
+    return Model(languages, logp, mean, float(np.sqrt(max(0.0, (counts * logp.astype(float) ** 2).sum() / total - mean * mean))))
+
+
+def _counts(sample: DataFrame) -> DataFrame:
+    """label, bucket, n: a row for each trigram bucket of each batch's texts of a label."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for label, texts in batch.groupby("label")["text"]:
+                n = np.zeros(BUCKETS, np.int64)
+                for body in texts:
+                    for x in trigrams(body or ""):
+                        n += np.bincount(x, minlength=BUCKETS)
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"label": label, "bucket": at, "n": n[at]})
+
+    return sample.select("label", "text").mapInPandas(rows, "label string, bucket int, n long")
+
+
+def language_tag(declared: Column) -> Column:
+    """The language of a tag such as de-AT, lower-cased; empty if it is none."""
+    return F.lower(F.regexp_extract(F.coalesce(declared.cast("string"), F.lit("")), r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
 
 
 def host_of(url: Column) -> Column:
@@ -108,14 +140,16 @@ def _argmax(values: Column, languages: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position(values, F.array_max(values)).cast("int"))
 
 
-def _log_priors(scored: DataFrame, languages: tuple[str, ...], strength: float) -> DataFrame:
-    """host, log_prior for each language. Counts come from the whole table; each level's distribution is its
-    own counts plus `strength` draws from the level above."""
-    sure = scored.where(F.col("n_grams") >= 30).withColumn("text_lang", _argmax(F.col("ll"), languages))
-    counts = sure.groupBy("host").agg(*[F.count_if(F.col("text_lang") == x).alias(f"n{k}") for k, x in enumerate(languages)])
+def _log_priors(scored: DataFrame, languages: tuple[str, ...], strength: float, temper: float) -> DataFrame:
+    """host, log_prior for each language. Counts come from the whole table, each text with letters counting one,
+    divided among the languages as its likelihoods are, in millionths, so that sums don't depend on their order.
+    Each level's distribution is its own counts plus `strength` draws from the level above."""
+    likely = scored.where(F.col("n_grams") > 0).select("host", F.transform("ll", lambda x: F.exp(x * temper)).alias("p"))
+    likely = likely.withColumn("whole", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
+    counts = likely.groupBy("host").agg(*[(F.sum(F.round(F.col("p")[k] / F.col("whole") * 1e6).cast("long")) / 1e6).alias(f"n{k}") for k in range(len(languages))])
     labels = F.split("host", r"\.")
     levelled = stored(
-        scored.select("host").distinct().join(counts.withColumnRenamed("host", "host2"), F.col("host").eqNullSafe(F.col("host2")), "left").select("host", *[F.coalesce(f"n{k}", F.lit(0)).alias(f"n{k}") for k in range(len(languages))])
+        scored.select("host").distinct().join(counts.withColumnRenamed("host", "host2"), F.col("host").eqNullSafe(F.col("host2")), "left").select("host", *[F.coalesce(f"n{k}", F.lit(0.0)).alias(f"n{k}") for k in range(len(languages))])
         .withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(2)), F.least(F.size(labels), F.lit(2))), ".")),
         "host-counts",
     )
@@ -123,7 +157,7 @@ def _log_priors(scored: DataFrame, languages: tuple[str, ...], strength: float)
     whole = [(x or 0) + 1.0 for x in total]
     whole = [x / sum(whole) for x in whole]
 
-    n = sum((F.col(f"n{k}") for k in range(len(languages))), F.lit(0))
+    n = sum((F.col(f"n{k}") for k in range(len(languages))), F.lit(0.0))
     suffixes = levelled.groupBy("suffix").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(languages))])
     suffixes = suffixes.select("suffix", *[((F.col(f"n{k}") + strength * whole[k]) / (n + strength)).alias(f"s{k}") for k in range(len(languages))])
     domains = levelled.groupBy("domain", "suffix").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(languages))]).join(suffixes, "suffix", "left")
@@ -133,14 +167,14 @@ def _log_priors(scored: DataFrame, languages: tuple[str, ...], strength: float)
 
 
 def identify(
-    rows: DataFrame, model: Model, key: str, text: str | None, declared: Column | None = None, host: Column | None = None, temper: float = 0.1, most: float = 400.0,
+    rows: DataFrame, model: Model, key: str, text: str | None, declared: Column | None = None, host: Column | None = None, temper: float = 0.1,
     trust_declared: float = 0.9, trust_suffix: float = 0.8, strength: float = 10.0, accept: float = 0.6,
 ) -> DataFrame:
     """One row per row of rows: key, h (tells apart rows that repeat a key with another text), language (null
     if there is no evidence of any), posterior, text_language, declared, host, accepted.
 
-    Accepted are rows whose text has letters, whose trigrams are as likely as texts of some language, and
-    whose posterior is `accept` or more. A null text is an empty one and is not accepted; a null or unknown
+    Accepted are rows whose text has letters, whose trigrams are as likely as texts of some language (the fewer
+    they are, the wider the margin, by one rule for all lengths), and whose posterior is `accept` or more. A null text is an empty one and is not accepted; a null or unknown
     declaration, suffix or host adds no evidence. A model of no language accepts nothing. Repeated rows have a row each, an empty table gives an
     empty one, and no other column of rows is read."""
     ship(rows.sparkSession)
@@ -150,9 +184,9 @@ def identify(
         nothing = {c: F.lit(None).cast(t) for c, t in (("language", "string"), ("posterior", "double"), ("text_language", "string"), ("declared", "string"), ("host", "string"))}
         return rows.select(F.col(key).cast("long").alias(key), text_key(text).alias("h"), *[x.alias(c) for c, x in nothing.items()], F.lit(False).alias("accepted"))
     plain = rows.select(F.col(key).cast("long").alias("id"), text_key(text).alias("h"), (declared if declared is not None else F.lit(None)).cast("string").alias("declared"), (host if host is not None else F.lit(None)).cast("string").alias("host"), text_or_empty(F.col(text)).alias("text"))
-    plain = plain.withColumn("declared", F.lower(F.regexp_extract(F.coalesce("declared", F.lit("")), r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1)))
+    plain = plain.withColumn("declared", language_tag(F.col("declared")))
     scored = stored(_evidence(plain, model), "language-evidence")
-    priors = _log_priors(scored, languages, strength).withColumnRenamed("host", "host2")
+    priors = _log_priors(scored, languages, strength, temper).withColumnRenamed("host", "host2")
     met = scored.join(broadcast_below(stored(priors, "host-priors"), 100_000), F.col("host").eqNullSafe(F.col("host2")), "left")
     spoken = F.element_at(F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGES.items() for x in pair]), F.element_at(F.split(F.coalesce("host", F.lit("")), r"\."), -1))
 
@@ -162,31 +196,50 @@ def identify(
         return F.when(what.isin(*languages), F.log(F.when(what == language, trust).otherwise(other))).otherwise(0.0)
 
     def fused(k: int, x: str) -> Column:
-        by_text = F.greatest(F.col("ll")[k] * temper, F.lit(-most))
-        return by_text + told(F.col("declared"), x, trust_declared) + told(F.coalesce(spoken, F.lit("")), x, trust_suffix) + F.col("log_prior")[k]
+        return F.col("ll")[k] * temper + told(F.col("declared"), x, trust_declared) + told(F.coalesce(spoken, F.lit("")), x, trust_suffix) + F.col("log_prior")[k]
 
     logs = F.array(*[fused(k, x) for k, x in enumerate(languages)])
     out = met.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     out = out.withColumn("posterior", 1 / F.aggregate(F.transform("logs", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda a, v: a + v))
     evident = (F.col("n_grams") > 0) | F.col("declared").isin(*languages) | F.col("host").isNotNull()
-    ok = (F.col("n_grams") > 0) & (F.col("mean_ll") >= F.when(F.col("n_grams") >= 30, model.floor).otherwise(F.lit(float("-inf")))) & (F.col("posterior") >= accept)
+    ok = (F.col("n_grams") > 0) & (F.col("mean_ll") >= model.floor(F.col("n_grams"))) & (F.col("posterior") >= accept)
     return out.select(
         F.col("id").alias(key), "h", F.when(evident, _argmax(F.col("logs"), languages)).alias("language"), F.round("posterior", 6).alias("posterior"),
         F.when(F.col("n_grams") > 0, _argmax(F.col("ll"), languages)).alias("text_language"), F.nullif(F.col("declared"), F.lit("")).alias("declared"), "host", ok.alias("accepted"),
     )
 
 
+def page_declares(page: Column) -> Column:
+    """The language that a page's markup declares, empty if none."""
+    return language_tag(F.regexp_extract(F.coalesce(page, F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z_-]+)", 1))
+
+
+def page_rows(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """key, text (the main text), declared (by the markup of the whole page, a tag), host of each page. A page that
+    is null has an empty text and declares nothing; a null address has no host."""
+    declared = page_declares(F.col(page))
+    named = reject_clash(pages, key, url, page).select(F.col(key), F.col(page), declared.alias("declared"), host_of(F.col(url)).alias("host"))
+    return html_extract.extract(named, key, page, ("declared", "host")).drop("n_chars")
+
+
+def fit_on_pages(pages: DataFrame, page: str = "html") -> Model:
+    """Fits on the main texts of a bounded sample of pages by what their markup declares."""
+    declared = page_declares(F.col(page))
+    labelled = reject_clash(pages, page).select(F.col(page).alias("text"), F.nullif(declared, F.lit("")).alias("label"))
+    return fit(labelled, "text", "label", read=lambda sample: html_extract.extract(sample, "h", "text", ("label",)))
+
+
 def op7_evidence_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of all documents, with their declared one and their source as host."""
+    """The language of all documents, with their declared one and their source as host. The model is fitted on
+    pages, so that what documents declare is evidence of its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return identify(docs, fit(docs), "doc_id", "text", F.col("lang"), F.col("source")).drop("h")
+    model = fit_on_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return identify(docs, model, "doc_id", "text", F.col("lang"), F.col("source")).drop("h")
 
 
 def op7_pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of all pages: their text without markup, what the markup declares, host and suffix."""
+    """The language of all pages by their main text, what the markup declares, host and suffix. The model is fitted
+    on documents, so that what pages declare is evidence of its own."""
     model = fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    bare = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&#?\w+;", " ")
-    declared = F.regexp_extract(F.col("html"), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
-    rows = pages.select("page_id", bare.alias("text"), declared.alias("declared"), host_of(F.col("url")).alias("host"))
+    rows = page_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return identify(rows, model, "page_id", "text", F.col("declared"), F.col("host")).drop("h")

@@ -446,6 +446,81 @@ def test_evidence_beyond_the_text(spark, docs, odd, none):
     assert not langid.identify(junk, model, "k", "text").first().accepted
 
 
+def restated(rows, model, temper=0.1, trust_declared=0.9, trust_suffix=0.8, strength=10.0):
+    """rows: (text, declared, host). Language and posterior of each, from the definition."""
+    names, likely = model.languages, []
+    for text, _, host in rows:
+        data = " " + " ".join(re.findall(r"[a-z\x80-\xff]+", (text or "").encode().decode("latin-1").translate({c: c + 32 for c in range(65, 91)}))) + " "
+        grams = [data[i : i + 3] for i in range(len(data) - 2)] if len(data) > 2 else []
+        buckets = [((ord(g[0]) << 16 | ord(g[1]) << 8 | ord(g[2])) * 2654435761 % 2**32) >> 16 for g in grams]
+        ll = [sum(float(model.logp[k][b]) for b in buckets) for k in range(len(names))]
+        likely.append((len(grams), [x - max(ll) for x in ll]))
+    counts = defaultdict(lambda: [0.0] * len(names))
+    for (_, _, host), (n, ll) in zip(rows, likely, strict=True):
+        weights = [math.exp(temper * x) for x in ll]
+        for k, w in enumerate(weights if n else ()):
+            counts[host][k] += round(w / sum(weights) * 1e6) / 1e6
+    whole = [1 + sum(c[k] for c in counts.values()) for k in range(len(names))]
+    prior = [x / sum(whole) for x in whole]
+
+    def drawn(own, above):
+        return [(x + strength * a) / (sum(own) + strength) for x, a in zip(own, above, strict=True)]
+
+    def of(test):
+        return [sum(c[k] for h, c in counts.items() if h and test(h)) for k in range(len(names))]
+
+    out = []
+    for (_, declared, host), (_, ll) in zip(rows, likely, strict=True):
+        p = prior
+        if host:
+            p = drawn(of(lambda h: h.split(".")[-1] == host.split(".")[-1]), p)
+            p = drawn(of(lambda h: h.split(".")[-2:] == host.split(".")[-2:]), p)
+        p = drawn(counts[host], p)
+        logs = [temper * x + math.log(q) for x, q in zip(ll, p, strict=True)]
+        for said, trust in ((declared, trust_declared), (langid.SUFFIX_LANGUAGES.get((host or "").split(".")[-1]), trust_suffix)):
+            if said in names:
+                logs = [x + math.log(trust if name == said else (1 - trust) / (len(names) - 1)) for x, name in zip(logs, names, strict=True)]
+        shares = [math.exp(x - max(logs)) for x in logs]
+        out.append((names[shares.index(max(shares))], 1 / sum(shares)))
+    return out
+
+
+def test_posteriors_are_as_restated(spark, docs):
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(40).collect()]
+    hosts = ["a.example.de", "b.example.de", "c.other.de", "d.site.fr", "x.org", None]
+    rows = [((t or "")[: 15 + i * 7], ["de", "xx", None, "fr"][i % 4], hosts[i % 6]) for i, t in enumerate(texts)] + [("", "es", None), (None, None, "a.example.de")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k long, text string, l string, host string")
+    got = {r.k: (r.language, r.posterior) for r in langid.identify(frame, model, "k", "text", F.col("l"), F.col("host")).collect()}
+    for i, (name, p) in enumerate(restated(rows, model)):
+        assert got[i][0] == name and abs(got[i][1] - p) < 1e-4
+
+
+def test_short_texts_are_judged_by_the_same_rule(spark, docs):
+    model = langid.fit(docs)
+    prose = " ".join(docs.where("lang = 'en' AND n_chars > 300").first().text.split()[:6])
+    rows = spark.createDataFrame([(1, "xqzv wkjh qpzx vvkq"), (2, "xqzv wkjh qpzx vvkq " * 4), (3, prose)], "k long, text string")
+    assert {r.k: r.accepted for r in langid.identify(rows, model, "k", "text").collect()} == {1: False, 2: False, 3: True}
+
+
+def test_languages_of_pages(spark, docs):
+    model = langid.fit(docs)
+    body = docs.where("lang = 'de' AND n_chars > 600").first().text
+    page = f"<html LANG='de-AT'><body><nav>the menu of the page and the other</nav><article><p>{body}</p></article></body>"
+    rows = [(1, "http://a.example.at/x", page), (2, None, None), (None, "http://b.example.org", "<p>Gr&ouml;&szlig;e f&uuml;r &auml;"), (3, "nonsense", ""), (1, "http://a.example.at/x", page)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"declared": F.lit("x"), "text": F.lit("y"), "host": F.lit("z")})
+    read = langid.page_rows(pages)
+    assert {(r.page_id, r.declared, r.host, r.text if r.page_id != 1 else None) for r in read.collect()} == {(1, "de", "a.example.at", None), (2, "", None, ""), (None, "", "b.example.org", "Größe für ä"), (3, "", None, "")}
+    got = [(r.page_id, r.language, r.accepted) for r in langid.identify(read, model, "page_id", "text", F.col("declared"), F.col("host")).collect()]
+    assert got.count((1, "de", True)) == 2 and {x[0] for x in got} == {1, 2, 3, None} and (2, None, False) in got
+    assert langid.identify(langid.page_rows(pages.limit(0)), model, "page_id", "text").count() == 0
+    found = langid.op7_pages_language(spark, SF).collect()
+    assert sum(r.language == r.declared for r in found) >= 0.95 * len(found) and all(r.declared for r in found)
+    held = langid.identify(docs.where("n_chars >= 200"), langid.fit_on_pages(spark.read.parquet(f"{SF}/pages.parquet")), "doc_id", "text").join(docs, "doc_id").collect()
+    assert sum(r.language == r.lang for r in held) >= 0.98 * len(held)
+    assert langid.fit(docs.limit(0)).languages == () and langid.fit_on_pages(pages.where("page_id = 2")).languages == ()
+
+
 def test_hosts_of_addresses(spark):
     urls = [("https://u@Blog.Example.de:80/a?b",), ("http://x.org",), ("nonsense",), (None,)]
     got = [r.h for r in spark.createDataFrame(urls, "u string").select(langid.host_of(F.col("u")).alias("h")).collect()]
