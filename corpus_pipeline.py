@@ -21,8 +21,9 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language of the corpus."""
-    found = langid.identify(docs, langid.fit(docs), "doc_id", "text", F.col("lang"), F.col("source"))
+    """Keeps documents in a language of the corpus, by a model of the pages' texts."""
+    model = langid.fit_on_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = langid.identify(docs, model, "doc_id", "text", F.col("lang"), F.col("source"))
     return _without(docs, found.where(~F.col("accepted")))
 
 
