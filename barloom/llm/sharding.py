@@ -1,19 +1,20 @@
 """Sharding by fixed virtual slots.
 
-A record's key hashes to one of a few thousand slots; a versioned map says which shard owns each slot.
-Rebalancing edits the map, never the hash, so a new shard takes rows from the others and no row moves
-between old shards."""
+A record's key hashes to one of a few thousand slots; a stored, versioned map says which shard owns each slot.
+The bytes of each slot are summed over all records, and rebalancing edits the map by them, never the hash: only
+slots that the edit names move, and every version stays readable."""
 
 from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import reject_clash, text_or_empty
+from barloom.llm.common import reject_clash, shared_folder, text_or_empty
 
 SLOTS = 4096
 
@@ -50,7 +51,7 @@ class SlotMap:
             owners[owned[fullest].pop()] = new
         return SlotMap(self.version + 1, new + 1, tuple(owners))
 
-    def rebalanced(self, slot_bytes: dict[int, int], tolerance: float = 0.02) -> SlotMap:
+    def rebalanced(self, slot_bytes: dict[int, int], tolerance: float = 0.0) -> SlotMap:
         """The next version after moving single slots from the largest to the smallest shard, as long as
         that brings the two nearer to each other and the largest is off its even part by tolerance.
         slot_bytes: what sizes() gives, collected; it has a row per slot at most."""
@@ -59,7 +60,7 @@ class SlotMap:
             load[shard] += slot_bytes.get(v, 0)
             owned[shard].append(v)
         owners, even = list(self.owners), sum(load) / self.shards
-        for _ in range(len(owners)):
+        for _ in range(4 * len(owners)):
             high, low = max(range(self.shards), key=load.__getitem__), min(range(self.shards), key=load.__getitem__)
             gap = load[high] - load[low]
             movable = [v for v in owned[high] if 0 < slot_bytes.get(v, 0) < gap]
@@ -82,9 +83,14 @@ def save_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
     slot_map.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-    """A version of the stored map, the latest one unless named."""
-    table = spark.read.parquet(path)
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+    """A version of the stored map, the latest one unless named; None where none is stored."""
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
     version = table.agg(F.max("version")).first()[0] if version is None else version
     owners = [r.shard for r in table.where(F.col("version") == version).orderBy("vslot").collect()]
     return SlotMap(version, max(owners) + 1, tuple(owners))
@@ -96,8 +102,28 @@ def sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vslot").agg(F.sum("size").alias("slot_bytes"), F.count(F.lit(1)).alias("slot_rows"))
 
 
-def shard(docs: DataFrame, slot_map: SlotMap, grown: SlotMap | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each record's shard, and its place there: `slot` counts every shard's rows from 0 without a gap.
+def _rows(docs: DataFrame, key: str, text: str, slots: int) -> DataFrame:
+    body = F.encode(text_or_empty(F.col(text)), "UTF-8")
+    return reject_clash(docs, key, text).select(F.col(key), (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), slot_of(F.col(key), slots).alias("vslot"))
+
+
+def balance(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", shards: int = 16, slots: int = SLOTS) -> SlotMap:
+    """Edits the map stored at path by the bytes that docs have in each slot, stores the edited version beside the
+    earlier ones and returns it. Where none is stored yet, the first version deals the slots out in turn."""
+    spark = docs.sparkSession
+    current = load_map(spark, path)
+    if current is None:
+        current = SlotMap.first(shards, slots)
+        save_map(spark, current, path)
+    # A row per virtual slot at most.
+    of = {r.vslot: r.slot_bytes for r in sizes(_rows(docs, key, text, len(current.owners))).collect()}
+    save_map(spark, current.rebalanced(of), path)
+    return load_map(spark, path)
+
+
+def shard(docs: DataFrame, slot_map: SlotMap, law: str, grown: SlotMap | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each record's shard, and its place there: `slot` counts every shard's rows from 0 without a gap. law: what
+    the map keeps, `key` or `bytes`; it is only told on.
 
     One row per row of docs; a null key is a key like any other, a null text has size 1, and an empty
     table gives an empty one. Rows that repeat a key share its shard and get places of their own. Other
@@ -105,10 +131,7 @@ def shard(docs: DataFrame, slot_map: SlotMap, grown: SlotMap | None = None, key:
     if grown and len(grown.owners) != len(slot_map.owners):
         raise ValueError("both versions must have the same slots")
     spark = docs.sparkSession
-    body = F.encode(text_or_empty(F.col(text)), "UTF-8")
-    rows = reject_clash(docs, key, text).select(
-        F.col(key), (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), slot_of(F.col(key), len(slot_map.owners)).alias("vslot")
-    )
+    rows = _rows(docs, key, text, len(slot_map.owners))
     owners = slot_map.frame(spark).select("vslot", "shard")
     if grown:
         owners = owners.join(grown.frame(spark).select("vslot", F.col("shard").alias("grown_shard")), "vslot")
@@ -120,13 +143,13 @@ def shard(docs: DataFrame, slot_map: SlotMap, grown: SlotMap | None = None, key:
         rows.withColumn("nth", F.row_number().over(within))
         .join(F.broadcast(starts), "vslot")
         .select(
-            key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("nth") - 1).alias("slot"),
-            (F.col("grown_shard") if grown else F.lit(None).cast("int")).alias("grown_shard"), "vslot", "slot_bytes",
+            key, "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("start") + F.col("nth") - 1).alias("slot"),
+            (F.col("grown_shard") if grown else F.lit(None).cast("int")).alias("grown_shard"), "vslot", "slot_bytes", F.lit(slot_map.version).alias("map_version"),
         )
     )
 
 
 def op4_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards, and where each would be with 17."""
-    first = SlotMap.first(16)
-    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), first, first.grown())
+    """All documents in 16 shards of near equal bytes, by a stored map that their slots' bytes have edited."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return shard(docs, balance(docs, shared_folder(spark, "slot-map")), "bytes")

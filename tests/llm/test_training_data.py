@@ -286,14 +286,39 @@ def test_shards_by_slots(spark, docs, odd, none):
     first = sharding.SlotMap.first(16)
     grown = first.grown()
     for source in (docs, odd):
-        rows = sharding.shard(source, first, grown).collect()
-        assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((d, len((t or "").encode("utf-8", "replace")) + 1, brute.crc(t)) for d, t in pairs(source))
-        places = defaultdict(list)
-        for r in rows:
-            places[r.shard].append(r.slot)
-            assert r.law == "key" and r.grown_shard in (r.shard, 16)
-        assert all(sorted(p) == list(range(len(p))) for p in places.values())
-    assert sharding.shard(none, first, grown).count() == 0
+        stored = sharding.balance(source, shared_folder(spark, "map"))
+        for law, rows in (("key", sharding.shard(source, first, "key", grown).collect()), ("bytes", sharding.shard(source, stored, "bytes").collect())):
+            assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((d, len((t or "").encode("utf-8", "replace")) + 1, brute.crc(t)) for d, t in pairs(source))
+            places = defaultdict(list)
+            for r in rows:
+                places[r.shard].append(r.slot)
+                assert r.law == law and (r.grown_shard in (r.shard, 16) if law == "key" else r.grown_shard is None)
+            assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert sharding.shard(none, first, "key", grown).count() == 0
+    assert sharding.shard(none, sharding.balance(none, shared_folder(spark, "map")), "bytes").count() == 0
+
+
+def even(load, slots):
+    """Whether no slot of the largest shard could move to the smallest and bring the two nearer."""
+    high, low = max(load, key=load.get), min(load, key=load.get)
+    return all(n >= load[high] - load[low] for n in slots[high].values() if n)
+
+
+def test_the_query_stores_the_map_it_shards_by(spark, monkeypatch):
+    folders = []
+    monkeypatch.setattr(sharding, "shared_folder", lambda s, name: folders.append(shared_folder(s, name)) or folders[-1])
+    rows = sharding.op4_virtual_slot_shards(spark, "/root/testdata/sf0.01").collect()
+    kept = [sharding.load_map(spark, folders[0], v) for v in (1, 2)]
+    assert kept[0] == sharding.SlotMap.first(16) and kept[1] == sharding.load_map(spark, folders[0]) and {r.map_version for r in rows} == {2}
+    load, slots = Counter(), defaultdict(Counter)
+    for r in rows:
+        assert kept[1].owners[r.vslot] == r.shard
+        load[r.shard] += r.size
+        slots[r.shard][r.vslot] += r.size
+    assert len(load) == 16 and even(load, slots) and all(n == s[v] for r in rows for s, v, n in [(slots[r.shard], r.vslot, r.slot_bytes)])
+    assert max(load.values()) <= sum(load.values()) / 16 * 1.02
+    again = sharding.balance(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), folders[0])
+    assert again.version == 3 and again.owners == kept[1].owners
 
 
 def test_the_map_is_edited_and_kept(spark):
