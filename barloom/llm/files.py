@@ -38,3 +38,9 @@ def read_range(uri: str, offset: int, length: int) -> bytes:
     system, path = at(uri)
     with system.open_input_file(path) as f:
         return f.read_at(length, offset)
+
+
+def read_whole(uri: str) -> bytes:
+    system, path = at(uri)
+    with system.open_input_file(path) as f:
+        return f.readall()

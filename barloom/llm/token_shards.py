@@ -1,6 +1,8 @@
 """Training-order materialisation of token sequences.
 
-Documents' ids, END after each, make one stream that is cut into sequences of equal length. A keyed Feistel
+Documents' ids, END after each, make one stream that is cut into sequences of equal length. Documents stand in it
+by a hash of their id and text, so the stream, and all that is made of it, is decided by the documents and the key
+alone, and not by how their rows come dealt out over files and tasks. A keyed Feistel
 permutation of the sequences' numbers gives each its global slot, so the order of training is known
 without a sort or a shuffle table. Slots go by ranges to shard files of a fixed stride: the sequence in
 slot s starts at byte (s % per_shard) * stride of shard s // per_shard, and reading on from a slot needs
@@ -16,10 +18,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.deploy import ship
-from barloom.llm.common import reject_clash, shared_folder, stored, text_batches
-from barloom.llm.files import Replacing, read_range
+from barloom.llm.common import reject_clash, shared_folder, stored, text_batches, text_key
+from barloom.llm.files import Replacing, read_range, read_whole
 from barloom.llm.tokens import END, default_tokenizer, document_ids, forget, tokenizer as tokenizer_of
 
 LENGTH = 2048
@@ -27,6 +30,10 @@ PER_SHARD = 4096
 ID = np.dtype("<u2")
 #: Chunks whose ids a process keeps; its tasks here do little else.
 KEEP = 1_200_000
+#: Ids that are stored together, at least.
+RUN = 1 << 18
+#: Parts of the stream; each is ordered by itself.
+BUCKETS = 4096
 
 
 _FILL = np.array([END], ID).tobytes()
@@ -74,22 +81,70 @@ class Feistel:
 
 
 def _tokenised(docs: DataFrame, tokenizer: str, key: str, text: str) -> DataFrame:
-    """part (the task's partition), off (ids before the document there), doc, n, ids."""
+    """Runs of documents in the order that tasks read them: part (the task's partition), first (the first one's
+    place there), ids and hs (which tells apart rows that repeat an id with another text) of the documents, sizes
+    (ids of each), data (all their ids)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, off = TaskContext.get().partitionId(), 0
+        part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            offs, sizes, out = [], [], []
-            for ids in document_ids(batch.column(1).to_pylist(), tokenizer, KEEP):
-                offs.append(off)
-                sizes.append(len(ids))
-                out.append(_pressed(ids.astype(ID)))
-                off += len(ids)
-            columns = [pa.array(np.full(len(out), part, np.int32)), pa.array(offs, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "off", "id", "n", "ids"])
+            made, at = list(document_ids(batch.column(2).to_pylist(), tokenizer, KEEP)), 0
+            while at < len(made):
+                upto, size = at, 0
+                while upto < len(made) and (size < RUN or upto == at):
+                    size += len(made[upto])
+                    upto += 1
+                data = _pressed(np.concatenate(made[at:upto]).astype(ID))
+                lists = [pa.array([batch.column(c).slice(at, upto - at).to_pylist()], pa.list_(pa.int64())) for c in (0, 1)]
+                columns = [pa.array([part], pa.int32()), pa.array([place], pa.int64()), *lists, pa.array([[len(x) for x in made[at:upto]]], pa.list_(pa.int64())), pa.array([data], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "first", "ids", "hs", "sizes", "data"])
+                place += upto - at
+                at = upto
+
+    plain = reject_clash(docs, key, text).select(F.col(key).cast("long").alias("id"), text_key(text).alias("h"), F.encode(text, "UTF-8").alias("text"))
+    return plain.mapInArrow(rows, "part int, first long, ids array<long>, hs array<long>, sizes array<long>, data binary")
+
+
+def _store_starts(tokens: DataFrame, folder: str) -> int:
+    """Writes where each document's ids start in the stream, as a file of 64-bit numbers for each part, in the
+    part's order; returns the length of the stream. Ids, hashes and sizes are shuffled, tokens are not: the tasks
+    that cut them up look up the file of their part."""
+    each = tokens.select("part", "first", F.posexplode(F.arrays_zip("ids", "hs", "sizes")).alias("at", "d"))
+    each = each.select("part", (F.col("first") + F.col("at")).alias("place"), F.col("d.ids").alias("id"), F.col("d.hs").alias("h"), F.col("d.sizes").alias("n"))
+    bucket = F.pmod(F.xxhash64("id", "h"), F.lit(BUCKETS)).cast("int")
+    each = stored(each.withColumn("bucket", bucket), "documents")
+    # A row per bucket at most.
+    totals = {r.bucket: r.n for r in each.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    bases, base = [], 0
+    for x in range(BUCKETS):
+        bases.append((x, base))
+        base += totals.get(x, 0)
+    order = Window.partitionBy("bucket").orderBy("id", "h", "part", "place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).join(F.broadcast(tokens.sparkSession.createDataFrame(bases, "bucket int, base long")), "bucket")
 
-    plain = reject_clash(docs, key, text).select(F.col(key).cast("long").alias("id"), F.encode(text, "UTF-8").alias("text"))
-    return plain.mapInArrow(rows, "part int, off long, id long, n long, ids binary")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, file = None, None
+        for batch in batches:
+            parts, starts = (batch.column(c).to_numpy() for c in (0, 2))
+            edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b > a:
+                    if parts[a] != part:
+                        if file:
+                            file.close()
+                        part, file = parts[a], Replacing(_starts_file(folder, parts[a]))
+                    file.write(starts[a:b].astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([len(parts)], pa.int64())], ["n"])
+        if file:
+            file.close()
+
+    dealt = placed.select("part", "place", (F.col("base") + F.col("before")).alias("start")).repartition("part").sortWithinPartitions("part", "place")
+    dealt.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return base
+
+
+def _starts_file(folder: str, part: int) -> str:
+    return f"{folder}/starts-{part:08d}.bin"
 
 
 _ZSTD = pa.Codec("zstd", compression_level=3)
@@ -114,7 +169,8 @@ def materialise(docs: DataFrame, folder: str, order_key: int, tokenizer: str | N
 
     A null or empty text is an END alone; an empty table writes no shard and has no rows; repeated rows
     stand in the stream each; a null id is a null in doc_ids. Other columns of docs are not read. A task
-    that is lost is run again and writes the same file."""
+    that is lost is run again and writes the same file. The same documents, tokenizer and key give the same files,
+    however docs is partitioned."""
     spark = docs.sparkSession
     ship(spark)
     text_batches(spark)
@@ -123,39 +179,34 @@ def materialise(docs: DataFrame, folder: str, order_key: int, tokenizer: str | N
         raise ValueError("ids do not fit the shards' format")
     forget()
     tokens = stored(_tokenised(docs, path, key, text), "tokenised")
-    # A row per task that tokenised.
-    totals = tokens.groupBy("part").agg(F.sum("n").alias("n")).toPandas().sort_values("part")
-    base = dict(zip(totals["part"].astype(int), (totals["n"].cumsum() - totals["n"]).astype(int), strict=True))
-    total = int(totals["n"].sum())
+    places = shared_folder(spark, "token-starts")
+    total = _store_starts(tokens, places)
     count = -(-total // length)
     order = Feistel(max(count, 1), order_key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
+        own, starts = None, None
         for batch in batches:
-            parts, offs, _, sizes, pressed = (batch.column(c).to_pylist() for c in range(5))
-            of, sequences, places, counts, data = [], [], [], [], []
-            for k, (part, off, n) in enumerate(zip(parts, offs, sizes, strict=True)):
-                start, done = base[part] + off, 0
-                if (start % length) + n <= length:  # the document lies in one sequence
-                    pieces = [(start // length, start % length, n, pressed[k])]
-                else:
-                    ids, pieces = _restored(pressed[k], n), []
-                    while done < n:
-                        sequence, pos = divmod(start + done, length)
-                        some = min(length - pos, n - done)
-                        pieces.append((sequence, pos, some, _pressed(ids[done * ID.itemsize : (done + some) * ID.itemsize])))
-                        done += some
-                for sequence, pos, some, body in pieces:
-                    of.append(k)
-                    sequences.append(sequence)
-                    places.append(pos)
-                    counts.append(some)
-                    data.append(body)
-            numbers = np.array(sequences, np.int64)
-            slots = order.slots(numbers) if len(numbers) else numbers
-            columns = [pa.array(slots // per_shard), pa.array(slots), pa.array(places, pa.int32()), pa.array(numbers), batch.column(2).take(pa.array(of, pa.int64())), pa.array(counts, pa.int32()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "pos", "sequence", "id", "n", "ids"])
+            for part, first, doc_ids, sizes, pressed in zip(*[batch.column(c).to_pylist() for c in range(5)], strict=True):
+                if part != own:
+                    own, starts = part, np.frombuffer(read_whole(_starts_file(places, part)), "<i8")
+                ids = memoryview(_restored(pressed, sum(sizes)))
+                of, sequences, at, counts, data, done = [], [], [], [], [], 0
+                for id_, start, n in zip(doc_ids, starts[first : first + len(sizes)].tolist(), sizes, strict=True):
+                    while n:
+                        sequence, pos = divmod(start, length)
+                        some = min(length - pos, n)
+                        of.append(id_)
+                        sequences.append(sequence)
+                        at.append(pos)
+                        counts.append(some)
+                        data.append(_pressed(ids[done * ID.itemsize : (done + some) * ID.itemsize]))
+                        start, n, done = start + some, n - some, done + some
+                numbers = np.array(sequences, np.int64)
+                slots = order.slots(numbers)
+                columns = [pa.array(slots // per_shard), pa.array(slots), pa.array(at, pa.int32()), pa.array(numbers), pa.array(of, pa.int64()), pa.array(counts, pa.int32()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "slot", "pos", "sequence", "id", "n", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by shard, slot and pos; a sequence's rows may go on in the next batch."""
@@ -194,7 +245,7 @@ def materialise(docs: DataFrame, folder: str, order_key: int, tokenizer: str | N
         yield flush()
 
     shards = max(1, -(-count // per_shard))
-    placed = tokens.mapInArrow(cut, "shard long, slot long, pos int, sequence long, id long, n int, ids binary")
+    placed = tokens.select("part", "first", "ids", "sizes", "data").mapInArrow(cut, "shard long, slot long, pos int, sequence long, id long, n int, ids binary")
     dealt = placed.repartitionById(min(shards, 100_000), F.pmod(F.col("shard"), F.lit(100_000)).cast("int")).sortWithinPartitions("shard", "slot", "pos")
     return stored(dealt.mapInArrow(write, "sequence long, slot long, shard long, byte_offset long, n_tokens long, doc_ids array<long>, ids_crc32 long"), "sequences")
 

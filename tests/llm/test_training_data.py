@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -369,6 +370,18 @@ def test_shards_hold_the_stream(spark, request, which):
     assert len(some) == min(3, len(rows) - 1)
 
 
+def test_the_order_does_not_depend_on_partitions(spark, docs, odd):
+    for source in (docs, odd):
+        made = []
+        for n in (3, 17):
+            folder = shared_folder(spark, "t")
+            rows = token_shards.materialise(source.repartition(n), folder, 5, length=128, per_shard=50).collect()
+            files = {p.name: p.read_bytes() for p in Path(folder.removeprefix("file://")).iterdir()}
+            made.append((sorted((r.slot, r.sequence, r.ids_crc32, tuple(r.doc_ids)) for r in rows), files))
+        assert made[0] == made[1] and len(made[0][1]) == -(-len(rows) // 50)
+        assert [r.slot for r in token_shards.materialise(source, shared_folder(spark, "t"), 6, length=128, per_shard=50).orderBy("sequence").collect()] != [x[0] for x in sorted(made[0][0], key=lambda x: x[1])]
+
+
 def test_no_rows_no_shards(spark, none):
     assert token_shards.materialise(none, shared_folder(spark, "t"), 5).count() == 0
 
