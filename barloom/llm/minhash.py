@@ -5,17 +5,18 @@ which candidates meet; of the minima themselves only the low bits stay, packed i
 the share of agreeing ones, corrected for chance collisions, says which candidates are worth an exact
 comparison of full sets. Documents with equal sets form a class before any of this, so copies cost
 nothing further. Within a bucket, members are compared with one hub and not with each other. Only buckets
-that this leaves in more than one component are looked at whole, in tiles whose results are at most a
-link for two components.
+that this leaves in more than one component are looked at whole: long signatures of one bit a minimum meet
+in wide tiles, and texts follow only where a pair of two components may be similar enough, into tiles whose
+results are at most a link for two components.
 
-Classes are the nodes of all joins, named by 64 of the 128 bits of a set's hash; two sets that share
-those are noticed, and the run asks for another seed."""
+Classes are the nodes of all joins. They are told apart by all 128 bits of a set's hash and numbered when they
+are stored."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.deploy import ship
-from barloom.llm.common import broadcast_below, reject_clash, stored, text_batches, text_key, text_or_empty
+from barloom.llm.common import broadcast_below, reject_clash, remove, stored, stored_at, text_batches, text_key, text_or_empty
 
 BROADCAST_ROWS = 1_000_000  # of ids alone
 _MASK = (1 << 64) - 1
@@ -44,8 +45,13 @@ class Params:
     bits: int = 2
     slack: float = 0.2
     seed: int = 20240229
-    #: Documents on a side of a tile; a task holds two sides' sets.
+    #: Documents on a side of a tile; a task holds two sides' sets, or the long signatures of `wide` times as many.
     block: int = 256
+    wide: int = 8
+    #: Minima of a long signature. Pairs whose estimate is within long_slack of the threshold, over five standard
+    #: errors again, are compared exactly; documents that are half alike lie over seven below it.
+    long: int = 1024
+    long_slack: float = 0.1
 
 
 # --- one document's set -------------------------------------------------------------------------------
@@ -121,19 +127,20 @@ def shingle_set(text: str, words: int, seed: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def _functions(p: Params) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(p.seed + 1)
-    k = p.bands * p.rows
+def _functions(seed: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     return rng.integers(0, 1 << 32, (k, 1), dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, (k, 1), dtype=np.uint32)
 
 
-def minima(hashes: np.ndarray, p: Params) -> np.ndarray:
-    """One minimum for each function, in blocks so that long sets take little memory."""
-    a, b = _functions(p)
+def minima(hashes: np.ndarray, p: Params, long: bool = False) -> np.ndarray:
+    """One minimum for each function (those of bands, or the many of long signatures), in blocks so that long sets
+    take little memory."""
+    a, b = _functions(p.seed + 2, p.long) if long else _functions(p.seed + 1, p.bands * p.rows)
     low = hashes.astype(np.uint32)
     out = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(low), 2048):
-        block = a * low[None, i : i + 2048]
+    step = 512 if long else 2048
+    for i in range(0, len(low), step):
+        block = a * low[None, i : i + step]
         block += b
         np.minimum(out, block.min(axis=1), out=out)
     return out
@@ -208,16 +215,29 @@ def _texts(nodes: DataFrame, texts_of: DataFrame, docs: DataFrame, key: str, tex
     return stored(_plain(docs, key, text).join(broadcast_below(wanted, BROADCAST_ROWS), ["id", "tk"]).select("node", "text").dropDuplicates(["node"]), "candidate-texts")
 
 
+def _in_parts(pairs: DataFrame, each: int = 200, salts: int = 32) -> DataFrame:
+    """hub, node, role, and the parts from `first` to `last` that the node's text is wanted in: a partner (role 1)
+    in one, the hub itself (role 0) in all of its own. A hub has a part for `each` partners, or for the root of
+    their number if that is more, so parts and partners in one grow alike. Only hubs of more than one part are
+    looked up, under several salts, so that no task gets all partners of one."""
+    large = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > each)
+    large = stored(large.select("hub", F.ceil(F.col("n") / F.greatest(F.lit(float(each)), F.sqrt("n"))).cast("int").alias("parts")), "large-hubs")
+    salted = large.select(F.col("hub").alias("hub2"), "parts", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(salts)).cast("int")
+    met = pairs.join(broadcast_below(salted, BROADCAST_ROWS), (F.col("hub") == F.col("hub2")) & (salt == F.col("salt")), "left")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
+    partners = met.select("hub", "node", F.lit(1).alias("role"), part.alias("first"), part.alias("last"))
+    hubs = pairs.select("hub").distinct().join(broadcast_below(large, BROADCAST_ROWS), "hub", "left")
+    return partners.union(hubs.select("hub", F.col("hub").alias("node"), F.lit(0).alias("role"), F.lit(0).alias("first"), (F.coalesce("parts", F.lit(1)) - 1).alias("last")))
+
+
 def confirmed(pairs: DataFrame, texts_of: DataFrame, docs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs (hub, node) whose full sets are similar enough. texts_of: node, and the id and tk of a row
     of docs with its text. Texts of candidates alone are shuffled, dealt by hub; a hub with many partners
     is dealt out over several parts, each with its own copy of the hub's text, and a task holds one hub's
     set at a time."""
     texts = _texts(pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct(), texts_of, docs, key, text)
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / 200).cast("int").alias("parts"))
-    members = pairs.join(parts, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    hubs = parts.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    met = members.withColumn("role", F.lit(1)).union(hubs.withColumn("role", F.lit(0))).join(texts, "node")
+    met = _in_parts(pairs).join(texts, "node").select("hub", F.explode(F.sequence("first", "last")).alias("part"), "role", "node", "text")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hub, own = None, None
@@ -235,14 +255,14 @@ def confirmed(pairs: DataFrame, texts_of: DataFrame, docs: DataFrame, p: Params,
                     out.append((h, node))
             yield pd.DataFrame(out, columns=["hub", "node"]).astype("int64")
 
-    dealt = met.select("hub", "part", "role", "node", "text").repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
+    dealt = met.repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
     return dealt.mapInPandas(compare, "hub long, node long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (one node of it, the smallest) for all nodes of links (hub, node), by large-star and
     small-star steps: each hangs a node's neighbours below the smallest of them, until nothing changes."""
-    edges = stored(links.where("hub <> node").select(F.greatest("hub", "node").alias("a"), F.least("hub", "node").alias("b")).distinct(), "edges")
+    edges, path = stored_at(links.where("hub <> node").select(F.greatest("hub", "node").alias("a"), F.least("hub", "node").alias("b")).distinct(), "edges")
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -250,7 +270,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least).distinct()
-        edges = stored(small, "edges")
+        old = path
+        edges, path = stored_at(small, "edges")
+        remove(old)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             break
@@ -261,9 +283,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def _open_links(buckets: DataFrame, labels: DataFrame, texts_of: DataFrame, docs: DataFrame, p: Params, key: str, text: str) -> DataFrame | None:
     """Links (hub, node) across components within buckets that still hold more than one; None if there are no
-    such buckets. Any such pair has a member outside its bucket's largest component. Those members meet all
-    of the bucket in tiles of p.block by p.block documents, which a task compares exactly and holds one at a
-    time; of the links between two components a tile returns one. Buckets with equal members count once."""
+    such buckets. Any such pair has a member outside its bucket's largest component, so those members meet all
+    of the bucket, by their long signatures, in tiles of p.wide * p.block documents a side. Of each tile of p.block
+    by p.block in it that has a likely pair, the documents of such pairs alone are compared exactly; of the links
+    between two components a tile returns one. Buckets with equal members count once."""
     labelled = stored(buckets.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "labelled")
     sizes = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
     open_ = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("most"), F.bit_xor("x").alias("x")).where("parts > 1")
@@ -272,33 +295,97 @@ def _open_links(buckets: DataFrame, labels: DataFrame, texts_of: DataFrame, docs
     if open_.isEmpty():
         return None
 
-    def tiles(n):
-        return F.ceil(n / p.block).cast("int")
+    def tiles(n, size):
+        return F.ceil(n / size).cast("int")
 
-    members = labelled.join(open_.withColumns({"across": tiles(F.col("rows") - F.col("largest_n")), "down": tiles(F.col("rows"))}), "band")
+    members = labelled.join(open_.withColumns({"across": tiles(F.col("rows") - F.col("largest_n"), p.block), "down": tiles(F.col("rows"), p.block)}), "band")
     place = F.xxhash64("node")
-    mine, all_ = F.pmod(place, F.col("across")).cast("int"), F.pmod(place, F.col("down")).cast("int")
-    outside = members.where(F.col("component") != F.col("largest")).select("band", mine.alias("a"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("d"), F.lit(0).alias("side"), "node", "component")
-    every = members.select("band", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("a"), all_.alias("d"), F.lit(1).alias("side"), "node", "component")
-    placed = stored(outside.union(every), "tiles")
-    texts = _texts(placed.select("node").distinct(), texts_of, docs, key, text)
-    dealt = placed.join(texts, "node").repartition("band", "a", "d").sortWithinPartitions("band", "a", "d", "side")
+    members = members.withColumns({"a": F.pmod(place, F.col("across")).cast("int"), "d": F.pmod(place, F.col("down")).cast("int")})
+    members = stored(members.select("band", "node", "component", (F.col("component") != F.col("largest")).alias("outside"), "a", "d", "across", "down"), "open-members")
+    texts = _texts(members.select("node").distinct(), texts_of, docs, key, text)
+
+    def over(n: str):
+        return F.explode(F.sequence(F.lit(0), tiles(F.col(n), p.wide) - 1))
+
+    def wide(n: str):
+        return F.floor(F.col(n) / p.wide).cast("int")
+
+    mine = members.where("outside").select("band", wide("a").alias("wa"), over("down").alias("wd"), F.lit(0).alias("side"), "node", "component", F.col("a").alias("at"))
+    every = members.select("band", over("across").alias("wa"), wide("d").alias("wd"), F.lit(1).alias("side"), "node", "component", F.col("d").alias("at"))
+    met = mine.union(every).join(stored(_long_signatures(texts, p), "long-signatures"), "node").repartition("band", "wa", "wd").sortWithinPartitions("band", "wa", "wd", "side")
+    dealt = stored(_likely_members(met, p), "tiles").join(texts, "node").repartition("band", "a", "d").sortWithinPartitions("band", "a", "d", "side")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tile, sides = None, ([], [])
-        for batch in batches:
-            out = []
-            for *own, side, node, component, body in zip(*[batch[c] for c in ("band", "a", "d", "side", "node", "component", "text")], strict=True):
-                if own != tile:
-                    out += _links_in_tile(*sides, p)
-                    tile, sides = own, ([], [])
-                sides[side].append((node, component, shingle_set(body, p.words, p.seed)))
+        for out in _by_tile(batches, ("band", "a", "d"), ("node", "component", "text"), lambda node, component, body: (node, component, shingle_set(body, p.words, p.seed)), lambda _, x, y: _links_in_tile(x, y, p)):
             yield pd.DataFrame(out, columns=["hub", "node"]).astype("int64")
-        yield pd.DataFrame(_links_in_tile(*sides, p), columns=["hub", "node"]).astype("int64")
 
     return stored(dealt.mapInPandas(compare, "hub long, node long"), "open-links")
 
 
+def _by_tile(batches: Iterator[pd.DataFrame], keys: tuple[str, ...], columns: tuple[str, ...], read: Callable, finish: Callable) -> Iterator[list]:
+    """What finish(tile, side 0, side 1) lists for each tile, over rows that come by tile; a side is a list of
+    what read() makes of a row's columns."""
+    tile, sides = None, ([], [])
+    for batch in batches:
+        out = []
+        for row in zip(*[batch[c] for c in (*keys, "side", *columns)], strict=True):
+            own = row[: len(keys)]
+            if own != tile:
+                out += finish(tile, *sides)
+                tile, sides = own, ([], [])
+            sides[row[len(keys)]].append(read(*row[len(keys) + 1 :]))
+        yield out
+    yield finish(tile, *sides)
+
+
+def _long_signatures(texts: DataFrame, p: Params) -> DataFrame:
+    """node, n (size of its set), sig: its many minima's lowest bits."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for node, body in zip(batch["node"], batch["text"], strict=True):
+                hashes = shingle_set(body, p.words, p.seed)
+                out.append((node, len(hashes), packed(minima(hashes, p, long=True), 1).view(np.int64)))
+            yield pd.DataFrame(out, columns=["node", "n", "sig"])
+
+    return texts.mapInPandas(rows, "node long, n long, sig array<long>")
+
+
+def _likely_members(met: DataFrame, p: Params) -> DataFrame:
+    """band, a, d, side, node, component of the members of each narrow tile that have a partner of another
+    component there, near enough by long signatures and by the sizes of their sets."""
+    least = p.percent / 100 - p.long_slack
+
+    def finish(tile: tuple | None, rows: list, columns: list) -> list:
+        out = []
+        if not rows or not columns:
+            return out
+        sig_b, n_b, comp_b, at_b = (np.array([x[i] for x in columns]) for i in (1, 2, 3, 4))
+        sig_a, n_a, comp_a, at_a = (np.array([x[i] for x in rows]) for i in (1, 2, 3, 4))
+        likely = np.zeros((len(rows), len(columns)), bool)
+        for i in range(0, len(rows), 64):
+            s = slice(i, i + 64)
+            differ = np.bitwise_count((sig_a[s, None, :] ^ sig_b[None, :, :]).view(np.uint64)).sum(axis=2, dtype=np.int32)
+            likely[s] = 1 - 2 * differ / p.long >= least
+            likely[s] &= comp_a[s, None] != comp_b[None, :]
+            likely[s] &= 100 * np.minimum(n_a[s, None], n_b[None, :]) >= p.percent * np.maximum(n_a[s, None], n_b[None, :])
+        for a in np.unique(at_a[likely.any(axis=1)]):
+            of_a = np.flatnonzero(at_a == a)
+            for d in np.unique(at_b[likely[of_a].any(axis=0)]):
+                of_d = np.flatnonzero(at_b == d)
+                some = likely[np.ix_(of_a, of_d)]
+                out += [(tile[0], int(a), int(d), 0, rows[k][0], rows[k][3]) for k in of_a[some.any(axis=1)]]
+                out += [(tile[0], int(a), int(d), 1, columns[k][0], columns[k][3]) for k in of_d[some.any(axis=0)]]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in _by_tile(batches, ("band", "wa", "wd"), ("node", "sig", "n", "component", "at"), lambda *x: x, finish):
+            yield pd.DataFrame(out, columns=["band", "a", "d", "side", "node", "component"]).astype("int64")
+
+    return met.mapInPandas(run, "band long, a int, d int, side int, node long, component long")
+
+
 def _links_in_tile(rows: list[tuple], columns: list[tuple], p: Params) -> list[tuple[int, int]]:
     """One link, as (smaller node, larger node), for each two components that have any between rows and
     columns, both of (node, component, set). Intersections are counted for all pairs at once, as products of
@@ -341,11 +428,11 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), key: str = "doc_id",
     text_batches(docs.sparkSession)
     signed = stored(signatures(docs, p, key, text), "signatures")
     linked = signed.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    classes = stored(linked.groupBy("s1", "s2").agg(F.min(F.struct("id", "tk")).alias("rep")).select(F.col("s1").alias("node"), "s2", "rep.id", "rep.tk"), "classes")
-    if not classes.groupBy("node").count().where("count > 1").isEmpty():
-        raise RuntimeError("two sets share a name; choose another seed")
-    reps = linked.join(classes.select("node", "id", "tk"), ["id", "tk"]).where("node = s1").dropDuplicates(["node"])
-    reps = stored(reps.select("node", "sig", "bands"), "representatives")
+    # Documents of one set have one signature; the class is numbered by what is stored, so that two sets share a
+    # number only if all of their names agree.
+    of_set = linked.groupBy("s1", "s2").agg(F.min(F.struct("id", "tk")).alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = stored(of_set.select("s1", "s2", "rep.id", "rep.tk", "sig", "bands", F.monotonically_increasing_id().alias("node")), "classes")
+    reps = classes.select("node", "sig", "bands")
     banded = reps.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other")
     buckets = stored(banded.join(shared.drop("other"), "band"), "buckets")
@@ -364,11 +451,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), key: str = "doc_id",
         labels = stored(components(labels.select(F.col("component").alias("hub"), "node").union(across)), "labels")
     grouped = classes.select("node", "id").join(labels, "node")
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = classes.join(stored(grouped.join(least, "component").select("node", "component_id"), "component-ids"), "node", "left")
-    named = named.select(F.col("node").alias("s1"), F.coalesce("component_id", "id").alias("component_id"), F.lit(True).alias("linked"))
-    rows = signed.select("id", "tk", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("s1")).alias("s1"))
+    named = stored(grouped.join(least, "component").select("node", "component_id"), "component-ids")
+    named = classes.select("node", "id", "s1", "s2").join(named, "node", "left").select(F.col("s1").alias("n1"), F.col("s2").alias("n2"), F.coalesce("component_id", "id").alias("component_id"))
+    rows = signed.select("id", "tk", "n_shingles", *[F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col(s)).alias(s) for s in ("s1", "s2")])
     component = F.coalesce("component_id", "id")
-    return rows.join(named, "s1", "left").select(F.col("id").alias(key), F.col("tk").alias("h"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    met = rows.join(named, (F.col("s1") == F.col("n1")) & (F.col("s2") == F.col("n2")), "left")
+    return met.select(F.col("id").alias(key), F.col("tk").alias("h"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

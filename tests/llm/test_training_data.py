@@ -266,6 +266,44 @@ def test_many_copies_around_the_threshold(spark):
     assert got == expected_components(rows, 2)
 
 
+def test_sets_that_share_half_a_name_stay_apart(spark, docs, monkeypatch):
+    whole = minhash.signatures
+    monkeypatch.setattr(minhash, "signatures", lambda *a: whole(*a).withColumn("s1", F.when(F.col("n_shingles") > 0, F.lit(7)).otherwise(F.col("s1"))))
+    got = by_id(minhash.near_duplicates(docs, minhash.Params(words=2)), "n_shingles", "component_id", "kept")
+    assert got == expected_components(pairs(docs), 2)
+
+
+def test_texts_of_half_alike_documents_are_not_compared(spark, monkeypatch):
+    """They meet in buckets by the hundred; each text is read once for its long signature, and none follows."""
+    rng, base, rows = np.random.default_rng(4), [f"b{i}" for i in range(120)], []
+    for i in range(2000):  # runs of words of their own, so that a third of the shingles differ
+        own, at = list(base), int(rng.integers(0, 80))
+        own[at : at + 40] = [f"o{i}_{k}" for k in range(40)]
+        rows.append((i, " ".join(own)))
+    counts = Counter()
+    whole = minhash.stored
+
+    def counted(df, name):
+        out = whole(df, name)
+        counts[name] += out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = by_id(minhash.near_duplicates(df, minhash.Params(words=2)), "n_shingles", "component_id", "kept")
+    assert got == expected_components(rows, 2) and counts["open-members"] > 5000
+    assert counts["tiles"] <= 200 and counts["long-signatures"] <= 2000
+
+
+def test_large_hubs_are_dealt_out(spark):
+    pairs_ = spark.range(5000).select(F.when(F.col("id") < 4990, 0).otherwise(F.col("id")).alias("hub"), (F.col("id") + 10_000).alias("node"))
+    rows = minhash._in_parts(pairs_).collect()
+    assert sorted((r.hub, r.node) for r in rows if r.role) == sorted((r.hub, r.node) for r in pairs_.collect())
+    hubs = {r.hub: (r.first, r.last) for r in rows if not r.role}
+    assert len(hubs) == 11 and hubs[0] == (0, 24) and all(r.first == r.last <= hubs[r.hub][1] for r in rows if r.role)
+    assert max(Counter(r.first for r in rows if r.role and r.hub == 0).values()) < 300
+
+
 def test_estimates_are_near_the_truth(spark):
     p = minhash.Params(words=2)
     rng, rows = np.random.default_rng(1), []
