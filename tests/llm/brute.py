@@ -50,6 +50,27 @@ def contamination(docs, items, window=13):
         yield doc, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
+def near_items(docs, items, window=13):
+    """How many items have the two rarest terms of some window within `window` words in each document."""
+    places = [defaultdict(list) for _ in docs]
+    counts = Counter()
+    for (_, text), at in zip(docs, places, strict=True):
+        for i, w in enumerate(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")):
+            at[w.lower()].append(i)
+            counts[w.lower()] += 1
+    found = Counter()
+    for _, text in items:
+        w = [x.lower() for x in words(text)]
+        n, rare = min(window, len(w)), set()
+        for k in range(len(w) - n + 1) if w else ():
+            ranked = sorted((counts[x], x, i) for i, x in enumerate(w[k : k + n]))
+            if ranked[0][0] and len(ranked) > 1:
+                rare.add((ranked[0][1], ranked[1][1]))
+        for k, at in enumerate(places):
+            found[k] += any(0 < abs(i - j) <= window for a, b in rare for i in at[a] for j in at[b])
+    return [found[k] for k in range(len(docs))]
+
+
 def shingles(text, n=2):
     w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text))
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])

@@ -614,6 +614,8 @@ def test_contamination_matches_a_scan(spark, docs, odd, none):
     for source, item_frame, given in ((docs, items, listed), (odd, more, odd_items)):
         got = by_id(decontaminate.contamination(source, item_frame), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
         assert got == sorted(brute.contamination(pairs(source), given), key=str)
+        near = by_id(decontaminate.contamination(source, item_frame), "n_words", "n_near")
+        assert near == sorted(((d, len(brute.words(t)), n) for (d, t), n in zip(pairs(source), brute.near_items(pairs(source), given), strict=True)), key=str) and any(n for *_, n in near)
     assert decontaminate.contamination(none, items).count() == 0
     clean = decontaminate.contamination(docs, items.limit(0))
     assert clean.where("n_hit > 0").count() == 0 and clean.count() == docs.count()
@@ -626,6 +628,24 @@ def test_joins_without_broadcast_give_the_same(docs, spark, monkeypatch):
     assert by_id(decontaminate.contamination(docs, items), "n_hit", "items_sha256") == one
 
 
+def test_items_of_one_common_word(spark):
+    """Each occurrence is a place, and a document may have very many."""
+    rows = [(1, "the " * 30_000 + "end"), (2, "The end"), (3, "then"), (4, None), (5, "a the " * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [("a", "the"), ("b", "THE end"), ("c", "the the the")]
+    frame = spark.createDataFrame(items, "item_id string, text string")
+    got = by_id(decontaminate.contamination(df, frame), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == sorted(brute.contamination(rows, items), key=str)
+
+
+def test_changed_passages_are_near(spark):
+    item = " ".join(f"word{i}" for i in range(30))
+    changed = " ".join(f"word{i} and" if i % 2 else f"word{i}" for i in range(30))
+    df = spark.createDataFrame([(1, changed), (2, "quite other words"), (3, item)], "doc_id long, text string")
+    got = by_id(decontaminate.contamination(df, spark.createDataFrame([(1, item)], "item_id long, text string")), "n_hit", "n_near")
+    assert got == [(1, 0, 1), (2, 0, 0), (3, 30, 1)]
+
+
 def test_near_terms(spark):
     df = spark.createDataFrame([(1, "a x b. a b"), (2, "b y y y a"), (None, "A b")], "doc_id long, text string")
     got = {(r.doc_id, r.pos1, r.pos2) for r in decontaminate.near_places(df, "a", "b", 2).collect()}
