@@ -31,10 +31,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share; only where that setting is
-    absent, as in a local session, is a folder of this machine made and set."""
+    """A new path below spark.checkpoint.dir, which driver and executors share. Only where that setting is absent
+    and the session is a local one is a folder of this machine made and set; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"
