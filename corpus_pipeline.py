@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, langid, line_dedup, minhash, packing
-from barloom.llm.common import broadcast_below, stored, text_key
+from barloom.llm.common import broadcast_below, remove, scratch, stored, stored_at, text_key
 
 #: Rejected ids are broadcast up to so many; beyond it both sides of the join shuffle.
 BROADCAST_IDS = 1_000_000
@@ -59,7 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage stored on its way goes once its result is written, and that result once
+    the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():
+            docs, path = stored_at(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            remove(before)
+        before = path
     return docs
