@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import reject_clash, shared_folder, text_or_empty
+from barloom.llm.common import reject_clash, shared_folder, small_enough, stored, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,9 @@ BASE_RULES = (
 )
 BASE_VERSION = "base-1"
 
+#: Unseen digests are broadcast up to so many.
+BROADCAST_BLOBS = 200_000
+
 FINDINGS = "blob binary, rule_version string, kind_rank int, kind string, start long, end long"
 SCANNED = "blob binary, rule_version string"
 
@@ -64,9 +67,12 @@ def _matches(rule: Rule) -> Column:
 
 
 def find(blobs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
-    """blob, kind_rank, kind, start, end of each match that counts, over (blob, text) with one row a blob.
-    Offsets are in code points, the end exclusive. Texts without a possible match stop at the filter."""
-    possible = blobs.where(reduce(or_, map(_may_match, rules)))
+    """blob, kind_rank, kind, start, end of each match that counts, over (blob, text) with a row for each copy.
+    Offsets are in code points, the end exclusive. Texts without a possible match stop at the filter, so only the
+    others are shuffled, for copies to merge."""
+    may = reduce(or_, map(_may_match, rules))
+    # With a mark of unseen blobs the filter waits for the join that gives it.
+    possible = blobs.where(F.when(F.col("unseen"), may) if "unseen" in blobs.columns else may).groupBy("blob").agg(F.first("text").alias("text"))
     kinds = F.array(*[F.struct(F.lit(i).alias("kind_rank"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), F.when(_may_match(r), _matches(r)).alias("found")) for i, r in enumerate(rules)])
     each = possible.select("blob", F.explode(kinds).alias("k")).select("blob", "k.kind_rank", "k.kind", "k.least", F.posexplode("k.found").alias("nth", "m"))
     upto = Window.partitionBy("blob", "kind_rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
@@ -96,20 +102,21 @@ class Ledger:
         return self._table("findings", FINDINGS).where(F.col("rule_version") == rule_version).distinct()
 
     def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, rule_version: str = BASE_VERSION, text: str = "text") -> None:
-        """Brings the ledger up to date with docs. Copies of a blob merge before and after the shuffle, so
-        each text is matched once however many rows hold it."""
+        """Brings the ledger up to date with docs. Digests alone tell what is unseen. If those are few, texts meet
+        them where they stand and only unseen ones are looked at; else all texts pass the filter of find(), and
+        those it leaves are shuffled."""
         versions = reject_clash(docs, text).select(text_or_empty(F.col(text)).alias("text")).withColumn("blob", blob_of(F.col("text")))
-        unseen = versions.groupBy("blob").agg(F.first("text").alias("text"))
+        unseen = versions.select("blob").distinct()
         done = self.scanned().where(F.col("rule_version") == rule_version).select("blob")
-        known = not done.isEmpty()
-        if known:
-            unseen = unseen.join(done, "blob", "left_anti")
-        found = find(unseen, rules).withColumn("rule_version", F.lit(rule_version))
+        if not done.isEmpty():
+            unseen = stored(unseen.join(done, "blob", "left_anti"), "unseen-blobs")
+            if small_enough(unseen, BROADCAST_BLOBS):
+                versions = versions.join(F.broadcast(unseen.withColumn("unseen", F.lit(True))), "blob")
+            else:
+                versions = versions.join(unseen, "blob", "left_semi")
+        found = find(versions, rules).withColumn("rule_version", F.lit(rule_version))
         found.select("blob", "rule_version", "kind_rank", "kind", "start", "end").write.mode("append").parquet(f"{self.path}/findings")
-        seen = versions.select("blob").distinct()
-        if known:
-            seen = seen.join(done, "blob", "left_anti")
-        seen.withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version").write.mode("append").parquet(f"{self.path}/scanned")
+        unseen.withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version").write.mode("append").parquet(f"{self.path}/scanned")
 
     def report(self, docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, rule_version: str = BASE_VERSION, key: str = "doc_id", text: str = "text") -> DataFrame:
         """One row per row of docs: counts by kind, spans, and a digest of them.

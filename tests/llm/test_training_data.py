@@ -670,18 +670,21 @@ def test_secrets_match_a_scan(spark, docs, odd, none):
     assert ledger.report(none).count() == 0
 
 
-def test_the_ledger_scans_what_it_has_not_seen(spark, monkeypatch):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_the_ledger_scans_what_it_has_not_seen(spark, monkeypatch, most):
     a = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "none")], "doc_id long, text string")
     b = a.union(spark.createDataFrame([(4, "secret: 123456"), (5, "none")], a.schema))
     ledger = secret_scan.Ledger(spark, shared_folder(spark, "l"))
     seen, find = [], secret_scan.find
-    monkeypatch.setattr(secret_scan, "find", lambda blobs, rules: seen.append(sorted(r.text for r in blobs.collect())) or find(blobs, rules))
+    monkeypatch.setattr(secret_scan, "BROADCAST_BLOBS", most)
+    monkeypatch.setattr(secret_scan, "find", lambda blobs, rules: seen.append({r.text for r in blobs.collect()}) or find(blobs, rules))
     ledger.scan(a)
     ledger.scan(b)
     ledger.scan(b)
     ledger.scan(b, rule_version="other")
-    assert seen == [["none", "token=abcdefgh"], ["secret: 123456"], [], ["none", "secret: 123456", "token=abcdefgh"]]
+    assert seen == [{"none", "token=abcdefgh"}, {"secret: 123456"}, set(), {"none", "secret: 123456", "token=abcdefgh"}]
     assert by_id(ledger.report(b), "n_assign") == [(1, 1), (2, 1), (3, 0), (4, 1), (5, 0)]
+    assert ledger.findings(secret_scan.BASE_VERSION).count() == 2 and ledger.scanned().count() == 6
 
 
 # --- op10
