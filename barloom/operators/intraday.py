@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions.values import clock, slot_clock
+from barloom.functions.values import clock, fixed, slot_clock
 
 #: Minutes of a trading day, its ends included: 09:30-11:30 and 13:00-15:00.
 GRID = (*range(570, 691), *range(780, 901))
@@ -97,3 +97,16 @@ def routed_actions(raw: DataFrame) -> DataFrame:
         "code", "date", "category", put(dividend, "a", "fen_hong"), put(dividend, "b", "pei_gu_jia"), put(dividend, "c", "song_zhuan_gu"), put(dividend, "d", "pei_gu"), put(shrink, "c", "suo_gu"),
         put(warrant, "a", "xing_quan_jia"), put(warrant, "c", "fen_shu"), put(shares, "a", "pan_qian_liu_tong"), put(shares, "b", "qian_zong_gu_ben"), put(shares, "c", "pan_hou_liu_tong"), put(shares, "d", "hou_zong_gu_ben"),
     )
+
+
+def finance_display(rows: DataFrame) -> DataFrame:
+    """The lines in which a financial snapshot is shown: shares in ten thousands, sums in units of 10^9."""
+    def line(*parts: tuple) -> Column:
+        return F.concat(*[x for text, column, scale, places in parts for x in (F.lit(text), fixed(F.col(column) / scale, places))])
+
+    return rows.withColumns({
+        "shares_line": F.concat(line(("总股本: ", "total_shares", 1e4, 2), ("万股  流通股本: ", "float_shares", 1e4, 2)), F.lit("万股")),
+        "assets_line": F.concat(line(("总资产: ", "total_assets", 1e9, 2), ("亿元  净资产: ", "net_assets", 1e9, 2)), F.lit("亿元")),
+        "income_line": F.concat(line(("主营收入: ", "main_income", 1e9, 2), ("亿元  净利润: ", "net_profit", 1e9, 2)), F.lit("亿元")),
+        "holders_line": F.concat(line(("每股净资产: ", "net_assets_per_share", 1.0, 4)), F.lit("元  股东人数: "), F.round("holders", 0).cast("long").cast("string")),
+    })

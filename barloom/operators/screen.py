@@ -13,7 +13,10 @@ BROADCAST_NAMES = 200_000
 
 
 def named(rows: DataFrame, names: DataFrame, how: str = "inner") -> DataFrame:
-    """Adds name by code. names has one row a code; it is broadcast if that is few enough rows."""
+    """Adds name by code. names has one row a code; it is broadcast if that is few enough rows. An inner join keeps
+    no row of an empty code or name."""
+    if how == "inner":
+        names = names.where("code <> '' AND name <> ''")
     few = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
     return rows.join(F.broadcast(names.select("code", "name")) if few else names.select("code", "name"), "code", how)
 

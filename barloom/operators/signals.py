@@ -141,6 +141,14 @@ def state_labels(frame: DataFrame) -> DataFrame:
     return frame.withColumns({"trend_label": trend, "macd_label": macd, "kdj_label": kdj, "rsi_label": rsi, "boll_label": boll, "boll_position": position})
 
 
+def display_flags(frame: DataFrame) -> DataFrame:
+    """What a chart and a screen colour by: whether a bar rose, whether its histogram is not below 0, and whether
+    the means are in rising, falling or mixed order; means that are missing count as 0."""
+    a, b, d = (F.coalesce(f"ma_{p}", F.lit(0.0)) for p in (5, 10, 20))
+    label = F.when((a > b) & (b > d), "bull").when((a < b) & (b < d), "bear").otherwise("mixed")
+    return frame.withColumns({"rising": F.col("close") >= F.col("open"), "hist_rising": F.col("hist") >= 0, "ma_label": label})
+
+
 def summary(labelled: DataFrame) -> DataFrame:
     """What the labels come to: a word, a strength from 0 to 100, and the list of states."""
     t = F.col("trend_label")

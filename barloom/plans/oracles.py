@@ -173,3 +173,16 @@ def half_away(x: str) -> str:
 
 def with_(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{select}"
+
+
+_EDGES = r"^[\s\v 　﻿]+|[\s\v 　﻿]+$"
+SECTIONS = rf"""
+WITH raw AS (SELECT doc_id, unnest(string_split(replace(coalesce(text, ''), chr(13), ''), chr(10))) AS raw, unnest(range(len(string_split(replace(coalesce(text, ''), chr(13), ''), chr(10))))) AS pos FROM documents),
+l AS (SELECT doc_id, pos, regexp_replace(raw, '{_EDGES}', '', 'g') AS line FROM raw),
+k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN regexp_matches(line, '^\s*[┌├└─┬┼┴┘┐].*─|^\s*─') THEN 'border' WHEN starts_with(line, '│') THEN 'row' WHEN regexp_full_match(line, '【.*】') THEN 'header'
+  WHEN regexp_full_match(line, 'https?://\S+') THEN 'link' ELSE 'text' END AS kind FROM l),
+c AS (SELECT *, CASE WHEN kind = 'row' THEN list_transform(string_split(line, '│')[2 : len(string_split(line, '│')) - 1], lambda x: trim(x, ' ')) END AS cells FROM k),
+g AS (SELECT *, count(*) FILTER (kind IN ('blank', 'header', 'link', 'text')) OVER w AS tb, count(*) FILTER (kind <> 'text') OVER w AS xb FROM c WHERE kind <> 'row' OR len(cells) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT doc_id, kind, CASE kind WHEN 'row' THEN tb WHEN 'text' THEN xb ELSE pos END AS g, min(pos) AS first, list(cells ORDER BY pos) AS rows, string_agg(line, chr(10) ORDER BY pos) AS body FROM g WHERE kind IN ('row', 'text', 'header', 'link') GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS seq, CASE kind WHEN 'row' THEN 'table' WHEN 'text' THEN 'paragraph' ELSE kind END AS type, CASE WHEN kind = 'row' THEN to_json(rows)::VARCHAR ELSE '[]' END AS content, CASE WHEN kind = 'row' THEN '' ELSE body END AS text FROM p
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from barloom.deploy import work_folder
 from barloom.functions import codes as c
 from barloom.functions import values as v
 from barloom.operators import backtest, blocks, cycles, indicators, intraday, params, screen, securities, signals, textsections
+from barloom.plans import captures
 from barloom.plans import fixtures as fx
 from barloom.plans import oracles as o
 from barloom.sources import bars, store, wire
@@ -679,11 +681,128 @@ def frame_decode(spark, d):
     return r6(found.select("code", "day", F.col("seq").cast("long").alias("seq"), "minute", F.col("value").alias("price"), "volume", "status"))
 
 
-@query(None)
+def _volume_sql(unit: int = 64) -> str:
+    """A volume from the code v."""
+    return f"({_POWER} + CASE WHEN {_B} > 128 THEN {_POWER} * (64 + ({_B} & 127) * {64 / unit}) / 64 ELSE {_POWER} * {_B} / 128 END + {_POWER} * {_C} / 32768 * {_FINE} + {_POWER} * {_D} / 8388608 * {_FINE})"
+
+
+def _volume_of(n: str, unit: int = 64) -> str:
+    """A volume from the code that the sample captures make of a number."""
+    return re.sub(r"\bv\b", f"({captures.CODE_BASE} + ({n}) * 7919 % {captures.CODE_SPAN})", _volume_sql(unit))
+
+
+_SUPPLIERS = "su AS (SELECT s_suppkey::BIGINT AS k, lpad(s_suppkey::VARCHAR, 6, '0') AS code, round(abs(s_acctbal) * 100)::BIGINT AS cents, s_acctbal AS balance FROM supplier)"
+_QUOTE = "price last_close open high low volume amount bid1 ask1 bid5"
+
+
+@query(f"WITH {_SUPPLIERS} " + s6(f"""SELECT code, cents / 100 AS price, (cents + k % 200 - 100) / 100 AS last_close, (cents + k % 150 - 75) / 100 AS open, (cents + k % 90) / 100 AS high, (cents - k % 80) / 100 AS low,
+  (k * 13)::DOUBLE AS volume, CASE WHEN k % 10 = 0 THEN 0 ELSE {_volume_of("k")} / 10000 END AS amount, k % 1000 AS s_vol, k % 777 AS b_vol, (cents - 1) / 100 AS bid1, (cents + 1) / 100 AS ask1, (cents - 5) / 100 AS bid5, k % 50 + 4 AS ask5_volume FROM su""", _QUOTE))
+def quote_decode(spark, d):
+    found = wire.quotes(wire.raw_quotes(captures.quotes(spark, d)))
+    level = F.col("bid_ask")
+    return r6(found.select(*[c for c in found.columns if c != "bid_ask"], level[0]["bid_price"].alias("bid1"), level[0]["ask_price"].alias("ask1"), level[4]["bid_price"].alias("bid5"), level[4]["ask_volume"].alias("ask5_volume")))
+
+
+_INDEX = f"""{o.bars()}, ix AS (SELECT code, ts, round(open * 1000) / 1000 AS open, round(high * 1000) / 1000 AS high, round(low * 1000) / 1000 AS low, round(close * 1000) / 1000 AS close, row_number() OVER (PARTITION BY code ORDER BY ts) - 1 AS i FROM bars WHERE code IS NOT NULL)"""
+
+
+@query(o.with_(_INDEX, s6(f"SELECT code, ts + INTERVAL 15 HOUR AS ts, open, high, low, close, {_volume_of('i')} AS volume, {_volume_of('i * 3')} / 100 AS amount, (i % 3000)::INTEGER AS up_count, (i * 7 % 3000)::INTEGER AS down_count FROM ix", BAR_DOUBLES)))
+def index_bars_decode(spark, d):
+    return r6(wire.bars(wire.raw_bars(captures.index_bars(spark, d), breadth=True)).drop("ktype"))
+
+
+@query(o.with_(_INDEX, s6("SELECT code, ts + INTERVAL 15 HOUR AS ts, (i % 3000)::INTEGER AS up_count, (i * 7 % 3000)::INTEGER AS down_count, CASE WHEN i % 3000 + i * 7 % 3000 > 0 THEN (i % 3000) / (i % 3000 + i * 7 % 3000) END AS breadth FROM ix", "breadth")))
+def index_breadth(spark, d):
+    return r6(intraday.breadth(wire.bars(wire.raw_bars(captures.index_bars(spark, d), breadth=True))))
+
+
+@query(f"WITH {_TICKS}, l AS (SELECT code, day, row_number() OVER (PARTITION BY code, day ORDER BY seq) - 1 AS seq, price, volume FROM tk) SELECT code, day, seq::INTEGER AS seq, printf('%02d:%02d', (571 + seq + CASE WHEN seq >= 120 THEN 90 ELSE 0 END) // 60, (571 + seq + CASE WHEN seq >= 120 THEN 90 ELSE 0 END) % 60) AS time, round(round(price * 100) / 100 + 1e-8, 6) + 0.0 AS price, volume AS number FROM l")
+def minute_line_decode(spark, d):
+    return r6(wire.minutes(wire.raw_minutes(captures.minute_lines(spark, d)), ("code", "day")))
+
+
+_RATIO = f"category IN ({', '.join(map(str, captures.RATIOS))})"
+_ACTIONS = ", ".join(f"CASE WHEN {_RATIO} THEN (value * {j})::FLOAT::DOUBLE ELSE {_volume_of(f'event_id * {j}', 128)} END AS {c}" for j, c in enumerate("abcd", 1))
+
+
+@query(s6(f"SELECT code, date, category, {', '.join(f'CASE WHEN {w} THEN {x} ELSE 0 END AS {k}' for k, (w, x) in _ROUTES.items())} FROM (SELECT code, date, category, {_ACTIONS} FROM (SELECT event_type AS code, ts::DATE AS date, (event_id % 14 + 1)::INTEGER AS category, value, event_id::BIGINT AS event_id FROM events))", " ".join(_ROUTES)))
+def corp_actions_decode(spark, d):
+    return r6(intraday.routed_actions(wire.corp_actions(wire.records(captures.actions(spark, d), "corp_actions"))))
+
+
+_SHOWN = {"total_shares": 1, "total_assets": 8, "net_assets": 16, "main_income": 17, "net_profit": 27, "net_assets_per_share": 29, "holders": 12}
+_FIN = f"{_SUPPLIERS}, fin AS (SELECT code, (balance * 1e4)::FLOAT::DOUBLE AS float_shares, (20240101 + k % 28)::BIGINT AS updated, 19991110::BIGINT AS ipo, {', '.join(f'(balance * {j})::FLOAT::DOUBLE AS {c}' for c, j in _SHOWN.items())} FROM su)"
+
+
+@query(f"WITH {_FIN} " + s6("SELECT * FROM fin", " ".join(["float_shares", *_SHOWN])))
+def finance_decode(spark, d):
+    return r6(wire.finance(captures.finances(spark, d)).select("code", "float_shares", "updated", "ipo", *_SHOWN))
+
+
+def _shown(column: str, scale: str, places: int = 2) -> str:
+    return f"printf('%.{places}f', round({column} / {scale}, 6))"
+
+
+@query(f"WITH {_FIN} SELECT code, '总股本: ' || {_shown('total_shares', '1e4')} || '万股  流通股本: ' || {_shown('float_shares', '1e4')} || '万股' AS shares_line, '总资产: ' || {_shown('total_assets', '1e9')} || '亿元  净资产: ' || {_shown('net_assets', '1e9')} || '亿元' AS assets_line, '每股净资产: ' || {_shown('net_assets_per_share', '1', 4)} || '元  股东人数: ' || round(holders)::BIGINT::VARCHAR AS holders_line FROM fin")
+def finance_lines(spark, d):
+    return intraday.finance_display(wire.finance(captures.finances(spark, d))).select("code", "shares_line", "assets_line", "holders_line")
+
+
+@query(f"WITH {_FIN} SELECT code AS key, round(total_shares + 1e-8, 6) + 0.0 AS total_shares, updated, ({_NOW} + 7 * 86400)::BIGINT AS expires_at FROM fin")
+def metadata_cache(spark, d):
+    """Typed snapshots as JSON in the cache, and read back while they are valid."""
+    rows = wire.finance(captures.finances(spark, d)).select(F.lit("finance").alias("bucket"), F.col("code").alias("key"), F.to_json(F.struct("total_shares", "updated")).alias("value"))
+    cache = store.put_entries(spark.createDataFrame([], "bucket string, key string, value string, created_at long, expires_at long"), rows, F.lit(_NOW))
+    valid = store.valid_entries(cache, F.lit(_NOW + 60))
+    return r6(valid.select("key", F.from_json("value", "total_shares double, updated long").alias("v"), "expires_at").select("key", "v.total_shares", "v.updated", "expires_at"))
+
+
+@query("SELECT lpad(p_partkey::VARCHAR, 6, '0') AS code, p_type AS part FROM part")
+def company_contents(spark, d):
+    """One section of each company's file, by its table of contents."""
+    responses, files = captures.contents(spark, d)
+    toc = wire.records(responses, "company_toc")
+    found = textsections.from_toc(toc.withColumns({"name": wire.text_of(F.col("name")), "filename": wire.text_of(F.col("filename"))}), files, "类型")
+    return found.select("code", F.decode("part", "UTF-8").alias("part"))
+
+
+@query("SELECT event_type AS code, (hour(ts) * 60 + minute(ts))::INTEGER AS minute, round(value::FLOAT::DOUBLE + 1e-8, 6) + 0.0 AS price, (event_id % 100000)::BIGINT AS match, CASE WHEN u < 0 THEN -1 ELSE 1 END AS flag, abs(u) AS unmatched, CASE WHEN u < 0 THEN '卖' ELSE '买' END AS side, second(ts)::INTEGER AS second FROM (SELECT *, (event_id % 2000 - 1000)::BIGINT AS u FROM events)")
+def auction_decode(spark, d):
+    return r6(intraday.auction(wire.records(captures.auctions(spark, d), "auctions")).drop("day"))
+
+
+@query(f"WITH {_SUPPLIERS} SELECT code, '平安' || (k % 1000)::VARCHAR AS name FROM su")
+def security_list_decode(spark, d):
+    found = wire.records(captures.securities(spark, d), "securities")
+    return found.select(wire.text_of(F.col("code")).alias("code"), wire.text_of(F.col("name")).alias("name"))
+
+
+@query("SELECT event_type AS code, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS seq, (event_id * 7919 % 2147483648 - 1073741824)::BIGINT AS value FROM events")
+def varint_decode(spark, d):
+    return wire.varints(captures.numbers(spark, d))
+
+
+@query("SELECT n_nationkey, '国家' || n_name AS name FROM nation")
+def gbk_decode(spark, d):
+    return captures.gbk_names(spark, d).select("n_nationkey", wire.text_of(F.col("body")).alias("name"))
+
+
+@query("SELECT p_partkey::BIGINT AS code, p_name AS name FROM part")
+def jsonp_decode(spark, d):
+    found = wire.jsonp(captures.jsonp(spark, d), "t", "array<struct<code:bigint,name:string>>")
+    return found.select(F.explode("parsed").alias("x")).select("x.code", "x.name")
+
+
+@query(o.with_(o.indicators(), "SELECT code, ts, close >= open AS rising, hist >= 0 AS hist_rising, CASE WHEN ma_5 > ma_10 AND ma_10 > ma_20 THEN 'bull' WHEN ma_5 < ma_10 AND ma_10 < ma_20 THEN 'bear' ELSE 'mixed' END AS ma_label FROM ind"))
+def display_flags(spark, d):
+    return signals.display_flags(indicators.indicators(fx.bars_d(spark, d))).select("code", "ts", "rising", "hist_rising", "ma_label")
+
+
+@query(o.SECTIONS)
 def text_sections(spark, d):
-    """All documents' sections; without SQL, as it is checked line by line in the tests."""
+    """All documents' sections."""
     parts = textsections.sections(fx.table(spark, d, "documents"))
-    return parts.select("doc_id", "seq", "type", F.to_json("content").alias("content"), "text")
+    return parts.select("doc_id", F.col("seq").cast("long").alias("seq"), "type", F.to_json("content").alias("content"), "text")
 
 
 def queries() -> dict[str, Query]:

@@ -57,6 +57,10 @@ def volume(code: Column, unit: int = 64) -> Column:
     return power + most + power * third / 32768.0 * fine + power * last / 8388608.0 * fine
 
 
+#: Decoded rows that are handed on together, at least.
+_ROWS = 20_000
+
+
 def _each(rows: DataFrame, data: str, schema: str, decode: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
     """rows without `data`, each as often as decode() has rows for it, with those rows' columns. Bytes that
     don't follow the format give the rows before they stop to."""
@@ -66,11 +70,21 @@ def _each(rows: DataFrame, data: str, schema: str, decode: Callable[[bytes], Ite
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            of, found = [], []
+
+            def made(of=of, found=found, batch=batch) -> pd.DataFrame:
+                return pd.concat([batch[kept].iloc[of].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
+
             for i, raw in enumerate(batch[data]):
-                found = list(decode(bytes(raw))) if raw is not None else []
-                if found:
-                    own = batch[kept].iloc[[i] * len(found)].reset_index(drop=True)
-                    yield pd.concat([own, pd.DataFrame(found, columns=names)], axis=1)
+                own = list(decode(bytes(raw))) if raw is not None else []
+                of += [i] * len(own)
+                found += own
+                if len(found) >= _ROWS:  # rows of a few large responses don't pile up
+                    yield made()
+                    of.clear()
+                    found.clear()
+            if found:
+                yield made()
 
     head = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != data)
     return rows.mapInPandas(run, f"{head}, {schema}" if head else schema)
@@ -343,6 +357,18 @@ def jsonp(rows: DataFrame, column: str, schema: str) -> DataFrame:
     return rows.withColumn("parsed", F.from_json(F.regexp_extract(column, r"(?s)^[^(]*\((.*)\)\s*;?\s*$", 1), schema))
 
 
+def varints(rows: DataFrame, data: str = "body") -> DataFrame:
+    """The numbers that binary data is made of, in order: seq, value."""
+
+    def decode(raw: bytes) -> Iterator[tuple]:
+        r, seq = _Reader(raw), 0
+        while r.left():
+            yield seq, *r.varints(1)
+            seq += 1
+
+    return _each(rows, data, "seq long, value long", decode)
+
+
 def byte_range(content: Column, start: Column, length: Column) -> Column:
     """Bytes of a file's content from 0-based start."""
     return F.substring(content, start + 1, length)
