@@ -13,40 +13,36 @@ from barloom.operators.signals import kdj_cross, ma_cross, macd_cross
 KINDS = {"MACD": macd_cross, "KDJ": kdj_cross, "MA(5,10)": lambda: ma_cross(5, 10)}
 
 
-def crosses(frame: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
-    """Each cross of an indicator frame with its bar: 1 or -1 in c."""
-    found = F.array(*[F.struct(F.lit(name).alias("indicator"), F.lit(rank).alias("rank"), KINDS[name]().alias("c")) for rank, name in enumerate(KINDS) if name in kinds])
-    return frame.select("code", "ktype", "ts", "i", "close", F.explode(F.filter(found, lambda x: x["c"] != 0)).alias("x")).select("code", "ktype", "ts", "i", "close", "x.*")
-
-
-def paired(found: DataFrame) -> DataFrame:
-    """One row per cycle. Deaths before a row number its group; in a group the first golden buys and the one
-    death, its last row, sells. What is open at the end is dropped."""
+def _held(frame: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """The bars of each cycle, from the golden cross that buys to the death cross that sells, for each indicator: c
+    is 1 or -1 at a cross, g numbers the cycle. Cycles of one indicator don't overlap, so a running count and the
+    last crosses tell each bar its cycle; the windows keep the frame's own partitioning."""
+    each = F.array(*[F.struct(F.lit(name).alias("indicator"), F.lit(rank).alias("rank"), KINDS[name]().alias("c")) for rank, name in enumerate(KINDS) if name in kinds])
+    marked = frame.select("code", "ktype", "ts", "i", "close", F.explode(each).alias("x")).select("code", "ktype", "ts", "i", "close", "x.*")
+    upto = Window.partitionBy("code", "ktype", "indicator").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("code", "ktype", "indicator").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    groups = found.withColumn("g", F.coalesce(F.count_if(F.col("c") == -1).over(before), F.lit(0)))
-    at = F.struct("i", "ts", "close")
-    cycles = groups.groupBy("code", "ktype", "indicator", "rank", "g").agg(F.min(F.when(F.col("c") == 1, at)).alias("buy"), F.max(F.when(F.col("c") == -1, at)).alias("sell"))
-    return cycles.where(F.col("buy").isNotNull() & F.col("sell").isNotNull())
-
-
-def with_outcome(cycles: DataFrame, bars: DataFrame) -> DataFrame:
-    """Return, days held, and the largest profit and loss on the way, in percent of the buying price. The bars
-    of a cycle's span are met by code and a bound on i: a range join within one code."""
-    span = bars.select(F.col("code").alias("c2"), F.col("ktype").alias("k2"), F.col("i").alias("i2"), F.col("close").alias("at"))
-    met = cycles.join(span, (F.col("code") == F.col("c2")) & (F.col("ktype") == F.col("k2")) & F.col("i2").between(F.col("buy.i"), F.col("sell.i")))
-    pct = (F.col("at") - F.col("buy.close")) / F.col("buy.close") * 100
-    out = met.groupBy("code", "ktype", "indicator", "rank", "buy", "sell").agg(F.max(pct).alias("up"), F.min(pct).alias("down"))
-    profit = (F.col("sell.close") - F.col("buy.close")) / F.col("buy.close") * 100
-    return out.select(
-        "code", "ktype", "indicator", "rank", F.col("buy.ts").alias("buy_ts"), F.col("sell.ts").alias("sell_ts"), F.col("buy.i").alias("buy_i"), F.col("sell.i").alias("sell_i"),
-        F.col("buy.close").alias("buy_price"), F.col("sell.close").alias("sell_price"), profit.alias("return_pct"), (F.col("sell.i") - F.col("buy.i")).alias("hold_days"),
-        round_half_away(F.greatest("up", F.lit(0.0))).alias("max_profit"), round_half_away(F.least("down", F.lit(0.0))).alias("max_loss"),
-    )
+    death = F.coalesce(F.max(F.when(F.col("c") == -1, F.col("i"))).over(before), F.lit(-1))
+    marked = marked.withColumns({"g": F.coalesce(F.count_if(F.col("c") == -1).over(before), F.lit(0)), "golden": F.max(F.when(F.col("c") == 1, F.col("i"))).over(upto), "death": death})
+    return marked.where(F.col("golden") > F.col("death"))
 
 
 def cycles(frame: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
-    """All cycles of an indicator frame. Rows read twice: for the crosses, and for what lies between."""
-    return with_outcome(paired(crosses(frame, kinds)), frame)
+    """All cycles of an indicator frame: return, days held, and the largest profit and loss on the way, in percent
+    of the buying price. The first golden cross buys; what is open at the end is dropped."""
+    at, buys, sells = F.struct("i", "ts", "close"), F.col("c") == 1, F.col("c") == -1
+    found = _held(frame, kinds).groupBy("code", "ktype", "indicator", "rank", "g").agg(
+        F.min(F.when(buys, at)).alias("buy"), F.max(F.when(sells, at)).alias("sell"), F.max("close").alias("most"), F.min("close").alias("least")
+    )
+
+    def percent(price: Column) -> Column:
+        return (price - F.col("buy.close")) / F.col("buy.close") * 100
+
+    most, least = percent(F.col("most")), percent(F.col("least"))
+    return found.where(F.col("sell").isNotNull()).select(
+        "code", "ktype", "indicator", "rank", F.col("buy.ts").alias("buy_ts"), F.col("sell.ts").alias("sell_ts"), F.col("buy.i").alias("buy_i"), F.col("sell.i").alias("sell_i"),
+        F.col("buy.close").alias("buy_price"), F.col("sell.close").alias("sell_price"), percent(F.col("sell.close")).alias("return_pct"), (F.col("sell.i") - F.col("buy.i")).alias("hold_days"),
+        round_half_away(F.greatest(most, least, F.lit(0.0))).alias("max_profit"), round_half_away(F.least(most, least, F.lit(0.0))).alias("max_loss"),
+    )
 
 
 def cycle_summary(found: DataFrame, *keys: str) -> DataFrame:

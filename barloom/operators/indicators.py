@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -159,19 +159,21 @@ def with_recurrences(rows: DataFrame, c: Config, emas: tuple[int, ...] = (), key
     names = ["dif", "dea", "hist", "macd_gap_before", "k", "d", "j", "kdj_gap_before", *[f"rsi_{p}" for p in c.rsi], *[f"ema_{p}" for p in emas]]
     columns = rows.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, series = None, None
         for batch in batches:
             out = []
-            for own, i, n, close, rsv_ in zip(zip(*[batch[k] for k in keys], strict=True), batch["i"].tolist(), batch["n"].tolist(), batch["close"].tolist(), batch["rsv"].tolist(), strict=True):
+            used = [batch.column(c).to_pylist() for c in (*keys, "i", "n", "close", "rsv")]
+            for *own, i, n, close, rsv_ in zip(*used, strict=True):
                 if own != key:
                     key, series = own, _Series(n, c, emas)
                 out.append(series.step(i, close, rsv_))
-            made = pd.DataFrame(np.array(out, dtype=float).reshape(len(out), len(names)), columns=names)
-            yield pd.concat([batch.reset_index(drop=True), made], axis=1)
+            made = np.array(out, dtype=float).reshape(len(out), len(names)).T
+            # All other columns pass as they are.
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, mask=np.isnan(x)) for x in made]], [*columns, *names])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], *[f"{x} double" for x in names]])
-    return rows.sortWithinPartitions(*keys, "i").select(*columns).mapInPandas(run, schema)
+    return rows.sortWithinPartitions(*keys, "i").select(*columns).mapInArrow(run, schema)
 
 
 def ema(bars: DataFrame, periods: tuple[int, ...]) -> DataFrame:

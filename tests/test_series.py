@@ -125,9 +125,9 @@ def test_cycles_are_those_of_a_state_machine(spark):
     rng = random.Random(4)
     runs = {f"{k:03}": [rng.choice([-1, 0, 0, 1]) for _ in range(120)] for k in range(30)}
     closes = {k: [round(rng.uniform(1, 9), 2) for _ in v] for k, v in runs.items()}
-    rows = [(k, 9, literal.DAY0 + datetime.timedelta(days=i), i, closes[k][i], "X", 0, x) for k, v in runs.items() for i, x in enumerate(v) if x]
-    found = spark.createDataFrame(rows, "code string, ktype int, ts timestamp, i int, close double, indicator string, rank int, c int")
-    got = {(r.code, r.buy.i, r.sell.i) for r in cycles.paired(found).collect()}
+    rows = [(k, 9, literal.DAY0 + datetime.timedelta(days=i), i, closes[k][i], float(x), 0.0, -float(x)) for k, v in runs.items() for i, x in enumerate(v)]
+    frame = spark.createDataFrame(rows, "code string, ktype int, ts timestamp, i int, close double, dif double, dea double, macd_gap_before double")
+    got = {(r.code, r.buy_i, r.sell_i) for r in cycles.cycles(frame, ("MACD",)).collect()}
     assert got == {(k, a, b) for k, v in runs.items() for a, b, _ in literal.cycles(v, closes[k])}
 
 
