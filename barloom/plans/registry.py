@@ -635,13 +635,14 @@ def workday_insert_ignore(spark, d):
 
 @query(o.with_(o.bars("h"), s6("SELECT code, ts, open, high, low, close, volume, amount FROM bars", BAR_DOUBLES)))
 def stream_bars(spark, d):
-    """Hourly bars by a stream over the events, whole."""
+    """Hourly bars by a stream over the events: what a batch changes goes into a store."""
     out = work_folder(spark, "stream-bars")
     events = spark.readStream.schema(fx.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     trades = events.select(F.col("event_type").alias("code"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1).alias("volume"))
     made = streaming.bars(trades, 3)
-    made.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}.state").trigger(availableNow=True).start().awaitTermination()
-    return r6(spark.read.schema(made.schema).parquet(out).drop("ktype"))
+    kept = store.BarStore(spark, out)
+    streaming.upsert_into(made, kept, f"{out}.state").awaitTermination()
+    return r6(kept.read().select("code", "ts", *BAR_DOUBLES.split()))
 
 
 @query(o.with_(o.indicators(), s6("SELECT code, ts, dif, dea, hist, k, d, j, rsi_6, rsi_12, rsi_24 FROM ind", "dif dea hist k d j rsi_6 rsi_12 rsi_24")))
