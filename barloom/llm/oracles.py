@@ -17,10 +17,16 @@ win AS (SELECT DISTINCT item, n, array_to_string(w[k + 1 : k + n], ' ') AS g FRO
 grams AS (SELECT doc_id, n, k, array_to_string(w[k + 1 : k + n], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
 found AS (SELECT doc_id, item, k, n FROM grams JOIN win USING (n, g)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM found)) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id),
+own AS (SELECT item, k, n, o, lower(w[k + o + 1]) AS term FROM (SELECT item, w, k, n, unnest(range(n)) AS o FROM (SELECT item, w, least(len(w), 13) AS n, unnest(range(len(w) - least(len(w), 13) + 1)) AS k FROM it WHERE len(w) > 0))),
+spot AS (SELECT doc_id, lower(w[p + 1]) AS term, p FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d)),
+often AS (SELECT term, count(*) AS times FROM spot GROUP BY term),
+ranked AS (SELECT item, k, n, term, row_number() OVER (PARTITION BY item, k ORDER BY times, term, o) AS r, count(*) OVER (PARTITION BY item, k) AS present FROM own JOIN often USING (term)),
+rare AS (SELECT DISTINCT item, t1, t2 FROM (SELECT item, k, max(term) FILTER (r = 1) AS t1, max(term) FILTER (r = 2) AS t2 FROM ranked WHERE present = n GROUP BY item, k) WHERE t2 IS NOT NULL),
+near AS (SELECT x.doc_id, count(DISTINCT item) AS n_near FROM rare JOIN spot x ON x.term = t1 JOIN spot y ON y.term = t2 AND y.doc_id = x.doc_id WHERE abs(x.p - y.p) BETWEEN 1 AND 13 GROUP BY x.doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_near, 0) AS n_near, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 NEAR_COPIES = rf"""
