@@ -37,7 +37,9 @@ def reduce(counts: Counter, capacity: int) -> list[Pattern]:
     piece j with room r beside it, and i the longest other piece that fits there:
     - nothing fits: j alone;
     - i fills r, or no two others fit: j with i, as whatever stood beside j can stand where i was;
-    - no three others fit, and no two that fit are together longer than i: j with i, for the same reason."""
+    - no three others fit, and no two that fit are together longer than i: j with i, for the same reason;
+    - no three others fit, the two longest together that fit are i and some b, and no two longer than b fit:
+      j with i and b, as of any two beside j one can stand where i was and the other where b was."""
     fixed: list[Pattern] = []
     lengths = sorted(k for k, n in counts.items() if n)
 
@@ -57,9 +59,10 @@ def reduce(counts: Counter, capacity: int) -> list[Pattern]:
                 break
         return out
 
-    def longest_pair(j: int, room: int) -> int:
-        """The greatest sum up to room of two pieces other than one j."""
-        best, low, high = 0, 0, bisect.bisect_right(lengths, room) - 1
+    def longest_pair(j: int, room: int) -> tuple[int, int]:
+        """The two pieces other than one j with the greatest sum up to room, the shorter first; of equal sums
+        those furthest apart."""
+        best, low, high = (0, 0), 0, bisect.bisect_right(lengths, room) - 1
         while low <= high:
             a, b = lengths[low], lengths[high]
             if a + b > room or (low == high and counts[a] - (a == j) < 2) or not counts[b] - (b == j):
@@ -67,10 +70,20 @@ def reduce(counts: Counter, capacity: int) -> list[Pattern]:
             elif not counts[a] - (a == j):
                 low += 1
             else:
-                best = max(best, a + b)
+                if a + b > sum(best):
+                    best = (a, b)
                 low += 1
         return best
 
+    def two_longer(j: int, i: int, b: int) -> list[int]:
+        """The two shortest pieces longer than b, other than one j and one i."""
+        out: list[int] = []
+        for k in lengths[bisect.bisect_right(lengths, b) :]:
+            out += [k] * min(counts[k] - (k == j) - (k == i), 2 - len(out))
+            if len(out) == 2:
+                break
+        return out
+
     changed = True
     while changed:
         changed = False
@@ -86,9 +99,18 @@ def reduce(counts: Counter, capacity: int) -> list[Pattern]:
                 i = lengths[at]
                 if i == j and counts[j] == 1:
                     i = lengths[at - 1]
-                if not (i == room or len(small) == 1 or small[0] + small[1] > room or ((len(small) == 2 or sum(small) > room) and longest_pair(j, room) <= i)):
-                    break
-                take(counts[j] // 2 if i == j else min(counts[j], counts[i]), j, i)
+                chosen = [j, i]
+                if not (i == room or len(small) == 1 or small[0] + small[1] > room):
+                    if len(small) == 3 and sum(small) <= room:
+                        break
+                    b, a = longest_pair(j, room)
+                    if a + b > i:
+                        longer = two_longer(j, i, b)
+                        if a != i or (len(longer) == 2 and sum(longer) <= room):
+                            break
+                        chosen.append(b)
+                # What is left of a set's lengths meets the same condition as long as the set is there.
+                take(min(counts[k] // n for k, n in Counter(chosen).items()), *chosen)
                 changed = True
     return fixed
 

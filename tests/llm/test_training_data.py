@@ -460,11 +460,13 @@ def fewest(lengths, capacity):
 
 def test_reduction_keeps_a_best_packing():
     rng = np.random.default_rng(2)
-    for _ in range(300):
+    of_three = 0
+    for _ in range(600):
         capacity = int(rng.choice([10, 20, 50]))
-        lengths = sorted(rng.integers(1, capacity + 1, rng.integers(1, 9)).tolist(), reverse=True)
+        lengths = sorted(rng.integers(rng.integers(1, capacity // 4 + 1), capacity * 3 // 4 + rng.integers(1, capacity // 4 + 1), rng.integers(1, 10)).tolist(), reverse=True)
         left = Counter(lengths)
         fixed = packing.reduce(left, capacity)
+        of_three += sum(sum(n for _, n in content) == 3 for content, _ in fixed)
         assert sum(t for _, t in fixed) + (fewest(sorted(left.elements(), reverse=True), capacity) if left.total() else 0) == fewest(lengths, capacity)
         held = Counter()
         for content, times in packing.plan(Counter(lengths), capacity):
@@ -472,6 +474,15 @@ def test_reduction_keeps_a_best_packing():
             for k, n in content:
                 held[k] += n * times
         assert held == Counter(lengths)
+    assert of_three > 20
+
+
+def test_sets_of_three_are_fixed():
+    left = Counter({60: 2, 30: 2, 10: 2, 25: 1})
+    assert (((60, 1), (30, 1), (10, 1)), 2) in packing.reduce(left, 100) and not left.total()
+    # 29 and 11 beside 60 leave out 20 and 20, which may be as good.
+    left = Counter({60: 1, 29: 1, 11: 1, 20: 2, 95: 1})
+    assert (((60, 1), (29, 1), (11, 1)), 1) not in packing.reduce(left, 100)
 
 
 def check_packing(rows, source, capacity):
