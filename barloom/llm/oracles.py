@@ -40,3 +40,26 @@ reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN bot
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(c.m, d.doc_id)) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) c USING (doc_id)
 """
+
+#: Kind, pattern, counted group, least characters of it.
+_SECRETS = (
+    ("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"\x27]?\x20*[:=]\x20*[\"\x27]?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+)
+# Matches and the gaps between them alternate, so a match begins after the gaps up to it and the matches before.
+_FOUND = " UNION ALL ".join(
+    f"SELECT {rank} AS rank, '{kind}' AS kind, {least} AS least, doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS part, "
+    f"list_transform(regexp_split_to_array(t, '{pattern}'), lambda g: length(g)) AS gaps FROM d"
+    for rank, (kind, pattern, group, least) in enumerate(_SECRETS)
+)
+SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({_FOUND}),
+each AS (SELECT rank, kind, least, doc_id, unnest(m) AS m, unnest(part) AS part, unnest(gaps[1 : len(m)]) AS gap, unnest(range(len(m))) AS nth FROM found WHERE len(m) > 0),
+placed AS (SELECT *, sum(gap + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY nth) AS stop FROM each),
+spans AS (SELECT doc_id, rank, kind, (stop - length(m))::BIGINT AS start, stop::BIGINT AS stop FROM placed WHERE length(part) >= least),
+own AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, sha256(t) AS blob_sha256 FROM d LEFT JOIN own USING (doc_id)
+"""

@@ -20,4 +20,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_bbit_minhash": oracles.NEAR_COPIES, "op8_benchmark_decontamination": oracles.CONTAMINATION, "op10_distinct_site_lines": oracles.LINES}
+    return {"op3_bbit_minhash": oracles.NEAR_COPIES, "op8_benchmark_decontamination": oracles.CONTAMINATION, "op9_blob_ledger_secrets": oracles.SECRETS, "op10_distinct_site_lines": oracles.LINES}

@@ -10,12 +10,13 @@ import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barloom.llm import decontaminate, html_extract, langid, line_dedup, media, minhash, packing, secret_scan, sharding, token_shards, tokens
+from barloom.llm import decontaminate, html_extract, langid, line_dedup, media, minhash, oracles, packing, secret_scan, sharding, token_shards, tokens
 from barloom.llm.common import shared_folder
 from barloom.llm.files import read_range
 
@@ -676,6 +677,11 @@ def test_secrets_match_a_scan(spark, docs, odd, none):
         ledger.scan(source)
         got = by_id(ledger.report(source), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
         assert got == sorted(((d, *brute.secrets(t)) for d, t in pairs(source)), key=str)
+        if source is not odd:  # SQL joins by id
+            con = duckdb.connect()
+            con.register("documents", source.select("doc_id", "text").toArrow())
+            rows = con.execute(f"SELECT doc_id, n_assign, n_access, n_hex, base_sha256, spans FROM ({oracles.SECRETS})").fetchall()
+            assert sorted(rows, key=str) == got
     ledger = secret_scan.Ledger(spark, shared_folder(spark, "l"))
     ledger.scan(none)
     assert ledger.report(none).count() == 0
