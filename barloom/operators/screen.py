@@ -44,21 +44,21 @@ def latest_buys(found: DataFrame) -> DataFrame:
     return latest(found).where(F.col("type").isin(*BUYS))
 
 
-def with_any(rows: DataFrame, found: DataFrame, signal: str) -> DataFrame:
-    """rows of the series that ever had a signal of the named type; none for an unknown name."""
-    if signal not in SCREENED:
-        return rows.limit(0)
-    return rows.join(found.where(F.col("type") == SCREENED[signal]).select("code", "ktype").distinct(), ["code", "ktype"], "left_semi")
-
-
-def table(frame: DataFrame, found: DataFrame, order: Column | None = None) -> DataFrame:
-    """The newest bar of each series with its indicators and the signals of that bar, "-" if there are none."""
-    last = last_rows(frame)
-    of_bar = found.groupBy("code", "ktype", "ts").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("detector", "sub", F.concat("indicator", "type").alias("s")))), lambda x: x["s"]), ", ").alias("signals")
-    )
-    out = last.join(of_bar, ["code", "ktype", "ts"], "left").select(
-        "code", "ktype", "ts", "close", "change", "change_pct", "ma_5", "ma_10", "ma_20", "dif", "dea", "k", "d", "j", "rsi_6", F.coalesce("signals", F.lit("-")).alias("signals")
+def with_any(bars: DataFrame, signal: str, keep: tuple[str, ...] = ("close",)) -> DataFrame:
+    """code, ktype and the columns in keep of the newest bar of each series that ever had a signal of the named
+    type; none for an unknown name. bars hold their signals, so one pass over them tells both, and what a task
+    found of a series is a row of the shuffle."""
+    last = F.max_by(F.struct(*keep), "i").alias("last")
+    had = F.max(F.exists("signals", lambda s: s["type"] == SCREENED.get(signal))).alias("had")
+    return bars.groupBy("code", "ktype").agg(last, had).where("had").select("code", "ktype", "last.*")
+
+
+def table(bars: DataFrame, order: Column | None = None) -> DataFrame:
+    """The newest bar of each series with its indicators and its signals, "-" if there are none. bars hold their
+    signals in order."""
+    told = F.array_join(F.transform("signals", lambda s: F.concat(s["indicator"], s["type"])), ", ")
+    out = last_rows(bars).select(
+        "code", "ktype", "ts", "close", "change", "change_pct", "ma_5", "ma_10", "ma_20", "dif", "dea", "k", "d", "j", "rsi_6", F.when(F.size("signals") > 0, told).otherwise("-").alias("signals")
     )
     return out if order is None else out.orderBy(order)
 

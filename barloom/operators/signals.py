@@ -113,20 +113,27 @@ def _rsi(c: Config) -> list[Column]:
     return out
 
 
-def signals(frame: DataFrame, c: Config = Config(), detect: Detect = Detect(), by_trend: bool = True) -> DataFrame:
-    """Signals of an indicator frame. With by_trend, crosses of MACD, KDJ and the means go where the series'
-    trend is sideways or unknown; in either trend all stay.
+def on_bars(frame: DataFrame, c: Config = Config(), detect: Detect = Detect(), by_trend: bool = True) -> DataFrame:
+    """An indicator frame with each bar's signals as an array `signals`, empty if there are none. With by_trend,
+    crosses of MACD, KDJ and the means go where the series' trend is sideways or unknown; in either trend all stay.
 
     Of signals on one bar, `detector` and `sub` give the order: MACD, KDJ, BOLL, MA, RSI, then as listed
     within each, RSI by period."""
     found = [s for on, part in ((detect.macd, _macd()), (detect.kdj, _kdj()), (detect.boll, _boll()), (detect.ma, _ma(c)), (detect.rsi, _rsi(c))) if on for s in part]
     if not found:
         raise ValueError("at least one detector must be on")
-    each = frame.select("code", "ktype", "ts", "i", "trend", F.explode(F.filter(F.array(*found), lambda s: s.isNotNull())).alias("s")).select("code", "ktype", "ts", "i", "s.*", "trend")
-    if by_trend:
-        crosses = F.col("type").isin(GOLDEN, DEATH) & F.col("detector").isin(0, 1, 3)
-        each = each.where(~(crosses & F.col("trend").isin("unknown", "sideways")))
-    return each.select(*COLUMNS)
+
+    def stays(s: Column) -> Column:
+        cross = s["type"].isin(GOLDEN, DEATH) & s["detector"].isin(0, 1, 3)
+        return s.isNotNull() & ~(cross & F.col("trend").isin("unknown", "sideways")) if by_trend else s.isNotNull()
+
+    return frame.withColumn("signals", F.filter(F.array(*found), stays))
+
+
+def signals(frame: DataFrame, c: Config = Config(), detect: Detect = Detect(), by_trend: bool = True) -> DataFrame:
+    """The signals of on_bars(), a row each."""
+    each = on_bars(frame, c, detect, by_trend).select("code", "ktype", "ts", "i", "trend", F.explode("signals").alias("s"))
+    return each.select("code", "ktype", "ts", "i", "s.*", "trend").select(*COLUMNS)
 
 
 def state_labels(frame: DataFrame) -> DataFrame:

@@ -258,14 +258,17 @@ _FWD = ", ".join(f"CASE WHEN close > 0 THEN (lead(close, {k}) OVER (PARTITION BY
 _CHG = " ".join(f"chg_{k}" for k in _DAYS)
 
 
-def _backtested(spark, d):
-    frame = indicators.indicators(fx.bars_d(spark, d)).persist()
-    return frame, backtest.dedup_states(signals.signals(frame))
+def _deduped(spark, d):
+    return backtest.dedup_states(signals.signals(indicators.indicators(fx.bars_d(spark, d))))
+
+
+def _outcomes(spark, d):
+    return backtest.outcomes(_deduped(spark, d), indicators.ordered(fx.bars_d(spark, d)))
 
 
 @query(o.with_(f"{o.signals()}, {_DEDUP}", s6(f"{_SIG} dd WHERE {_DEDUP_WHERE}", "strength")))
 def signal_dedup(spark, d):
-    return r6(_backtested(spark, d)[1].select("code", "ts", "i", "type", "indicator", "details", "strength"))
+    return r6(_deduped(spark, d).select("code", "ts", "i", "type", "indicator", "details", "strength"))
 
 
 @query(o.with_(o.numbered(), s6(f"SELECT code, ts, close, {_FWD} FROM b", f"close {_CHG}")))
@@ -281,8 +284,7 @@ out AS (SELECT dd.code, dd.ts::DATE AS day, dd.type, dd.indicator, dd.details, f
 
 @query(o.with_(_OUTCOMES, s6("SELECT * FROM out", f"price {_CHG}")))
 def signal_outcomes(spark, d):
-    frame, found = _backtested(spark, d)
-    return r6(backtest.outcomes(found, frame).drop("ktype", "ts"))
+    return r6(_outcomes(spark, d).drop("ktype", "ts"))
 
 
 _SUMS = ", ".join(f"count(chg_{k}) AS valid_{k}, coalesce(avg(CASE WHEN chg_{k} > 0 THEN 100.0 WHEN chg_{k} IS NOT NULL THEN 0 END), 0) AS win_{k}, coalesce(avg(chg_{k}), 0) AS avg_{k}" for k in _DAYS)
@@ -290,8 +292,7 @@ _SUMS = ", ".join(f"count(chg_{k}) AS valid_{k}, coalesce(avg(CASE WHEN chg_{k}
 
 @query(o.with_(_OUTCOMES, s6(f"SELECT type, action, count(*) AS count, {_SUMS} FROM out GROUP BY type, action", " ".join(f"win_{k} avg_{k}" for k in _DAYS))))
 def signal_summary(spark, d):
-    frame, found = _backtested(spark, d)
-    return r6(backtest.outcome_summary(backtest.outcomes(found, frame)))
+    return r6(backtest.outcome_summary(_outcomes(spark, d)))
 
 
 # --- screens -----------------------------------------------------------------------------------------
@@ -303,23 +304,18 @@ def _names(spark, d):
     return fx.table(spark, d, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.col("s_name").alias("name"))
 
 
-def _universe(spark, d, shared: bool = False):
-    """The indicator frame, kept if more than its signals are read, and these."""
-    frame = indicators.indicators(fx.bars_m(spark, d))
-    frame = frame.persist() if shared else frame
-    return frame, signals.signals(frame)
+def _universe(spark, d):
+    return indicators.indicators(fx.bars_m(spark, d))
 
 
 @query(o.with_(f"{o.signals('m')}, {_NAMES}", s6("SELECT code, name, ts, type, indicator, details, strength FROM kept JOIN names USING (code) QUALIFY row_number() OVER (PARTITION BY code ORDER BY ts DESC, detector DESC, sub DESC) = 1".join(("SELECT * FROM (", ") WHERE type IN ('金叉', '超卖', '跌破下轨', '多头排列')")), "strength")))
 def screen_latest_buy(spark, d):
-    frame, found = _universe(spark, d)
-    return r6(screen.named(screen.latest_buys(found), _names(spark, d)).select("code", "name", "ts", "type", "indicator", "details", "strength"))
+    return r6(screen.named(screen.latest_buys(signals.signals(_universe(spark, d))), _names(spark, d)).select("code", "name", "ts", "type", "indicator", "details", "strength"))
 
 
 @query(o.with_(f"{o.signals('m')}, {_NAMES}", s6("SELECT code, name, close FROM ind JOIN names USING (code) WHERE i = n - 1 AND code IN (SELECT code FROM kept WHERE type = '金叉')", "close")))
 def screen_any_signal(spark, d):
-    frame, found = _universe(spark, d, True)
-    hit = screen.with_any(screen.last_rows(frame).select("code", "ktype", "close"), found, "golden_cross")
+    hit = screen.with_any(signals.on_bars(_universe(spark, d)), "golden_cross")
     return r6(screen.named(hit, _names(spark, d)).select("code", "name", "close"))
 
 
@@ -328,19 +324,17 @@ _TABLE = "close change change_pct ma_5 ma_10 ma_20 dif dea k d j rsi_6"
 
 @query(o.with_(f"{o.signals('m')}, s1 AS (SELECT code, ts, string_agg(indicator || type, ', ' ORDER BY detector, sub) AS signals FROM kept GROUP BY code, ts)", s6(f"SELECT code, ind.ts, {', '.join(_TABLE.split())}, coalesce(s1.signals, '-') AS signals FROM ind LEFT JOIN s1 USING (code, ts) WHERE i = n - 1", _TABLE)))
 def screen_table(spark, d):
-    frame, found = _universe(spark, d, True)
-    return r6(screen.table(frame, found).drop("ktype"))
+    return r6(screen.table(signals.on_bars(_universe(spark, d))).drop("ktype"))
 
 
 @query(o.with_(o.signals("m"), "SELECT type, count(*) AS n FROM kept GROUP BY type"))
 def signal_counts(spark, d):
-    return screen.counts_by_type(_universe(spark, d)[1])
+    return screen.counts_by_type(signals.signals(_universe(spark, d)))
 
 
 @query(o.with_(o.indicators("m"), f"SELECT code, ts FROM ind WHERE i = n - 1 AND {o.MA_CROSS[5, 10]} = 1"))
 def screen_ma_cross_today(spark, d):
-    frame = indicators.indicators(fx.bars_m(spark, d))
-    return screen.last_rows(frame).where(signals.ma_cross(5, 10) == 1).select("code", "ts")
+    return screen.last_rows(_universe(spark, d)).where(signals.ma_cross(5, 10) == 1).select("code", "ts")
 
 
 # --- securities --------------------------------------------------------------------------------------

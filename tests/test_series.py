@@ -181,7 +181,7 @@ def test_parameters():
 def test_screens(spark):
     frame = indicators.indicators(series(spark, [100 + i for i in range(40)], "up").union(series(spark, [200 - i for i in range(70)], "down")))
     found = signals.signals(frame)
-    assert {r.code for r in screen.with_any(screen.last_rows(frame), found, "overbought").collect()} == {"up"}
-    assert screen.with_any(screen.last_rows(frame), found, "nonsense").count() == 0
+    assert {r.code for r in screen.with_any(signals.on_bars(frame), "overbought").collect()} == {"up"}
+    assert screen.with_any(signals.on_bars(frame), "nonsense").count() == 0
     assert {(r.code, r.type) for r in screen.latest_buys(found).collect()} <= {("up", "多头排列"), ("down", "超卖")}
-    assert {r.code for r in screen.table(frame, found).collect()} == {"up", "down"}
+    assert {r.code for r in screen.table(signals.on_bars(frame)).collect()} == {"up", "down"}
