@@ -35,16 +35,16 @@ def insert_missing(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ..
 
 
 class BarStore:
-    """Bars as Parquet, a folder for each ktype and range of codes, so that a scan of a code reads one and an
-    upsert rewrites those that it touches alone."""
+    """Bars as Parquet, a folder for each ktype and bucket of codes, so that a scan of a code reads one and an
+    upsert rewrites those that it touches alone. A store keeps the number of buckets that it began with, and has
+    one writer at a time."""
 
-    BUCKETS = 64
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+        self._staged = f"{path.rstrip('/')}.staged"
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("code"), F.lit(self.BUCKETS)).cast("int")
+        return F.pmod(F.xxhash64("code"), F.lit(self.buckets)).cast("int")
 
     def read(self) -> DataFrame:
         try:
@@ -56,7 +56,7 @@ class BarStore:
 
     def scan(self, code: str, ktype: int) -> DataFrame:
         """One code's bars. The bucket is computed here, so that partitions are pruned."""
-        bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(code)), F.lit(self.BUCKETS)).cast("int")).first()[0]
+        bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(code)), F.lit(self.buckets)).cast("int")).first()[0]
         try:
             table = self.spark.read.schema(f"{BARS}, bucket int").option("basePath", self.path).parquet(self.path)
         except AnalysisException as e:
@@ -71,10 +71,24 @@ class BarStore:
         fresh = incoming.select(*[f.strip().split()[0] for f in BARS.split(",")])
         touched = fresh.select("ktype", self._bucket().alias("bucket")).distinct()
         old = self.read().withColumn("bucket", self._bucket()).join(F.broadcast(touched), ["ktype", "bucket"], "left_semi").drop("bucket")
-        staged = f"{self.path.rstrip('/')}.staged"
-        upsert(old.select(*fresh.columns), fresh, order=order).withColumn("bucket", self._bucket()).write.mode("overwrite").parquet(staged)
-        rows = self.spark.read.schema(f"{BARS}, bucket int").parquet(staged)
-        rows.repartition("ktype", "bucket").sortWithinPartitions("ktype", "bucket", "code", "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ktype", "bucket").parquet(self.path)
+        upsert(old.select(*fresh.columns), fresh, order=order).withColumn("bucket", self._bucket()).write.mode("overwrite").parquet(self._staged)
+        self._replace()
+
+    def _replace(self) -> None:
+        """Writes the staged partitions into the store. Ranges split a large bucket, or one code's long history,
+        between tasks."""
+        rows = self.spark.read.schema(f"{BARS}, bucket int").parquet(self._staged)
+        place = ("ktype", "bucket", "code", "ts")
+        rows.repartitionByRange(*place).sortWithinPartitions(*place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ktype", "bucket").parquet(self.path)
+
+    def recover(self) -> None:
+        """Finishes a save that was interrupted while it replaced partitions; what it staged is whole by then. After
+        any other save this changes nothing."""
+        try:
+            self._replace()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
 
     def refresh_plan(self, codes: DataFrame, now: Column) -> DataFrame:
         """What to fetch for each code's daily bars at that time."""

@@ -32,7 +32,8 @@ def bars(trades: DataFrame, ktype: int, width: str = "1 hour", late: str = "10 m
 
 def upsert_into(stream: DataFrame, store: BarStore, checkpoint: str, order: Column | None = None) -> StreamingQuery:
     """Keeps a store of bars up to date with a stream of them: each batch replaces the bars with its keys. A
-    batch that runs again after a failure writes the same rows."""
+    batch that runs again after a failure writes the same rows, once what the failure interrupted is finished."""
+    store.recover()
 
     def save(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():

@@ -4,6 +4,7 @@ import datetime
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,22 @@ def test_bar_store(spark):
     assert {r.code: r.action for r in plan.collect()} == {"a": "today", "z": "all"}
 
 
+def test_an_interrupted_save_is_finished(spark):
+    s = store.BarStore(spark, work_folder(spark, "bars"), buckets=2)
+    s.recover()
+    assert s.read().count() == 0
+    s.save(bar_rows(spark, [(c, d, d) for c in "abcdef" for d in range(3)]))
+    kept = sorted(s.read().collect())
+    top = Path(s.path.removeprefix("file://"))
+    gone = next(top.glob("ktype=9/bucket=*"))
+    gone.rename(top.parent / f"{top.name}-{gone.name}")
+    assert s.read().count() < len(kept)
+    s.recover()
+    assert sorted(s.read().collect()) == kept
+    s.recover()
+    assert sorted(s.read().collect()) == kept
+
+
 def test_pages_and_stops(spark):
     rows = bar_rows(spark, [("a", d, d) for d in range(10)] + [("b", d, 1) for d in range(3)])
     assert sorted((r.code, r.close) for r in bars.page(rows, 2, 3).collect()) == [("a", 5), ("a", 6), ("a", 7), ("b", 1)]
