@@ -8,17 +8,20 @@ from pyspark.sql.window import Window
 
 from barloom.operators.signals import BUYS, SCREENED
 
-#: A list of names is broadcast up to so many rows.
-BROADCAST_NAMES = 200_000
+#: A list of names is broadcast up to so many rows and bytes.
+BROADCAST_NAMES, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def named(rows: DataFrame, names: DataFrame, how: str = "inner") -> DataFrame:
-    """Adds name by code. names has one row a code; it is broadcast if that is few enough rows. An inner join keeps
-    no row of an empty code or name."""
+    """Adds name by code. names has one row a code; it is broadcast if that is small enough. An inner join keeps no
+    row of an empty code or name."""
     if how == "inner":
         names = names.where("code <> '' AND name <> ''")
-    few = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
-    return rows.join(F.broadcast(names.select("code", "name")) if few else names.select("code", "name"), "code", how)
+    names = names.select("code", "name")
+    size = F.octet_length(F.concat_ws("", "code", "name")).cast("long")
+    held = names.limit(BROADCAST_NAMES + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
+    small = held.rows <= BROADCAST_NAMES and (held.bytes or 0) <= BROADCAST_BYTES
+    return rows.join(F.broadcast(names) if small else names, "code", how)
 
 
 def by_priority(listed: DataFrame, order: tuple[str, ...]) -> DataFrame:
