@@ -63,3 +63,19 @@ own AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256,
   coalesce(spans, '') AS spans, sha256(t) AS blob_sha256 FROM d LEFT JOIN own USING (doc_id)
 """
+
+_JOINED = "array_to_string(w[k + 1 : k + m], ' ')"
+COLLOCATIONS = rf"""
+WITH p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, {_LOWER} AS t FROM documents)),
+g AS (SELECT lang, m, {_JOINED} AS phrase FROM (SELECT lang, w, m, unnest(range(len(w) - m + 1)) AS k FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a, string_split(phrase, ' ') AS w FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(w[1 : cut], ' ') AS x, array_to_string(w[cut + 1 : m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS cut FROM f WHERE m >= 2)),
+each AS (SELECT cuts.lang, cuts.phrase, cuts.a, cut, fx.a AS l, fy.a AS r, n.n, (1000::HUGEINT * cuts.a * n.n) // (fx.a::HUGEINT * fy.a) AS score
+  FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = cuts.x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = cuts.y JOIN n ON n.lang = cuts.lang),
+least AS (SELECT lang, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM each) WHERE nth = 1),
+inner_of AS (SELECT lang, a, array_to_string(w[k + 1 : k + j], ' ') AS phrase FROM (SELECT *, unnest(range(m - j + 1)) AS k FROM (SELECT *, unnest(range(2, m)) AS j FROM f WHERE m >= 3))),
+gone AS (SELECT DISTINCT f.lang, f.phrase FROM f JOIN inner_of i ON i.lang = f.lang AND i.phrase = f.phrase WHERE 100 * i.a >= 100 * f.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
