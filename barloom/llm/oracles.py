@@ -79,3 +79,10 @@ gone AS (SELECT DISTINCT f.lang, f.phrase FROM f JOIN inner_of i ON i.lang = f.l
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least ANTI JOIN gone USING (lang, phrase))
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
 """
+
+_HTML = "coalesce(html, '')"
+ARCHIVED = f"""
+WITH p AS (SELECT page_id, {_HTML} AS t, octet_length(encode({_HTML})) AS n FROM pages), best AS (SELECT t, max(page_id) AS best FROM p WHERE n >= 1000 GROUP BY t)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.t) AS payload_digest, CASE WHEN best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN best <> page_id THEN best END AS refers_to FROM p LEFT JOIN best ON best.t = p.t
+"""
