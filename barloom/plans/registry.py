@@ -16,7 +16,7 @@ from barloom.operators import backtest, blocks, cycles, indicators, intraday, pa
 from barloom.plans import captures
 from barloom.plans import fixtures as fx
 from barloom.plans import oracles as o
-from barloom.sources import bars, store, wire
+from barloom.sources import bars, barstore, store, wire
 from barloom.streaming import bars as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,14 @@ def bar_range_scan(spark, d):
     return r6(bars.klines(fx.bars_d(spark, d), "600001", 9, "1996-01-01", "1996-12-31"))
 
 
+@query(ORACLES["bar_range_scan"])
+def store_range_scan(spark, d):
+    """The same from a store, whose files are pruned by code and time."""
+    kept = barstore.BarStore(spark, work_folder(spark, "bar-store"), file_rows=500)
+    kept.save(fx.bars_d(spark, d).where("code IS NOT NULL"))
+    return r6(kept.scan("600001", 9, "1996-01-01", "1996-12-31"))
+
+
 _NEWEST = "row_number() OVER (PARTITION BY code, ktype ORDER BY ts DESC)"
 
 
@@ -594,6 +602,36 @@ def kline_upsert(spark, d):
     return r6(store.upsert(rows.where("ts < '1998-01-01'"), rows.where("ts >= '1997-06-01'").withColumn("open", F.col("open") + 1)))
 
 
+_REFRESHED = f"""{o.bars("m")}, last AS (SELECT *, max(ts) OVER (PARTITION BY code) AS newest, code::INTEGER % 4 AS k FROM bars WHERE code IS NOT NULL),
+kept AS (SELECT code, max(ts)::DATE AS latest FROM last WHERE k IN (1, 3) OR k = 2 AND ts < '1997-01-01' GROUP BY code),
+asked AS (SELECT DISTINCT l.code, CASE k WHEN 1 THEN newest + INTERVAL 10 HOUR WHEN 3 THEN newest + INTERVAL 16 HOUR ELSE TIMESTAMP '1999-01-04 20:00:00' END AS ts, latest FROM last l LEFT JOIN kept USING (code)),
+act AS (SELECT code, latest, CASE WHEN latest IS NULL THEN 'all' WHEN latest >= {_LASTDAY} AND NOT ({_HOURS}) THEN 'stored' WHEN latest = ts::DATE AND {_HOURS} THEN 'today' ELSE 'since' END AS action FROM asked),
+ends AS (SELECT code, latest, action, newest, k, ts, open, high, low, close, volume, amount, max(CASE WHEN ts::DATE < latest THEN ts END) OVER (PARTITION BY code) AS stop FROM last JOIN act USING (code)),
+out AS (SELECT *, coalesce(action = 'all' OR action = 'today' AND ts = newest OR action = 'since' AND (stop IS NULL OR ts >= stop), false) AS fetched FROM ends)"""
+
+
+@query(o.with_(_REFRESHED, s6("SELECT code, action, ts, open + CASE WHEN fetched THEN 1 ELSE 0 END AS open, high, low, close, volume, amount FROM out WHERE fetched OR k IN (1, 3) OR k = 2 AND ts < '1997-01-01'", BAR_DOUBLES)))
+def refresh_store(spark, d):
+    """A store of some codes' bars, up to different days, is brought up to date from another whose prices are marked."""
+    rows = fx.bars_m(spark, d).where("code IS NOT NULL").withColumn("k", F.col("code").cast("int") % 4)
+    kept, source = barstore.BarStore(spark, work_folder(spark, "bar-store"), 8), barstore.BarStore(spark, work_folder(spark, "bar-source"), 8)
+    kept.save(rows.where("k IN (1, 3) OR k = 2 AND ts < '1997-01-01'"))
+    source.save(rows.withColumn("open", F.col("open") + 1))
+    newest = source.read().groupBy("code").agg(F.max("ts").alias("newest")).withColumn("k", F.col("code").cast("int") % 4)
+    now = F.when(F.col("k") == 1, F.col("newest") + F.expr("interval 10 hours")).when(F.col("k") == 3, F.col("newest") + F.expr("interval 16 hours")).otherwise(F.lit("1999-01-04 20:00:00").cast("timestamp"))
+    plan = barstore.refresh(kept, source, newest, now)
+    return r6(kept.read().join(plan, "code").select("code", "action", "ts", *BAR_DOUBLES.split()))
+
+
+@query(ORACLES["scan_until"])
+def scan_until_newest_first(spark, d):
+    """The same scan from a store, by slices of time from the newest back."""
+    kept = barstore.BarStore(spark, work_folder(spark, "bar-store"), 8, 500)
+    kept.save(fx.bars_d(spark, d).where("code IS NOT NULL"))
+    spans = barstore.slices(*kept.span())
+    return r6(barstore.until_newest_first(lambda a, b: kept.between(a, b), spans, kept.latest((9,)).select("code"), F.col("close") > 400000))
+
+
 _NOW = 1704110400  # 2024-01-01 12:00 UTC
 
 
@@ -634,7 +672,7 @@ def stream_bars(spark, d):
     events = spark.readStream.schema(fx.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     trades = events.select(F.col("event_type").alias("code"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), F.lit(1).alias("volume"))
     made = streaming.bars(trades, 3)
-    kept = store.BarStore(spark, out)
+    kept = barstore.BarStore(spark, out)
     streaming.upsert_into(made, kept, f"{out}.state").awaitTermination()
     return r6(kept.read().select("code", "ts", *BAR_DOUBLES.split()))
 

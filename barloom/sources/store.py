@@ -1,14 +1,12 @@
-"""Stored tables: bars with upserts, the trading calendar, a cache with expiry, recently viewed codes."""
+"""Tables that are kept: upserts, the trading calendar, a cache with expiry, recently viewed codes."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.values import in_trading_hours, last_complete_day
-from barloom.schemas import BARS
 
 BAR_KEYS = ("code", "ktype", "ts")
 #: Days that kinds of metadata stay valid.
@@ -34,68 +32,6 @@ def insert_missing(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ..
     return existing.unionByName(incoming.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti").select(*existing.columns))
 
 
-class BarStore:
-    """Bars as Parquet, a folder for each ktype and bucket of codes, so that a scan of a code reads one and an
-    upsert rewrites those that it touches alone. A store keeps the number of buckets that it began with, and has
-    one writer at a time."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self._staged = f"{path.rstrip('/')}.staged"
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("code"), F.lit(self.buckets)).cast("int")
-
-    def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(f"{BARS}, bucket int").option("basePath", self.path).parquet(self.path).drop("bucket")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], BARS)
-
-    def scan(self, code: str, ktype: int) -> DataFrame:
-        """One code's bars. The bucket is computed here, so that partitions are pruned."""
-        bucket = self.spark.range(1).select(F.pmod(F.xxhash64(F.lit(code)), F.lit(self.buckets)).cast("int")).first()[0]
-        try:
-            table = self.spark.read.schema(f"{BARS}, bucket int").option("basePath", self.path).parquet(self.path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], BARS)
-        return table.where((F.col("bucket") == bucket) & (F.col("ktype") == ktype) & (F.col("code") == code)).drop("bucket")
-
-    def save(self, incoming: DataFrame, order: Column | None = None) -> None:
-        """Upserts. What is written is first staged beside the store, as its partitions are read for it; then
-        they are replaced, each whole."""
-        fresh = incoming.select(*[f.strip().split()[0] for f in BARS.split(",")])
-        touched = fresh.select("ktype", self._bucket().alias("bucket")).distinct()
-        old = self.read().withColumn("bucket", self._bucket()).join(F.broadcast(touched), ["ktype", "bucket"], "left_semi").drop("bucket")
-        upsert(old.select(*fresh.columns), fresh, order=order).withColumn("bucket", self._bucket()).write.mode("overwrite").parquet(self._staged)
-        self._replace()
-
-    def _replace(self) -> None:
-        """Writes the staged partitions into the store. Ranges split a large bucket, or one code's long history,
-        between tasks."""
-        rows = self.spark.read.schema(f"{BARS}, bucket int").parquet(self._staged)
-        place = ("ktype", "bucket", "code", "ts")
-        rows.repartitionByRange(*place).sortWithinPartitions(*place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ktype", "bucket").parquet(self.path)
-
-    def recover(self) -> None:
-        """Finishes a save that was interrupted while it replaced partitions; what it staged is whole by then. After
-        any other save this changes nothing."""
-        try:
-            self._replace()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-
-    def refresh_plan(self, codes: DataFrame, now: Column) -> DataFrame:
-        """What to fetch for each code's daily bars at that time."""
-        latest = self.read().where(F.col("ktype").isin(*DAILY)).groupBy("code").agg(F.to_date(F.max("ts")).alias("latest"))
-        return codes.join(latest, "code", "left").select("code", "latest", refresh_action(F.col("latest"), now).alias("action"))
-
-
 def refresh_action(latest: Column, now: Column) -> Column:
     """all: nothing is stored. stored: it is up to date and trading is over. today: the running day's bar is
     stored and changes. since: whatever came after the latest day."""

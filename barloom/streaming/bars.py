@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from barloom.deploy import ship
 from barloom.operators.indicators import _Series
 from barloom.operators.params import Config
-from barloom.sources.store import BarStore
+from barloom.sources.barstore import BarStore
 
 
 def bars(trades: DataFrame, ktype: int, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -32,8 +32,7 @@ def bars(trades: DataFrame, ktype: int, width: str = "1 hour", late: str = "10 m
 
 def upsert_into(stream: DataFrame, store: BarStore, checkpoint: str, order: Column | None = None) -> StreamingQuery:
     """Keeps a store of bars up to date with a stream of them: each batch replaces the bars with its keys. A
-    batch that runs again after a failure writes the same rows, once what the failure interrupted is finished."""
-    store.recover()
+    batch that runs again after a failure writes the same rows in a new version."""
 
     def save(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():

@@ -14,7 +14,7 @@ from barloom.functions import codes, values
 from barloom.operators import blocks, intraday, textsections
 from barloom.plans import fixtures, registry
 from barloom.schemas import BARS
-from barloom.sources import bars, store, wire
+from barloom.sources import bars, barstore, store, wire
 from barloom.streaming import bars as streaming
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -24,31 +24,110 @@ def bar_rows(spark, rows):
     return spark.createDataFrame([(c, 9, DAY + datetime.timedelta(days=d), float(x), float(x), float(x), float(x), 1.0, float(x)) for c, d, x in rows], BARS)
 
 
+def rows_of(df):
+    return sorted((r.code, r.ts.day, r.close) for r in df.collect())
+
+
 def test_bar_store(spark):
-    s = store.BarStore(spark, work_folder(spark, "bars"))
-    assert s.read().count() == 0 and s.scan("a", 9).count() == 0
-    s.save(bar_rows(spark, [("a", 0, 1), ("a", 1, 2), ("b", 0, 3)]))
-    s.save(bar_rows(spark, [("a", 1, 5), ("a", 2, 6), ("c", 0, 7), ("c", 0, 8)]), order=F.col("close"))
-    assert sorted((r.code, r.ts.day, r.close) for r in s.read().collect()) == [("a", 1, 1), ("a", 2, 5), ("a", 3, 6), ("b", 1, 3), ("c", 1, 8)]
+    s = barstore.BarStore(spark, work_folder(spark, "bars"))
+    assert s.read().count() == 0 and s.scan("a", 9).count() == 0 and s.versions() == [] and s.latest((9,)).count() == 0 and s.span() == (None, None)
+    assert s.save(bar_rows(spark, [("a", 0, 1), ("a", 1, 2), ("b", 0, 3)])) == 1
+    assert s.save(bar_rows(spark, [("a", 1, 5), ("a", 2, 6), ("c", 0, 7), ("c", 0, 8)]), order=F.col("close")) == 2
+    assert s.save(bar_rows(spark, [("a", 1, 5)]).limit(0)) == 2
+    assert rows_of(s.read()) == [("a", 1, 1), ("a", 2, 5), ("a", 3, 6), ("b", 1, 3), ("c", 1, 8)]
     assert [r.close for r in s.scan("a", 9).orderBy("ts").collect()] == [1, 5, 6]
-    plan = s.refresh_plan(spark.createDataFrame([("a",), ("z",)], "code string"), F.lit("2024-01-03 10:00:00").cast("timestamp"))
+    plan = barstore.refresh_plan(s, spark.createDataFrame([("a",), ("z",)], "code string"), F.lit("2024-01-03 10:00:00").cast("timestamp"))
     assert {r.code: r.action for r in plan.collect()} == {"a": "today", "z": "all"}
 
 
-def test_an_interrupted_save_is_finished(spark):
-    s = store.BarStore(spark, work_folder(spark, "bars"), buckets=2)
-    s.recover()
-    assert s.read().count() == 0
-    s.save(bar_rows(spark, [(c, d, d) for c in "abcdef" for d in range(3)]))
-    kept = sorted(s.read().collect())
-    top = Path(s.path.removeprefix("file://"))
-    gone = next(top.glob("ktype=9/bucket=*"))
-    gone.rename(top.parent / f"{top.name}-{gone.name}")
-    assert s.read().count() < len(kept)
-    s.recover()
-    assert sorted(s.read().collect()) == kept
-    s.recover()
-    assert sorted(s.read().collect()) == kept
+def test_readers_see_whole_versions(spark, monkeypatch):
+    s = barstore.BarStore(spark, work_folder(spark, "bars"), buckets=2)
+    s.save(bar_rows(spark, [(c, d, 1) for c in "abcdef" for d in range(3)]))
+    before, rows = s.read(), rows_of(s.read())
+    seen = []
+    publish = s._publish
+    monkeypatch.setattr(s, "_publish", lambda *x: (seen.append(rows_of(barstore.BarStore(spark, s.path).read())), publish(*x)))
+    s.save(bar_rows(spark, [(c, d, 2) for c in "abcdef" for d in range(3)]))
+    assert seen == [rows] and rows_of(before) == rows and rows_of(barstore.BarStore(spark, s.path, version=1).read()) == rows
+    assert {x for _, _, x in rows_of(s.read())} == {2} and s.versions() == [1, 2]
+    # A save that ends before its rename changes nothing.
+    monkeypatch.setattr(s, "_publish", lambda *x: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        s.save(bar_rows(spark, [("a", 0, 3)]))
+    assert {x for _, _, x in rows_of(s.read())} == {2} and s.versions() == [1, 2]
+    monkeypatch.setattr(s, "_publish", publish)
+    other = barstore.BarStore(spark, s.path)
+    monkeypatch.setattr(other, "current", lambda: 1)
+    with pytest.raises(barstore.Conflict):
+        other.save(bar_rows(spark, [("a", 0, 4)]))
+    gone = s.vacuum()
+    assert "versions/000000000001" in gone and len([x for x in gone if x.startswith("data/")]) == 3
+    assert {x for _, _, x in rows_of(s.read())} == {2} and s.versions() == [2]
+    with pytest.raises(ValueError):
+        barstore.BarStore(spark, s.path, version=2).save(bar_rows(spark, [("a", 0, 3)]))
+
+
+def test_scans_read_matching_files_alone(spark):
+    s = barstore.BarStore(spark, work_folder(spark, "bars"), buckets=2, file_rows=10)
+    s.save(bar_rows(spark, [(c, d, d) for c in "abcdefgh" for d in range(60)]))
+    files = s.manifest().collect()
+    assert sum(r.rows for r in files) == 480 and len(files) >= 48 and max(r.rows for r in files) <= 10
+    found = s.scan("c", 9, "2024-01-20", "2024-01-24")
+    assert [r.close for r in found.orderBy("ts").collect()] == [19, 20, 21, 22, 23]
+    read = found.select(F.input_file_name()).distinct().count()
+    held = {r.file for r in files if r.min_code <= "c" <= r.max_code and r.min_ts <= DAY + datetime.timedelta(days=23) and r.max_ts >= DAY + datetime.timedelta(days=19)}
+    assert len(found.inputFiles()) == len(held) <= 3 and read <= len(held)
+    assert all(any(f.endswith(h) for h in held) for f in found.inputFiles())
+    assert len(s.between(DAY + datetime.timedelta(days=55), None).inputFiles()) < len(files) / 3
+
+
+def test_newest_first_stops_early(spark):
+    s = barstore.BarStore(spark, work_folder(spark, "bars"), buckets=2, file_rows=10)
+    s.save(bar_rows(spark, [(c, d, d) for c in "abc" for d in range(300)]))
+    spans = barstore.slices(*s.span(), days=10)
+    assert spans[-1][0] == DAY and all(a[0] == b[1] for a, b in zip(spans, spans[1:])) and len(spans) < 7
+    asked = []
+
+    def read(first, end):
+        asked.append(s.between(first, end))
+        return asked[-1]
+
+    wanted = spark.createDataFrame([("a", 295.0), ("b", 285.0), ("zz", 1.0)], "code string, bound double")
+    got = barstore.until_newest_first(read, spans, wanted.where("code <> 'zz'"), F.col("close") < F.col("bound"))
+    assert sorted((r.code, r.close) for r in got.collect()) == [("a", float(x)) for x in range(294, 300)] + [("b", float(x)) for x in range(284, 300)]
+    assert len(asked) == 2 and sum(x.count() for x in asked) == 90
+    asked.clear()
+    assert barstore.until_newest_first(read, spans, wanted.where("code = 'zz'"), F.lit(True)).count() == 0 and len(asked) == len(spans)
+
+
+def test_each_class_of_a_refresh_reads_its_slice(spark, monkeypatch):
+    kept, source = (barstore.BarStore(spark, work_folder(spark, "bars"), buckets=2, file_rows=10) for _ in range(2))
+    source.save(bar_rows(spark, [(c, d, d + 1000) for c in "abcd" for d in range(300)]))
+    days = {"b": 300, "c": 290, "d": 300}
+    kept.save(bar_rows(spark, [(c, d, d) for c, n in days.items() for d in range(n)]))
+    last = DAY + datetime.timedelta(days=299)  # a Saturday
+    assert last.weekday() == 5
+    reads = []
+    between = source.between
+    monkeypatch.setattr(source, "between", lambda *x: reads.append((x[0], between(*x).count())) or between(*x))
+    now = F.lit(str(last + datetime.timedelta(hours=16))).cast("timestamp")
+
+    def plan_of(codes, at=now):
+        reads.clear()
+        found = {r.code: r.action for r in barstore.refresh(kept, source, spark.createDataFrame([(x,) for x in codes], "code string"), at).collect()}
+        return found, [n for _, n in reads]
+
+    assert plan_of("bd") == ({"b": "stored", "d": "stored"}, [])
+    friday = F.lit(str(last + datetime.timedelta(days=-1, hours=10))).cast("timestamp")
+    assert plan_of("c", friday) == ({"c": "since"}, [4 * 32])
+    assert plan_of("a") == ({"a": "all"}, [1200])
+    got = {c: [r.close for r in kept.scan(c, 9).orderBy("ts").collect()] for c in "abcd"}
+    assert got == {"a": [d + 1000 for d in range(300)], "b": list(range(300)), "c": [*range(288), *range(1288, 1300)], "d": list(range(300))}
+    kept.save(bar_rows(spark, [("e", 299, 1)]))
+    source.save(bar_rows(spark, [("e", d, 7) for d in range(290, 300)]))
+    monkeypatch.setattr(barstore, "refresh_action", lambda latest, at: F.lit("today"))
+    assert plan_of("e") == ({"e": "today"}, [4 * 32 + 10])
+    assert [r.close for r in kept.scan("e", 9).collect()] == [7]
 
 
 def test_pages_and_stops(spark):
@@ -235,7 +314,7 @@ def test_codes(spark):
 
 
 def test_streamed_upserts(spark):
-    source, s = work_folder(spark, "in"), store.BarStore(spark, work_folder(spark, "bars"))
+    source, s = work_folder(spark, "in"), barstore.BarStore(spark, work_folder(spark, "bars"))
     bar_rows(spark, [("a", 0, 1), ("a", 1, 2)]).coalesce(1).write.parquet(source)
     stream = spark.readStream.schema(BARS).parquet(source)
     check = work_folder(spark, "check")
