@@ -45,6 +45,11 @@ class Params:
 BLOCK = 1 << 16
 #: Words that a task handles at once.
 CHUNK_WORDS = 1 << 19
+#: Phrases whose counts a task holds, and rows that it sends at once.
+HELD_PHRASES, OUT_ROWS = 400_000, 20_000
+#: Input partitions that one task reads, as long as every core has two tasks: a task's sketch has the same size however
+#: little it has read, and counts added up in a task aren't shuffled.
+MERGED = 8
 _CELLS = "line int, block int, cells binary"
 _COUNTS = "lang string, words int, phrase binary, n long"
 
@@ -119,8 +124,9 @@ def _cell_type(min_count: int) -> type:
 
 
 def _plain_texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """lang, and text as bytes; a null text is left out, as it has no words."""
-    return reject_clash(docs, lang, text).select(F.coalesce(F.col(lang), F.lit(NO_LANG)).alias("lang"), F.col(text).cast("binary").alias("text")).where(F.col("text").isNotNull())
+    """lang, and text as bytes, in fewer partitions; a null text is left out, as it has no words."""
+    plain = reject_clash(docs, lang, text).select(F.coalesce(F.col(lang), F.lit(NO_LANG)).alias("lang"), F.col(text).cast("binary").alias("text")).where(F.col("text").isNotNull())
+    return plain.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, plain.rdd.getNumPartitions() // MERGED))
 
 
 def sketch(texts: DataFrame, p: Params) -> str:
@@ -185,17 +191,29 @@ def phrase_counts(texts: DataFrame, path: str, p: Params) -> DataFrame:
     """lang, words, phrase, n of all phrases of one to max_words words with min_count occurrences or more, and one
     row with words 0 and an empty phrase for each language's number of words.
 
-    In a chunk, phrases are told apart by exact numbers (that of the phrase without its last word, and the word's),
-    and each goes out once with its count; Spark adds these up before and after its shuffle."""
+    In a chunk, phrases are told apart by exact numbers (that of the phrase without its last word, and the word's); a
+    task adds up its chunks' counts and lets them go once it holds HELD_PHRASES; Spark adds these up before and after
+    its shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[str, int], dict[bytes, int]] = {}
+
+        def let_go() -> Iterator[pd.DataFrame]:
+            for (lang, words), each in held.items():
+                phrases = list(each)
+                for i in range(0, len(phrases), OUT_ROWS):
+                    part = phrases[i : i + OUT_ROWS]
+                    yield pd.DataFrame({"lang": lang, "words": np.int32(words), "phrase": part, "n": [each[x] for x in part]})
+            held.clear()
+
         for chunk in _chunks(batches):
             cells = _load(path, p)
             name = np.array(chunk.names, np.int64)
             word = name.copy()
             alive = np.ones(len(name) + 1, bool)
-            langs, number = np.unique(np.array(chunk.lang_of, object)[word].astype(str), return_counts=True)
-            yield pd.DataFrame({"lang": langs, "words": np.int32(0), "phrase": [b""] * len(langs), "n": number})
+            for lang, n in zip(*np.unique(np.array(chunk.lang_of, object)[word].astype(str), return_counts=True), strict=True):
+                total = held.setdefault((str(lang), 0), {})
+                total[b""] = total.get(b"", 0) + int(n)
             for words, starts, h in _phrase_hashes(chunk, p.max_words):
                 maybe = alive[starts] & (alive[starts + 1] if words > 1 else True)
                 starts, h = starts[maybe], h[maybe]
@@ -206,12 +224,15 @@ def phrase_counts(texts: DataFrame, path: str, p: Params) -> DataFrame:
                 alive = np.zeros(len(name) + 1, bool)
                 alive[starts] = True
                 exact = name[starts] if words == 1 else name[starts] << 32 | word[starts + words - 1]
-                each, first, same, n = np.unique(exact, return_index=True, return_inverse=True, return_counts=True)
+                _, first, same, n = np.unique(exact, return_index=True, return_inverse=True, return_counts=True)
                 name[starts] = same
-                if len(each):
-                    at_ = starts[first].tolist()
-                    phrases = [b" ".join(chunk.words[i : i + words]) for i in at_]
-                    yield pd.DataFrame({"lang": [chunk.lang_of[chunk.names[i]] for i in at_], "words": np.int32(words), "phrase": phrases, "n": n})
+                for i, times in zip(starts[first].tolist(), n.tolist(), strict=True):
+                    each = held.setdefault((chunk.lang_of[chunk.names[i]], words), {})
+                    phrase = b" ".join(chunk.words[i : i + words])
+                    each[phrase] = each.get(phrase, 0) + times
+            if sum(map(len, held.values())) >= HELD_PHRASES:
+                yield from let_go()
+        yield from let_go()
 
     each = texts.mapInPandas(count, _COUNTS)
     total = each.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
