@@ -1,14 +1,14 @@
 """Technical indicators, over all codes in one plan.
 
 Everything that a window can express is one: a single shuffle by code and one sort serve all of them. The
-recurrences (exponential means, K and D, Wilder's means) then run over the same sorted rows as a stream:
-a task keeps a few numbers of the code it is at, whatever the length of its history, and does each step in
-its exact order, as crosses depend on the last bit of a difference. Warm-up rows hold 0.0; an indicator
-whose series is too short is null."""
+recurrences (exponential means, K and D, Wilder's means) then run over the same sorted rows as a stream of
+buffers, a step of time over all series of a buffer at once; a series longer than a buffer goes on from a few numbers,
+whatever the length of its history. Each step is done in its exact order, as crosses depend on the last bit of a
+difference. Warm-up rows hold 0.0; an indicator whose series is too short is null."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from barloom.deploy import ship
 from barloom.functions.values import change
-from barloom.operators.params import Config
+from barloom.operators.params import Config, Params, with_own
 
 KEYS = ("code", "ktype")
 
@@ -69,117 +69,221 @@ def price_change(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"change": diff, "change_pct": pct})
 
 
-class _Ema:
-    """One exponential mean; each step in the order of its definition."""
-
-    def __init__(self, p: int):
-        self.p, self.k, self.total, self.value, self.seen = p, 2.0 / (p + 1), 0.0, 0.0, 0
-
-    def step(self, x: float) -> float:
-        if self.seen < self.p:
-            self.total += x
-            self.value = self.total / self.p if self.seen == self.p - 1 else 0.0
-        else:
-            self.value = (x - self.value) * self.k + self.value
-        self.seen += 1
-        return self.value
-
-
-class _Wilder:
-    """One relative strength index."""
-
-    def __init__(self, p: int):
-        self.p, self.gain, self.loss, self.seen = p, 0.0, 0.0, 0
-
-    def step(self, diff: float | None) -> float:
-        if diff is None:
-            return 0.0
-        up, down = (diff, 0.0) if diff > 0 else (0.0, -diff)
-        self.seen += 1
-        if self.seen <= self.p:
-            self.gain += up
-            self.loss += down
-            if self.seen < self.p:
-                return 0.0
-            self.gain /= self.p
-            self.loss /= self.p
-        else:
-            self.gain = (self.gain * (self.p - 1) + up) / self.p
-            self.loss = (self.loss * (self.p - 1) + down) / self.p
-        return 100.0 if self.loss == 0 else 100 - 100 / (1 + self.gain / self.loss)
-
-
-class _Series:
-    """The running state of one code's series, of known length n."""
-
-    def __init__(self, n: int, c: Config, emas: tuple[int, ...]):
-        fast, slow, signal = c.macd
-        self.n, self.c, self.emas = n, c, {p: _Ema(p) if n >= p else None for p in emas}
-        self.macd = (_Ema(fast), _Ema(slow), _Ema(signal)) if n >= slow + signal else None
-        self.kd = None
-        self.rsi = {p: _Wilder(p) for p in c.rsi if n > p}
-        self.close, self.macd_gap, self.kdj_gap = None, None, None
-
-    def step(self, i: int, close: float, rsv_: float) -> tuple:
-        c, row = self.c, []
-        fast, slow, signal = c.macd
-        if self.macd:
-            ef, es = self.macd[0].step(close), self.macd[1].step(close)
-            dif = ef - es if i >= slow - 1 else 0.0
-            dea = self.macd[2].step(dif) if i >= slow - 1 else 0.0
-            row += [dif, dea, dif - dea, self.macd_gap]
-            self.macd_gap = dif - dea
-        else:
-            row += [None] * 4
-        n, m1, m2 = c.kdj
-        if self.n >= n:
-            if i < n - 1:
-                k = d = 0.0
-            elif i == n - 1:
-                k = d = rsv_
-            else:
-                k = (1 - 1 / m1) * self.kd[0] + (1 / m1) * rsv_
-                d = (1 - 1 / m2) * self.kd[1] + (1 / m2) * k
-            self.kd = (k, d)
-            row += [k, d, 3 * k - 2 * d, self.kdj_gap]
-            self.kdj_gap = k - d
-        else:
-            row += [None] * 4
-        diff = None if self.close is None else close - self.close
-        self.close = close
-        row += [self.rsi[p].step(diff) if p in self.rsi else 0.0 for p in c.rsi]
-        row += [e.step(close) if e else 0.0 for e in self.emas.values()]
-        return tuple(row)
-
-
-def with_recurrences(rows: DataFrame, c: Config, emas: tuple[int, ...] = (), keys: tuple[str, ...] = KEYS) -> DataFrame:
+# Recurrences run over all series of a batch at once: arrays have a row for each step of time and a column for each
+# series, and each step is taken in the order of its definition. A single series takes the same steps over plain numbers.
+
+
+def _steps(x: np.ndarray) -> list:
+    return x[:, 0].tolist() if x.shape[1] == 1 else list(x)
+
+
+def _ema_line(x: np.ndarray, p: int, i: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponential means of x, whose first row is the i-th of its series, after held (sum so far, value)."""
+    if not len(x):
+        return x, held
+    warm = max(0, min(len(x), p - i))
+    sums = np.add.accumulate(np.vstack([held[:1], x[:warm]]))
+    out = np.zeros(x.shape)
+    value = held[1]
+    if i < p <= i + len(x):
+        value = sums[p - i] / p
+        out[p - i - 1] = value
+    steps, k = [], 2.0 / (p + 1)
+    value = float(value[0]) if x.shape[1] == 1 else value
+    for now in _steps(x[warm:]):
+        value = (now - value) * k + value
+        steps.append(value)
+    if steps:
+        out[warm:] = np.array(steps).reshape(-1, x.shape[1])
+    return out, np.vstack([sums[-1], np.broadcast_to(value, x.shape[1:])])
+
+
+def _wilder_line(up: np.ndarray, down: np.ndarray, p: int, i: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Relative strength of rises and falls, whose first row is the i-th of its series (the 0th has none)."""
+    both = np.hstack([up, down])
+    first = 1 if i == 0 else 0
+    seen = i + first - 1  # differences before
+    warm = max(0, min(len(both) - first, p - seen))
+    sums = np.add.accumulate(np.vstack([held.reshape(1, -1), both[first : first + warm]]))
+    out = np.zeros(both.shape)
+    value = sums[-1]
+    if warm and seen + warm == p:
+        value = value / p
+        out[first + warm - 1] = value
+    steps = []
+    if both.shape[1] == 2:
+        gain, loss = map(float, value)
+        for rise, fall in both[first + warm :].tolist():
+            gain = (gain * (p - 1) + rise) / p
+            loss = (loss * (p - 1) + fall) / p
+            steps.append((gain, loss))
+        value = np.array([gain, loss])
+    else:
+        for now in both[first + warm :]:
+            value = (value * (p - 1) + now) / p
+            steps.append(value)
+    if steps:
+        out[first + warm :] = np.array(steps)
+    half = up.shape[1]
+    gain, loss = out[:, :half], out[:, half:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        line = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
+    line[: max(0, p - i)] = 0.0
+    return line, value.reshape(2, -1)
+
+
+def _kd_lines(rsv_: np.ndarray, n: int, m1: int, m2: int, i: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """K and D."""
+    ks, ds = np.zeros(rsv_.shape), np.zeros(rsv_.shape)
+    begin = max(0, n - 1 - i)
+    k, d = (float(x[0]) if rsv_.shape[1] == 1 else x for x in held)
+    if begin < len(rsv_):
+        out_k, out_d, steps = [], [], _steps(rsv_[begin:])
+        if i <= n - 1:
+            k = d = steps[0]
+            out_k, out_d, steps = [k], [d], steps[1:]
+        for now in steps:
+            k = (1 - 1 / m1) * k + (1 / m1) * now
+            d = (1 - 1 / m2) * d + (1 / m2) * k
+            out_k.append(k)
+            out_d.append(d)
+        ks[begin:], ds[begin:] = (np.array(x).reshape(-1, rsv_.shape[1]) for x in (out_k, out_d))
+    return ks, ds, np.vstack([np.broadcast_to(x, rsv_.shape[1:]) for x in (k, d)])
+
+
+def held_at_start(c: Config, emas: tuple[int, ...] = (), series: int = 1) -> np.ndarray:
+    """What series hold before their first bar: sums and values of the exponential means, K and D, the last close, the
+    gaps DIF-DEA and K-D, gains and losses; a column for each series."""
+    out = np.zeros((11 + 2 * (len(c.rsi) + len(emas)), series))
+    out[8:11] = np.nan
+    return out
+
+
+def line_names(c: Config, emas: tuple[int, ...] = ()) -> list[str]:
+    return ["dif", "dea", "hist", "macd_gap_before", "k", "d", "j", "kdj_gap_before", *[f"rsi_{p}" for p in c.rsi], *[f"ema_{p}" for p in emas]]
+
+
+def run_lines(c: Config, emas: tuple[int, ...], i: int, close: np.ndarray, rsv_: np.ndarray, held: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The lines of line_names(), each with a row for each bar from the i-th on and a column for each series, and what
+    the series hold then."""
+    (fast, slow, signal), new = c.macd, held.copy()
+    ef, new[0:2] = _ema_line(close, fast, i, held[0:2])
+    es, new[2:4] = _ema_line(close, slow, i, held[2:4])
+    cut = min(len(close), max(0, slow - 1 - i))
+    dif, dea = np.zeros(close.shape), np.zeros(close.shape)
+    dif[cut:] = ef[cut:] - es[cut:]
+    dea[cut:], new[4:6] = _ema_line(dif[cut:], signal, max(0, i - slow + 1), held[4:6])
+    hist = dif - dea
+    k, d, new[6:8] = _kd_lines(rsv_, *c.kdj, i, held[6:8])
+    before = np.vstack([held[8:9], close[:-1]])
+    diff = close - before
+    if i == 0:
+        diff[0] = 0.0
+    up, down = np.where(diff > 0, diff, 0.0), np.where(diff > 0, 0.0, -diff)
+    lines = [dif, dea, hist, np.vstack([held[9:10], hist[:-1]]), k, d, 3 * k - 2 * d, np.vstack([held[10:11], (k - d)[:-1]])]
+    new[8:11] = close[-1], hist[-1], (k - d)[-1]
+    at = 11
+    for p in c.rsi:
+        line, new[at : at + 2] = _wilder_line(up, down, p, i, held[at : at + 2])
+        lines.append(line)
+        at += 2
+    for p in emas:
+        line, new[at : at + 2] = _ema_line(close, p, i, held[at : at + 2])
+        lines.append(line)
+        at += 2
+    return lines, new
+
+
+def _shown(lines: list[np.ndarray], c: Config, emas: tuple[int, ...], n: np.ndarray) -> list[np.ndarray]:
+    """Lines as they are shown of series of n bars in all: NaN, or 0 for relative strength and means, where the series
+    is too short for them."""
+    least = [sum(c.macd[1:])] * 4 + [c.kdj[0]] * 4 + [p + 1 for p in c.rsi] + list(emas)
+    return [np.where(n >= m, x, np.nan if at < 8 else 0.0) for at, (x, m) in enumerate(zip(lines, least, strict=True))]
+
+
+#: Rows that a task computes at once. A longer series goes on from what it holds.
+BUFFER_ROWS = 100_000
+#: Series of a batch below which each is computed by itself.
+FEW = 6
+
+
+def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole series, or of parts of one that is longer than a buffer."""
+    held: list[pa.RecordBatch | pa.Table] = []
+    rows = 0
+
+    def joined() -> pa.Table:
+        return pa.concat_tables([x if isinstance(x, pa.Table) else pa.Table.from_batches([x]) for x in held])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BUFFER_ROWS:
+            table = joined()
+            i, n = table.column("i")[-1].as_py(), table.column("n")[-1].as_py()
+            open_ = i + 1 if i + 1 < n <= BUFFER_ROWS else 0
+            if open_ < table.num_rows:
+                yield table.slice(0, table.num_rows - open_)
+                held, rows = ([table.slice(table.num_rows - open_)] if open_ else []), open_
+    if rows:
+        yield joined()
+
+
+def _alike(begin: np.ndarray, length: np.ndarray, config: np.ndarray, whole: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of segments to compute together: whole series of one configuration with lengths within a factor of two,
+    or one segment; the first, which may go on from the buffer before, comes first."""
+    kind = np.where(whole, config * 64 + np.ceil(np.log2(length)).astype(np.int64), np.arange(len(begin)) - len(begin))
+    order = np.argsort(kind, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+        yield from [part] if len(part) >= FEW else part[:, None]
+
+
+def with_recurrences(rows: DataFrame, c: Config | tuple[Config, ...], emas: tuple[int, ...] = (), keys: tuple[str, ...] = KEYS) -> DataFrame:
     """rows (with i, n, close, rsv), which must be dealt by keys, with dif, dea, hist, k, d, j, rsi_*, ema_* and
-    the gaps DIF-DEA and K-D of the bar before."""
+    the gaps DIF-DEA and K-D of the bar before. Of several configurations, the column `config` says by number which is a
+    row's; rsi_* of periods that it lacks are null."""
     ship(rows.sparkSession)
-    names = ["dif", "dea", "hist", "macd_gap_before", "k", "d", "j", "kdj_gap_before", *[f"rsi_{p}" for p in c.rsi], *[f"ema_{p}" for p in emas]]
-    columns = rows.columns
+    configs = c if isinstance(c, tuple) else (c,)
+    periods = tuple(dict.fromkeys(p for x in configs for p in x.rsi))
+    names = line_names(Config(rsi=periods), emas)
+    columns = [x for x in rows.columns if x != "config"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, series = None, None
-        for batch in batches:
-            out = []
-            used = [batch.column(c).to_pylist() for c in (*keys, "i", "n", "close", "rsv")]
-            for *own, i, n, close, rsv_ in zip(*used, strict=True):
-                if own != key:
-                    key, series = own, _Series(n, c, emas)
-                out.append(series.step(i, close, rsv_))
-            made = np.array(out, dtype=float).reshape(len(out), len(names)).T
-            # All other columns pass as they are.
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, mask=np.isnan(x)) for x in made]], [*columns, *names])
-
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], *[f"{x} double" for x in names]])
-    return rows.sortWithinPartitions(*keys, "i").select(*columns).mapInArrow(run, schema)
+        held = None
+        for table in _buffers(batches):
+            i, n = (table.column(x).to_numpy() for x in ("i", "n"))
+            close, rsv_ = (table.column(x).to_numpy().astype(float) for x in ("close", "rsv"))
+            number = table.column("config").to_numpy() if len(configs) > 1 else np.zeros(len(i), np.int64)
+            begin = np.flatnonzero(np.r_[True, i[1:] == 0])
+            length = np.diff(np.r_[begin, len(i)])
+            whole = (i[begin] == 0) & (length == n[begin])
+            out = {x: np.full(len(i), np.nan) for x in names}
+            for part in _alike(begin, length, number[begin], whole):
+                own, start = configs[number[begin[part[0]]]], int(i[begin[part[0]]])
+                most = length[part].max()
+                step = np.arange(most)[:, None]
+                place = begin[part] + np.minimum(step, length[part] - 1)
+                there = step < length[part]
+                lines, after = run_lines(own, emas, start, close[place], rsv_[place], held if start else held_at_start(own, emas, len(part)))
+                for name, line in zip(line_names(own, emas), _shown(lines, own, emas, n[begin[part]]), strict=True):
+                    out[name][place[there]] = line[there]
+                if len(part) == 1 and not whole[part[0]]:
+                    held = after
+            made = table.select(columns)
+            for name in names:
+                made = made.append_column(name, pa.array(out[name], mask=np.isnan(out[name])))
+            yield from made.to_batches(max_chunksize=10_000)
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "config"], *[f"{x} double" for x in names]])
+    return rows.sortWithinPartitions(*keys, "i").mapInArrow(run, schema)
 
 
 def ema(bars: DataFrame, periods: tuple[int, ...]) -> DataFrame:
     """ema_p of each period, over ordered bars."""
     c = Config(rsi=(1,))
-    out = with_recurrences(ordered(bars).withColumn("rsv", F.lit(0.0)), c, periods)
+    out = with_recurrences(ordered(bars).withColumn("rsv", F.lit(50.0)), c, periods)
     return out.select(*bars.columns, "i", "n", *[f"ema_{p}" for p in periods])
 
 
@@ -187,27 +291,45 @@ def ema(bars: DataFrame, periods: tuple[int, ...]) -> DataFrame:
 CROSSING = (5, 10, 20, 60)
 
 
-def indicators(bars: DataFrame, c: Config = Config(), emas: tuple[int, ...] = ()) -> DataFrame:
+def _each(configs: tuple[Config, ...], part: Callable[[Config], object], make: Callable[[object], Column]) -> Column:
+    """make(part of the row's configuration): one column for each distinct part, chosen by the row's config."""
+    which: dict[object, list[int]] = {}
+    for at, c in enumerate(configs):
+        which.setdefault(part(c), []).append(at)
+    if len(which) == 1:
+        return make(next(iter(which)))
+    return F.coalesce(*[F.when(F.col("config").isin(*at), make(x)) for x, at in which.items()])
+
+
+def indicators(bars: DataFrame, c: Config | tuple[Config, ...] = Config(), emas: tuple[int, ...] = ()) -> DataFrame:
     """bars with i, n, ma_*, boll_up, boll_mid, boll_low, dif, dea, hist, k, d, j, rsi_*, change, change_pct,
     avg5, ratio, activity, the trend of the series' end, and the gaps before that crosses need.
 
-    Rows of several codes and periods may be mixed; the series of a code and ktype must have one bar a time."""
-    lines = {f"ma_{p}": sma(p) for p in c.ma}
-    up, mid, low = boll(*c.boll)
+    Rows of several codes and periods may be mixed; the series of a code and ktype must have one bar a time. Of several
+    configurations, the column `config` says by number which is a series'; it is one plan with one shuffle for all,
+    with a window for each distinct length, and lines that a series' configuration lacks are null."""
+    configs = c if isinstance(c, tuple) else (c,)
+    lines = {f"ma_{p}": _each(configs, lambda x, p=p: p in x.ma, lambda has, p=p: sma(p) if has else F.lit(None).cast("double")) for p in dict.fromkeys(p for x in configs for p in x.ma)}
+    bands = {name: _each(configs, lambda x: x.boll, lambda nk, at=at: boll(*nk)[at]) for at, name in enumerate(("boll_up", "boll_mid", "boll_low"))}
     mean, ratio, label = volume_ratio()
     diff, pct = change(F.col("close"), F.lag("close").over(Window.partitionBy(*KEYS).orderBy("i")))
-    rows = ordered(bars).withColumns(lines | {"boll_up": up, "boll_mid": mid, "boll_low": low, "rsv": rsv(c.kdj[0]), "avg5": mean, "ratio": ratio, "activity": label, "change": diff, "change_pct": pct})
-    pairs = [(a, b) for a, b in zip(CROSSING, CROSSING[1:], strict=False) if a in c.ma and b in c.ma]
+    rows = ordered(bars).withColumns(lines | bands | {"rsv": _each(configs, lambda x: x.kdj[0], rsv), "avg5": mean, "ratio": ratio, "activity": label, "change": diff, "change_pct": pct})
+    pairs = [(a, b) for a, b in zip(CROSSING, CROSSING[1:], strict=False) if f"ma_{a}" in lines and f"ma_{b}" in lines]
     before = Window.partitionBy(*KEYS).orderBy("i")
     rows = rows.withColumns({f"ma_gap_{a}_{b}_before": F.lag(F.col(f"ma_{a}") - F.col(f"ma_{b}")).over(before) for a, b in pairs})
-    return with_recurrences(rows.withColumn("trend", series_trend(c)), c, emas).drop("rsv")
+    trend = _each(configs, lambda x: {5, 10, 20} <= set(x.ma), lambda has: series_trend() if has else F.lit("unknown"))
+    return with_recurrences(rows.withColumn("trend", trend), configs, emas).drop("rsv")
+
+
+def indicators_by_code(bars: DataFrame, params: Params) -> DataFrame:
+    """indicators() with each code's own parameters, in one plan."""
+    configs, numbered = params.numbered(bars.sparkSession)
+    return indicators(with_own(bars, params).join(F.broadcast(numbered), ["category", "own"]).select(*bars.columns, "config"), configs)
 
 
-def series_trend(c: Config) -> Column:
+def series_trend() -> Column:
     """The trend at the end of the row's series: up or down if four of the last five bars have their means in
     that order; else by close and slope against MA20; sideways otherwise; unknown below 20 bars."""
-    if not {5, 10, 20} <= set(c.ma):
-        return F.lit("unknown")
     a, b, d = F.col("ma_5"), F.col("ma_10"), F.col("ma_20")
     rising, falling = (a > b) & (b > d) & (d > 0), (a < b) & (b < d) & (d > 0)
     bull, bear = F.sum(F.when(rising, 1).otherwise(0)).over(_rows(4)), F.sum(F.when(falling, 1).otherwise(0)).over(_rows(4))

@@ -4,9 +4,7 @@ A part that is given replaces the whole part, so a partial one is rejected rathe
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
 from dataclasses import dataclass, fields, replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +69,12 @@ class Params:
         names = ["large_cap", "mid_cap", "small_cap", *dict(self.categories)]
         return {(c, code): self.resolve(code, c) for c in dict.fromkeys(names) for code in ["", *dict(self.overrides)]}
 
+    def numbered(self, spark: SparkSession) -> tuple[tuple[Config, ...], DataFrame]:
+        """The distinct configurations, and which is whose: category, own, config."""
+        held = self.configs()
+        distinct = tuple(dict.fromkeys(held.values()))
+        return distinct, spark.createDataFrame([(c, code, distinct.index(x)) for (c, code), x in held.items()], "category string, own string, config int")
+
 
 def load(text: str) -> Params:
     """From the YAML of a parameter file; a file without text gives the defaults."""
@@ -95,6 +99,12 @@ def from_mapping(m: dict) -> Params:
     return Params(Partial(**part(m.get("defaults") or {})).over(Config()), tuple(categories.items()), tuple(overrides.items()))
 
 
+def with_own(codes: DataFrame, params: Params) -> DataFrame:
+    """codes with their category, and `own`: the code if it has parameters of its own, else empty."""
+    own = [code for code, _ in params.overrides]
+    return with_category(codes).withColumn("own", F.when(F.col("code").isin(*own), F.col("code")).otherwise("") if own else F.lit(""))
+
+
 def with_category(codes: DataFrame) -> DataFrame:
     return codes.withColumn("category", cap_category(F.col("code")))
 
@@ -106,9 +116,7 @@ def parse_category(name):
 def resolved(codes: DataFrame, params: Params = Params()) -> DataFrame:
     """Each code's parameters, as a row."""
     table = params_table(codes.sparkSession, params)
-    own = [code for code, _ in params.overrides]
-    keyed = with_category(codes).withColumn("own", F.when(F.col("code").isin(*own), F.col("code")).otherwise("") if own else F.lit(""))
-    return keyed.join(F.broadcast(table), ["category", "own"]).drop("own")
+    return with_own(codes, params).join(F.broadcast(table), ["category", "own"]).drop("own")
 
 
 def params_table(spark: SparkSession, params: Params) -> DataFrame:
@@ -117,25 +125,3 @@ def params_table(spark: SparkSession, params: Params) -> DataFrame:
         rows,
         "category string, own string, ma array<int>, macd_fast int, macd_slow int, macd_signal int, kdj_n int, kdj_m1 int, kdj_m2 int, boll_n int, boll_k double, rsi array<int>",
     )
-
-
-def by_config(bars: DataFrame, params: Params, compute: Callable[[DataFrame, Config], DataFrame]) -> DataFrame:
-    """compute(bars of the codes with that config, config) for each distinct config, together. Frames of
-    windows must be literal, so there is a plan for each config; there are as many as the file makes."""
-    own = [code for code, _ in params.overrides]
-    which: dict[Config, list] = {}
-    for (category, code), config in params.configs().items():
-        which.setdefault(config, []).append((category, code))
-    out = []
-    for config, keys in which.items():
-        out.append(compute(bars.where(reduce(lambda a, b: a | b, [_has(category, code, own) for category, code in keys])), config))
-    return _union(out)
-
-
-def _has(category: str, code: str, own: Iterable[str]):
-    in_category = cap_category(F.col("code")) == category
-    return in_category & ((F.col("code") == code) if code else ~F.col("code").isin(*own) if own else F.lit(True))
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

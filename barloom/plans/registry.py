@@ -150,7 +150,7 @@ _of_indicators("indicators_many", _ALL, "m")
 
 @query(o.with_(o.indicators(params=o.MIXED), s6("SELECT code, ts, dif, dea, hist, k, d, j FROM ind", "dif dea hist k d j")))
 def indicators_mixed_params(spark, d):
-    found = params.by_config(fx.bars_d(spark, d), params.Params(), indicators.indicators)
+    found = indicators.indicators_by_code(fx.bars_d(spark, d), params.Params())
     return r6(found.select("code", "ts", "dif", "dea", "hist", "k", "d", "j"))
 
 
@@ -679,18 +679,29 @@ def stream_bars(spark, d):
 
 @query(o.with_(o.indicators(), s6("SELECT code, ts, dif, dea, hist, k, d, j, rsi_6, rsi_12, rsi_24 FROM ind", "dif dea hist k d j rsi_6 rsi_12 rsi_24")))
 def stream_indicators(spark, d):
-    """Indicators by a stream of daily bars, a year to a batch."""
+    """Indicators by a stream of daily bars in two runs, the second of which goes on from the first one's checkpoint."""
     source, out = work_folder(spark, "stream-source"), work_folder(spark, "stream-indicators")
     rows = fx.bars_d(spark, d)
-    years = rows.select(F.year("ts").alias("year")).where("year IS NOT NULL").distinct().orderBy("year")
-    for (year,) in years.collect():
-        rows.where(F.year("ts") == year).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    made = streaming.indicators(stream)
-    made.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}.state").trigger(availableNow=True).start().awaitTermination()
+    for part in (F.col("ts") < "1995-01-01", F.col("ts") >= "1995-01-01"):
+        rows.where(part).write.mode("append").parquet(source)
+        made = streaming.indicators(spark.readStream.schema(rows.schema).parquet(source))
+        made.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}.state").trigger(availableNow=True).start().awaitTermination()
     return r6(spark.read.schema(made.schema).parquet(out))
 
 
+@query(o.with_(f"{o.signals()}, {_DEDUP}, st AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY code, indicator, type ORDER BY ts, i) AS run FROM dd WHERE type IN ('多头排列', '空头排列', '超买', '超卖'))", "SELECT code, indicator, type, min(ts) AS first, max(ts) AS last, count(*) AS bars FROM st GROUP BY code, indicator, type, run"))
+def stream_state_runs(spark, d):
+    """Runs of lasting states by a stream of signals, in session windows; each begins with a signal of signal_dedup."""
+    source, out = work_folder(spark, "stream-source"), work_folder(spark, "stream-runs")
+    found = signals.signals(indicators.indicators(fx.bars_d(spark, d))).where(F.col("type").isin(*signals.STATES)).select("code", "ktype", "ts", "type", "indicator")
+    end = found.select("code", "ktype", F.lit("2100-01-01").cast("timestamp").alias("ts"), "type", "indicator").limit(1)
+    for part in (found, end):  # what comes last moves the watermark past all runs
+        part.write.mode("append").parquet(source)
+        runs = streaming.state_runs(spark.readStream.schema(found.schema).parquet(source), "1 day 1 second")
+        runs.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}.state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(runs.schema).parquet(out).drop("ktype")
+
+
 _A, _B, _C, _D = "(v >> 24)", "((v >> 16) & 255)", "((v >> 8) & 255)", "(v & 255)"
 _POWER, _FINE = f"pow(2.0, {_A} * 2 - 127)", f"(CASE WHEN {_B} & 128 <> 0 THEN 2 ELSE 1 END)"
 

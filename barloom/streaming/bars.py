@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from barloom.deploy import ship
-from barloom.operators.indicators import _Series
+from barloom.operators.indicators import held_at_start, line_names, run_lines
 from barloom.operators.params import Config
 from barloom.sources.barstore import BarStore
 
@@ -41,37 +37,88 @@ def upsert_into(stream: DataFrame, store: BarStore, checkpoint: str, order: Colu
     return stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class _Running:
-    """A code's series so far: its recurrences, the highs and lows that RSV looks back on, and the last time."""
+class _Lines(StatefulProcessor):
+    """A code's lines so far as typed state: how many bars it has had and the time of the last one, what the
+    recurrences hold, and the highs and lows that RSV looks back on."""
+
+    def __init__(self, c: Config, idle: str | None):
+        self._c, self._idle = c, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._at = handle.getValueState("at", "bars bigint, ts timestamp")
+        self._held = handle.getListState("held", "value double")
+        self._recent = handle.getListState("recent", "high double, low double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        c, (i, last) = self._c, self._at.get() if self._at.exists() else (0, None)
+        bars = pd.concat(list(rows)).sort_values("ts")
+        bars = bars if last is None else bars[bars["ts"] > pd.Timestamp(last)]
+        if bars.empty:
+            return
+        held = np.array(list(self._held.get()), dtype=float).reshape(-1, 1) if i else held_at_start(c)
+        high, low = (np.array([x[n] for x in self._recent.get()] if i else [], dtype=float) for n in (0, 1))
+        high, low, close, back = np.r_[high, bars["high"]], np.r_[low, bars["low"]], bars["close"].to_numpy(dtype=float), len(high)
+        keep = c.kdj[0]
+        ends = range(back + 1, len(high) + 1)
+        top, bottom = (np.array([pick(x[max(0, e - keep) : e]) for e in ends]) for pick, x in ((np.max, high), (np.min, low)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rsv = np.where(top == bottom, 50.0, (close - bottom) / (top - bottom) * 100)
+        lines, after = run_lines(c, (), i, close[:, None], rsv[:, None], held)
+        self._at.update((i + len(bars), bars["ts"].iloc[-1].to_pydatetime()))
+        self._held.put([(float(x),) for x in after[:, 0]])
+        self._recent.put(list(zip(high[-keep:].tolist(), low[-keep:].tolist(), strict=True)))
+        if self._idle:
+            for timer in self._handle.listTimers():
+                self._handle.deleteTimer(timer)
+            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(pd.Timedelta(self._idle).total_seconds() * 1000))
+        made = {name: line[:, 0] for name, line in zip(line_names(c), lines, strict=True) if not name.endswith("_before")}
+        yield pd.DataFrame({"code": key[0], "ts": bars["ts"].to_numpy()} | made)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._at.clear()
+        self._held.clear()
+        self._recent.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def typed_state(spark: SparkSession) -> None:
+    """Keeps the session's streaming state in RocksDB, which typed state needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def indicators(stream: DataFrame, c: Config = Config(), idle: str | None = None) -> DataFrame:
+    """dif, dea, hist, k, d, j and rsi_* of a stream of bars, as they come, as of series without an end. A code's state
+    is typed: its place, a few numbers, and the last bars of RSV's window, however long its history. Bars not later
+    than the last one seen are left out, so within a batch any order will do and over batches time must go on. With
+    `idle` (such as "30 days"), the state of a code without bars for so long goes, and it begins anew."""
+    ship(stream.sparkSession)
+    typed_state(stream.sparkSession)
+    shown = [x for x in line_names(c) if not x.endswith("_before")]
+    schema = ", ".join(["code string", "ts timestamp", *[f"{x} double" for x in shown]])
+    return stream.groupBy("code").transformWithStateInPandas(_Lines(c, idle), schema, "append", "processingTime" if idle else "none")
+
 
-    def __init__(self, c: Config):
-        self.series, self.i, self.ts = _Series(1 << 60, c, ()), 0, None
-        self.highs, self.lows, self.keep = [], [], c.kdj[0]
+def held_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:
+    """A state variable (at, held or recent) of a stream of indicators(), as a table, from its checkpoint."""
+    typed_state(spark)
+    return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint)
 
-    def step(self, ts, high: float, low: float, close: float) -> tuple:
-        self.highs, self.lows = [*self.highs, high][-self.keep :], [*self.lows, low][-self.keep :]
-        top, bottom = max(self.highs), min(self.lows)
-        row = self.series.step(self.i, close, 50.0 if top == bottom else (close - bottom) / (top - bottom) * 100)
-        self.i, self.ts = self.i + 1, ts
-        return row
 
+def state_runs(found: DataFrame, gap: str = "1 day", late: str = "7 days") -> DataFrame:
+    """Runs of a lasting state in a stream of signals (code, ktype, ts, type, indicator): signals of one kind that
+    are no further apart than `gap` make one run, which ends for good once the watermark has passed it. Signals later
+    than `late` are left out."""
+    session = F.session_window("ts", gap)
+    runs = found.withWatermark("ts", late).groupBy("code", "ktype", "indicator", "type", session)
+    return runs.agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("bars")).drop("session_window")
 
-def indicators(stream: DataFrame, c: Config = Config()) -> DataFrame:
-    """dif, dea, hist, k, d, j and rsi_* of a stream of bars, as they come. A code's state is a few numbers and
-    the last bars of RSV's window, however long its history. Bars not later than the last one seen are left
-    out, so within a batch any order will do and over batches time must go on."""
-    ship(stream.sparkSession)
-    names = ["dif", "dea", "hist", "macd_gap_before", "k", "d", "j", "kdj_gap_before", *[f"rsi_{p}" for p in c.rsi]]
-    shown = [x for x in names if not x.endswith("_before")]
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        running = pickle.loads(state.get[0]) if state.exists else _Running(c)
-        rows = pd.concat(list(batches)).sort_values("ts")
-        rows = rows if running.ts is None else rows[rows["ts"] > running.ts]
-        out = [running.step(*x) for x in zip(rows["ts"], rows["high"].tolist(), rows["low"].tolist(), rows["close"].tolist(), strict=True)]
-        state.update((pickle.dumps(running),))
-        made = pd.DataFrame(np.array(out, dtype=float).reshape(len(out), len(names)), columns=names)[shown]
-        yield pd.concat([rows[["code", "ts"]].reset_index(drop=True), made], axis=1)
 
-    schema = ", ".join(["code string", "ts timestamp", *[f"{x} double" for x in shown]])
-    return stream.groupBy("code").applyInPandasWithState(run, schema, "running binary", "append", GroupStateTimeout.NoTimeout)
+def sliding(trades: DataFrame, width: str, step: str, late: str = "10 minutes") -> DataFrame:
+    """code, start, end, volume, price (the mean) of windows that overlap, over a stream of trades (code, ts, price,
+    volume). Trades later than the watermark allows are left out."""
+    grouped = trades.withWatermark("ts", late).groupBy("code", F.window("ts", width, step))
+    return grouped.agg(F.sum(F.col("volume").cast("double")).alias("volume"), F.avg("price").alias("price")).select("code", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "volume", "price")

@@ -5,15 +5,23 @@ import datetime
 DAY0 = datetime.datetime(2025, 1, 1)
 
 
+def total(values):
+    """One after the other; sum() compensates."""
+    out = 0.0
+    for x in values:
+        out += x
+    return out
+
+
 def sma(c, p):
-    return [sum(c[i - p + 1 : i + 1]) / p if i >= p - 1 and len(c) >= p else 0.0 for i in range(len(c))]
+    return [total(c[i - p + 1 : i + 1]) / p if i >= p - 1 and len(c) >= p else 0.0 for i in range(len(c))]
 
 
 def ema(c, p):
     out = [0.0] * len(c)
     if len(c) < p:
         return out
-    out[p - 1] = sum(c[:p]) / p
+    out[p - 1] = total(c[:p]) / p
     for i in range(p, len(c)):
         out[i] = (c[i] - out[i - 1]) * (2 / (p + 1)) + out[i - 1]
     return out
@@ -46,7 +54,7 @@ def rsi(c, p):
         return out
     diff = [b - a for a, b in zip(c, c[1:], strict=False)]
     up, down = [max(x, 0.0) for x in diff], [max(-x, 0.0) for x in diff]
-    gain, loss = sum(up[:p]) / p, sum(down[:p]) / p
+    gain, loss = total(up[:p]) / p, total(down[:p]) / p
     for i in range(p, len(c)):
         if i > p:
             gain, loss = (gain * (p - 1) + up[i - 1]) / p, (loss * (p - 1) + down[i - 1]) / p

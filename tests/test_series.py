@@ -185,3 +185,75 @@ def test_screens(spark):
     assert screen.with_any(signals.on_bars(frame), "nonsense").count() == 0
     assert {(r.code, r.type) for r in screen.latest_buys(found).collect()} <= {("up", "多头排列"), ("down", "超卖")}
     assert {r.code for r in screen.table(signals.on_bars(frame)).collect()} == {"up", "down"}
+
+
+def mixed_series(spark, n_codes=40, seed=3, least=1, most=90):
+    rng = random.Random(seed)
+    df = None
+    data = {f"c{k:03}": [round(rng.uniform(5, 15), 2) for _ in range(rng.randint(least, most))] for k in range(n_codes)}
+    rows = [(code, 9, literal.DAY0 + datetime.timedelta(days=i), x, x + 1, x - 1, x, 1.0, x) for code, v in data.items() for i, x in enumerate(v)]
+    return data, spark.createDataFrame(rows, BARS)
+
+
+def bits(df, *names):
+    return sorted((r.code, r.i, *[r[n] for n in names]) for r in df.collect())
+
+
+LINES = ("dif", "dea", "hist", "k", "d", "j", "rsi_6", "rsi_12", "rsi_24", "macd_gap_before", "kdj_gap_before")
+
+
+@pytest.mark.parametrize("few, buffer", [(1, 100_000), (6, 100_000), (6, 50), (1, 200), (1000, 64)])
+def test_lines_are_the_same_to_the_last_bit_however_they_are_batched(spark, monkeypatch, few, buffer):
+    """By themselves, many at once, and in parts of a longer series."""
+    data, df = mixed_series(spark)
+    config = Config(macd=(3, 7, 4), rsi=(6, 12, 24), kdj=(5, 3, 2))
+    monkeypatch.setattr(indicators, "FEW", few)
+    monkeypatch.setattr(indicators, "BUFFER_ROWS", buffer)
+    monkeypatch.setattr(indicators, "ship", lambda spark: None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    rows = indicators.ordered(df.repartition(3)).withColumn("rsv", indicators.rsv(5))
+    table = rows.sort("code", "i").select("code", "ktype", "i", "n", "close", "rsv").toArrow()
+    got = {}
+
+    class One:
+        columns, schema, sparkSession = table.column_names, rows.select("code", "ktype", "i", "n", "close", "rsv").schema, spark
+
+        def sortWithinPartitions(self, *keys):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return [r for b in run(iter(table.to_batches(max_chunksize=17))) for r in b.to_pylist()]
+
+    for r in indicators.with_recurrences(One(), config, (4,)):
+        got[r["code"], r["i"]] = r
+    assert len(got) == sum(map(len, data.values()))
+    for code, closes in data.items():
+        want = literal.macd(closes, 3, 7, 4), literal.kdj([x + 1 for x in closes], [x - 1 for x in closes], closes, 5, 3, 2)
+        for name, line in zip(("dif", "dea", "hist", "k", "d", "j"), [*(want[0] or [[None] * len(closes)] * 3), *(want[1] or [[None] * len(closes)] * 3)], strict=True):
+            assert [got[code, i][name] for i in range(len(closes))] == line
+        for p in config.rsi:
+            assert [got[code, i][f"rsi_{p}"] for i in range(len(closes))] == literal.rsi(closes, p)
+        assert [got[code, i]["ema_4"] for i in range(len(closes))] == literal.ema(closes, 4)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fifty_configurations_make_one_plan(spark):
+    """Each code by its own parameters, with one scan and one shuffle, as by a plan for each."""
+    rng = random.Random(8)
+    data, df = mixed_series(spark, 60, 5, 60, 90)
+    own = {f"c{k:03}": params.Partial(macd=(rng.randint(3, 9), rng.randint(10, 20), rng.randint(2, 9)), kdj=(rng.randint(3, 9), 3, rng.randint(2, 4)), rsi=(6, 12, rng.choice([14, 24])), boll=(rng.choice([10, 20]), 2.0), ma=(5, 10, 20, *rng.choice([(), (30,)]))) for k in range(50)}
+    p = params.Params(overrides=tuple(own.items()))
+    stored = df.repartition(2)
+    found = indicators.indicators_by_code(stored, p)
+    configs, _ = p.numbered(spark)
+    assert len(configs) >= 48
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(code") == 1 and plan.count("MapInArrow") == 1
+    names = ("dif", "dea", "k", "d", "rsi_6", "boll_up", "ma_5", "ma_30", "rsi_14", "trend")
+    got = {(r.code, r.i): r for r in found.collect()}
+    assert len(got) == df.count()
+    for code in [*list(own)[:5], "c055"]:
+        c = p.resolve(code, "mid_cap")
+        for r in indicators.indicators(df.where(F.col("code") == code), c).collect():
+            for name in names:
+                assert got[code, r.i][name] == (r[name] if name in r else None)

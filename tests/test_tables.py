@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.deploy import work_folder
 from barloom.functions import codes, values
-from barloom.operators import blocks, intraday, textsections
+from barloom.operators import blocks, indicators, intraday, textsections
 from barloom.plans import fixtures, registry
 from barloom.schemas import BARS
 from barloom.sources import bars, barstore, store, wire
@@ -322,3 +322,47 @@ def test_streamed_upserts(spark):
     bar_rows(spark, [("a", 1, 9), ("b", 0, 4)]).coalesce(1).write.mode("append").parquet(source)
     streaming.upsert_into(stream, s, check).awaitTermination()
     assert sorted((r.code, r.close) for r in s.read().collect()) == [("a", 1), ("a", 9), ("b", 4)]
+
+
+def run_to_the_end(made, out, check):
+    made.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_streamed_indicators_go_on_after_a_restart(spark):
+    rows = bar_rows(spark, [(c, d, 5 + (d * k) % 13) for k, c in enumerate("abc", 2) for d in range(80)])
+    source, out, check = (work_folder(spark, n) for n in ("in", "out", "check"))
+    for first, end in ((0, 30), (30, 31), (31, 80)):
+        rows.where((F.col("ts") >= DAY + datetime.timedelta(days=first)) & (F.col("ts") < DAY + datetime.timedelta(days=end))).repartition(3).write.mode("append").parquet(source)
+        run_to_the_end(streaming.indicators(spark.readStream.schema(BARS).parquet(source)), out, check)  # a new query each time
+    rows.where("ts < '2024-01-05'").write.mode("append").parquet(source)  # late, so left out
+    run_to_the_end(streaming.indicators(spark.readStream.schema(BARS).parquet(source)), out, check)
+    names = ["dif", "dea", "k", "d", "j", "rsi_6", "rsi_24"]
+    got = {(r.code, r.ts): [r[n] for n in names] for r in spark.read.parquet(out).collect()}
+    want = {(r.code, r.ts): [r[n] for n in names] for r in indicators.indicators(rows).collect()}
+    assert got == want and len(got) == 240
+    at = {r.key.code: (r.value.bars, r.value.ts) for r in streaming.held_state(spark, check, "at").collect()}
+    assert at == {c: (80, DAY + datetime.timedelta(days=79)) for c in "abc"}
+    assert streaming.held_state(spark, check, "recent").count() == 3 * 9
+
+
+def test_runs_of_states_and_what_comes_late(spark):
+    """A run ends at a gap; a signal later than the watermark allows is left out, one within it joins its run."""
+    source, out, check = (work_folder(spark, n) for n in ("in", "out", "check"))
+    schema = "code string, ktype int, ts timestamp, type string, indicator string"
+    days = [[0, 1, 2, 5], [3, 20, 21], [9, 12, 60]]  # 3 is late but within seven days; 9 is not, 12 is not either
+    for batch in days:
+        spark.createDataFrame([("a", 9, DAY + datetime.timedelta(days=d), "x", "y") for d in batch], schema).coalesce(1).write.mode("append").parquet(source)
+        run_to_the_end(streaming.state_runs(spark.readStream.schema(schema).parquet(source), "1 day 1 second"), out, check)
+    got = sorted(((r.first - DAY).days, (r.last - DAY).days, r.bars) for r in spark.read.parquet(out).collect())
+    assert got == [(0, 3, 4), (5, 5, 1), (20, 21, 2)]
+
+
+def test_sliding_windows(spark):
+    source, out, check = (work_folder(spark, n) for n in ("in", "out", "check"))
+    schema = "code string, ts timestamp, price double, volume long"
+    at = lambda m: DAY + datetime.timedelta(minutes=m)
+    for batch in ([(0, 1.0), (7, 3.0), (12, 5.0)], [(9, 7.0), (100, 1.0)], [(10, 9.0), (300, 1.0)]):  # 9 comes in time, 10 doesn't
+        spark.createDataFrame([("a", at(m), p, 2) for m, p in batch], schema).coalesce(1).write.mode("append").parquet(source)
+        run_to_the_end(streaming.sliding(spark.readStream.schema(schema).parquet(source), "10 minutes", "5 minutes"), out, check)
+    got = {int((r.start - DAY).total_seconds() // 60): (r.volume, r.price) for r in spark.read.parquet(out).collect()}
+    assert got == {-5: (2, 1), 0: (6, 11 / 3), 5: (6, 5), 10: (2, 5), 95: (2, 1), 100: (2, 1)}
