@@ -160,11 +160,12 @@ def cycles(source: str = "d") -> str:
 crosses AS (SELECT * FROM ({crosses}) WHERE c <> 0),
 grouped AS (SELECT *, count(*) FILTER (c = -1) OVER (PARTITION BY code, indicator ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM crosses),
 pairs AS (SELECT code, ktype, indicator, rank, coalesce(g, 0) AS g, min(i) FILTER (c = 1) AS buy_i, max(i) FILTER (c = -1) AS sell_i FROM grouped GROUP BY code, ktype, indicator, rank, coalesce(g, 0)),
+span AS (SELECT *, min(i) OVER (PARTITION BY code, ts::DATE) AS first_i, max(i) OVER (PARTITION BY code, ts::DATE) AS last_i FROM b),
 cyc AS (SELECT p.code, p.ktype, p.indicator, p.rank, x.ts AS buy_ts, y.ts AS sell_ts, p.buy_i, p.sell_i, x.close AS buy_price, y.close AS sell_price, (y.close - x.close) / x.close * 100 AS return_pct,
-    p.sell_i - p.buy_i AS hold_days,
-    (SELECT greatest(max((z.close - x.close) / x.close * 100), 0) FROM b z WHERE z.code = p.code AND z.i BETWEEN p.buy_i AND p.sell_i) AS up,
-    (SELECT least(min((z.close - x.close) / x.close * 100), 0) FROM b z WHERE z.code = p.code AND z.i BETWEEN p.buy_i AND p.sell_i) AS down
-  FROM pairs p JOIN b x ON x.code = p.code AND x.i = p.buy_i JOIN b y ON y.code = p.code AND y.i = p.sell_i)"""
+    p.sell_i - x.first_i AS hold_days, x.first_i, y.last_i,
+    (SELECT greatest(max((z.close - x.close) / x.close * 100), 0) FROM b z WHERE z.code = p.code AND z.i BETWEEN x.first_i AND y.last_i) AS up,
+    (SELECT least(min((z.close - x.close) / x.close * 100), 0) FROM b z WHERE z.code = p.code AND z.i BETWEEN x.first_i AND y.last_i) AS down
+  FROM pairs p JOIN span x ON x.code = p.code AND x.i = p.buy_i JOIN span y ON y.code = p.code AND y.i = p.sell_i)"""
 
 
 def half_away(x: str) -> str:

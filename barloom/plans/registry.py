@@ -239,10 +239,10 @@ _CYCLE_DOUBLES = "buy_price sell_price return_pct max_profit max_loss"
 _CYCLE = f"SELECT code, indicator, buy_ts, sell_ts, buy_i, sell_i, buy_price, sell_price, return_pct, hold_days, {o.half_away('up')} AS max_profit, {o.half_away('down')} AS max_loss FROM cyc"
 
 
-def _cycles(name: str, kinds: tuple[str, ...]) -> None:
+def _cycles(name: str, kinds: tuple[str, ...], source: str = "d", make: Query = fx.bars_d) -> None:
     names = ", ".join(f"'{k}'" for k in kinds)
-    query(o.with_(o.cycles(), s6(f"{_CYCLE} WHERE indicator IN ({names})", _CYCLE_DOUBLES)), name)(
-        lambda spark, d: r6(cycles.cycles(indicators.indicators(fx.bars_d(spark, d)), kinds).drop("ktype", "rank"))
+    query(o.with_(o.cycles(source), s6(f"{_CYCLE} WHERE indicator IN ({names})", _CYCLE_DOUBLES)), name)(
+        lambda spark, d: r6(cycles.cycles(indicators.indicators(make(spark, d)), kinds).drop("ktype", "rank"))
     )
 
 
@@ -250,6 +250,20 @@ _cycles("cycles_ma", ("MA(5,10)",))
 _cycles("cycles_macd", ("MACD",))
 _cycles("cycles_kdj", ("KDJ",))
 _cycles("cycles_all", tuple(cycles.KINDS))
+_cycles("cycles_hourly", tuple(cycles.KINDS), "h", fx.bars_h)
+
+
+@query(o.with_(o.cycles("h"), "SELECT code, indicator, buy_ts, sell_ts, row_number() OVER (PARTITION BY code ORDER BY buy_ts::DATE, rank, buy_i) AS nth FROM cyc"))
+def cycles_in_order(spark, d):
+    """The hourly cycles by the day that buys."""
+    return cycles.in_order(cycles.cycles(indicators.indicators(fx.bars_h(spark, d)))).select("code", "indicator", "buy_ts", "sell_ts", "nth")
+
+
+@query(o.with_(o.cycles("h"), s6("SELECT c.code, c.indicator, c.buy_i, z.ts, z.close FROM cyc c JOIN b z ON z.code = c.code AND z.i BETWEEN c.first_i AND c.last_i", "close")))
+def cycle_bars(spark, d):
+    """The bars of each hourly cycle's days."""
+    rows = fx.bars_h(spark, d)
+    return r6(cycles.span_bars(cycles.cycles(indicators.indicators(rows)), rows).select("code", "indicator", "buy_i", "ts", "close"))
 
 
 @query(o.with_(o.cycles(), s6("SELECT code, indicator, count(*) AS cycles, avg(CASE WHEN return_pct > 0 THEN 1 ELSE 0 END) AS win_rate, avg(return_pct) AS avg_return, printf('周期数: %d | 胜率: %.1f%% | 平均收益: %.2f%%', count(*), avg(CASE WHEN return_pct > 0 THEN 1.0 ELSE 0 END) * 100, avg(return_pct)) AS summary FROM cyc GROUP BY code, indicator", "win_rate avg_return")))

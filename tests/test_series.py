@@ -257,3 +257,26 @@ def test_fifty_configurations_make_one_plan(spark):
         for r in indicators.indicators(df.where(F.col("code") == code), c).collect():
             for name in names:
                 assert got[code, r.i][name] == (r[name] if name in r else None)
+
+
+def test_cycles_go_by_days(spark):
+    """Four bars a day: the span is from the buying day's first bar to the selling day's last."""
+    rng = random.Random(11)
+    n = 200
+    closes = [round(rng.uniform(5, 15), 2) for _ in range(n)]
+    marks = [rng.choice([-1, 0, 0, 0, 1]) for _ in range(n)]
+    times = [literal.DAY0 + datetime.timedelta(days=i // 4, hours=9 + i % 4) for i in range(n)]
+    rows = [("1", 3, t, i, c, float(m), 0.0, -float(m)) for i, (t, c, m) in enumerate(zip(times, closes, marks, strict=True))]
+    frame = spark.createDataFrame(rows, "code string, ktype int, ts timestamp, i int, close double, dif double, dea double, macd_gap_before double")
+    found = cycles.cycles(frame, ("MACD",))
+    got = {(r.buy_i, r.sell_i): (r.hold_days, r.max_profit, r.max_loss) for r in found.collect()}
+    want, spans = {}, []
+    for a, b, _ in literal.cycles(marks, closes):
+        first, last = a - a % 4, min(n - 1, b - b % 4 + 3)
+        moves = [(closes[i] - closes[a]) / closes[a] * 100 for i in range(first, last + 1)]
+        want[a, b] = (b - first, round(max(0.0, *moves), 2), round(min(0.0, *moves), 2))
+        spans += [(a, times[i]) for i in range(first, last + 1)]
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k] == pytest.approx(want[k], abs=0.011) for k in want)
+    assert sorted((r.buy_i, r.ts) for r in cycles.span_bars(found, frame).collect()) == sorted(spans)
+    assert len(spans) > len(set(t for _, t in spans))  # spans share days
