@@ -110,8 +110,14 @@ def block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.groupBy("block_name").agg(whole.alias("records")).select(F.concat(_zeros(384), F.unhex("records")).alias("content"))
 
 
+def tick_message(code, day):
+    """32 bits that tell a code and a day."""
+    return F.crc32(code.cast("binary")) % 65536 * 65536 + F.unix_date(day)
+
+
 def tick_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A capture of each code's and day's trades, as a compressed response."""
+    """A capture of each code's and day's trades, as a compressed response whose msg_id tells code and day, as
+    tick_message() does."""
     import struct
     import zlib
 
@@ -128,8 +134,8 @@ def tick_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         body = struct.pack("<HI", len(rows), 0) + body + bytes(8)
         data = zlib.compress(body)
         data = body if len(data) == len(body) else data
-        return pd.DataFrame({"code": [key[0]], "day": [key[1]], "data": [RESPONSE_PREFIX + struct.pack("<BIBHHH", 12, 1, 0, 1, len(data), len(body)) + data]})
+        return pd.DataFrame({"code": [key[0]], "day": [key[1]], "data": [RESPONSE_PREFIX + struct.pack("<BIBHHH", 12, rows["msg_id"].iloc[0], 0, 1, len(data), len(body)) + data]})
 
     ship(spark)
-    rows = ticks(spark, sf_dir).select("code", F.to_date("ts").alias("day"), "seq", (F.hour("ts") * 60 + F.minute("ts")).alias("minute"), F.round(F.col("price") * 100).cast("long").alias("cents"), "volume", "status")
+    rows = ticks(spark, sf_dir).withColumn("day", F.to_date("ts")).select("code", "day", tick_message(F.col("code"), F.col("day")).alias("msg_id"), "seq", (F.hour("ts") * 60 + F.minute("ts")).alias("minute"), F.round(F.col("price") * 100).cast("long").alias("cents"), "volume", "status")
     return rows.groupBy("code", "day").applyInPandas(pack, "code string, day date, data binary")

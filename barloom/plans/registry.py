@@ -16,7 +16,7 @@ from barloom.operators import backtest, blocks, cycles, indicators, intraday, pa
 from barloom.plans import captures
 from barloom.plans import fixtures as fx
 from barloom.plans import oracles as o
-from barloom.sources import bars, barstore, store, wire
+from barloom.sources import bars, barstore, capture, store, wire
 from barloom.streaming import bars as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -739,6 +739,19 @@ def frame_decode(spark, d):
     return r6(found.select("code", "day", F.col("seq").cast("long").alias("seq"), "minute", F.col("value").alias("price"), "volume", "status"))
 
 
+@query(ORACLES["frame_decode"])
+def capture_files_decode(spark, d):
+    """The same trades, written to files of responses and read from them by ranges of bytes."""
+    capture.register(spark)
+    path = work_folder(spark, "captures")
+    fx.tick_captures(spark, d).select("data").write.format("responses").mode("append").save(path)
+    days = fx.ticks(spark, d).select("code", F.to_date("ts").alias("day")).distinct().withColumn("msg_id", fx.tick_message(F.col("code"), F.col("day")))
+    found = spark.read.format("responses").option("rangebytes", 1 << 18).load(path).where("type = 1")
+    raw = wire.raw_ticks(found.join(days, "msg_id").select("code", "day", "body"))
+    rows = intraday.undelta(raw, "price_delta", 100.0, ("code", "day"))
+    return r6(rows.select("code", "day", F.col("seq").cast("long").alias("seq"), "minute", F.col("value").alias("price"), "volume", "status"))
+
+
 def _volume_sql(unit: int = 64) -> str:
     """A volume from the code v."""
     return f"({_POWER} + CASE WHEN {_B} > 128 THEN {_POWER} * (64 + ({_B} & 127) * {64 / unit}) / 64 ELSE {_POWER} * {_B} / 128 END + {_POWER} * {_C} / 32768 * {_FINE} + {_POWER} * {_D} / 8388608 * {_FINE})"
