@@ -1,12 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A text node's tag path is the list of open elements from the root down to it. Over a page, paths of the article's
-text hold much text and much punctuation for each node; those of menus, notices and lists of links hold little.
-Per path, text, punctuation and linked text are summed. The ratios of text and of punctuation to nodes are smoothed
-along the page and fused into one score; links lower it, as does a telling class, id or role above; a marked
-article raises it. Blocks' paths that score above a threshold are content.
+A block's tag path is the list of open elements from the root down to it. Over a page, the paths of the article hold
+most of the text and most of the punctuation; those of menus, notices and lists of links hold little, however a single
+one of them may look. Per path, text and punctuation are summed. Both sums are smoothed along the page and fused by
+their product into one score, linked text lowers it, and the paths that score above a threshold are content. A telling
+class halves a score and a marked article doubles it, so names decide where sums are close and nowhere else.
 
-Elements that HTML itself sets apart (navigation, asides, footers, scripts, what is hidden) are not read."""
+Elements that HTML itself sets apart (navigation, asides, footers, scripts, what is hidden) are not read. Readers'
+comments are prose like the article, so no sum tells them; what names itself so, and forms, is left out beside other
+text."""
 
 from __future__ import annotations
 
@@ -30,8 +32,8 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Elements that are not the article's text.
-APART = frozenset("nav aside footer script style noscript template svg button select option textarea iframe object canvas dialog menu head title label input math audio video map search".split())
+#: Elements that are not the article's text.
+APART = frozenset("nav aside footer script style noscript template svg button select option textarea iframe object canvas dialog menu head title input audio video map search".split())
 #: Which open elements a start tag closes, up to the nearest of the second list.
 CLOSES = {
     "p": (("p",), ()),
@@ -43,31 +45,39 @@ CLOSES = {
     "th": (("td", "th", "p"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
-#: Words of a class, id or role that tell what an element is.
+#: Words of a class or role, or of the id of a DIVISION, that tell what an element is. A heuristic list.
 TELLING = frozenset(
-    "ad ads advert adverts advertisement advertisements adslot adsense banner breadcrumb breadcrumbs comment comments commentlist respond disqus cookie cookies consent gdpr dialog footer foot header masthead "
+    "ad ads advert adverts advertisement advertisements adslot adsense banner breadcrumb breadcrumbs cookie cookies consent copyright gdpr dialog footer foot header legal masthead "
     "menu menubar modal nav navbar navigation newsletter notice notices alert pager pagination popup promo promotion related recommended share sharing sidebar skip social sponsor sponsored subscribe tags "
     "toolbar topbar widget complementary contentinfo search".split()
 )
-#: Words of a class, id or role that tell nothing.
-NEUTRAL = frozenset("area bar block box container content div group has holder inner is item items js list outer page row section site the with wrap wrapper".split())
-#: Elements that belong to the text of what holds them.
-STRUCTURE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption".split())
+#: Words of which alone the name of readers' comments is made, one of the first at least. A heuristic list.
+COMMENTS = frozenset("comment comments commentlist commentary reply replies respond responses discussion disqus".split())
+OF_COMMENTS = COMMENTS | frozenset("area block body box container content form item list section thread text wrap wrapper reader readers user".split())
+#: Elements whose id names a part of the page. Other ids are mostly made from headings.
+DIVISION = frozenset("div ul ol table form span td".split())
+#: Elements that belong to the text of what holds them. A heuristic list.
+STRUCTURE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption section header hgroup".split())
 #: These are the article, whatever their class.
 NEVER = frozenset("html body article main".split())
 
-#: What a score is multiplied with below a form or an element whose name is a telling word, has one among two or
-#: has one among more. Below the last, much text still counts as content.
-TOLD, HALF_TOLD, HINTED = 0.005, 0.02, 0.5
-#: What a score is multiplied with in a marked article.
-PRIOR = 4.0
-#: Share of the page's mean score, by text, above which a path is content.
-SHARE = 0.1
+#: What a score is multiplied with below an element with a telling word, and in a marked article.
+TOLD, PRIOR = 0.5, 2.0
+#: Share of the page's largest score above which a path is content.
+SHARE = 0.15
+HEADINGS = ("h1", "h2")
+#: What the sums of a container count by if another's heading is the page's title.
+ELSEWHERE = 0.02
+#: Share of the page's text that what lies outside of comments and forms must have for these to be left out.
+BESIDE = 0.01
 
 _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?=[\s/]|$))", re.I)
+#: What follows a tag's name up to its `>`, where every quote opens after a `=` and closes before a space or the end.
+_TAG_END = re.compile(r"(?:[^>\"'=]++|=\s*+\"[^\"]*+\"(?=[\s/>])|=\s*+'[^']*+'(?=[\s/>])|=\s*+(?![\"'\s]))*+>")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…·。，、；：！？¿¡]")
+_TITLE = re.compile(r"<title(?:\s[^>]*)?>([^<]*)", re.I)
 _SPACE = re.compile(r"\s+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
@@ -81,6 +91,8 @@ class Element:
     parent: Element | None
     path: int
     weight: float = 1.0
+    #: How many forms and lists of comments it lies in.
+    level: int = 0
     apart: bool = False
     link: bool = False
     article: bool = False
@@ -94,28 +106,32 @@ class Element:
 
 @dataclass(slots=True)
 class Block:
-    """One block's text: its element, and for each text node the path, own length, marks, linked length."""
+    """One block's text: its element, own length, marks, linked length."""
 
     element: Element
     parts: list[str] = field(default_factory=list)
-    nodes: list[list] = field(default_factory=list)
+    own: int = 0
+    marks: int = 0
+    linked: int = 0
 
     def text(self) -> str:
         return _SPACE.sub(" ", "".join(self.parts)).strip()
 
 
-def told(tag: str, attributes: list[tuple[str, str]]) -> float:
-    """The weight of an element's own name: the more of it telling words make up, the less."""
-    weight = TOLD if tag == "form" else 1.0
-    for name, value in attributes:
-        if name in ("class", "id", "role"):
-            for token in value.split():
-                parts = [p for p in map(str.lower, _PARTS.findall(token))]
-                telling = sum(p in TELLING for p in parts)
-                if telling:
-                    others = sum(p not in TELLING and p not in NEUTRAL for p in parts)
-                    weight = min(weight, TOLD if not others else HALF_TOLD if others <= telling else HINTED)
-    return weight
+def _names(tag: str, attributes: list[tuple[str, str]]) -> list[list[str]]:
+    """The words of each name that tells what an element is."""
+    own = [v for n, v in attributes if n in ("class", "role") or (n == "id" and tag in DIVISION)]
+    return [[p.lower() for p in _PARTS.findall(token)] for value in own for token in value.split()]
+
+
+def told(names: list[list[str]]) -> float:
+    """The weight of an element's own names: of some, telling words are half or more."""
+    return TOLD if any((n := sum(p in TELLING for p in parts)) and 2 * n >= len(parts) for parts in names) else 1.0
+
+
+def _of_readers(names: list[list[str]]) -> bool:
+    """Whether a name says that an element holds readers' comments."""
+    return any(COMMENTS.intersection(parts) and OF_COMMENTS.issuperset(parts) for parts in names)
 
 
 def _hidden(attributes: list[tuple[str, str]]) -> bool:
@@ -139,6 +155,9 @@ class _Tags:
     def end_of_tag(self, at: int) -> int:
         """Where the tag's `>` is, -1 if there is none. Quoted values may hold it; a quote that isn't closed, or
         is by the quote of a later tag, opens nothing."""
+        plain = _TAG_END.match(self.page, at)
+        if plain:
+            return plain.end() - 1
         close = first = self.find(">", at)
         while close >= 0:
             quotes = [(q, c) for c in "\"'" if 0 <= (q := self.find(c, at)) < close]
@@ -146,12 +165,13 @@ class _Tags:
                 return close
             opened, mark = min(quotes)
             at = opened + 1
-            if self.page[:opened].endswith("=") or self.page[max(0, opened - 50) : opened].rstrip().endswith("="):
+            if self.page[max(0, opened - 50) : opened].rstrip().endswith("="):
                 end = self.find(mark, at)
                 if end < 0 or (end > close and not re.match(r"[\s/>]", self.page[end + 1 : end + 2])):
                     return first
                 at = end + 1
-                close = self.find(">", at)
+                if end > close:
+                    close = self.find(">", at)
         return first
 
 
@@ -180,8 +200,11 @@ def blocks(page: str) -> list[Block]:
         piece = html.unescape(piece) if decode else piece
         current.parts.append(piece)
         n = len(piece.strip())
-        if n:
-            current.nodes.append([top.path, 0 if top.link else n, 0 if top.link else len(_PUNCTUATION.findall(piece)), n if top.link else 0])
+        if top.link:
+            current.linked += n
+        else:
+            current.own += n
+            current.marks += len(_PUNCTUATION.findall(piece))
 
     def push(element: Element) -> None:
         places[element.tag].append(len(stack))
@@ -255,9 +278,10 @@ def blocks(page: str) -> list[Block]:
             cut(block_places[-1] + 1)
         top, inside = stack[-1], page[name.end() : end]
         attributes = [(n.lower(), a or b or c) for n, a, b, c in _ATTRIBUTE.findall(inside)] if "=" in inside or "hidden" in inside.lower() else []
-        weight = 1.0 if tag in NEVER else told(tag, attributes)
-        path = paths.setdefault((top.path, tag, weight), len(paths) + 1)
-        element = Element(tag, top, path, top.weight * weight, top.apart or tag in APART or (tag == "header" and not top.article) or (tag not in NEVER and _hidden(attributes)), top.link or tag == "a", top.article or tag in ("article", "main"))
+        names = [] if tag in NEVER else _names(tag, attributes)
+        weight, deeper = told(names), int(tag == "form" or _of_readers(names))
+        path = paths.setdefault((top.path, tag, weight, deeper), len(paths) + 1)
+        element = Element(tag, top, path, top.weight * weight, top.level + deeper, top.apart or tag in APART or (tag == "header" and not top.article) or (tag not in NEVER and _hidden(attributes)), top.link or tag == "a", top.article or tag in ("article", "main"))
         element.block = element if tag in BLOCK else top.block
         if tag in RAW:
             stop = _RAW_END[tag].search(page, at)
@@ -270,10 +294,10 @@ def blocks(page: str) -> list[Block]:
             at = shut + 1 if shut >= 0 else size
             continue
         push(element)
-    return [b for b in out if b.nodes]
+    return [b for b in out if b.own or b.linked]
 
 
-_KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
+_KERNEL = np.exp(-2.0 * np.arange(-2, 3) ** 2)
 _KERNEL /= _KERNEL.sum()
 
 
@@ -281,31 +305,34 @@ def _smooth(values: list[float]) -> np.ndarray:
     return np.convolve(np.pad(np.array(values, float), 2, mode="edge"), _KERNEL, mode="valid")
 
 
-def scores(found: list[Block]) -> np.ndarray:
-    """Each block's score. Per tag path: its text ratio (text outside of links by nodes, times the spread of their
-    lengths, so that a path of many alike short nodes counts for little) and its punctuation ratio. Both are
-    smoothed with the neighbours on the page by a Gaussian and fused by their product; a block's is the mean
-    over its text. What links hold of the text of the block's path is taken off."""
-    nodes = [n for b in found for n in b.nodes]
-    lengths, marks, linked, whole = defaultdict(list), defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, own, m, _ in nodes:
-        lengths[path].append(own)
-        marks[path] += m
-    for b in found:
-        for _, own, _, in_links in b.nodes:
-            linked[b.element.path] += in_links
-            whole[b.element.path] += own + in_links
-    text_ratio = {p: sum(v) / len(v) * (1 + np.std(v) / (1 + sum(v) / len(v))) for p, v in lengths.items()}
-    mark_ratio = {p: (1 + marks[p]) / len(v) for p, v in lengths.items()}
-    fused = _smooth([text_ratio[n[0]] for n in nodes]) * _smooth([mark_ratio[n[0]] for n in nodes])
-    out, at = [], 0
-    for b in found:
-        of = [own + in_links for _, own, _, in_links in b.nodes]
-        mean = float(np.dot(fused[at : at + len(of)], of)) / sum(of)
-        share = linked[b.element.path] / whole[b.element.path]
-        out.append(mean * (1 - share if share <= 0.5 else 0.0))
-        at += len(of)
-    return np.array(out)
+def _says(block: Block, title: str) -> bool:
+    """Whether a block's text and the title are one, or one begins or ends with the other."""
+    own = block.text().lower()
+    a, b = sorted((own, title), key=len)
+    return bool(a) and len(block.parts) <= 20 and (b.startswith(a) or b.endswith(a))
+
+
+def scores(found: list[Block], title: str = "") -> np.ndarray:
+    """Each block's score. Text outside of links and punctuation are summed per tag path, and per path of the container
+    that holds a block; the sums are smoothed along the page's blocks by a Gaussian and fused by their product. A path's
+    score is the mean over its blocks, less what links hold of its text, or nothing if that is more than half. If a
+    heading says what the page's title says, the sums of containers other than its own count by ELSEWHERE."""
+    text, marks, linked, count, total = (defaultdict(float) for _ in range(5))
+    places = [(b.element.path, ("in", b.element.parent.block.path) if b.element.parent else ("in", -1)) for b in found]
+    titled = {place[1] for b, place in zip(found, places, strict=True) if b.element.tag in HEADINGS and _says(b, title)}
+    for b, place in zip(found, places, strict=True):
+        for path, share in zip(place, (1.0, ELSEWHERE if titled and place[1] not in titled else 1.0), strict=True):
+            text[path] += b.own * share
+            marks[path] += b.marks * share
+        linked[place[0]] += b.linked
+        count[place[0]] += 1
+    fused = np.ones(len(found))
+    for paths in zip(*places, strict=True):
+        fused *= _smooth([text[p] for p in paths]) * _smooth([1 + marks[p] for p in paths])
+    for (path, _), v in zip(places, fused, strict=True):
+        total[path] += float(v)
+    share = {p: linked[p] / (text[p] + linked[p]) for p in count}
+    return np.array([total[p] / count[p] * (1 - share[p] if share[p] <= 0.5 else 0.0) for p, _ in places])
 
 
 def _belongs(found: list[Block], chosen: list[bool]) -> list[bool]:
@@ -343,27 +370,46 @@ def _belongs(found: list[Block], chosen: list[bool]) -> list[bool]:
     return out
 
 
-def main_text(page: str | None, share: float = SHARE, prior: float = PRIOR) -> str:
-    """The content blocks' text, one line each, in page order. A path is content if its mean score is above `share`
-    of the page's mean score, by text. So are lists, tables, headings and the like beside content, and whatever
-    stands between content of one container; but for what its name tells apart, and lists of links outside of a
-    marked article. A page without text, or of links alone, or null, gives an empty text."""
-    found = blocks(page or "")
+def title_of(page: str) -> str:
+    """The text of the page's title, its words in lower case."""
+    found = _TITLE.search(page)
+    return " ".join(html.unescape(found[1]).lower().split()) if found else ""
+
+
+def _beside(found: list[Block]) -> list[Block]:
+    """The blocks in as few forms and lists of comments as the page's own text lies in."""
+    text = defaultdict(int)
+    for b in found:
+        text[b.element.level] += b.own
+    least = BESIDE * sum(text.values())
+    level = min((k for k, n in text.items() if n >= least and n), default=0)
+    return [b for b in found if b.element.level <= level]
+
+
+def main_text(page: str | None, share: float = SHARE, prior: float | None = None) -> str:
+    """The content blocks' text, one line each, in page order. A path is content if its score is above `share` of the
+    page's largest score. So are lists, tables, headings, sections and the like beside content, and whatever
+    stands between content of one container; but for what a telling name is on, and lists of links outside of a
+    marked article. The first heading that says what the page's title says stays, or
+    else the page's only h1. A page without text, or of links alone, or null, gives an empty text."""
+    found = _beside(blocks(page or ""))
     if not found:
         return ""
+    title = title_of(page)
     weight = np.array([b.element.weight for b in found])
-    value = scores(found) * weight * np.where([b.element.article for b in found], prior, 1.0)
-    size = np.array([sum(own + in_links for _, own, _, in_links in b.nodes) for b in found], float) * weight
-    threshold = share * float((value * size).sum() / size.sum())
-    by_path = defaultdict(list)
-    for b, v in zip(found, value, strict=True):
-        by_path[b.element.path].append(v)
-    content = {path for path, of in by_path.items() if sum(of) / len(of) > threshold}
-    chosen = [b.element.path in content for b in found]
+    value = scores(found, title) * weight * np.where([b.element.article for b in found], PRIOR if prior is None else prior, 1.0)
+    of_path = defaultdict(list)
+    for b, v in zip(found, value.tolist(), strict=True):
+        of_path[b.element.path].append(v)
+    mean = {path: sum(of) / len(of) for path, of in of_path.items()}
+    threshold = share * max(mean.values())
+    chosen = [mean[b.element.path] > threshold for b in found]
     top = weight.max()
-    kept = []
+    heads = [b for b in found if b.element.tag in HEADINGS and not b.linked]
+    first = [b for b in heads if b.element.tag == "h1"]
+    kept, heading = [], next((b for b in heads if _says(b, title)), first[0] if len(first) == 1 else None)
     for b, c, belongs in zip(found, chosen, _belongs(found, chosen), strict=True):
-        if c or (belongs and b.element.weight > HALF_TOLD * top and (b.element.article or sum(n[3] for n in b.nodes) * 2 <= sum(n[1] + n[3] for n in b.nodes))):
+        if c or b is heading or (belongs and b.element.weight == top and (b.element.article or b.linked <= b.own)):
             kept.append(b.text())
     return "\n".join(kept)
 

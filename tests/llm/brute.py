@@ -1,6 +1,7 @@
 """Plain restatements of what the operators return, one document after the other."""
 
 import hashlib
+import html
 import math
 import re
 import zlib
@@ -125,8 +126,16 @@ def without_boilerplate(docs, min_sites=10):
     return out
 
 
+TELLING = """ad ads advert adverts advertisement advertisements adslot adsense banner breadcrumb breadcrumbs cookie cookies consent copyright gdpr dialog footer foot header legal masthead menu menubar modal nav
+navbar navigation newsletter notice notices alert pager pagination popup promo promotion related recommended share sharing sidebar skip social sponsor sponsored subscribe tags toolbar topbar widget complementary contentinfo search""".split()
+COMMENTS = "comment comments commentlist commentary reply replies respond responses discussion disqus".split()
+OF_COMMENTS = "area block body box container content form item list section thread text wrap wrapper reader readers user".split()
+APART = "nav aside footer script style noscript template svg button select option textarea iframe object canvas dialog menu head title input audio video map search".split()
+STRUCTURE = "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption section header hgroup".split()
+
+
 class _Tree(HTMLParser):
-    """Text nodes of a page, each with its whole list of open elements (number, tag, weight)."""
+    """Text nodes of a page, each with its whole list of open elements (number, tag, weight, level, apart)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -162,18 +171,17 @@ class _Tree(HTMLParser):
             return
         self.n += 1
         named = {k: v or "" for k, v in attrs}
-        weight = 1.0
-        if tag not in h.NEVER:
-            weight = 0.005 if tag == "form" else 1.0
-            for token in " ".join(named.get(k, "") for k in ("class", "id", "role")).split():
+        weight, deeper = 1.0, tag == "form"
+        if tag not in ("html", "body", "article", "main"):
+            for token in " ".join(named.get(k, "") for k in ("class", "role", *(["id"] if tag in "div ul ol table form span td".split() else []))).split():
                 parts = [x.lower() for x in re.findall("[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+", token)]
-                good = [x for x in parts if x in h.TELLING]
-                rest = [x for x in parts if x not in h.TELLING and x not in h.NEUTRAL]
-                if good:
-                    weight = min(weight, 0.5 if len(rest) > len(good) else 0.02 if rest else 0.005)
-        inside = any(t in ("article", "main") for _, t, _, _ in self.open)
-        apart = tag in h.APART or (tag == "header" and not inside) or "hidden" in named
-        self.open.append((self.n, tag, weight, apart))
+                good = [x for x in parts if x in TELLING]
+                if good and len(good) >= len(parts) - len(good):
+                    weight = 0.5
+                deeper = deeper or (any(x in COMMENTS for x in parts) and all(x in COMMENTS or x in OF_COMMENTS for x in parts))
+        inside = any(t in ("article", "main") for _, t, *_ in self.open)
+        apart = tag in APART or (tag == "header" and not inside) or "hidden" in named
+        self.open.append((self.n, tag, weight, int(deeper), apart))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -189,7 +197,7 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not any(apart for *_, apart in self.open):
+        if not any(x[-1] for x in self.open):
             self.texts.append((self.block, tuple(self.open), data))
 
 
@@ -202,64 +210,77 @@ def main_text(page):
     for block, chain, data in tree.texts:
         if block in groups or data.strip():
             groups[block].append((chain, data))
-    found = []  # chain of the block's element, its text, its nodes
+    every = []  # chain of the block's element, text, own length, marks, linked length
     for parts in groups.values():
         chain = parts[0][0]
         while chain and chain[-1][1] not in html_extract.BLOCK:
             chain = chain[:-1]
-        nodes = [(c, len(d.strip()), len(re.findall(r"[.,;:!?…·。，、；：！？¿¡]", d)), any(t == "a" for _, t, _, _ in c)) for c, d in parts if d.strip()]
-        found.append((chain, re.sub(r"\s+", " ", "".join(d for _, d in parts)).strip(), nodes))
+        linked = [any(t == "a" for _, t, *_ in c) for c, _ in parts]
+        own = sum(len(d.strip()) for (_, d), link in zip(parts, linked, strict=True) if not link)
+        marks = sum(len(re.findall(r"[.,;:!?…·。，、；：！？¿¡]", d)) for (_, d), link in zip(parts, linked, strict=True) if not link)
+        every.append((chain, re.sub(r"\s+", " ", "".join(d for _, d in parts)).strip(), own, marks, sum(len(d.strip()) for (_, d), link in zip(parts, linked, strict=True) if link)))
+
+    def level(chain):
+        return sum(x[3] for x in chain)
+
+    def path(chain):
+        return tuple(x[1:4] for x in chain)
+
+    def weight(chain):
+        return math.prod(x[2] for x in chain)
+
+    whole = sum(own for _, _, own, _, _ in every)
+    levels = [k for k in {level(c) for c, *_ in every} if 0 < (n := sum(own for c, _, own, _, _ in every if level(c) == k)) and n >= whole / 100]
+    found = [x for x in every if level(x[0]) <= min(levels, default=0) and (x[2] or x[4])]
     if not found:
         return ""
+    title = re.search(r"(?i)<title(?:\s[^>]*)?>([^<]*)", page)
+    title = " ".join(html.unescape(title[1]).lower().split()) if title else ""
 
-    def path(chain):
-        return tuple((t, w) for _, t, w, _ in chain)
+    def says(text):
+        return bool(text and title) and any(a.startswith(b) or a.endswith(b) for a, b in ((text.lower(), title), (title, text.lower())))
 
-    every = [n for _, _, nodes in found for n in nodes]
-    texts, marks = [], []
-    for chain, *_ in every:
-        same = [n for n in every if path(n[0]) == path(chain)]
-        own = [0 if n[3] else n[1] for n in same]
-        mean = sum(own) / len(own)
-        texts.append(mean * (1 + math.sqrt(sum((x - mean) ** 2 for x in own) / len(own)) / (1 + mean)))
-        marks.append((1 + sum(0 if n[3] else n[2] for n in same)) / len(own))
+    heads = [i for i, (chain, text, _, _, linked) in enumerate(found) if chain and chain[-1][1] in ("h1", "h2") and not linked]
+    homes = {path(found[i][0][:-1]) for i in heads if says(found[i][1])}
+    texts, marks, around, marked = [], [], [], []
+    for chain, *_ in found:
+        same = [x for x in found if path(x[0]) == path(chain)]
+        beside = [x for x in found if bool(x[0]) == bool(chain) and path(x[0][:-1]) == path(chain[:-1])]
+        factor = 0.02 if homes and (not chain or path(chain[:-1]) not in homes) else 1
+        texts.append(sum(x[2] for x in same))
+        marks.append(1 + sum(x[3] for x in same))
+        around.append(factor * sum(x[2] for x in beside))
+        marked.append(1 + factor * sum(x[3] for x in beside))
 
     def smooth(v, i):
-        weights = [math.exp(-k * k / 2) for k in range(-2, 3)]
+        weights = [math.exp(-2 * k * k) for k in range(-2, 3)]
         return sum(w * v[min(max(i + k, 0), len(v) - 1)] for w, k in zip(weights, range(-2, 3), strict=True)) / sum(weights)
 
-    fused = [smooth(texts, i) * smooth(marks, i) for i in range(len(every))]
-    values, sizes, at = [], [], 0
-    for chain, _, nodes in found:
-        n = sum(x[1] for x in nodes)
-        value = sum(fused[at + k] * x[1] for k, x in enumerate(nodes)) / n
-        at += len(nodes)
-        alike = [x for c, _, more in found if path(c) == path(chain) for x in more]
-        share = sum(x[1] for x in alike if x[3]) / sum(x[1] for x in alike)
-        weight = math.prod(w for _, _, w, _ in chain)
-        values.append(value * (0 if share > 0.5 else 1 - share) * weight * (4 if any(t in ("article", "main") for _, t, _, _ in chain) else 1))
-        sizes.append(n * weight)
-    threshold = 0.1 * sum(v * s for v, s in zip(values, sizes, strict=True)) / sum(sizes)
-    chosen = []
+    fused = [math.prod(smooth(v, i) for v in (texts, marks, around, marked)) for i in range(len(found))]
+    values = []
     for chain, *_ in found:
-        same = [v for (c, *_), v in zip(found, values, strict=True) if path(c) == path(chain)]
-        chosen.append(sum(same) / len(same) > threshold)
-    blocks = [[0, *(n for n, t, _, _ in chain if t in html_extract.BLOCK)] for chain, *_ in found]
-    tags = [["", *(t for _, t, _, _ in chain if t in html_extract.BLOCK)] for chain, *_ in found]
+        same = [k for k, x in enumerate(found) if path(x[0]) == path(chain)]
+        linked, own = sum(found[k][4] for k in same), sum(found[k][2] for k in same)
+        value = sum(fused[k] for k in same) / len(same) * (0 if linked > own else 1 - linked / (own + linked))
+        values.append(value * weight(chain) * (2 if any(t in ("article", "main") for _, t, *_ in chain) else 1))
+    chosen = [v > 0.15 * max(values) for v in values]
+    blocks = [[0, *(x[0] for x in chain if x[1] in html_extract.BLOCK)] for chain, *_ in found]
+    tags = [["", *(x[1] for x in chain if x[1] in html_extract.BLOCK)] for chain, *_ in found]
     spans = defaultdict(list)
     for i, c in enumerate(chosen):
         for number in blocks[i][-2:] if c else ():
             spans[number].append(i)
-    top = max(math.prod(w for _, _, w, _ in chain) for chain, *_ in found)
+    first = [i for i in heads if found[i][0][-1][1] == "h1"]
+    heading = next((i for i in heads if says(found[i][1])), first[0] if len(first) == 1 else None)
+    top = max(weight(chain) for chain, *_ in found)
     out = []
-    for i, (chain, text, nodes) in enumerate(found):
+    for i, (chain, text, own, _, linked) in enumerate(found):
         belongs = any(s[0] < i < s[-1] for s in spans.values())
         for number, tag in zip(blocks[i][::-1], tags[i][::-1], strict=True):
             belongs = belongs or number in spans
-            if tag not in html_extract.STRUCTURE:
+            if tag not in STRUCTURE:
                 break
-        linked = sum(x[1] for x in nodes if x[3]) * 2 > sum(x[1] for x in nodes)
-        article = any(t in ("article", "main") for _, t, _, _ in chain)
-        if chosen[i] or (belongs and math.prod(w for _, _, w, _ in chain) > 0.02 * top and (article or not linked)):
+        article = any(t in ("article", "main") for _, t, *_ in chain)
+        if chosen[i] or i == heading or (belongs and weight(chain) == top and (article or linked <= own)):
             out.append(text)
     return "\n".join(out)

@@ -100,12 +100,70 @@ def article_of(page):
     return "\n".join(x for x in texts if x)
 
 
-def test_sample_pages_are_reduced_to_their_article(spark, monkeypatch):
+def test_sample_pages_are_reduced_to_their_article(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = {r.page_id: r.text for r in html_extract.op1_tag_path_text(spark, SF).collect()}
     assert got == {k: article_of(p) for k, p in pages.items()} == {k: brute.main_text(p) for k, p in pages.items()}
-    monkeypatch.setattr(html_extract, "scores", lambda found: np.zeros(len(found)))
-    assert {html_extract.main_text(p) for p in pages.values()} == {""}
+def same_as_article(pages):
+    return sum(html_extract.main_text(p) == article_of(p) for p in pages)
+
+
+def test_sums_along_paths_decide(spark, monkeypatch):
+    """Without words and the article's prior all pages stay as they are; without the sums most don't."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert same_as_article(pages) == len(pages) == 250
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "told", lambda names: 1.0)
+        m.setattr(html_extract, "PRIOR", 1.0)
+        assert same_as_article(pages) >= 245
+    rng = np.random.default_rng(3)
+
+    def by_path(found, title):
+        value = defaultdict(lambda: float(np.exp(rng.normal(0, 0.5))))
+        return np.array([value[b.element.path] for b in found])
+
+    for scores in (lambda found, title: np.ones(len(found)), lambda found, title: np.exp(rng.normal(0, 0.5, len(found))), by_path):
+        monkeypatch.setattr(html_extract, "scores", scores)
+        assert same_as_article(pages) < 125
+
+
+IDS = "related-work search search-algorithms share-price notice-period menu-design social-history comments banner-design tags header".split()
+
+
+@pytest.mark.parametrize("name", IDS)
+def test_ids_made_from_headings_set_nothing_apart(name):
+    own = f"<section id='{name}'><h2>Own head</h2><p>Own text one, here.</p><p>Own text two, there.</p></section>"
+    for page in (f"<article>{PROSE}{own}</article>", f"<div>{PROSE}{own}</div>", f"<article>{own}{PROSE}</article>", f"<article>{PROSE}<h2 id='{name}'>Own head</h2>Own text one, two.{PROSE}</article>"):
+        got = html_extract.main_text(f"<body><nav><a href=x>Home</a></nav>{page}</body>")
+        assert all(x in got for x in ("Own head", "one", "two", "Paragraph 5"))
+
+
+def test_readers_and_legal_lines_go():
+    each = "".join(f"<div class=reply><p>A comment {i}, and a long one: on, and on.</p></div>" for i in range(3))
+    legal = "<div class=legal>Copyright 2020 me; all rights reserved.</div>"
+    for page in (f"<article>{PROSE}</article><div class=replies>{each}</div>", f"<article>{PROSE}<section class=discussion>{each}</section></article>", f"<article>{PROSE}{legal}</article>", f"<article>{PROSE}</article>{legal}", f"<article>{PROSE}</article><div class=replies>{each * 60}</div>"):
+        assert html_extract.main_text(f"<body>{page}</body>").count("\n") == 5
+    assert "A comment 2" in html_extract.main_text(f"<body><div class=comments>{each}</div></body>")  # there is nothing else
+
+
+def test_formulas_labels_and_titles_stay():
+    got = html_extract.main_text(f"<article>{PROSE}<p>Let <math><mi>x</mi></math> be <label>one</label>, yes.</p></article>")
+    assert got.endswith("Let x be one, yes.")
+    for head in ("<header><h1>Its title</h1></header>", "<div class=head><h1>Its title</h1></div>"):
+        for title in ("Its title", "Its title - Some Site", ""):
+            assert html_extract.main_text(f"<head><title>{title}</title></head><body><article>{head}{PROSE}</article></body>").startswith("Its title\nParagraph 0")
+
+
+def test_tags_are_read_in_linear_time():
+    def took(page):
+        began = time.process_time()
+        html_extract.main_text(page)
+        return time.process_time() - began
+
+    attributes = ["<p " + " ".join(f'a{k}="v"' for k in range(n)) + ">x</p>" for n in (20_000, 80_000)]
+    tags = ['<p class="x">hello, world.</p>' * n for n in (10_000, 40_000)]
+    assert took(attributes[1]) < 1 and took(attributes[1]) < 10 * took(attributes[0]) + 0.1
+    assert took(tags[1]) < 10 * took(tags[0]) + 0.1
 
 
 PROSE = "".join(f"<p>Paragraph {i} of the article, with commas, stops; and <b>more</b> of them, so that it <a href=x>counts</a> as prose.</p>" for i in range(6))
@@ -114,6 +172,7 @@ ODD_PAGES = [
     f"<article>{PROSE}<div class='story-search-rescue'><p>Rescued, they said, at last; it was late.</p></div><p id='banner-of-heaven'>A banner, of heaven, it was.</p><ul><li><a href=a>Ref one</a></li></ul></article>",
     f"<body><div class='layout has-sidebar'><div>{PROSE}<table><tr><td>1<td>2<tr><td>3</table></div><div class=sidebar><p>Side, note.</p></div></div><form>Name, please <input></form></body>",
     f"<main>{PROSE}</main><div id=comments>{'<article><p>A comment, and a long one: on, and on.</p></article>' * 30}</div>", f"<h1>Title here</h1><div><div>{PROSE}</div><p>Short</p></div><ul>{'<li><a href=x>elsewhere</a></li>' * 9}</ul>",
+    f"<head><title>Head here - Site</title></head><body><header>Site</header><article><header><h1>Head here</h1></header>{PROSE}<section class='related'><p>See this, or that.</p></section></article><div class='replies'>{PROSE}</div></body>",
     "<dl><dt>a<dd>b, b<dt>c<dd>d</dl>text, after<b>bold<p>more <i>it", "<p>x &amp; y &eacute;&#8217; &nbsp; z<br>w</p><!-- no, no --><p hidden>gone</p><script>var a='<p>';</script>",
 ]
 
