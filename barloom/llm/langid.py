@@ -1,9 +1,10 @@
 """Language identification by Bayesian fusion of evidence.
 
 For each language, the posterior takes in the text's likelihood under byte trigrams (tempered, as trigrams of
-one text repeat each other's news), what the markup declares, what the address ends in, and the prior of
-the host. Host priors are grouped counts of the languages that texts alone point to, smoothed from the
-suffix down: a host draws on its registered domain, that on its suffix, that on the whole table."""
+one text repeat each other's news), what the markup declares, and the prior of the host. Host priors are grouped counts
+of the languages that texts alone point to, smoothed from the address's suffix down: a host draws on its registered
+domain, that on its suffix, that on the whole table. What a suffix speaks for is so learnt from the table, and a row's
+own text is left out of all its counts, as it is evidence already."""
 
 from __future__ import annotations
 
@@ -31,8 +32,9 @@ FLOOR = 3.0
 #: A text's own mean is off by the spread of single trigrams over the root of their number; so many times that is
 #: allowed for.
 ERRORS = 3.0
-#: Fixed value: languages that a country's suffix speaks for.
-SUFFIX_LANGUAGES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
+#: Labels with fewer distinct texts are none: tags in markup are noisy. Of more than so many labels, those with the
+#: most texts count; both bound the model and what the driver gets of it.
+LEAST_TEXTS, LABELS = 5, 256
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Digits and ASCII punctuation say nothing of a language and read as one space.
@@ -64,13 +66,16 @@ class Model:
         return F.lit(self.mean - FLOOR) - F.lit(ERRORS * self.spread) / F.sqrt(n)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = FIT_ROWS, smoothing: float = 0.5, read: Callable[[DataFrame], DataFrame] | None = None) -> Model:
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int = FIT_ROWS, smoothing: float = 0.5, least: int = LEAST_TEXTS, labels: int = LABELS, read: Callable[[DataFrame], DataFrame] | None = None) -> Model:
     """Fits on at most `rows` rows of each label, those whose text hashes lowest; a bounded sample, as the
     counts of some hundred texts change little with more. read: makes the sample's texts of what stands in its
-    column `text`. Rows without text or label are left out."""
+    column `text`. Rows without text or label are left out, and so are labels with fewer than `least` distinct texts and,
+    if there are more than `labels`, those with the fewest; of ties, those that sort last."""
     ship(labelled.sparkSession)
     chosen = reject_clash(labelled, text, label).where(F.col(text).isNotNull() & F.col(label).isNotNull())
     ids = chosen.select(F.col(label).alias("label"), F.xxhash64(F.lit(5), F.col(text)).alias("h")).distinct()
+    counts = ids.groupBy("label").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least).orderBy(F.desc("texts"), "label").limit(labels)
+    ids = ids.join(F.broadcast(counts.select("label")), "label", "left_semi")
     # The lowest of each of many parts of a label first, so that no task sorts a label whole: the second window
     # has _PARTS times `rows` rows of a label at most.
     parted = Window.partitionBy("label", F.pmod("h", F.lit(_PARTS))).orderBy("h")
@@ -140,35 +145,56 @@ def _argmax(values: Column, languages: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position(values, F.array_max(values)).cast("int"))
 
 
-def _log_priors(scored: DataFrame, languages: tuple[str, ...], strength: float, temper: float) -> DataFrame:
-    """host, log_prior for each language. Counts come from the whole table, each text with letters counting one,
-    divided among the languages as its likelihoods are, in millionths, so that sums don't depend on their order.
-    Each level's distribution is its own counts plus `strength` draws from the level above."""
-    likely = scored.where(F.col("n_grams") > 0).select("host", F.transform("ll", lambda x: F.exp(x * temper)).alias("p"))
-    likely = likely.withColumn("whole", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
-    counts = likely.groupBy("host").agg(*[(F.sum(F.round(F.col("p")[k] / F.col("whole") * 1e6).cast("long")) / 1e6).alias(f"n{k}") for k in range(len(languages))])
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _own(temper: float) -> Column:
+    """What a text alone points to: one, divided among the languages as its likelihoods are, in millionths, so that
+    sums don't depend on their order. Nothing for a text without letters."""
+    p = F.transform("ll", lambda x: F.exp(x * temper))
+    shares = F.transform(F.array(p), lambda q: F.transform(q, lambda x: F.round(x / F.aggregate(q, F.lit(0.0), lambda a, y: a + y) * 1e6).cast("long")))[0]
+    return F.when(F.col("n_grams") > 0, shares).otherwise(F.transform("ll", lambda x: F.lit(0).cast("long")))
+
+
+def _levels(counts: DataFrame, name: str, k: int) -> DataFrame:
+    """name, and its counts as an array with a place for each language; counts has a row for each that isn't 0."""
+    held = F.map_from_entries(F.collect_list(F.struct("k", "n")))
+    dense = counts.groupBy(name, "k").agg(F.sum("n").alias("n")).groupBy(name).agg(held.alias("held"))
+    return dense.select(name, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long"))).alias(f"{name}_counts"))
+
+
+def _with_priors(scored: DataFrame, k: int, strength: float, temper: float) -> DataFrame:
+    """scored with log_prior, an array. Counts come from the whole table but for the row itself; a level's distribution
+    is its own counts and `strength` draws from the level above. Rows without a host share one and draw on the table."""
+    scored = scored.withColumn("own", _own(temper))
+    each = scored.select("host", F.posexplode("own").alias("k", "n")).where("n > 0")
+    by_host = stored(each.groupBy("host", "k").agg(F.sum("n").alias("n")), "host-counts")
     labels = F.split("host", r"\.")
-    levelled = stored(
-        scored.select("host").distinct().join(counts.withColumnRenamed("host", "host2"), F.col("host").eqNullSafe(F.col("host2")), "left").select("host", *[F.coalesce(f"n{k}", F.lit(0.0)).alias(f"n{k}") for k in range(len(languages))])
-        .withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(2)), F.least(F.size(labels), F.lit(2))), ".")),
-        "host-counts",
-    )
-    total = levelled.agg(*[F.sum(f"n{k}") for k in range(len(languages))]).first()
-    whole = [(x or 0) + 1.0 for x in total]
-    whole = [x / sum(whole) for x in whole]
+    last = F.least(F.size(labels), F.lit(2))
+    named = {"suffix": F.element_at(labels, -1), "domain": F.array_join(F.slice(labels, -last, last), ".")}
+    known = by_host.where("host IS NOT NULL").withColumns(named)
+    hosts = scored.select("host").distinct().withColumns(named).join(_levels(known, "domain", k), "domain", "left").join(_levels(known, "suffix", k), "suffix", "left")
+    dense = _levels(by_host, "host", k).withColumnRenamed("host", "host3")
+    hosts = hosts.join(dense, hosts["host"].eqNullSafe(dense["host3"]), "left").select(F.col("host").alias("host2"), *[F.coalesce(f"{x}_counts", F.array_repeat(F.lit(0).cast("long"), k)).alias(f"{x}_counts") for x in ("host", "domain", "suffix")])
+    sums = {r.k: r.n for r in by_host.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # a number for each language
+    whole = F.array(*[F.lit(int(sums.get(i, 0))).cast("long") for i in range(k)])
+    met = scored.join(broadcast_below(stored(hosts, "host-priors"), 100_000), F.col("host").eqNullSafe(F.col("host2")), "left")
+    met = met.withColumns({f"{x}_total": _total(F.col(f"{x}_counts")) for x in ("host", "domain", "suffix")} | {"own_total": _total(F.col("own"))})
+
+    def prior(i: Column) -> Column:
+        def drawn(level: str, above: Column) -> Column:
+            return ((F.col(f"{level}_counts")[i] - F.col("own")[i]) / 1e6 + strength * above) / ((F.col(f"{level}_total") - F.col("own_total")) / 1e6 + strength)
 
-    n = sum((F.col(f"n{k}") for k in range(len(languages))), F.lit(0.0))
-    suffixes = levelled.groupBy("suffix").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(languages))])
-    suffixes = suffixes.select("suffix", *[((F.col(f"n{k}") + strength * whole[k]) / (n + strength)).alias(f"s{k}") for k in range(len(languages))])
-    domains = levelled.groupBy("domain", "suffix").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(languages))]).join(suffixes, "suffix", "left")
-    domains = domains.select("domain", *[((F.col(f"n{k}") + strength * F.coalesce(f"s{k}", F.lit(whole[k]))) / (n + strength)).alias(f"d{k}") for k in range(len(languages))])
-    hosts = levelled.join(domains, "domain", "left")
-    return hosts.select("host", F.array(*[F.log((F.col(f"n{k}") + strength * F.coalesce(f"d{k}", F.lit(whole[k]))) / (n + strength)) for k in range(len(languages))]).alias("log_prior"))
+        table = ((whole[i] - F.col("own")[i]) / 1e6 + 1) / ((F.lit(sum(sums.values())) - F.col("own_total")) / 1e6 + k)
+        return F.log(drawn("host", F.when(F.col("host").isNull(), table).otherwise(drawn("domain", drawn("suffix", table)))))
+
+    return met.withColumn("log_prior", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), prior))
 
 
 def identify(
     rows: DataFrame, model: Model, key: str, text: str | None, declared: Column | None = None, host: Column | None = None, temper: float = 0.1,
-    trust_declared: float = 0.9, trust_suffix: float = 0.8, strength: float = 10.0, accept: float = 0.6,
+    trust_declared: float = 0.9, strength: float = 10.0, accept: float = 0.6,
 ) -> DataFrame:
     """One row per row of rows: key, h (tells apart rows that repeat a key with another text), language (null
     if there is no evidence of any), posterior, text_language, declared, host, accepted.
@@ -185,23 +211,18 @@ def identify(
         return rows.select(F.col(key).cast("long").alias(key), text_key(text).alias("h"), *[x.alias(c) for c, x in nothing.items()], F.lit(False).alias("accepted"))
     plain = rows.select(F.col(key).cast("long").alias("id"), text_key(text).alias("h"), (declared if declared is not None else F.lit(None)).cast("string").alias("declared"), (host if host is not None else F.lit(None)).cast("string").alias("host"), text_or_empty(F.col(text)).alias("text"))
     plain = plain.withColumn("declared", language_tag(F.col("declared")))
-    scored = stored(_evidence(plain, model), "language-evidence")
-    priors = _log_priors(scored, languages, strength, temper).withColumnRenamed("host", "host2")
-    met = scored.join(broadcast_below(stored(priors, "host-priors"), 100_000), F.col("host").eqNullSafe(F.col("host2")), "left")
-    spoken = F.element_at(F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGES.items() for x in pair]), F.element_at(F.split(F.coalesce("host", F.lit("")), r"\."), -1))
-
-    def told(what: Column, language: str, trust: float) -> Column:
-        """The log likelihood of a declaration: right with `trust`, else any other language alike."""
-        other = (1 - trust) / max(1, len(languages) - 1)
-        return F.when(what.isin(*languages), F.log(F.when(what == language, trust).otherwise(other))).otherwise(0.0)
+    met = _with_priors(stored(_evidence(plain, model), "language-evidence"), len(languages), strength, temper)
+    # A declaration is right with its trust, else any other language alike.
+    met = met.withColumn("said", F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("declared")) - 1)
+    right, wrong = np.log(trust_declared), np.log((1 - trust_declared) / max(1, len(languages) - 1))
 
-    def fused(k: int, x: str) -> Column:
-        return F.col("ll")[k] * temper + told(F.col("declared"), x, trust_declared) + told(F.coalesce(spoken, F.lit("")), x, trust_suffix) + F.col("log_prior")[k]
+    def fused(i: Column) -> Column:
+        told = F.when(F.col("said") < 0, 0.0).when(F.col("said") == i, F.lit(float(right))).otherwise(F.lit(float(wrong)))
+        return F.col("ll")[i] * temper + told + F.col("log_prior")[i]
 
-    logs = F.array(*[fused(k, x) for k, x in enumerate(languages)])
-    out = met.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
+    out = met.withColumn("logs", F.transform(F.sequence(F.lit(0), F.lit(len(languages) - 1)), fused)).withColumn("top", F.array_max("logs"))
     out = out.withColumn("posterior", 1 / F.aggregate(F.transform("logs", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda a, v: a + v))
-    evident = (F.col("n_grams") > 0) | F.col("declared").isin(*languages) | F.col("host").isNotNull()
+    evident = (F.col("n_grams") > 0) | (F.col("said") >= 0) | F.col("host").isNotNull()
     ok = (F.col("n_grams") > 0) & (F.col("mean_ll") >= model.floor(F.col("n_grams"))) & (F.col("posterior") >= accept)
     return out.select(
         F.col("id").alias(key), "h", F.when(evident, _argmax(F.col("logs"), languages)).alias("language"), F.round("posterior", 6).alias("posterior"),
