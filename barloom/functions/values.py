@@ -58,6 +58,26 @@ def packed_day(number: Column) -> Column:
     return F.make_timestamp(F.floor(number / 10000).cast("int"), F.floor(number % 10000 / 100).cast("int"), (number % 100).cast("int"), F.lit(15), F.lit(0), F.lit(0))
 
 
+def compact_day(ts: Column) -> Column:
+    """A day as yyyyMMdd."""
+    return F.date_format(ts, "yyyyMMdd")
+
+
+def parse_day(text: Column) -> Column:
+    """The date of a yyyyMMdd or yyyy-MM-dd; null for any other text, or a day that there is not."""
+    plain = F.when(text.rlike(r"^\d{8}$"), F.concat_ws("-", text.substr(1, 4), text.substr(5, 2), text.substr(7, 2))).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
+    return plain.try_cast("date")
+
+
+def uint_le(data: Column, at: int, size: int) -> Column:
+    """The number in `size` bytes (up to seven) from the 0-based place `at`, least byte first; null if they end before."""
+    parts = [F.conv(F.hex(F.substring(data, at + k + 1, 1)), 16, 10).cast("long") * (1 << 8 * k) for k in range(size)]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return F.when(F.octet_length(data) >= at + size, total)
+
+
 def clock(minutes: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int"))
 

@@ -13,6 +13,11 @@ DAYS = (1, 5, 10, 20)
 LEAST_BARS = 30
 
 
+def testable(bars: DataFrame) -> DataFrame:
+    """bars, numbered, of series that are long enough to be tested."""
+    return bars.where(F.col("n") >= LEAST_BARS)
+
+
 def dedup_states(found: DataFrame) -> DataFrame:
     """Of each run of a lasting state on consecutive calendar days, its first signal. A weekend ends a run;
     other types stay as they are."""
@@ -30,7 +35,7 @@ def with_forward_returns(bars: DataFrame, days: tuple[int, ...] = DAYS) -> DataF
 
 def outcomes(found: DataFrame, bars: DataFrame, days: tuple[int, ...] = DAYS) -> DataFrame:
     """Each signal with the price of its day's first bar and the returns from there on."""
-    ahead = with_forward_returns(bars.where(F.col("n") >= LEAST_BARS), days)
+    ahead = with_forward_returns(testable(bars), days)
     first = ahead.groupBy("code", "ktype", F.to_date("ts").alias("day")).agg(F.min_by(F.struct("close", *[f"chg_{d}" for d in days]), "i").alias("b"))
     rows = found.withColumn("day", F.to_date("ts")).join(first, ["code", "ktype", "day"])
     action = F.when(F.col("type").isin(*BUYS), "买入参考").otherwise("卖出参考")

@@ -194,7 +194,20 @@ def run_lines(c: Config, emas: tuple[int, ...], i: int, close: np.ndarray, rsv_:
     return lines, new
 
 
-def _shown(lines: list[np.ndarray], c: Config, emas: tuple[int, ...], n: np.ndarray) -> list[np.ndarray]:
+def rsv_line(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """RSV over n bars of a part of one series, after the highs and lows in tail; and the tail of the next part."""
+    tops, bottoms, back = np.r_[tail[0], high], np.r_[tail[1], low], tail.shape[1]
+    top, bottom = tops[back:].copy(), bottoms[back:].copy()
+    for k in range(1, min(n, len(tops))):
+        ahead = max(0, k - back)
+        top[ahead:] = np.maximum(top[ahead:], tops[back + ahead - k : len(tops) - k])
+        bottom[ahead:] = np.minimum(bottom[ahead:], bottoms[back + ahead - k : len(tops) - k])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = np.where(top == bottom, 50.0, (close - bottom) / (top - bottom) * 100)
+    return out, np.vstack([tops[-(n - 1) :], bottoms[-(n - 1) :]]) if n > 1 else np.zeros((2, 0))
+
+
+def shown_lines(lines: list[np.ndarray], c: Config, emas: tuple[int, ...], n: np.ndarray) -> list[np.ndarray]:
     """Lines as they are shown of series of n bars in all: NaN, or 0 for relative strength and means, where the series
     is too short for them."""
     least = [sum(c.macd[1:])] * 4 + [c.kdj[0]] * 4 + [p + 1 for p in c.rsi] + list(emas)
@@ -267,7 +280,7 @@ def with_recurrences(rows: DataFrame, c: Config | tuple[Config, ...], emas: tupl
                 place = begin[part] + np.minimum(step, length[part] - 1)
                 there = step < length[part]
                 lines, after = run_lines(own, emas, start, close[place], rsv_[place], held if start else held_at_start(own, emas, len(part)))
-                for name, line in zip(line_names(own, emas), _shown(lines, own, emas, n[begin[part]]), strict=True):
+                for name, line in zip(line_names(own, emas), shown_lines(lines, own, emas, n[begin[part]]), strict=True):
                     out[name][place[there]] = line[there]
                 if len(part) == 1 and not whole[part[0]]:
                     held = after

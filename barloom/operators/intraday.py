@@ -17,6 +17,12 @@ def minute_grid(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(GRID)), "slot int, minute int").withColumn("time", clock(F.col("minute")))
 
 
+def day_grid(days: DataFrame, *keys: str) -> DataFrame:
+    """slot, minute and HH:MM of each minute of trading on each of the days."""
+    slots = days.select(*keys, F.posexplode(F.array(*[F.lit(m) for m in GRID])).alias("slot", "minute"))
+    return slots.withColumn("time", clock(F.col("minute")))
+
+
 def on_grid(minutes: DataFrame, last_close: DataFrame, keys: tuple[str, ...] = ("code", "day")) -> DataFrame:
     """Every minute of each key's day: price, volume, and the running volume-weighted price. Minutes without
     a trade carry the last price and mean on; before the first trade both are the last close.

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barloom.functions.codes import decoded
+from barloom.functions.values import fixed
 from barloom.operators.signals import BUYS, SCREENED
 
 #: A list of names is broadcast up to so many rows and bytes.
@@ -24,6 +28,26 @@ def named(rows: DataFrame, names: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(F.broadcast(names) if small else names, "code", how)
 
 
+def named_by_exchange(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows whose code, with its exchange by prefix, has a name there, with that name; names: exchange, code, name,
+    one row for each exchange and code."""
+    placed = rows.withColumn("exchange", decoded(F.col("code"))[0])
+    return placed.join(names.select("exchange", "code", "name"), ["exchange", "code"])
+
+
+def text_lines(rows: DataFrame, columns: dict[str, str], *keys: str) -> DataFrame:
+    """keys and `line`: the columns as text in fixed widths, each by its printf format; null is a dash. Widths count
+    characters, and longer text is not cut."""
+    def cell(name: str, form: str) -> Column:
+        width, places, kind = re.fullmatch(r"%(-?\d+)(?:\.(\d+))?([sfd])", form).groups()
+        value = fixed(F.col(name), int(places)) if kind == "f" else F.col(name).cast("string")
+        value, size = F.coalesce(value, F.lit("-")), abs(int(width))
+        pad = F.repeat(F.lit(" "), F.greatest(size - F.char_length(value), F.lit(0)))
+        return F.concat(value, pad) if width.startswith("-") else F.concat(pad, value)
+
+    return rows.select(*keys, F.concat_ws(" ", *[cell(n, f) for n, f in columns.items()]).alias("line"))
+
+
 def by_priority(listed: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """One row a code: of several exchanges that list it, the first in order; of several there, the last name."""
     rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("exchange"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: What marks lines.
 _BORDER = r"^\s*[┌├└─┬┼┴┘┐].*─|^\s*─"
+#: What a line's edges lose.
+_EDGES = " \t\n\x0b\f\r\u00a0\u3000\ufeff"
 _HEADER, _LINK, _RULE = r"^【.*】$", r"^https?://\S+$", r"^─+$"
 
 
@@ -41,6 +46,32 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return parts.select(F.col("k").alias(key), (F.row_number().over(Window.partitionBy("k").orderBy("first")) - 1).alias("seq"), kind.alias("type"), ends.alias("content"), body.alias("text"))
 
 
+def of_text(text: str | None) -> Iterator[tuple]:
+    """seq, type, content, text of each section of one text, as sections() has them."""
+    kind_now, rows, seq = None, [], 0
+
+    def made() -> tuple:
+        return seq, "table" if kind_now == "row" else "paragraph", [r for r in rows] if kind_now == "row" else [], "" if kind_now == "row" else "\n".join(rows)
+
+    for raw in (text or "").replace("\r", "").split("\n"):
+        line = raw.strip(_EDGES)
+        kind = "blank" if line == "" else "border" if re.search(_BORDER, line, re.A) else "row" if line.startswith("│") else "header" if re.search(_HEADER, line) else "link" if re.search(_LINK, line, re.A) else "text"
+        cells = [c.strip(" ") for c in line.split("│")][1:-1] if kind == "row" else []
+        if kind == "row" and not cells:
+            continue
+        if kind_now and kind != kind_now and not (kind_now == "row" and kind == "border"):
+            yield made()
+            kind_now, rows, seq = None, [], seq + 1
+        if kind in ("header", "link"):
+            yield seq, kind, [], line
+            seq += 1
+        elif kind in ("row", "text"):
+            kind_now = kind
+            rows.append(cells if kind == "row" else line)
+    if kind_now:
+        yield made()
+
+
 def html(parts: DataFrame) -> DataFrame:
     """Each section as HTML, escaped."""
     def escaped(x: Column) -> Column:

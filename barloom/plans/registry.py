@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 from barloom.deploy import work_folder
 from barloom.functions import codes as c
+from barloom.functions import tables
 from barloom.functions import values as v
 from barloom.operators import backtest, blocks, cycles, indicators, intraday, params, screen, securities, signals, textsections
 from barloom.plans import captures
@@ -233,6 +235,24 @@ def indicator_json(spark, d):
     return r6(docs.select("code", "ts", parsed.alias("x")).select("code", "ts", "x.close", "x.ma.trend", "x.ma.ma5", "x.macd.dif", "x.kdj.j", "x.rsi.rsi6", "x.boll.upper", "x.volume.ratio"))
 
 
+_OFF = signals.Detect(macd=False, boll=False, rsi=False)
+
+
+@query(o.with_(o.signals(), s6(f"{_SIG} kept WHERE detector IN (1, 3)", "strength")))
+def signals_toggled(spark, d):
+    """With some detectors off."""
+    found = signals.signals(indicators.indicators(fx.bars_d(spark, d)), detect=_OFF)
+    return r6(found.select("code", "ts", "i", "type", "indicator", "details", "strength"))
+
+
+@query(o.with_(o.indicators(), s6("SELECT code, ts, dif, dea, hist, k, d, j, rsi_6, rsi_12, rsi_24 FROM ind WHERE code IS NOT NULL", "dif dea hist k d j rsi_6 rsi_12 rsi_24")))
+def indicators_in_sql(spark, d):
+    """Lines by SQL alone, through a function of a partitioned table."""
+    tables.register(spark)
+    fx.bars_d(spark, d).where("code IS NOT NULL").createOrReplaceTempView("bars_in_sql")
+    return r6(spark.sql("SELECT code, ts, dif, dea, hist, k, d, j, rsi_6, rsi_12, rsi_24 FROM indicator_lines(TABLE(bars_in_sql) PARTITION BY code ORDER BY ts)"))
+
+
 # --- cycles ------------------------------------------------------------------------------------------
 
 _CYCLE_DOUBLES = "buy_price sell_price return_pct max_profit max_loss"
@@ -299,6 +319,13 @@ def forward_returns(spark, d):
     return r6(rows.select("code", "ts", "close", *_CHG.split()))
 
 
+@query(o.with_(o.bars("m") + ", few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts) - 1 AS place FROM bars) WHERE place < 25 + code::INTEGER % 10), b AS (SELECT code, ts, close, place AS i, count(*) OVER (PARTITION BY code) AS n FROM few)", s6(f"SELECT code, ts, close, {_FWD} FROM b WHERE n >= 30", f"close {_CHG}")))
+def short_series_guard(spark, d):
+    """Forward returns of series of 25 to 34 bars; those below 30 have none."""
+    rows = indicators.ordered(fx.bars_m(spark, d)).where(F.col("i") < 25 + F.col("code").cast("int") % 10).drop("i", "n")
+    return r6(backtest.with_forward_returns(backtest.testable(indicators.ordered(rows))).select("code", "ts", "close", *_CHG.split()))
+
+
 _OUTCOMES = f"""{o.signals()}, {_DEDUP}, fwd AS (SELECT code, i, close, {_FWD} FROM ind WHERE n >= 30),
 out AS (SELECT dd.code, dd.ts::DATE AS day, dd.type, dd.indicator, dd.details, fwd.close AS price, CASE WHEN dd.type IN ('金叉', '超卖', '跌破下轨', '多头排列') THEN '买入参考' ELSE '卖出参考' END AS action, {", ".join(_CHG.split())}
   FROM dd JOIN fwd ON fwd.code = dd.code AND fwd.i = dd.i WHERE {_DEDUP_WHERE})"""
@@ -349,6 +376,30 @@ def screen_table(spark, d):
     return r6(screen.table(signals.on_bars(_universe(spark, d))).drop("ktype"))
 
 
+@query(o.with_(o.indicators("m"), s6("SELECT code, ts, close, change_pct FROM ind WHERE i = n - 1 ORDER BY change_pct DESC, code LIMIT 20", "close change_pct")))
+def screen_top_change(spark, d):
+    """The first twenty of the table by change: a top-k report."""
+    rows = screen.table(signals.on_bars(_universe(spark, d)), None).orderBy(F.desc("change_pct"), "code").limit(20)
+    return r6(rows.select("code", "ts", "close", "change_pct"))
+
+
+_TEXT = {"code": "%-8s", "close": "%10.2f", "change_pct": "%8.2f", "ma_5": "%-10.2f", "k": "%-8.1f", "signals": "%-6s"}
+
+
+@query(o.with_(f"{o.signals('m')}, s1 AS (SELECT code, ts, string_agg(indicator || type, ', ' ORDER BY detector, sub) AS signals FROM kept GROUP BY code, ts)", "SELECT code, concat_ws(' ', printf('%-8s', code), printf('%10.2f', round(close, 6)), printf('%8.2f', round(change_pct, 6)), printf('%-10.2f', round(ma_5, 6)), coalesce(printf('%-8.1f', round(k, 6)), '-       '), rpad(coalesce(s1.signals, '-'), greatest(6, length(coalesce(s1.signals, '-')))::INTEGER, ' ')) AS line FROM ind LEFT JOIN s1 USING (code, ts) WHERE i = n - 1"))
+def screen_text(spark, d):
+    """The table of a screen as lines of text."""
+    return screen.text_lines(screen.table(signals.on_bars(_universe(spark, d))), _TEXT, "code")
+
+
+@query(f"WITH {_NAMES}, n AS (SELECT CASE WHEN code::INTEGER % 2 = 0 THEN 'sz' ELSE 'sh' END AS exchange, code, name FROM names), q AS (SELECT DISTINCT lpad((l_suppkey)::VARCHAR, 6, '0') AS code FROM lineitem) SELECT 'sz' AS exchange, q.code, n.name FROM q JOIN n ON n.code = q.code AND n.exchange = 'sz' WHERE q.code[1] = '0'")
+def names_by_exchange(spark, d):
+    """Codes with the names that their own exchange gives them."""
+    names = _names(spark, d).withColumn("exchange", F.when(F.col("code").cast("int") % 2 == 0, "sz").otherwise("sh"))
+    codes_ = fx.table(spark, d, "lineitem").select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code")).distinct()
+    return screen.named_by_exchange(codes_, names).select("exchange", "code", "name")
+
+
 @query(o.with_(o.signals("m"), "SELECT type, count(*) AS n FROM kept GROUP BY type"))
 def signal_counts(spark, d):
     return screen.counts_by_type(signals.signals(_universe(spark, d)))
@@ -404,9 +455,24 @@ def codes_stats(spark, d):
     return securities.codes_stats(fx.securities(spark, d))
 
 
-@query("SELECT k AS name, CASE k WHEN '1m' THEN 7 WHEN 'minute' THEN 7 WHEN '5m' THEN 0 WHEN '15m' THEN 1 WHEN '30m' THEN 2 WHEN '60m' THEN 3 WHEN 'week' THEN 5 WHEN 'month' THEN 6 WHEN 'quarter' THEN 10 WHEN 'year' THEN 11 ELSE 9 END AS ktype FROM (SELECT unnest(['1m', 'minute', '5m', '15m', '30m', '60m', 'day', 'week', 'month', 'quarter', 'year', 'other']) AS k)")
+def _case(column: str, names: dict, otherwise: str) -> str:
+    text = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
+    return f"CASE {column} " + " ".join(f"WHEN {text(k)} THEN {text(x)}" for k, x in names.items()) + f" ELSE {otherwise} END"
+
+
+def _pick(names: list[str], column: str) -> tuple[str, Callable]:
+    """One of the names for each row by a number: as SQL and as a column."""
+    return f"[{', '.join(repr(n) for n in names)}][{column} % {len(names)} + 1]", lambda n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col(column) % len(names) + 1).cast("int"))
+
+
+_PERIOD, _period_of = _pick([*c.KTYPES, "other"], "p_partkey")
+_PLACE, _place_of = _pick([*c.EXCHANGES, "nyse"], "p_partkey")
+
+
+@query(f"SELECT p_partkey, {_PERIOD} AS name, {_case(_PERIOD, c.KTYPES, '9')} AS ktype, {_case(_PLACE, c.EXCHANGES, '0')} AS exchange, {_case('p_size', c.ACTION_NAMES, repr('未知'))} AS action FROM part")
 def ktype_parse(spark, d):
-    return spark.createDataFrame([(k,) for k in [*c.KTYPES, "other"]], "name string").withColumn("ktype", c.ktype_of(F.col("name")))
+    """Names of periods, exchanges and corporate actions, each part's by its numbers."""
+    return fx.table(spark, d, "part").select("p_partkey", _period_of(0).alias("name"), c.ktype_of(_period_of(0)).alias("ktype"), c.exchange_id(_place_of(0)).alias("exchange"), c.action_name(F.col("p_size")).alias("action"))
 
 
 @query(f"WITH {_SEC} SELECT code, name FROM sec WHERE contains(code, 'ring') OR contains(lower(name), 'ring') ORDER BY code, name LIMIT 20")
@@ -509,9 +575,10 @@ def running_vwap(spark, d):
     return r6(rows.withColumn("volume", F.col("volume").cast("long")))
 
 
-@query("SELECT (row_number() OVER (ORDER BY m) - 1)::INTEGER AS slot, m::INTEGER AS minute, printf('%02d:%02d', m // 60, m % 60) AS time FROM (SELECT unnest(range(570, 691) || range(780, 901)) AS m)")
+@query("SELECT day, (CASE WHEN m < 780 THEN m - 570 ELSE m - 659 END)::INTEGER AS slot, m::INTEGER AS minute, printf('%02d:%02d', m // 60, m % 60) AS time FROM (SELECT DISTINCT ts::DATE AS day FROM events), (SELECT unnest(range(570, 691) || range(780, 901)) AS m)")
 def minute_grid(spark, d):
-    return intraday.minute_grid(spark)
+    """The minutes of trading of each day with events."""
+    return intraday.day_grid(fx.table(spark, d, "events").select(F.to_date("ts").alias("day")).distinct(), "day")
 
 
 @query(f"WITH {_TICKS} {s6('SELECT code, day, sum(price * abs(volume)) / sum(abs(volume)) AS vwap FROM tk GROUP BY code, day', 'vwap')}")
@@ -589,6 +656,43 @@ def calendar_semijoin(spark, d):
     return store.trading_rows(rows, fx.calendar(spark, d)).select("l_orderkey", "l_partkey")
 
 
+@query(f"WITH {_CAL} SELECT date, row_number() OVER (ORDER BY date DESC) AS nth FROM cal WHERE date IS NOT NULL")
+def calendar_newest_first(spark, d):
+    return store.newest_first(fx.calendar(spark, d).where("date IS NOT NULL"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d') AS compact, ts::DATE AS day, ts::DATE AS same, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts::DATE END AS either, ts::DATE - 1 AS before FROM events")
+def date_formats(spark, d):
+    """Days to text and back; texts of another form are no day."""
+    e = fx.table(spark, d, "events").select("event_id", "ts", v.compact_day(F.col("ts")).alias("compact"))
+    k, dashed = F.col("event_id") % 3, F.date_format("ts", "yyyy-MM-dd")
+    mixed = F.when(k == 0, F.concat(F.lit("x"), dashed)).when(k == 1, F.col("compact")).otherwise(dashed)
+    day = v.parse_day(F.col("compact"))
+    return e.select("event_id", "compact", day.alias("day"), v.parse_day(dashed).alias("same"), v.parse_day(mixed).alias("either"), F.date_sub(day, 1).alias("before"))
+
+
+@query("SELECT event_id, date_trunc('minute', ts)::TIMESTAMP AS at, ts::DATE + INTERVAL 15 HOUR AS closed, printf('%02d:%02d', hour(ts), minute(ts)) AS clock FROM events WHERE year(ts) BETWEEN 2004 AND 2035")
+def packed_times(spark, d):
+    """Times through their packed forms: a day and its minutes in 16 bits each, a day as one number."""
+    e = fx.table(spark, d, "events").where(F.year("ts").between(2004, 2035))
+    minutes = F.hour("ts") * 60 + F.minute("ts")
+    packed = (F.year("ts") - 2004) * 2048 + F.month("ts") * 100 + F.dayofmonth("ts")
+    number = F.date_format("ts", "yyyyMMdd").cast("long")
+    return e.select("event_id", v.packed_minute(packed, minutes).alias("at"), v.packed_day(number).alias("closed"), v.clock(minutes).alias("clock"))
+
+
+@query("SELECT p_partkey, ascii(n[1]) + 256 * ascii(n[2]) AS two, ascii(n[2]) + 256 * ascii(n[3]) + 65536 * ascii(n[4]) + 16777216::BIGINT * ascii(n[5]) AS four, CASE WHEN length(n) >= 12 THEN ascii(n[11]) + 256 * ascii(n[12]) END AS last FROM (SELECT p_partkey, p_name AS n FROM part)")
+def byte_order(spark, d):
+    """Numbers of two and four bytes, least byte first, within the bytes of names."""
+    data = F.col("p_name").cast("binary")
+    return fx.table(spark, d, "part").select("p_partkey", v.uint_le(data, 0, 2).alias("two"), v.uint_le(data, 1, 4).alias("four"), v.uint_le(data, 10, 2).alias("last"))
+
+
+@query("SELECT p_partkey, substr(sha256(p_name), 1, 32) AS file FROM part")
+def cache_file_names(spark, d):
+    return fx.table(spark, d, "part").select("p_partkey", store.cache_file(F.col("p_name")).alias("file"))
+
+
 _HOURS = "dayofweek(ts) NOT IN (0, 6) AND (hour(ts) * 60 + minute(ts) BETWEEN 570 AND 690 OR hour(ts) * 60 + minute(ts) BETWEEN 780 AND 900)"
 _LASTDAY = "CASE WHEN dayofweek(ts) NOT IN (0, 6) AND hour(ts) >= 15 THEN ts::DATE ELSE ts::DATE - (CASE dayofweek(ts) WHEN 1 THEN 3 WHEN 0 THEN 2 ELSE 1 END)::INTEGER END"
 
@@ -663,6 +767,26 @@ def history_upsert(spark, d):
     return store.viewed(old, newer)
 
 
+_SEEN = "seen AS (SELECT lpad(user_id::VARCHAR, 6, '0') AS code, max(ts) AS analyzed_at FROM events GROUP BY ALL)"
+
+
+def _seen(spark, d):
+    rows = fx.table(spark, d, "events").select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"), F.col("ts").cast("timestamp").alias("analyzed_at"))
+    return rows.groupBy("code").agg(F.max("analyzed_at").alias("analyzed_at"))
+
+
+@query(f"WITH {_SEEN} SELECT code, analyzed_at FROM seen WHERE code NOT IN (SELECT lpad(user_id::VARCHAR, 6, '0') FROM events WHERE user_id % 3 = 0)")
+def history_delete(spark, d):
+    gone = fx.table(spark, d, "events").where("user_id % 3 = 0").select(F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"))
+    return store.unviewed(_seen(spark, d), gone)
+
+
+@query(f"WITH {_SEEN} SELECT code, analyzed_at FROM seen ORDER BY analyzed_at DESC, code LIMIT 25")
+def history_recent(spark, d):
+    """The codes viewed last: a top-k report."""
+    return store.recent(_seen(spark, d), 25)
+
+
 @query(f"WITH {_SEC} SELECT code, name FROM sec WHERE p_partkey % 2 = 0 AND code NOT IN (SELECT code FROM sec WHERE p_partkey % 3 = 0)")
 def watchlist_anti(spark, d):
     rows = fx.securities(spark, d)
@@ -828,6 +952,25 @@ def metadata_cache(spark, d):
     return r6(valid.select("key", F.from_json("value", "total_shares double, updated long").alias("v"), "expires_at").select("key", "v.total_shares", "v.updated", "expires_at"))
 
 
+#: Kinds of the cache, the table columns that the samples keep under each, and where a kind's key stands.
+_KINDS = {"codes": ("p_partkey", "p_name"), "xdxr": ("p_partkey", "p_type"), "company": ("p_partkey", "p_brand"), "block": ("p_partkey", "p_container")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS bucket, p_partkey::VARCHAR AS key, {column} AS text, p_size::BIGINT AS size, ({_NOW} + {store.TTL_DAYS[kind]} * 86400)::BIGINT AS expires_at FROM part WHERE {store.TTL_DAYS[kind]} > 2" for kind, (_, column) in _KINDS.items() for column in ([column] if column != "p_container" else ["p_type"])))
+def typed_cache(spark, d):
+    """Each kind's entries as JSON with its own time to live, and read back typed two days later: codes and blocks have
+    expired."""
+    part = fx.table(spark, d, "part")
+    cache = spark.createDataFrame([], "bucket string, key string, value string, created_at long, expires_at long")
+    for kind, (key, column) in _KINDS.items():
+        column = column if column in part.columns else "p_type"
+        rows = part.select(F.lit(kind).alias("bucket"), F.col(key).cast("string").alias("key"), F.to_json(F.struct(F.col(column).alias("text"), F.col("p_size").alias("size"))).alias("value"))
+        cache = store.put_entries(cache, rows, F.lit(_NOW))
+    later = F.lit(_NOW + 2 * 86400)
+    found = [store.typed_entries(cache, kind, "text string, size long", later).withColumn("bucket", F.lit(kind)) for kind in _KINDS]
+    return reduce(lambda a, b: a.unionByName(b), found).select("bucket", "key", "value.text", "value.size", "expires_at")
+
+
 @query("SELECT lpad(p_partkey::VARCHAR, 6, '0') AS code, p_type AS part FROM part")
 def company_contents(spark, d):
     """One section of each company's file, by its table of contents."""
@@ -876,6 +1019,22 @@ def text_sections(spark, d):
     return parts.select("doc_id", F.col("seq").cast("long").alias("seq"), "type", F.to_json("content").alias("content"), "text")
 
 
+@query(f"""WITH sections AS ({o.SECTIONS}), e AS (SELECT doc_id, seq, type, content, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS safe FROM sections WHERE type <> 'table')
+SELECT doc_id, seq, md5(CASE type WHEN 'header' THEN '<h3>' || safe || '</h3>' WHEN 'link' THEN '<a href="' || safe || '">' || safe || '</a>' ELSE '<p>' || replace(safe, chr(10), '<br>') || '</p>' END) AS html_md5 FROM e""")
+def section_html(spark, d):
+    """All documents' sections but tables as HTML."""
+    parts = textsections.html(textsections.sections(fx.table(spark, d, "documents")).where("type <> 'table'"))
+    return parts.select("doc_id", F.col("seq").cast("long").alias("seq"), F.md5("html").alias("html_md5"))
+
+
+@query(o.SECTIONS)
+def text_sections_in_sql(spark, d):
+    """The sections by SQL alone, through a function of each text."""
+    tables.register(spark)
+    fx.table(spark, d, "documents").createOrReplaceTempView("documents_in_sql")
+    return spark.sql("SELECT d.doc_id, cast(s.seq AS long) AS seq, s.type, to_json(s.content) AS content, s.text FROM documents_in_sql d, LATERAL text_sections(d.text) s")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

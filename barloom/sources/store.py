@@ -49,6 +49,14 @@ def calendar_range(days: DataFrame, first: str, last: str, newest_first: bool =
     return out.orderBy(F.col("date").desc() if newest_first else "date")
 
 
+def newest_first(days: DataFrame) -> DataFrame:
+    """date and nth, 1 for the newest day. Years are counted by themselves, so that no task sorts all days."""
+    years = days.groupBy(F.year("date").alias("year")).count()
+    later = years.alias("a").join(F.broadcast(years.alias("b")), F.col("a.year") < F.col("b.year"), "left").groupBy("a.year").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("later"))
+    within = days.withColumns({"year": F.year("date"), "place": F.row_number().over(Window.partitionBy(F.year("date")).orderBy(F.desc("date")))})
+    return within.join(F.broadcast(later), "year").select("date", (F.col("later") + F.col("place")).alias("nth"))
+
+
 def calendar_year(days: DataFrame, year: int) -> DataFrame:
     return days.where(F.year("date") == year)
 
@@ -93,6 +101,22 @@ def cache_file(key: Column) -> Column:
     return F.substring(F.sha2(key, 256), 1, 32)
 
 
+def typed_entries(cache: DataFrame, bucket: str, schema: str, now: Column) -> DataFrame:
+    """key and value of a kind's valid entries, read from their JSON as the kind's schema."""
+    own = valid_entries(cache, now).where(F.col("bucket") == bucket)
+    return own.select("key", F.from_json("value", schema).alias("value"), "expires_at")
+
+
+def recent(history: DataFrame, n: int) -> DataFrame:
+    """The n codes viewed last, newest first; of one time, by code."""
+    return history.orderBy(F.desc("analyzed_at"), "code").limit(n)
+
+
+def unviewed(history: DataFrame, codes: DataFrame) -> DataFrame:
+    """history without the codes."""
+    return history.join(codes.select("code"), "code", "left_anti")
+
+
 def viewed(history: DataFrame, codes: DataFrame) -> DataFrame:
     """history (code, analyzed_at) with codes' new times."""
     return upsert(history, codes, ("code",), F.col("analyzed_at"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from barloom.deploy import ship
-from barloom.operators.indicators import held_at_start, line_names, run_lines
+from barloom.operators.indicators import held_at_start, line_names, rsv_line, run_lines
 from barloom.operators.params import Config
 from barloom.sources.barstore import BarStore
 
@@ -57,17 +57,13 @@ class _Lines(StatefulProcessor):
         if bars.empty:
             return
         held = np.array(list(self._held.get()), dtype=float).reshape(-1, 1) if i else held_at_start(c)
-        high, low = (np.array([x[n] for x in self._recent.get()] if i else [], dtype=float) for n in (0, 1))
-        high, low, close, back = np.r_[high, bars["high"]], np.r_[low, bars["low"]], bars["close"].to_numpy(dtype=float), len(high)
-        keep = c.kdj[0]
-        ends = range(back + 1, len(high) + 1)
-        top, bottom = (np.array([pick(x[max(0, e - keep) : e]) for e in ends]) for pick, x in ((np.max, high), (np.min, low)))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            rsv = np.where(top == bottom, 50.0, (close - bottom) / (top - bottom) * 100)
+        tail = np.array([x for x in self._recent.get()] if i else [], dtype=float).reshape(-1, 2).T
+        high, low, close = (bars[x].to_numpy(dtype=float) for x in ("high", "low", "close"))
+        rsv, tail = rsv_line(high, low, close, c.kdj[0], tail)
         lines, after = run_lines(c, (), i, close[:, None], rsv[:, None], held)
         self._at.update((i + len(bars), bars["ts"].iloc[-1].to_pydatetime()))
         self._held.put([(float(x),) for x in after[:, 0]])
-        self._recent.put(list(zip(high[-keep:].tolist(), low[-keep:].tolist(), strict=True)))
+        self._recent.put(list(zip(*tail.tolist(), strict=True)))
         if self._idle:
             for timer in self._handle.listTimers():
                 self._handle.deleteTimer(timer)

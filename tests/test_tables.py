@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.deploy import work_folder
-from barloom.functions import codes, values
-from barloom.operators import blocks, indicators, intraday, textsections
+from barloom.functions import codes, tables, values
+from barloom.operators import blocks, indicators, intraday, screen, textsections
 from barloom.plans import fixtures, registry
 from barloom.schemas import BARS
 from barloom.sources import bars, barstore, store, wire
@@ -342,7 +342,7 @@ def test_streamed_indicators_go_on_after_a_restart(spark):
     assert got == want and len(got) == 240
     at = {r.key.code: (r.value.bars, r.value.ts) for r in streaming.held_state(spark, check, "at").collect()}
     assert at == {c: (80, DAY + datetime.timedelta(days=79)) for c in "abc"}
-    assert streaming.held_state(spark, check, "recent").count() == 3 * 9
+    assert streaming.held_state(spark, check, "recent").count() == 3 * 8
 
 
 def test_runs_of_states_and_what_comes_late(spark):
@@ -366,3 +366,52 @@ def test_sliding_windows(spark):
         run_to_the_end(streaming.sliding(spark.readStream.schema(schema).parquet(source), "10 minutes", "5 minutes"), out, check)
     got = {int((r.start - DAY).total_seconds() // 60): (r.volume, r.price) for r in spark.read.parquet(out).collect()}
     assert got == {-5: (2, 1), 0: (6, 11 / 3), 5: (6, 5), 10: (2, 5), 95: (2, 1), 100: (2, 1)}
+
+
+def test_sections_of_one_text_are_those_of_many(spark):
+    texts = [None, "", "a\nb\n\nc", "【H】\nx\nhttps://a.b/c\ny", "┌─┐\n│ a │ b │\n├─┤\n│c│d│\n└─┘\n│e│f│\n\n│g│h│", "text\n│a│b│\nmore\n──────\nend", "│\n  │ x │ \n\r\n ─ \nz", "A 【no】\n【yes】 \n　 indented　\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((r.doc_id, r.seq, r.type, str(r.content), r.text) for r in textsections.sections(docs).collect())
+    got = sorted((i, seq, kind, str(content), text) for i, t in enumerate(texts) for seq, kind, content, text in textsections.of_text(t))
+    assert got == want
+
+
+def test_table_functions(spark, monkeypatch):
+    tables.register(spark)
+    rows = bar_rows(spark, [(c, d, 5 + (d * k) % 13) for k, c in enumerate("abc", 2) for d in range(30 * k)] + [("z", 0, 1)])
+    rows.createOrReplaceTempView("some_bars")
+    names = ["dif", "dea", "hist", "k", "d", "j", "rsi_6", "rsi_24"]
+    found = spark.sql("SELECT * FROM indicator_lines(TABLE(some_bars) PARTITION BY code ORDER BY ts)")
+    want = {(r.code, r.ts): [r[n] for n in names] for r in indicators.indicators(rows).collect()}
+    assert {(r.code, r.ts): [r[n] for n in names] for r in found.collect()} == want and len(want) == 271
+    for bad in ("SELECT * FROM indicator_lines(TABLE(SELECT code FROM some_bars))", "SELECT * FROM text_sections(5)"):
+        with pytest.raises(Exception, match="needs"):
+            spark.sql(bad).collect()
+    # In parts, a series is the same.
+    monkeypatch.setattr(tables, "PART_ROWS", 7)
+    parts, own = tables.IndicatorLines(), rows.where("code = 'b'").orderBy("ts").collect()
+    made = [x for r in own for x in parts.eval(r) or ()] + list(parts.terminate())
+    at = rows.columns + parts.shown()
+    assert [[x[at.index(n)] for n in names] for x in made[40:]] == [want["b", r.ts] for r in own][40:]
+
+
+def test_days_numbers_and_lines(spark):
+    days = spark.createDataFrame([("20240229",), ("2024-03-01",), ("20240230",), ("2024/03/01",), ("",), (None,)], "t string")
+    assert [str(r.d) for r in days.select(values.parse_day(F.col("t")).alias("d")).collect()] == ["2024-02-29", "2024-03-01", "None", "None", "None", "None"]
+    data = spark.createDataFrame([(b"\x01\x02\xff\x80",), (b"\x01",), (None,)], "b binary")
+    got = [tuple(r) for r in data.select(values.uint_le(F.col("b"), 0, 4), values.uint_le(F.col("b"), 2, 2), values.uint_le(F.col("b"), 0, 1)).collect()]
+    assert got == [(0x80FF0201, 0x80FF, 1), (None, None, 1), (None, None, None)]
+    rows = spark.createDataFrame([("a", 1.005, None), ("long name", -2.5, "x")], "n string, v double, s string")
+    lines = [r.line for r in screen.text_lines(rows, {"n": "%-4s", "v": "%8.2f", "s": "%3s"}).collect()]
+    assert lines == ["a        1.00   -", "long name    -2.50   x"]
+
+
+def test_kinds_expire_by_themselves(spark):
+    now = F.lit(1_700_000_000)
+    cache = spark.createDataFrame([], "bucket string, key string, value string, created_at long, expires_at long")
+    for kind in store.TTL_DAYS:
+        cache = store.put_entries(cache, spark.createDataFrame([(kind, "k", '{"a": 1}')], "bucket string, key string, value string"), now)
+    for days, left in ((0, 5), (1, 3), (6, 3), (7, 1), (29, 1), (30, 0)):
+        assert sum(store.typed_entries(cache, kind, "a int", now + days * 86400).count() for kind in store.TTL_DAYS) == left
+    dates = spark.createDataFrame([(datetime.date(y, m, 1),) for y in (2022, 2023, 2024) for m in (1, 5)], "date date")
+    assert [(r.date.isoformat(), r.nth) for r in store.newest_first(dates).orderBy("nth").collect()] == [(f"{y}-{m:02}-01", i) for i, (y, m) in enumerate(((2024, 5), (2024, 1), (2023, 5), (2023, 1), (2022, 5), (2022, 1)), 1)]
