@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import reject_clash, shared_folder, text_or_empty
+from barloom.llm.common import reject_clash, shared_folder, stored, text_or_empty
 
 SLOTS = 4096
 
@@ -107,16 +107,27 @@ def _rows(docs: DataFrame, key: str, text: str, slots: int) -> DataFrame:
     return reject_clash(docs, key, text).select(F.col(key), (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), slot_of(F.col(key), slots).alias("vslot"))
 
 
+def _is_measured(docs: DataFrame, key: str) -> bool:
+    return docs.columns == [key, "size", "text_crc32", "vslot"]
+
+
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
+    """key, size, text_crc32, vslot of each row of docs, stored: what balance() and shard() need, so that texts are
+    read once for both."""
+    return stored(_rows(docs, key, text, slots), "measured")
+
+
 def balance(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", shards: int = 16, slots: int = SLOTS) -> SlotMap:
     """Edits the map stored at path by the bytes that docs have in each slot, stores the edited version beside the
-    earlier ones and returns it. Where none is stored yet, the first version deals the slots out in turn."""
+    earlier ones and returns it. Where none is stored yet, the first version deals the slots out in turn. docs may be
+    measured() ones."""
     spark = docs.sparkSession
     current = load_map(spark, path)
     if current is None:
         current = SlotMap.first(shards, slots)
         save_map(spark, current, path)
     # A row per virtual slot at most.
-    of = {r.vslot: r.slot_bytes for r in sizes(_rows(docs, key, text, len(current.owners))).collect()}
+    of = {r.vslot: r.slot_bytes for r in sizes(docs if _is_measured(docs, key) else _rows(docs, key, text, len(current.owners))).collect()}
     save_map(spark, current.rebalanced(of), path)
     return load_map(spark, path)
 
@@ -126,12 +137,12 @@ def shard(docs: DataFrame, slot_map: SlotMap, law: str, grown: SlotMap | None =
     the map keeps, `key` or `bytes`; it is only told on.
 
     One row per row of docs; a null key is a key like any other, a null text has size 1, and an empty
-    table gives an empty one. Rows that repeat a key share its shard and get places of their own. Other
+    table gives an empty one. docs may be measured() ones. Rows that repeat a key share its shard and get places of their own. Other
     columns of docs are not read."""
     if grown and len(grown.owners) != len(slot_map.owners):
         raise ValueError("both versions must have the same slots")
     spark = docs.sparkSession
-    rows = _rows(docs, key, text, len(slot_map.owners))
+    rows = docs if _is_measured(docs, key) else measured(docs, key, text, len(slot_map.owners))
     owners = slot_map.frame(spark).select("vslot", "shard")
     if grown:
         owners = owners.join(grown.frame(spark).select("vslot", F.col("shard").alias("grown_shard")), "vslot")
@@ -151,5 +162,5 @@ def shard(docs: DataFrame, slot_map: SlotMap, law: str, grown: SlotMap | None =
 
 def op4_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes, by a stored map that their slots' bytes have edited."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return shard(docs, balance(docs, shared_folder(spark, "slot-map")), "bytes")
+    rows = measured(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return shard(rows, balance(rows, shared_folder(spark, "slot-map")), "bytes")
