@@ -6,6 +6,7 @@ lacks, and findings join back to every document that holds the blob."""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -44,6 +45,7 @@ BROADCAST_BLOBS = 200_000
 
 FINDINGS = "blob binary, rule_version string, kind_rank int, kind string, start long, end long"
 SCANNED = "blob binary, rule_version string"
+PATHS = "key long, blob binary, version string"
 
 
 def blob_of(text: Column) -> Column:
@@ -81,8 +83,9 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
 
 
 class Ledger:
-    """Two Parquet tables below path: pairs scanned, and findings. Findings are written first; if a run
-    ends between the two, the next scans those blobs again and distinct() makes the findings one."""
+    """Three Parquet tables below path: which text each version of a corpus has where, pairs of blob and rule version
+    that have been scanned, and findings. Findings are written first; if a run ends between the two, the next scans
+    those blobs again and distinct() makes the findings one."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -101,25 +104,38 @@ class Ledger:
     def findings(self, rule_version: str) -> DataFrame:
         return self._table("findings", FINDINGS).where(F.col("rule_version") == rule_version).distinct()
 
-    def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, rule_version: str = BASE_VERSION, text: str = "text") -> None:
-        """Brings the ledger up to date with docs. Digests alone tell what is unseen. If those are few, texts meet
-        them where they stand and only unseen ones are looked at; else all texts pass the filter of find(), and
-        those it leaves are shuffled."""
-        versions = reject_clash(docs, text).select(text_or_empty(F.col(text)).alias("text")).withColumn("blob", blob_of(F.col("text")))
-        unseen = versions.select("blob").distinct()
-        done = self.scanned().where(F.col("rule_version") == rule_version).select("blob")
+    def paths(self, version: str | None = None) -> DataFrame:
+        """version, key, blob: a row for each row that a version of the corpus had."""
+        held = self._table("paths", PATHS)
+        return held if version is None else held.where(F.col("version") == version)
+
+    def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, rule_version: str = BASE_VERSION, key: str = "doc_id", text: str = "text", version: str | None = None) -> str:
+        """Brings the ledger up to date with docs, a version of the corpus, whose name is returned. Digests alone tell
+        what is unseen. Of what is unseen and what has been seen, the smaller one meets the texts where they stand, so
+        that no text is shuffled and only unseen ones are looked at; if both are many, texts that may match at all are
+        shuffled to meet the unseen ones."""
+        version = version or uuid.uuid4().hex
+        texts = reject_clash(docs, key, text).select(F.col(key).cast("long").alias("key"), text_or_empty(F.col(text)).alias("text")).withColumn("blob", blob_of(F.col("text")))
+        texts.select("key", "blob").write.mode("overwrite").parquet(f"{self.path}/paths/version={version}")
+        names = self.paths(version).select("blob").distinct()
+        done, versions, unseen = self.scanned().where(F.col("rule_version") == rule_version).select("blob"), texts.select("text", "blob"), names
         if not done.isEmpty():
-            unseen = stored(unseen.join(done, "blob", "left_anti"), "unseen-blobs")
+            marked = stored(names.join(done.distinct().withColumn("seen", F.lit(True)), "blob", "left"), "blobs")
+            unseen, seen = marked.where("seen IS NULL").select("blob"), marked.where("seen")
             if small_enough(unseen, BROADCAST_BLOBS):
                 versions = versions.join(F.broadcast(unseen.withColumn("unseen", F.lit(True))), "blob")
+            elif small_enough(seen, BROADCAST_BLOBS):
+                versions = versions.join(F.broadcast(seen), "blob", "left").select("text", "blob", F.col("seen").isNull().alias("unseen"))
             else:
-                versions = versions.join(unseen, "blob", "left_semi")
+                versions = versions.where(reduce(or_, map(_may_match, rules))).join(unseen, "blob", "left_semi")
         found = find(versions, rules).withColumn("rule_version", F.lit(rule_version))
         found.select("blob", "rule_version", "kind_rank", "kind", "start", "end").write.mode("append").parquet(f"{self.path}/findings")
         unseen.withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version").write.mode("append").parquet(f"{self.path}/scanned")
+        return version
 
-    def report(self, docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, rule_version: str = BASE_VERSION, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """One row per row of docs: counts by kind, spans, and a digest of them.
+    def report(self, holders: DataFrame | str, rules: tuple[Rule, ...] = BASE_RULES, rule_version: str = BASE_VERSION, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """One row per row of holders, which are documents or the name of a version of them that was scanned: key,
+        counts by kind, spans, and a digest of them.
 
         A null text is an empty one, without findings; empty tables give empty ones; repeated rows each
         get their row. Spans go by start, then by the order of the rules."""
@@ -128,8 +144,11 @@ class Ledger:
         by_blob = self.findings(rule_version).groupBy("blob").agg(
             *[F.count_if(F.col("kind") == r.kind).alias(f"n_{r.kind}") for r in rules], F.array_join(spans, ",").alias("spans")
         )
-        holders = reject_clash(docs, key, text).select(F.col(key), blob_of(text_or_empty(F.col(text))).alias("blob"))
-        out = holders.join(by_blob, "blob", "left")
+        if isinstance(holders, str):
+            places = self.paths(holders).select(F.col("key").alias(key), "blob")
+        else:
+            places = reject_clash(holders, key, text).select(F.col(key), blob_of(text_or_empty(F.col(text))).alias("blob"))
+        out = places.join(by_blob, "blob", "left")
         joined = F.coalesce(F.col("spans"), F.lit(""))
         return out.select(
             key, *[F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules],
@@ -138,8 +157,7 @@ class Ledger:
 
 
 def op9_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' secrets by the base rules, through a new ledger."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All documents' secrets by the base rules, through a ledger that has been over the pages before."""
     ledger = Ledger(spark, shared_folder(spark, "secret-ledger"))
-    ledger.scan(docs)
-    return ledger.report(docs)
+    ledger.scan(spark.read.parquet(f"{sf_dir}/pages.parquet"), key="page_id", text="html", version="pages")
+    return ledger.report(ledger.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), version="documents"))

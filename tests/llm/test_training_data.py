@@ -804,6 +804,31 @@ def test_the_ledger_scans_what_it_has_not_seen(spark, monkeypatch, most):
     assert ledger.findings(secret_scan.BASE_VERSION).count() == 2 and ledger.scanned().count() == 6
 
 
+def test_findings_join_to_every_version_that_holds_a_blob(spark, monkeypatch):
+    """The second version meets what the first one left: its new texts alone are looked at, by either side's size."""
+    schema = "doc_id long, text string"
+    first = spark.createDataFrame([(1, "token=abcdefgh"), (2, "none"), (3, None)], schema)
+    second = spark.createDataFrame([(7, "token=abcdefgh"), (7, "token=abcdefgh"), (None, "none"), *((10 + i, f"secret: {100000 + i}") for i in range(20))], schema)
+    for most in (200_000, 3, 0):
+        monkeypatch.setattr(secret_scan, "BROADCAST_BLOBS", most)
+        ledger, looked = secret_scan.Ledger(spark, shared_folder(spark, "l")), []
+        real = secret_scan.find
+
+        def find(blobs, rules, real=real, looked=looked):
+            rows = blobs.where("unseen") if "unseen" in blobs.columns else blobs
+            looked.append({r.text for r in rows.collect()})
+            return real(blobs, rules)
+
+        with monkeypatch.context() as m:
+            m.setattr(secret_scan, "find", find)
+            names = [ledger.scan(first, version="one"), ledger.scan(second), ledger.scan(second, version="again")]
+        assert looked == [{"token=abcdefgh", "none", ""}, {f"secret: {100000 + i}" for i in range(20)}, set()]
+        for name, source in zip(names, (first, second, second), strict=True):
+            got = by_id(ledger.report(name), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+            assert got == sorted(((d, *brute.secrets(t)) for d, t in pairs(source)), key=str)
+        assert ledger.paths().count() == 3 + 23 + 23 and ledger.findings(secret_scan.BASE_VERSION).count() == 21
+
+
 # --- op10
 
 
