@@ -59,13 +59,15 @@ def matching(members: DataFrame, text: str) -> DataFrame:
 
 
 def show(members: DataFrame, text: str, names: DataFrame, stocks_only: bool = False) -> DataFrame:
-    """If the text names one block, its members with name and exchange; if several, those blocks' names; if
-    none, nothing. An exact name counts as the one. At most two names come to the driver."""
+    """block_name, seq, code, name, exchange: if the text names one block, its members; if several, a row for each of
+    those blocks with nulls but for its name; if none, nothing. An exact name counts as the one. At most two names come
+    to the driver."""
     found = matching(members, text)
     exact = found.where(F.col("block_name") == text)
     few = exact.take(1) or found.take(2)
     if len(few) != 1:
-        return found.select("block_name")
+        nothing = {"seq": members.schema["seq"].dataType.simpleString(), "code": "string", "name": "string", "exchange": "string"}
+        return found.select("block_name", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
     own = members.where(F.col("block_name") == few[0].block_name)
     own = own.where(is_stock(F.col("stock_code"))) if stocks_only else own
     return with_names(own, names)

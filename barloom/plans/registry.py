@@ -532,6 +532,12 @@ def block_valid_name(spark, d):
     return fx.block_members(spark, d).select("block_name", blocks.valid_name(F.col("block_name")).alias("valid")).distinct()
 
 
+@query(f"WITH {_MEMBERS} SELECT DISTINCT block_name, NULL::BIGINT AS seq, NULL::VARCHAR AS code, NULL::VARCHAR AS name, NULL::VARCHAR AS exchange FROM mem WHERE {_VALID} AND contains(block_name, 'Brand#')")
+def block_show_several(spark, d):
+    """A text that several blocks' names hold gives those names."""
+    return blocks.show(fx.block_members(spark, d), "Brand#", fx.securities(spark, d))
+
+
 @query(f"WITH {_MEMBERS}, r AS (SELECT *, row_number() OVER (PARTITION BY block_name ORDER BY seq) AS k FROM mem) SELECT block_name, string_agg(stock_code, ', ' ORDER BY k) FILTER (k <= 3) || CASE WHEN max(k) > 3 THEN '...' ELSE '' END AS sample FROM r GROUP BY block_name")
 def block_sample(spark, d):
     return blocks.samples(fx.block_members(spark, d))
