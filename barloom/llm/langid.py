@@ -123,8 +123,10 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def _evidence(rows: DataFrame, model: Model) -> DataFrame:
-    """Adds n_grams, and ll: the text's log likelihood for each language, less the likeliest's."""
+def _evidence(rows: DataFrame, model: Model, temper: float) -> DataFrame:
+    """Adds n_grams, ll (the text's log likelihood for each language, less the likeliest's), and own: what the text
+    alone points to, one divided among the languages as its tempered likelihoods are, in millionths, so that sums don't
+    depend on their order; nothing for a text without letters. own_total is its sum."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,10 +137,13 @@ def _evidence(rows: DataFrame, model: Model) -> DataFrame:
                     n += len(x)
                     ll += [p[x].sum(dtype=np.float64) for p in model.logp]
                 best = float(ll.max())
-                found.append((n, (ll - best).tolist(), best / n if n else 0.0))
-            yield batch.drop(columns=["text"]).assign(n_grams=[f[0] for f in found], ll=[f[1] for f in found], mean_ll=[f[2] for f in found]).astype({"id": "Int64"})
+                p = np.exp((ll - best) * temper)
+                own = np.floor(p / p.sum() * 1e6 + 0.5).astype(np.int64) if n else np.zeros(len(p), np.int64)
+                found.append((n, (ll - best).tolist(), best / n if n else 0.0, own.tolist(), int(own.sum())))
+            columns = dict(zip(("n_grams", "ll", "mean_ll", "own", "own_total"), zip(*found, strict=True) if found else [[]] * 5, strict=True))
+            yield batch.drop(columns=["text"]).assign(**columns).astype({"id": "Int64"})
 
-    return rows.mapInPandas(score, "id long, h long, declared string, host string, n_grams long, ll array<double>, mean_ll double")
+    return rows.mapInPandas(score, "id long, h long, declared string, host string, n_grams long, ll array<double>, mean_ll double, own array<long>, own_total long")
 
 
 def _argmax(values: Column, languages: tuple[str, ...]) -> Column:
@@ -149,14 +154,6 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _own(temper: float) -> Column:
-    """What a text alone points to: one, divided among the languages as its likelihoods are, in millionths, so that
-    sums don't depend on their order. Nothing for a text without letters."""
-    p = F.transform("ll", lambda x: F.exp(x * temper))
-    shares = F.transform(F.array(p), lambda q: F.transform(q, lambda x: F.round(x / F.aggregate(q, F.lit(0.0), lambda a, y: a + y) * 1e6).cast("long")))[0]
-    return F.when(F.col("n_grams") > 0, shares).otherwise(F.transform("ll", lambda x: F.lit(0).cast("long")))
-
-
 def _levels(counts: DataFrame, name: str, k: int) -> DataFrame:
     """name, and its counts as an array with a place for each language; counts has a row for each that isn't 0."""
     held = F.map_from_entries(F.collect_list(F.struct("k", "n")))
@@ -164,10 +161,9 @@ def _levels(counts: DataFrame, name: str, k: int) -> DataFrame:
     return dense.select(name, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long"))).alias(f"{name}_counts"))
 
 
-def _with_priors(scored: DataFrame, k: int, strength: float, temper: float) -> DataFrame:
+def _with_priors(scored: DataFrame, k: int, strength: float) -> DataFrame:
     """scored with log_prior, an array. Counts come from the whole table but for the row itself; a level's distribution
     is its own counts and `strength` draws from the level above. Rows without a host share one and draw on the table."""
-    scored = scored.withColumn("own", _own(temper))
     each = scored.select("host", F.posexplode("own").alias("k", "n")).where("n > 0")
     by_host = stored(each.groupBy("host", "k").agg(F.sum("n").alias("n")), "host-counts")
     labels = F.split("host", r"\.")
@@ -177,10 +173,10 @@ def _with_priors(scored: DataFrame, k: int, strength: float, temper: float) -> D
     hosts = scored.select("host").distinct().withColumns(named).join(_levels(known, "domain", k), "domain", "left").join(_levels(known, "suffix", k), "suffix", "left")
     dense = _levels(by_host, "host", k).withColumnRenamed("host", "host3")
     hosts = hosts.join(dense, hosts["host"].eqNullSafe(dense["host3"]), "left").select(F.col("host").alias("host2"), *[F.coalesce(f"{x}_counts", F.array_repeat(F.lit(0).cast("long"), k)).alias(f"{x}_counts") for x in ("host", "domain", "suffix")])
+    hosts = hosts.withColumns({f"{x}_total": _total(F.col(f"{x}_counts")) for x in ("host", "domain", "suffix")})
     sums = {r.k: r.n for r in by_host.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # a number for each language
     whole = F.array(*[F.lit(int(sums.get(i, 0))).cast("long") for i in range(k)])
     met = scored.join(broadcast_below(stored(hosts, "host-priors"), 100_000), F.col("host").eqNullSafe(F.col("host2")), "left")
-    met = met.withColumns({f"{x}_total": _total(F.col(f"{x}_counts")) for x in ("host", "domain", "suffix")} | {"own_total": _total(F.col("own"))})
 
     def prior(i: Column) -> Column:
         def drawn(level: str, above: Column) -> Column:
@@ -211,7 +207,7 @@ def identify(
         return rows.select(F.col(key).cast("long").alias(key), text_key(text).alias("h"), *[x.alias(c) for c, x in nothing.items()], F.lit(False).alias("accepted"))
     plain = rows.select(F.col(key).cast("long").alias("id"), text_key(text).alias("h"), (declared if declared is not None else F.lit(None)).cast("string").alias("declared"), (host if host is not None else F.lit(None)).cast("string").alias("host"), text_or_empty(F.col(text)).alias("text"))
     plain = plain.withColumn("declared", language_tag(F.col("declared")))
-    met = _with_priors(stored(_evidence(plain, model), "language-evidence"), len(languages), strength, temper)
+    met = _with_priors(stored(_evidence(plain, model, temper), "language-evidence"), len(languages), strength)
     # A declaration is right with its trust, else any other language alike.
     met = met.withColumn("said", F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("declared")) - 1)
     right, wrong = np.log(trust_declared), np.log((1 - trust_declared) / max(1, len(languages) - 1))
