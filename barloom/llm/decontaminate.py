@@ -1,7 +1,8 @@
 """Benchmark decontamination over a positional inverted index.
 
 The index holds (term, document, position) of all terms of the test set in the whole corpus. It is stored once:
-it tells how often each term stands in the corpus, and where. A window's places are where the lists of its two
+it tells how often each term stands in the corpus, and where. One reading of it keeps the lists that are looked
+up, those of each window's two rarest terms, as a small table. A window's places are where the lists of its two
 rarest terms agree once each is shifted by the term's offset; the documents' own words then confirm every such
 place. The same lists give proximity matches. DataFrame operations only."""
 
@@ -37,7 +38,8 @@ def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Postings (term, id, h, pos) of the vocabulary's terms, stored. docs: what _documents() gives."""
+    """Postings (term, id, h, pos) of the vocabulary's terms, stored. docs: what _documents() gives. They stay in the
+    documents' order, in which ids and places compress best."""
     return stored(
         docs.select("id", "h", F.posexplode(words(F.col("text"))).alias("pos", "w"))
         .select("id", "h", "pos", term(F.col("w")).alias("term"))
@@ -46,6 +48,13 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def looked_up(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """The postings of the terms that probes look up, which are the rarer ones, stored: the index is read once
+    for them, and phrases and proximity matches then read these alone."""
+    wanted = stored(probes.select(F.explode(F.array("term1", "term2")).alias("term")).where(F.col("term").isNotNull()).distinct(), "looked-up-terms")
+    return stored(index.join(broadcast_below(wanted, BROADCAST_ROWS), "term", "left_semi"), "looked-up-postings")
+
+
 def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """item (its id as a string) and its exact words w, of each item that has any."""
     return reject_clash(items, key, text).select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("item"), words(lower_ascii(text_or_empty(F.col(text)))).alias("w")).where(F.size("w") > 0)
@@ -131,6 +140,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, key:
     vocabulary = stored(windows.select(F.explode("words").alias("w")).select(term(F.col("w")).alias("term")).distinct(), "test-terms")
     index = build_index(rows, vocabulary)
     probes = probes_of(windows, index)
+    index = looked_up(index, probes)
     found = phrase_places(index, probes).select("id", "h", "nth", "begin", F.lit(0).alias("near"))
     found = found.union(near_items(index, probes, window).select("id", "h", "nth", F.lit(None).cast("int"), F.lit(1)))
     # An item's words once for each document, however many places it may have there.

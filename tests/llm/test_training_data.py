@@ -740,6 +740,25 @@ def test_joins_without_broadcast_give_the_same(docs, spark, monkeypatch):
     assert by_id(decontaminate.contamination(docs, items), "n_hit", "items_sha256") == one
 
 
+def test_look_ups_read_the_rarer_lists_alone(spark):
+    common = "the of and to in a is it for on with as".split()
+    rows = [(i, " ".join(common * 20 + [f"rare{i % 4}", f"seldom{i % 3}"] + common)) for i in range(40)]
+    docs = decontaminate._documents(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    items = [("x", " ".join(common[:11] + ["rare1", "seldom1"])), ("y", " ".join(["seldom2"] + common)), ("z", "rare3")]
+    each = decontaminate.item_words(spark.createDataFrame(items, "item_id string, text string")).withColumn("nth", F.monotonically_increasing_id())
+    windows = decontaminate.test_windows(each)
+    index = decontaminate.build_index(docs, windows.select(F.explode("words").alias("term")).distinct())
+    probes = decontaminate.probes_of(windows, index)
+    narrow = decontaminate.looked_up(index, probes)
+    asked = {t for r in probes.collect() for t in (r.term1, r.term2) if t}
+    held = {r.term: r["count"] for r in narrow.groupBy("term").count().collect()}
+    whole = {r.term: r["count"] for r in index.groupBy("term").count().collect()}
+    assert held == {t: n for t, n in whole.items() if t in asked}
+    assert 10 * sum(held.values()) < 2 * sum(whole.values())
+    for of in (decontaminate.phrase_places, lambda i, p: decontaminate.near_items(i, p, 13)):
+        assert sorted(of(narrow, probes).collect()) == sorted(of(index, probes).collect())
+
+
 def test_items_of_one_common_word(spark):
     """Each occurrence is a place, and a document may have very many."""
     rows = [(1, "the " * 30_000 + "end"), (2, "The end"), (3, "then"), (4, None), (5, "a the " * 20)]
