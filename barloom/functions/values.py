@@ -15,8 +15,9 @@ def round_half_away(x: Column, places: int = 2) -> Column:
 def fixed(x: Column, places: int = 2) -> Column:
     """A number as text with so many decimals. Rounds the number itself, as printf does, and not its shortest
     decimal form, as format_string would; what is beyond its sixth decimal, where sums may differ by their
-    order, goes first."""
-    return F.call_function("format_number", F.round(x, 6), F.lit("0." + "0" * places))
+    order, goes first. What is below 0, or a negative 0, keeps its sign when its digits are zeros."""
+    text = F.call_function("format_number", F.abs(F.round(x, 6)), F.lit("0." + "0" * places))
+    return F.when((x < 0) | (x == 0) & (x.cast("string") == "-0.0"), F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def is_weekday(ts: Column) -> Column:
