@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from barloom.deploy import ship
 from barloom.functions.codes import add_prefix, lookup
-from barloom.sources.bars import from_trades
+from barloom.sources.bars import TICKS_PAGE, from_trades
 
 CODES = {"1-URGENT": "600001", "2-HIGH": "002001", "3-MEDIUM": "300003", "4-NOT SPECIFIED": "000001", "5-LOW": "688005"}
 
@@ -110,14 +110,30 @@ def block_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.groupBy("block_name").agg(whole.alias("records")).select(F.concat(_zeros(384), F.unhex("records")).alias("content"))
 
 
-def tick_message(code, day):
-    """32 bits that tell a code and a day."""
-    return F.crc32(code.cast("binary")) % 65536 * 65536 + F.unix_date(day)
+def with_pages(rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:
+    """Adds page: which of the responses, of so many records each, a row of its group stands in. A response counts its
+    records and its bytes in 16 bits each."""
+    return rows.withColumn("page", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) / TICKS_PAGE).cast("int"))
+
+
+def over_pages(raw: DataFrame) -> DataFrame:
+    """Decoded records, numbered by seq through all pages of their group."""
+    kind = dict(raw.dtypes)["seq"]
+    return raw.withColumn("seq", F.col("seq") + F.col("page").cast(kind) * TICKS_PAGE).drop("page")
+
+
+def tick_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code, day, page and msg_id of each response of tick_captures(). Messages are numbered without a gap over a table
+    that has a row for each code and day."""
+    counts = ticks(spark, sf_dir).groupBy("code", F.to_date("ts").alias("day")).agg(F.ceil(F.count(F.lit(1)) / TICKS_PAGE).alias("pages"))
+    upto = F.sum("pages").over(Window.orderBy("code", "day"))
+    each = counts.select("code", "day", (upto - F.col("pages")).alias("first"), F.explode(F.sequence(F.lit(0), F.col("pages").cast("int") - 1)).alias("page"))
+    return each.select("code", "day", "page", (F.col("first") + F.col("page")).alias("msg_id"))
 
 
 def tick_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A capture of each code's and day's trades, as a compressed response whose msg_id tells code and day, as
-    tick_message() does."""
+    """Captures of each code's and day's trades, a page of them in each, as a compressed response whose msg_id tells code,
+    day and page, as tick_requests() does. Prices go on from the page before."""
     import struct
     import zlib
 
@@ -126,16 +142,17 @@ def tick_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.sources.wire import RESPONSE_PREFIX, encode_varint
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, last, body = rows.sort_values("seq"), 0, b""
-        for minute, cents, size, status in zip(rows["minute"], rows["cents"], rows["volume"], rows["status"], strict=True):
+        rows, body = rows.sort_values("seq"), [struct.pack("<HI", len(rows), 0)]
+        for minute, delta, size, status in zip(rows["minute"], rows["delta"], rows["volume"], rows["status"], strict=True):
             hour, rest = divmod(int(minute), 60)
-            body += bytes([hour // 10 << 4 | hour % 10, rest // 10 << 4 | rest % 10]) + b"".join(map(encode_varint, (int(cents) - last, int(size), int(status))))
-            last = int(cents)
-        body = struct.pack("<HI", len(rows), 0) + body + bytes(8)
+            body += [bytes([hour // 10 << 4 | hour % 10, rest // 10 << 4 | rest % 10]), *map(encode_varint, (int(delta), int(size), int(status)))]
+        body = b"".join([*body, bytes(8)])
         data = zlib.compress(body)
         data = body if len(data) == len(body) else data
-        return pd.DataFrame({"code": [key[0]], "day": [key[1]], "data": [RESPONSE_PREFIX + struct.pack("<BIBHHH", 12, rows["msg_id"].iloc[0], 0, 1, len(data), len(body)) + data]})
+        return pd.DataFrame({"code": [key[0]], "day": [key[1]], "page": [key[2]], "data": [RESPONSE_PREFIX + struct.pack("<BIBHHH", 12, rows["msg_id"].iloc[0], 0, 1, len(data), len(body)) + data]})
 
     ship(spark)
-    rows = ticks(spark, sf_dir).withColumn("day", F.to_date("ts")).select("code", "day", tick_message(F.col("code"), F.col("day")).alias("msg_id"), "seq", (F.hour("ts") * 60 + F.minute("ts")).alias("minute"), F.round(F.col("price") * 100).cast("long").alias("cents"), "volume", "status")
-    return rows.groupBy("code", "day").applyInPandas(pack, "code string, day date, data binary")
+    rows = ticks(spark, sf_dir).withColumn("day", F.to_date("ts")).select("code", "day", "seq", (F.hour("ts") * 60 + F.minute("ts")).alias("minute"), F.round(F.col("price") * 100).cast("long").alias("cents"), "volume", "status")
+    rows = with_pages(rows, ("code", "day"), "seq").withColumn("delta", F.col("cents") - F.lag("cents", 1, 0).over(Window.partitionBy("code", "day").orderBy("seq"))).drop("cents")
+    rows = rows.join(tick_requests(spark, sf_dir), ["code", "day", "page"])
+    return rows.groupBy("code", "day", "page").applyInPandas(pack, "code string, day date, page int, data binary")

@@ -57,7 +57,7 @@ def volume(code: Column, unit: int = 64) -> Column:
     return power + most + power * third / 32768.0 * fine + power * last / 8388608.0 * fine
 
 
-#: Decoded rows that are handed on together, at least.
+#: Decoded rows that are handed on together, at most.
 _ROWS = 20_000
 
 
@@ -76,13 +76,13 @@ def _each(rows: DataFrame, data: str, schema: str, decode: Callable[[bytes], Ite
                 return pd.concat([batch[kept].iloc[of].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
 
             for i, raw in enumerate(batch[data]):
-                own = list(decode(bytes(raw))) if raw is not None else []
-                of += [i] * len(own)
-                found += own
-                if len(found) >= _ROWS:  # rows of a few large responses don't pile up
-                    yield made()
-                    of.clear()
-                    found.clear()
+                for own in decode(bytes(raw)) if raw is not None else ():
+                    of.append(i)
+                    found.append(own)
+                    if len(found) >= _ROWS:  # rows of large responses don't pile up
+                        yield made()
+                        of.clear()
+                        found.clear()
             if found:
                 yield made()
 
