@@ -1,7 +1,7 @@
 """Technical indicators, over all codes in one plan.
 
-Everything that a window can express is one: a single shuffle by code and one sort serve all of them. The
-recurrences (exponential means, K and D, Wilder's means) then run over the same sorted rows as a stream of
+A single shuffle by code and one sort serve all of them. Moving windows, which Spark would add up row by row, and
+the recurrences (exponential means, K and D, Wilder's means) run over the sorted rows as a stream of
 buffers, a step of time over all series of a buffer at once; a series longer than a buffer goes on from a few numbers,
 whatever the length of its history. Each step is done in its exact order, as crosses depend on the last bit of a
 difference. Warm-up rows hold 0.0; an indicator whose series is too short is null."""
@@ -9,6 +9,7 @@ difference. Warm-up rows hold 0.0; an indicator whose series is too short is nul
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from copy import deepcopy
 
 import numpy as np
 import pyarrow as pa
@@ -253,27 +254,185 @@ def _alike(begin: np.ndarray, length: np.ndarray, config: np.ndarray, whole: np.
         yield from [part] if len(part) >= FEW else part[:, None]
 
 
-def with_recurrences(rows: DataFrame, c: Config | tuple[Config, ...], emas: tuple[int, ...] = (), keys: tuple[str, ...] = KEYS) -> DataFrame:
+#: What the trend of a series is told by: its last closes, five bars with the means of 20 and the mean five bars before.
+TREND_ROWS = 25
+_TRENDS = ("unknown", "up", "down", "sideways")
+_ACTIVITIES = ("very_active", "active", "inactive", "normal")
+
+
+def _trends(ends: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """Places in _TRENDS for series of n bars by their last closes: up or down if four of the last five bars have their
+    means in that order; else by close and slope against MA20; sideways otherwise; unknown below 20 bars."""
+    x = np.full((TREND_ROWS, len(n)), np.nan)
+    for at, end in enumerate(ends):
+        x[TREND_ROWS - len(end) :, at] = end
+    there, filled = ~np.isnan(x), np.nan_to_num(x)
+
+    def mean(p: int, back: int) -> np.ndarray:
+        end = TREND_ROWS - back
+        total, count = filled[end - p].copy(), there[end - p : end].sum(axis=0)
+        for row in filled[end - p + 1 : end]:
+            total += row
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(n - 1 - back >= p - 1, total / count, 0.0)
+
+    bull, bear = np.zeros(len(n), int), np.zeros(len(n), int)
+    for back in range(5):
+        a, b, d = (mean(p, back) for p in (5, 10, 20))
+        bull += (a > b) & (b > d) & (d > 0)
+        bear += (a < b) & (b < d) & (d > 0)
+    close, d, old = x[-1], mean(20, 0), mean(20, 5)
+    return np.select([n < 20, bull >= 4, bear >= 4, (d > 0) & (close > d) & (d > old), (d > 0) & (close < d) & (d < old)], [0, 1, 2, 1, 2], 3)
+
+
+class _Windows:
+    """Lines of moving windows over the buffers of a task, whose rows stand in the order of their series. A window adds up
+    its rows from the oldest on, each row of the buffer at once, and looks back into the buffer before."""
+
+    def __init__(self, configs: tuple[Config, ...], only: frozenset[str] | None):
+        self.configs, self.only = configs, only
+        self.ma = tuple(dict.fromkeys(p for x in configs for p in x.ma))
+        self.pairs = [(a, b) for a, b in zip(CROSSING, CROSSING[1:], strict=False) if a in self.ma and b in self.ma]
+        self.back = max([5, *self.ma, *(x.boll[0] for x in configs), *(x.kdj[0] for x in configs)])
+        self.held = {x: np.full(self.back, np.nan) for x in ("close", "high", "low", *(["volume"] if self.sizes() else []))}
+        self.gaps, self.trend = {pair: np.nan for pair in self.pairs}, 0
+
+    def sizes(self) -> bool:
+        return any(self.wants(x) for x in ("avg5", "ratio", "activity"))
+
+    def names(self) -> dict[str, str]:
+        """The lines and their types."""
+        numbers = [*[f"ma_{p}" for p in self.ma], "boll_up", "boll_mid", "boll_low", "avg5", "ratio"]
+        out = dict.fromkeys(numbers, "double") | {"activity": "string", "change": "double", "change_pct": "double"}
+        out |= {f"ma_gap_{a}_{b}_before": "double" for a, b in self.pairs} | {"trend": "string"}
+        return {k: t for k, t in out.items() if self.wants(k)}
+
+    def wants(self, name: str) -> bool:
+        return self.only is None or name in self.only
+
+    def _mean(self, x: np.ndarray, p: int, rows: int) -> np.ndarray:
+        """Means of p rows that end with each, nulls left out."""
+        def total(y: np.ndarray) -> np.ndarray:
+            begin = self.back - p + 1
+            out = y[begin : begin + rows].copy()
+            for k in range(begin + 1, begin + p):
+                out += y[k : k + rows]
+            return out
+
+        there = ~np.isnan(x)
+        if there[self.back :].all() and there[: self.back].all():
+            return total(x) / p
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return total(np.where(there, x, 0.0)) / total(there.astype(float))
+
+    def _each(self, number: np.ndarray, part: Callable[[Config], object], make: Callable[[object], np.ndarray]) -> np.ndarray:
+        """make(part of each row's configuration)."""
+        parts = [part(c) for c in self.configs]
+        distinct = list(dict.fromkeys(parts))
+        if len(distinct) == 1:
+            return make(distinct[0])
+        made = [make(x) for x in distinct]
+        return np.choose(np.array([distinct.index(x) for x in parts])[number], made) if len(made) <= 32 else np.stack(made)[np.array([distinct.index(x) for x in parts])[number], np.arange(len(number))]
+
+    def lines(self, table: pa.Table, i: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[dict[str, object], np.ndarray]:
+        """The lines of names() for a buffer, and RSV."""
+        rows, x, out = len(i), {}, {}
+        for name, before in self.held.items():
+            x[name] = np.r_[before, table.column(name).to_numpy().astype(float)]
+            self.held[name] = x[name][-self.back :]
+        close, at = x["close"][self.back :], self.back
+        means: dict[int, np.ndarray] = {}
+
+        def mean(p: int) -> np.ndarray:
+            if p not in means:
+                means[p] = self._mean(x["close"], p, rows)
+            return means[p]
+
+        def ma(p: int) -> np.ndarray:
+            return self._each(number, lambda c: p in c.ma, lambda has: np.where(i >= p - 1, mean(p), 0.0) if has else np.full(rows, np.nan))
+
+        def top(name: str, p: int, better: Callable) -> np.ndarray:
+            found = x[name][at:].copy()
+            for k in range(1, p):
+                found = np.where(i >= k, better(found, x[name][at - k : at - k + rows]), found)
+            return found
+
+        def rsv_(p: int) -> np.ndarray:
+            high, low = top("high", p, np.fmax), top("low", p, np.fmin)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return np.where(high == low, 50.0, (close - low) / (high - low) * 100)
+
+        mas = {p: ma(p) for p in self.ma if self.wants(f"ma_{p}") or any(p in pair and self.wants(f"ma_gap_{pair[0]}_{pair[1]}_before") for pair in self.pairs)}
+        out |= {f"ma_{p}": v for p, v in mas.items()}
+        if any(self.wants(b) for b in ("boll_up", "boll_mid", "boll_low")):
+            def band(nk: tuple, sign: int) -> np.ndarray:
+                square = self._mean(x["close"] * x["close"], nk[0], rows)
+                line = mean(nk[0])
+                if sign:
+                    with np.errstate(invalid="ignore"):
+                        line = line + sign * (float(nk[1]) * np.sqrt(np.maximum(square - line * line, 0.0)))
+                return np.where(n >= nk[0], np.where(i >= nk[0] - 1, line, 0.0), np.nan)
+
+            out |= {name: self._each(number, lambda c: c.boll, lambda nk, sign=sign: band(nk, sign)) for name, sign in (("boll_up", 1), ("boll_mid", 0), ("boll_low", -1))}
+        if self.sizes():
+            size = x["volume"]
+            total, count = np.zeros(rows), np.zeros(rows)
+            for k in range(4, -1, -1):
+                then = size[at - k : at - k + rows]
+                there = (i >= k) & ~np.isnan(then)
+                total, count = total + np.where(there, then, 0.0), count + there
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out["avg5"] = np.where(n < 5, size[at:], total / count)
+                out["ratio"] = ratio = np.where(n < 5, 1.0, np.where(out["avg5"] == 0, 0.0, size[at:] / out["avg5"]))
+            out["activity"] = _words(np.select([ratio > 2, ratio > 1.5, ratio < 0.5], [0, 1, 2], 3), _ACTIVITIES)
+        previous = np.where(i == 0, np.nan, x["close"][at - 1 : at - 1 + rows])
+        out["change"] = diff = np.where(np.isnan(previous), 0.0, close - previous)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out["change_pct"] = np.where(previous > 0, diff / previous * 100, 0.0)
+        for a, b in self.pairs:
+            if a in mas and b in mas:
+                gap = mas[a] - mas[b]
+                out[f"ma_gap_{a}_{b}_before"] = np.where(i == 0, np.nan, np.r_[self.gaps[a, b], gap[:-1]])
+                self.gaps[a, b] = gap[-1]
+        if self.wants("trend"):
+            first = np.flatnonzero(i == 0)
+            ends = table.column("ends").take(pa.array(first))
+            told = _trends([np.array(e, float) for e in ends.to_pylist()], n[first])
+            told = self._each(number[first], lambda c: {5, 10, 20} <= set(c.ma), lambda has: told if has else np.zeros(len(first), int))
+            trend = np.r_[self.trend, told][np.cumsum(i == 0)]
+            self.trend = trend[-1]
+            out["trend"] = _words(trend, _TRENDS)
+        return {k: out[k] for k in self.names()}, self._each(number, lambda c: c.kdj[0], rsv_)
+
+
+def _words(places: np.ndarray, words: tuple[str, ...]) -> pa.Array:
+    return pa.DictionaryArray.from_arrays(pa.array(places, pa.int32()), pa.array(words)).cast(pa.string())
+
+
+def with_recurrences(rows: DataFrame, c: Config | tuple[Config, ...], emas: tuple[int, ...] = (), keys: tuple[str, ...] = KEYS, windows: _Windows | None = None) -> DataFrame:
     """rows (with i, n, close, rsv), which must be dealt by keys, with dif, dea, hist, k, d, j, rsi_*, ema_* and
     the gaps DIF-DEA and K-D of the bar before. Of several configurations, the column `config` says by number which is a
-    row's; rsi_* of periods that it lacks are null."""
+    row's; rsi_* of periods that it lacks are null. With windows, rsv and their lines are made here too."""
     ship(rows.sparkSession)
     configs = c if isinstance(c, tuple) else (c,)
     periods = tuple(dict.fromkeys(p for x in configs for p in x.rsi))
     names = line_names(Config(rsi=periods), emas)
-    columns = [x for x in rows.columns if x != "config"]
+    columns = [x for x in rows.columns if x != "config" and (windows is None or x != "ends")]
+    moving = windows.names() if windows else {}
+    shown = [x for x in names if windows is None or windows.wants(x)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, over = None, deepcopy(windows)
         for table in _buffers(batches):
             i, n = (table.column(x).to_numpy() for x in ("i", "n"))
-            close, rsv_ = (table.column(x).to_numpy().astype(float) for x in ("close", "rsv"))
             number = table.column("config").to_numpy() if len(configs) > 1 else np.zeros(len(i), np.int64)
-            begin = np.flatnonzero(np.r_[True, i[1:] == 0])
-            length = np.diff(np.r_[begin, len(i)])
+            close = table.column("close").to_numpy().astype(float)
+            lines_, rsv_ = over.lines(table, i, n, number) if over else ({}, table.column("rsv").to_numpy().astype(float))
+            begin = np.flatnonzero(np.r_[True, i[1:] == 0]) if shown else np.zeros(0, int)
+            length = np.diff(np.r_[begin, len(i)]) if shown else begin
             whole = (i[begin] == 0) & (length == n[begin])
-            out = {x: np.full(len(i), np.nan) for x in names}
-            for part in _alike(begin, length, number[begin], whole):
+            out = {x: np.full(len(i), np.nan) for x in names if shown}
+            for part in _alike(begin, length, number[begin], whole) if shown else ():
                 own, start = configs[number[begin[part[0]]]], int(i[begin[part[0]]])
                 most = length[part].max()
                 step = np.arange(most)[:, None]
@@ -285,11 +444,13 @@ def with_recurrences(rows: DataFrame, c: Config | tuple[Config, ...], emas: tupl
                 if len(part) == 1 and not whole[part[0]]:
                     held = after
             made = table.select(columns)
-            for name in names:
+            for name, line in lines_.items():
+                made = made.append_column(name, line if isinstance(line, pa.Array) else pa.array(line, mask=np.isnan(line)))
+            for name in shown:
                 made = made.append_column(name, pa.array(out[name], mask=np.isnan(out[name])))
             yield from made.to_batches(max_chunksize=10_000)
 
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "config"], *[f"{x} double" for x in names]])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in columns], *[f"{x} {t}" for x, t in moving.items()], *[f"{x} double" for x in shown]])
     return rows.sortWithinPartitions(*keys, "i").mapInArrow(run, schema)
 
 
@@ -304,52 +465,22 @@ def ema(bars: DataFrame, periods: tuple[int, ...]) -> DataFrame:
 CROSSING = (5, 10, 20, 60)
 
 
-def _each(configs: tuple[Config, ...], part: Callable[[Config], object], make: Callable[[object], Column]) -> Column:
-    """make(part of the row's configuration): one column for each distinct part, chosen by the row's config."""
-    which: dict[object, list[int]] = {}
-    for at, c in enumerate(configs):
-        which.setdefault(part(c), []).append(at)
-    if len(which) == 1:
-        return make(next(iter(which)))
-    return F.coalesce(*[F.when(F.col("config").isin(*at), make(x)) for x, at in which.items()])
-
-
-def indicators(bars: DataFrame, c: Config | tuple[Config, ...] = Config(), emas: tuple[int, ...] = ()) -> DataFrame:
+def indicators(bars: DataFrame, c: Config | tuple[Config, ...] = Config(), emas: tuple[int, ...] = (), only: tuple[str, ...] | None = None) -> DataFrame:
     """bars with i, n, ma_*, boll_up, boll_mid, boll_low, dif, dea, hist, k, d, j, rsi_*, change, change_pct,
-    avg5, ratio, activity, the trend of the series' end, and the gaps before that crosses need.
+    avg5, ratio, activity, the trend of the series' end, and the gaps before that crosses need; with `only`, of these
+    lines those named there.
 
     Rows of several codes and periods may be mixed; the series of a code and ktype must have one bar a time. Of several
-    configurations, the column `config` says by number which is a series'; it is one plan with one shuffle for all,
-    with a window for each distinct length, and lines that a series' configuration lacks are null."""
+    configurations, the column `config` says by number which is a series'; it is one plan with one shuffle for all, and
+    lines that a series' configuration lacks are null."""
     configs = c if isinstance(c, tuple) else (c,)
-    lines = {f"ma_{p}": _each(configs, lambda x, p=p: p in x.ma, lambda has, p=p: sma(p) if has else F.lit(None).cast("double")) for p in dict.fromkeys(p for x in configs for p in x.ma)}
-    bands = {name: _each(configs, lambda x: x.boll, lambda nk, at=at: boll(*nk)[at]) for at, name in enumerate(("boll_up", "boll_mid", "boll_low"))}
-    mean, ratio, label = volume_ratio()
-    diff, pct = change(F.col("close"), F.lag("close").over(Window.partitionBy(*KEYS).orderBy("i")))
-    rows = ordered(bars).withColumns(lines | bands | {"rsv": _each(configs, lambda x: x.kdj[0], rsv), "avg5": mean, "ratio": ratio, "activity": label, "change": diff, "change_pct": pct})
-    pairs = [(a, b) for a, b in zip(CROSSING, CROSSING[1:], strict=False) if f"ma_{a}" in lines and f"ma_{b}" in lines]
-    before = Window.partitionBy(*KEYS).orderBy("i")
-    rows = rows.withColumns({f"ma_gap_{a}_{b}_before": F.lag(F.col(f"ma_{a}") - F.col(f"ma_{b}")).over(before) for a, b in pairs})
-    trend = _each(configs, lambda x: {5, 10, 20} <= set(x.ma), lambda has: series_trend() if has else F.lit("unknown"))
-    return with_recurrences(rows.withColumn("trend", trend), configs, emas).drop("rsv")
+    whole = Window.partitionBy(*KEYS).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    end = F.collect_list(F.when(F.col("i") >= F.col("n") - TREND_ROWS, F.coalesce("close", F.lit(float("nan"))))).over(whole)
+    rows = ordered(bars).withColumn("ends", F.when(F.col("i") == 0, end))
+    return with_recurrences(rows, configs, emas, windows=_Windows(configs, None if only is None else frozenset(only)))
 
 
 def indicators_by_code(bars: DataFrame, params: Params) -> DataFrame:
     """indicators() with each code's own parameters, in one plan."""
     configs, numbered = params.numbered(bars.sparkSession)
     return indicators(with_own(bars, params).join(F.broadcast(numbered), ["category", "own"]).select(*bars.columns, "config"), configs)
-
-
-def series_trend() -> Column:
-    """The trend at the end of the row's series: up or down if four of the last five bars have their means in
-    that order; else by close and slope against MA20; sideways otherwise; unknown below 20 bars."""
-    a, b, d = F.col("ma_5"), F.col("ma_10"), F.col("ma_20")
-    rising, falling = (a > b) & (b > d) & (d > 0), (a < b) & (b < d) & (d > 0)
-    bull, bear = F.sum(F.when(rising, 1).otherwise(0)).over(_rows(4)), F.sum(F.when(falling, 1).otherwise(0)).over(_rows(4))
-    old = F.lag("ma_20", 5).over(Window.partitionBy(*KEYS).orderBy("i"))
-    here = (
-        F.when(F.col("n") < 20, "unknown").when(bull >= 4, "up").when(bear >= 4, "down")
-        .when((d > 0) & (F.col("close") > d) & (d > old), "up").when((d > 0) & (F.col("close") < d) & (d < old), "down").otherwise("sideways")
-    )
-    whole = Window.partitionBy(*KEYS).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return F.last(here).over(whole)

@@ -66,6 +66,13 @@ def latest(found: DataFrame) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
+def newest(bars: DataFrame) -> DataFrame:
+    """Each series' newest bar with a signal, without its signals; bars hold them. A task sends a row of each series that
+    it met."""
+    whole = [x for x in bars.columns if x not in ("code", "ktype", "signals")]
+    return bars.where(F.size("signals") > 0).groupBy("code", "ktype").agg(F.max_by(F.struct(*whole), "i").alias("bar")).select("code", "ktype", "bar.*")
+
+
 def latest_buys(found: DataFrame) -> DataFrame:
     """Series whose newest signal says buy, with that signal."""
     return latest(found).where(F.col("type").isin(*BUYS))
@@ -91,4 +98,5 @@ def table(bars: DataFrame, order: Column | None = None) -> DataFrame:
 
 
 def counts_by_type(found: DataFrame) -> DataFrame:
+    """found: a row for each signal, with its type."""
     return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"))

@@ -21,6 +21,13 @@ BUYS = (GOLDEN, OVERSOLD, BREAK_LOWER, BULL)
 STATES = (BULL, BEAR, OVERBOUGHT, OVERSOLD)
 SCREENED = {"golden_cross": GOLDEN, "death_cross": DEATH, "overbought": OVERBOUGHT, "oversold": OVERSOLD}
 
+#: When a bar has a signal, and the signal's fields.
+Found = tuple[Column, dict[str, Column]]
+#: The lines that signals of the default parameters are made of, for indicators(only=...).
+LINES = (
+    "ma_5", "ma_10", "ma_20", "ma_60", "ma_gap_5_10_before", "ma_gap_10_20_before", "ma_gap_20_60_before", "boll_up", "boll_low", "dif", "dea", "hist", "macd_gap_before", "k", "d", "j", "kdj_gap_before",
+    "rsi_6", "rsi_12", "rsi_24", "trend",
+)
 COLUMNS = ("code", "ktype", "ts", "i", "type", "indicator", "details", "strength", "detector", "sub", "trend")
 
 
@@ -53,14 +60,12 @@ def ma_cross(a: int, b: int) -> Column:
     return cross(F.col(f"ma_{a}") - F.col(f"ma_{b}"), F.col(f"ma_gap_{a}_{b}_before"))
 
 
-def _signal(when: Column, kind: Column | str, indicator: str, details: Column, strength: Column, detector: int, sub: int) -> Column:
+def _signal(when: Column, kind: Column | str, indicator: str, details: Column, strength: Column, detector: int, sub: int) -> Found:
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.when(when, F.struct(
-        kind.alias("type"), F.lit(indicator).alias("indicator"), details.alias("details"), strength.alias("strength"), F.lit(detector).alias("detector"), F.lit(sub).alias("sub"),
-    ))
+    return when, {"type": kind, "indicator": F.lit(indicator), "details": details, "strength": strength, "detector": F.lit(detector), "sub": F.lit(sub)}
 
 
-def _crossed(c: Column, *rest) -> Column:
+def _crossed(c: Column, *rest) -> Found:
     return _signal(c != 0, F.when(c == 1, GOLDEN).otherwise(DEATH), *rest)
 
 
@@ -70,11 +75,11 @@ def _details(form: str, *columns: str) -> Column:
     return F.concat(*[x for text, c in zip(parts, columns, strict=False) for x in (F.lit(text), fixed(F.col(c)))], F.lit(parts[-1]))
 
 
-def _macd() -> list[Column]:
+def _macd() -> list[Found]:
     return [_crossed(macd_cross(), "MACD", _details("DIF({}) DEA({})", "dif", "dea"), F.abs("hist"), 0, 0)]
 
 
-def _kdj() -> list[Column]:
+def _kdj() -> list[Found]:
     j = F.col("j")
     return [
         _crossed(kdj_cross(), "KDJ", _details("K({}) D({}) J({})", "k", "d", "j"), F.abs(j - 50) / 50, 1, 0),
@@ -83,7 +88,7 @@ def _kdj() -> list[Column]:
     ]
 
 
-def _boll() -> list[Column]:
+def _boll() -> list[Found]:
     close, up, low = F.col("close"), F.col("boll_up"), F.col("boll_low")
     return [
         _signal((close > up) & (up > 0), BREAK_UPPER, "BOLL", _details("Close({}) > Upper({})", "close", "boll_up"), (close - up) / up, 2, 0),
@@ -91,7 +96,7 @@ def _boll() -> list[Column]:
     ]
 
 
-def _ma(c: Config) -> list[Column]:
+def _ma(c: Config) -> list[Found]:
     out = []
     for sub, (a, b) in enumerate(zip(CROSSING, CROSSING[1:], strict=False)):
         if a in c.ma and b in c.ma:
@@ -104,7 +109,7 @@ def _ma(c: Config) -> list[Column]:
     return out
 
 
-def _rsi(c: Config) -> list[Column]:
+def _rsi(c: Config) -> list[Found]:
     out = []
     for sub, p in enumerate(sorted(c.rsi)):
         v = F.col(f"rsi_{p}")
@@ -113,9 +118,10 @@ def _rsi(c: Config) -> list[Column]:
     return out
 
 
-def on_bars(frame: DataFrame, c: Config = Config(), detect: Detect = Detect(), by_trend: bool = True) -> DataFrame:
+def on_bars(frame: DataFrame, c: Config = Config(), detect: Detect = Detect(), by_trend: bool = True, told: bool = True) -> DataFrame:
     """An indicator frame with each bar's signals as an array `signals`, empty if there are none. With by_trend,
     crosses of MACD, KDJ and the means go where the series' trend is sideways or unknown; in either trend all stay.
+    Without `told` they lack details and strength, whose texts cost more than to find the signals.
 
     Of signals on one bar, `detector` and `sub` give the order: MACD, KDJ, BOLL, MA, RSI, then as listed
     within each, RSI by period."""
@@ -127,7 +133,8 @@ def on_bars(frame: DataFrame, c: Config = Config(), detect: Detect = Detect(), b
         cross = s["type"].isin(GOLDEN, DEATH) & s["detector"].isin(0, 1, 3)
         return s.isNotNull() & ~(cross & F.col("trend").isin("unknown", "sideways")) if by_trend else s.isNotNull()
 
-    return frame.withColumn("signals", F.filter(F.array(*found), stays))
+    made = [F.when(when, F.struct(*[x.alias(k) for k, x in fields.items() if told or k not in ("details", "strength")])) for when, fields in found]
+    return frame.withColumn("signals", F.filter(F.array(*made), stays))
 
 
 def signals(frame: DataFrame, c: Config = Config(), detect: Detect = Detect(), by_trend: bool = True) -> DataFrame:
