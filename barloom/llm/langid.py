@@ -97,20 +97,24 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rows: int
     return Model(languages, logp, mean, float(np.sqrt(max(0.0, (counts * logp.astype(float) ** 2).sum() / total - mean * mean))))
 
 
-def _counts(sample: DataFrame) -> DataFrame:
-    """label, bucket, n: a row for each trigram bucket of each batch's texts of a label."""
+#: Parts of a label's sample, at most, that are counted by themselves.
+_COUNTED = 4
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for label, texts in batch.groupby("label")["text"]:
-                n = np.zeros(BUCKETS, np.int64)
-                for body in texts:
-                    for x in trigrams(body or ""):
-                        n += np.bincount(x, minlength=BUCKETS)
-                at = np.flatnonzero(n)
-                yield pd.DataFrame({"label": label, "bucket": at, "n": n[at]})
-
-    return sample.select("label", "text").mapInPandas(rows, "label string, bucket int, n long")
+
+def _counts(sample: DataFrame) -> DataFrame:
+    """label, bucket, n: a row for each trigram bucket of each of a few parts of a label's texts, however many partitions
+    they stand in."""
+
+    def rows(key: tuple, texts: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(BUCKETS, np.int64)
+        for body in texts["text"]:
+            for x in trigrams(body or ""):
+                n += np.bincount(x, minlength=BUCKETS)
+        at = np.flatnonzero(n)
+        return pd.DataFrame({"label": key[0], "bucket": at, "n": n[at]})
+
+    part = F.pmod(F.xxhash64("text"), F.lit(_COUNTED)).alias("part")
+    return sample.select("label", "text", part).groupBy("label", "part").applyInPandas(rows, "label string, bucket int, n long")
 
 
 def language_tag(declared: Column) -> Column:
