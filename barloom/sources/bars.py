@@ -63,7 +63,16 @@ def tail(rows: DataFrame, n: int, keys: tuple[str, ...] = KEYS, order: str = "ts
 def until(bars: DataFrame, stop: Column, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Walks each key's bars from the newest back and ends with the first for which `stop` holds, which is
     included; all of them if it never holds."""
-    ends = bars.where(stop).groupBy(*keys).agg(F.max("ts").alias("_end"))
+    return up_to(bars, stops(bars, stop, keys), keys)
+
+
+def stops(bars: DataFrame, stop: Column, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """_end: each key's newest time at which `stop` holds, for keys that have one."""
+    return bars.where(stop).groupBy(*keys).agg(F.max("ts").alias("_end"))
+
+
+def up_to(bars: DataFrame, ends: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Each key's bars from the newest back to its _end, which is included; all of those without one."""
     return bars.join(ends, list(keys), "left").where(F.col("_end").isNull() | (F.col("ts") >= F.col("_end"))).drop("_end")
 
 

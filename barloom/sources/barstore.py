@@ -12,11 +12,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.deploy import work_folder
 from barloom.schemas import BARS
 from barloom.sources import bars
-from barloom.sources.store import DAILY, refresh_action, upsert
+from barloom.sources.store import DAILY, refresh_action
 
 MANIFEST = "ktype int, bucket int, buckets int, save string, file string, rows long, min_code string, max_code string, min_ts timestamp, max_ts timestamp"
 LATEST = "code string, latest timestamp"
@@ -24,6 +25,10 @@ _COLUMNS = [c.strip().split()[0] for c in BARS.split(",")]
 _PLACED = f"{BARS}, save string, bucket int"
 #: Rows of a file: a version's files are what scans are pruned by.
 FILE_ROWS = 2_000_000
+#: A row for each code is broadcast up to so many rows, and bytes of them as JSON.
+BROADCAST_CODES, BROADCAST_BYTES = 500_000, 32 << 20
+#: Rows lie in files by ranges of these.
+_PLACE = ("ktype", "bucket", "code", "ts")
 #: Days of the first slice when a source is read newest first; each next one is twice as long.
 FIRST_DAYS = 32
 
@@ -35,10 +40,29 @@ class Conflict(RuntimeError):
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """df written into the shared folder and read back, so that it is computed once."""
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_code(codes: DataFrame) -> DataFrame:
+    """codes, a stored frame of a row for each, marked for broadcast if they are few enough, so that bars which meet
+    them stay in place; else as they are, for a shuffled join."""
+    size = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    held = codes.limit(BROADCAST_CODES + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
+    return F.broadcast(codes) if held.rows <= BROADCAST_CODES and (held.bytes or 0) <= BROADCAST_BYTES else codes
+
+
+def _upserted(placed: DataFrame) -> DataFrame:
+    """Of rows that lie by ranges of their keys, those that an upsert leaves: of fresh ones (column _fresh) with one key
+    the last by _order, if there is one, of others those without a fresh one. Keys with a null meet nothing."""
+    ordered = "_order" in placed.columns
+    w = Window.partitionBy(*_PLACE).orderBy(F.desc("_fresh"), *([F.desc("_order")] if ordered else []))
+    numbered = placed.withColumns({"_rank": F.rank().over(w), **({"_nth": F.row_number().over(w)} if ordered else {})})
+    fresh = F.col("_nth") == 1 if ordered else F.lit(True)
+    null = F.col("code").isNull() | F.col("ktype").isNull() | F.col("ts").isNull()
+    return numbered.where(F.when(F.col("_fresh"), fresh).otherwise((F.col("_rank") == 1) | null)).select(*_COLUMNS, "bucket")
+
+
 class BarStore:
     """Bars by ktype and bucket of codes. A save rewrites the buckets it touches; all others keep their files. A store
     keeps the number of buckets it began with. `version` pins a reader to one of the versions there are."""
@@ -120,35 +144,51 @@ class BarStore:
 
     # --- writing
 
-    def save(self, incoming: DataFrame, order: Column | None = None) -> int:
-        """Upserts, as a new version, whose number is returned; no rows make none. incoming is computed once. Of rows
-        with one key the last by order counts; without an order the keys must be distinct."""
+    def save(self, incoming: DataFrame, order: Column | None = None, again: bool = False) -> int:
+        """Upserts, as a new version, whose number is returned; no rows make none. Of rows with one key the last by
+        order counts; without an order the keys must be distinct. incoming is computed once, for which it is written
+        an additional time; with `again` its last stage is computed two or three times instead, which suits stored rows
+        and what one shuffle gives, and must give the same rows each time.
+
+        What is held and what comes in meet in the ranges that the files are made of, so bars are shuffled once."""
         if self.version is not None:
             raise ValueError("a pinned version can't be written to")
         before, id_ = self.current(), uuid.uuid4().hex
         manifest = self.manifest(before)
         held = manifest.select("buckets").first()
         buckets = held.buckets if held else self._buckets
-        placed = incoming.withColumn("bucket", F.pmod(F.xxhash64("code"), F.lit(buckets)).cast("int"))
-        extra = [] if order is None else [order.alias("_order")]
-        fresh = _kept(placed.select(*_COLUMNS, "bucket", *extra), "incoming-bars")
-        touched = fresh.select("ktype", "bucket").distinct().collect()
-        if not touched:
-            return before
-        marks = self.spark.createDataFrame([(r.ktype, r.bucket) for r in touched], "ktype int, bucket int")
-        old = self._files(self._folders(manifest.join(F.broadcast(marks), ["ktype", "bucket"], "left_semi")))
-        rows = upsert(old, fresh, order=F.col("_order") if extra else None).withColumn("bucket", F.pmod(F.xxhash64("code"), F.lit(buckets)).cast("int"))
-        # Ranges split a large bucket, or one code's long history, between tasks and files.
-        place = ("ktype", "bucket", "code", "ts")
+        bucket = F.pmod(F.xxhash64("code"), F.lit(buckets)).cast("int").alias("bucket")
+        rows = incoming.select(*_COLUMNS, bucket, *([] if order is None else [order.alias("_order")]))
+        if not again:
+            rows = _kept(rows, "incoming-bars")
+        marks, folders = None, []
+        if held or not again:
+            touched = rows.select("ktype", "bucket").distinct().collect()
+            if not touched:
+                return before
+            marks = self.spark.createDataFrame([(r.ktype, r.bucket) for r in touched], "ktype int, bucket int")
+            folders = self._folders(manifest.join(F.broadcast(marks), ["ktype", "bucket"], "left_semi"))
+        if folders or order is not None:
+            rows = rows.withColumn("_fresh", F.lit(True))
+        if folders:
+            rows = rows.unionByName(self._files(folders).select(*_COLUMNS, bucket, F.lit(False).alias("_fresh")), allowMissingColumns=True)
+        # Ranges split a large bucket, or one code's long history, between tasks and files; rows of one key stay together.
+        rows = rows.repartitionByRange(*_PLACE)
+        if folders or order is not None:
+            rows = _upserted(rows)
         data = f"{self.path}/data/save={id_}"
-        rows.repartitionByRange(*place).sortWithinPartitions(*place).write.option("maxRecordsPerFile", self.file_rows).partitionBy("ktype", "bucket").parquet(data)
+        rows.sortWithinPartitions(*_PLACE).write.option("maxRecordsPerFile", self.file_rows).option("compression", "zstd").partitionBy("ktype", "bucket").parquet(data)
         made = self.spark.read.schema(f"{BARS}, bucket int").parquet(data)
+        if marks is None and made.isEmpty():
+            return before
         made.groupBy("ktype", "bucket", "code").agg(F.max("ts").alias("latest")).repartition("ktype", "bucket").write.partitionBy("ktype", "bucket").parquet(f"{self.path}/latest/save={id_}")
         name = F.regexp_extract(F.col("_metadata.file_path"), f"save={id_}/.*$", 0)
         files = made.select("ktype", "bucket", "code", "ts", name.alias("file")).groupBy("ktype", "bucket", "file").agg(
             F.count(F.lit(1)).alias("rows"), F.min("code").alias("min_code"), F.max("code").alias("max_code"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts")
         )
-        whole = manifest.join(F.broadcast(marks), ["ktype", "bucket"], "left_anti").unionByName(files.withColumns({"buckets": F.lit(buckets), "save": F.lit(id_)}))
+        whole = files.withColumns({"buckets": F.lit(buckets), "save": F.lit(id_)})
+        if held:
+            whole = manifest.join(F.broadcast(marks), ["ktype", "bucket"], "left_anti").unionByName(whole)
         self._publish(whole.select(*[c.strip().split()[0] for c in MANIFEST.split(",")]), before + 1, id_)
         return before + 1
 
@@ -195,10 +235,11 @@ def until_newest_first(read: Callable[[datetime.datetime, datetime.datetime], Da
     `stop` may use wanted's other columns, whose names must differ from those of bars."""
     spark, out = wanted.sparkSession, None
     for first, end in spans:
-        rows = _kept(read(first, end).join(wanted, "code"), "slice")
-        taken = bars.until(rows, stop).select(*_COLUMNS)
+        rows = _kept(read(first, end).join(by_code(wanted), "code"), "slice")
+        ends = by_code(_kept(bars.stops(rows, stop), "stops"))
+        taken = bars.up_to(rows, ends).select(*_COLUMNS)
         out = taken if out is None else out.unionByName(taken)
-        wanted = _kept(wanted.join(rows.where(stop).select("code").distinct(), "code", "left_anti"), "still-wanted")
+        wanted = _kept(wanted.join(ends, "code", "left_anti"), "still-wanted")
         if wanted.isEmpty():
             break
     return spark.createDataFrame([], BARS) if out is None else out
@@ -229,7 +270,7 @@ def refresh(store: BarStore, source: BarStore, codes: DataFrame, now: Column, kt
 
     parts = []
     if "all" in classes:
-        parts.append(source.between(None, None, ktypes).join(of("all"), "code", "left_semi"))
+        parts.append(source.between(None, None, ktypes).join(by_code(of("all")), "code", "left_semi"))
     if "today" in classes:
         parts.append(until_newest_first(read, spans, of("today"), F.lit(True)))
     if "since" in classes:
