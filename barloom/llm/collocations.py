@@ -1,14 +1,17 @@
-"""Phrase collocations: sketch, exact counts of what the sketch lets through, score, subsume.
+"""Phrase collocations: sketches, exact counts of what the sketches let through, score, subsume.
 
-First pass: each task counts all phrases of its texts in a count-min sketch, and the tasks' sketches are merged
+First pass: each task counts words and pairs of its texts in a count-min sketch, and the tasks' sketches are merged
 block by block. Cells never say less than the truth, so a phrase that one of its cells puts below the threshold
-is not frequent. Second pass: phrases all of whose parts and cells reach the threshold are counted exactly; no
-frequent one is lost, and what the sketch lets through by chance falls to its exact count."""
+is not frequent. Second pass: a sketch of the longer phrases, of those alone all of whose words and pairs reach the
+threshold. Third pass: phrases all of whose parts and cells reach it are counted exactly; no frequent one is lost,
+and what the sketches let through by chance falls to its exact count. A sketch has far more cells than there are
+phrases, so that it doesn't fill up as the input grows; tasks hold and send the cells that they touch, and of the
+merged sketch only the cells that reach the threshold are kept."""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,62 +32,75 @@ NO_LANG = "und"
 @dataclass(frozen=True)
 class Params:
     """Phrases of 2 to max_words words with at least min_count occurrences; a phrase goes if a longer one that
-    holds it has `subsumed` percent of its count; `top` a language are returned. The sketch has `depth` rows of
-    `width` cells (a power of two), whatever the data's size: depth * width bytes in a task of the second pass,
-    four times as many in one of the first."""
+    holds it has `subsumed` percent of its count; `top` a language are returned. A sketch has `depth` rows of
+    `width` cells (a power of two, 2^32 at most)."""
 
     max_words: int = 5
     min_count: int = 100
     subsumed: int = 100
     top: int = 2000
-    depth: int = 3
-    width: int = 1 << 24
+    depth: int = 1
+    width: int = 1 << 32
 
 
-#: Cells a row of the stored sketch.
-BLOCK = 1 << 16
+#: Blocks of a line of the sketch, and cells of one at least.
+BLOCKS, LEAST_BLOCK = 1 << 10, 1 << 12
+#: Cells that a task holds, repeated ones included, before it sends them; cells that the merge of a block holds.
+HELD_CELLS, MERGED_CELLS = 1 << 24, 1 << 22
 #: Words that a task handles at once.
-CHUNK_WORDS = 1 << 19
+CHUNK_WORDS = 1 << 20
 #: Phrases whose counts a task holds, and rows that it sends at once.
 HELD_PHRASES, OUT_ROWS = 400_000, 20_000
-#: Input partitions that one task reads, as long as every core has two tasks: a task's sketch has the same size however
-#: little it has read, and counts added up in a task aren't shuffled.
+#: Input partitions that one task reads, as long as every core has two tasks: counts added up in a task aren't shuffled.
 MERGED = 8
 _CELLS = "line int, block int, cells binary"
 _COUNTS = "lang string, words int, phrase binary, n long"
 
-#: A-Z become lower case, what ends a piece becomes a line feed.
-_PLAIN = bytes(c + 32 if 0x41 <= c <= 0x5A else 10 if c in b".,;:!?\x0b\x0c\r" else c for c in range(256))
+#: Stands where a piece ends; no word is upper case.
+_END = b"A"
+#: A-Z become lower case, what ends a piece becomes _END.
+_PLAIN = bytes(c + 32 if 0x41 <= c <= 0x5A else _END[0] if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+class _Numbers(dict):
+    """A language's words by number; a new one gets the next number, and its hash and language their places."""
+
+    def __init__(self, lang: str, hashes: list[int], lang_of: list[str]):
+        super().__init__({_END: -1})
+        self._lang, self._seed, self._hashes, self._lang_of = lang, xxhash.xxh32_intdigest(lang.encode()), hashes, lang_of
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self._hashes)
+        self._hashes.append(xxhash.xxh3_64_intdigest(word, self._seed))
+        self._lang_of.append(self._lang)
+        return n
+
+
 class Chunk:
-    """Words of several texts in one row: `names` gives each a number by language and word, `left` says how many
-    words its piece has from there on."""
+    """Words of several texts in one row, with _END after each piece: `names` gives each a number by language and
+    word, and -1 to _END."""
 
     def __init__(self):
         self.words: list[bytes] = []
         self.names: list[int] = []
-        self.left: list[int] = []
-        self._number: dict[str, dict[bytes, int]] = {}
+        self._number: dict[str, _Numbers] = {}
         self.hashes: list[int] = []
         self.lang_of: list[str] = []
 
     def add(self, lang: str, text: bytes) -> None:
-        known = self._number.setdefault(lang, {})
-        for piece in text.translate(_PLAIN).split(b"\n"):
-            words = piece.split()
-            if words:
-                for w in words:
-                    n = known.get(w)
-                    if n is None:
-                        n = known[w] = len(self.hashes)
-                        self.hashes.append(xxhash.xxh3_64_intdigest(w, xxhash.xxh32_intdigest(lang.encode())))
-                        self.lang_of.append(lang)
-                    self.names.append(n)
-                self.words += words
-                self.left += range(len(words), 0, -1)
+        if lang not in self._number:
+            self._number[lang] = _Numbers(lang, self.hashes, self.lang_of)
+        words = text.translate(_PLAIN).replace(_END, b" " + _END + b" ").split()
+        words.append(_END)
+        self.words += words
+        self.names += map(self._number[lang].__getitem__, words)
+
+    def left(self) -> np.ndarray:
+        """How many words each one's piece has from there on; 0 at _END."""
+        ends = np.flatnonzero(np.array(self.names, np.int64) < 0)
+        return np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(self.names))
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
@@ -93,23 +109,35 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[Chunk]:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             chunk.add(lang, bytes(text))
             if len(chunk.words) >= CHUNK_WORDS:
-                yield chunk
+                if chunk.hashes:
+                    yield chunk
                 chunk = Chunk()
-    if chunk.words:
+    if chunk.hashes:
         yield chunk
 
 
-def _phrase_hashes(chunk: Chunk, max_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each number of words: the places where such a phrase begins, and its hash there."""
-    word = np.array(chunk.hashes, np.uint64)[np.array(chunk.names, np.int64)]
-    left = np.array(chunk.left, np.int64)
-    starts, h = np.arange(len(word)), word
+Passes = Callable[[int, np.ndarray], np.ndarray]
+
+
+def _phrase_hashes(chunk: Chunk, max_words: int, passes: Passes | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each number of words: the places where such a phrase begins, and its hash there; of those alone that
+    `passes`, asked by number of words and hashes, lets through with all their parts, if it is given."""
+    name, hashes = np.array(chunk.names, np.int64), np.array(chunk.hashes, np.uint64)
+    word, left = hashes[name], chunk.left()
+    starts, h, alive = np.arange(len(word)), word, None
     for words in range(1, max_words + 1):
+        go_on = left[starts] >= words
+        if alive is not None:
+            go_on &= alive[starts + 1]
+        starts, h = starts[go_on], h[go_on]
         if words > 1:
-            go_on = left[starts] >= words
-            starts, h = starts[go_on], h[go_on]
             h = h * _ODD + word[starts + words - 1]
             h ^= h >> np.uint64(32)
+        if passes is not None:
+            often = passes(1, hashes)[name[starts]] if words == 1 else passes(words, h)
+            starts, h = starts[often], h[often]
+            alive = np.zeros(len(word), bool)
+            alive[starts] = True
         yield words, starts, h
 
 
@@ -129,67 +157,152 @@ def _plain_texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return plain.coalesce(max(2 * docs.sparkSession.sparkContext.defaultParallelism, plain.rdd.getNumPartitions() // MERGED))
 
 
-def sketch(texts: DataFrame, p: Params) -> str:
-    """Path of the merged sketch: a row for each line and block of cells. A task's sketch goes out in compressed
-    blocks, and blocks of one place are added as they stream by, so neither side holds more than one sketch."""
-    kind, most = _cell_type(p.min_count), np.iinfo(_cell_type(p.min_count)).max
-    block = min(BLOCK, p.width)
+def _block(width: int) -> int:
+    """Cells of a block."""
+    return min(width, max(width // BLOCKS, LEAST_BLOCK))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = None
-        for nth, chunk in enumerate(_chunks(batches)):
-            if cells is None:
-                cells = np.zeros((p.depth, p.width), np.uint32)
-            if nth % 100 == 99:  # long before a cell may overflow
-                np.minimum(cells, np.uint32(p.min_count), out=cells)
-            for _, _, h in _phrase_hashes(chunk, p.max_words):
+
+def _packed(places: np.ndarray, counts: np.ndarray | None = None) -> bytes:
+    """Rising places in a block as gaps, byte by byte of all of them, then their counts."""
+    gaps = np.diff(places.astype(np.uint32), prepend=np.uint32(0))
+    return zlib.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + (b"" if counts is None else counts.tobytes()), 1)
+
+
+def _unpacked(packed: bytes, kind: type | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    raw = np.frombuffer(zlib.decompress(packed), np.uint8)
+    n = len(raw) // (4 + (np.dtype(kind).itemsize if kind else 0))
+    gaps = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(np.uint32).ravel()
+    return np.cumsum(gaps, dtype=np.uint32), raw[4 * n :].view(kind) if kind else None
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted ones."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+
+
+def _touched(batches: Iterator[pd.DataFrame], p: Params, sizes: Iterable[int], passes: Passes | None = None) -> Iterator[pd.DataFrame]:
+    """A task's sketch of phrases of so many words, a row for each line and block that it touches; it goes out each
+    time that HELD_CELLS are held."""
+    kind, most, block = _cell_type(p.min_count), np.iinfo(_cell_type(p.min_count)).max, np.uint32(_block(p.width))
+    held: list[list[np.ndarray]] = [[] for _ in range(p.depth)]
+
+    def let_go() -> Iterator[pd.DataFrame]:
+        for line, each in enumerate(held):
+            x = np.sort(np.concatenate(each))
+            each.clear()
+            first = _runs(x)
+            times, x = np.minimum(np.diff(first, append=len(x)), most).astype(kind), x[first]
+            at_block = x // block
+            begin = _runs(at_block)
+            out = [(line, int(at_block[i]), _packed(x[i:j] % block, times[i:j])) for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(x)], strict=True)]
+            yield pd.DataFrame(out, columns=["line", "block", "cells"])
+
+    holds = 0
+    for chunk in _chunks(batches):
+        for words, _, h in _phrase_hashes(chunk, max(sizes), passes):
+            if words in sizes and len(h):
                 for line in range(p.depth):
-                    np.add.at(cells[line], _cells(h, line, p.width), np.uint32(1))
-        for line in range(p.depth if cells is not None else 0):
-            out = [(line, b, np.minimum(part, most).astype(kind)) for b, part in enumerate(cells[line].reshape(-1, block)) if part.any()]
-            yield pd.DataFrame([(line, b, zlib.compress(part.tobytes(), 1)) for line, b, part in out], columns=["line", "block", "cells"])
+                    held[line].append(_cells(h, line, p.width).astype(np.uint32))
+                holds += len(h) * p.depth
+        if holds >= HELD_CELLS:
+            yield from let_go()
+            holds = 0
+    if holds:
+        yield from let_go()
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, total = None, None
 
-        def row() -> pd.DataFrame:
-            return pd.DataFrame([(*now, zlib.compress(total.astype(kind).tobytes(), 1))], columns=["line", "block", "cells"])
+def _merged(batches: Iterator[pd.DataFrame], p: Params) -> Iterator[pd.DataFrame]:
+    """The cells that reach the threshold, of tasks' blocks in order of line and block."""
+    kind, most = _cell_type(p.min_count), np.iinfo(_cell_type(p.min_count)).max
+    now, parts, holds = None, [], 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        places, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(places, kind="stable")
+        places = places[order]
+        first = _runs(places)
+        return places[first], np.minimum(np.add.reduceat(times[order].astype(np.int64), first), most).astype(kind)
 
-        for batch in batches:
-            for line, b, packed in zip(batch["line"], batch["block"], batch["cells"], strict=True):
-                if (line, b) != now:
-                    if now:
-                        yield row()
-                    now, total = (line, b), np.zeros(block, np.int64)
-                np.minimum(total + np.frombuffer(zlib.decompress(packed), kind), most, out=total)
-        if now:
-            yield row()
+    def row() -> Iterator[pd.DataFrame]:
+        places, times = added()
+        places = places[times >= p.min_count]
+        if len(places):
+            yield pd.DataFrame([(*now, _packed(places))], columns=["line", "block", "cells"])
+
+    for batch in batches:
+        for line, b, packed in zip(batch["line"], batch["block"], batch["cells"], strict=True):
+            if (line, b) != now:
+                if parts:
+                    yield from row()
+                now, parts, holds = (line, b), [], 0
+            parts.append(_unpacked(packed, kind))
+            holds += len(parts[-1][0])
+            if holds >= max(MERGED_CELLS, 2 * len(parts[0][0])):
+                parts = [added()]
+                holds = len(parts[0][0])
+    if parts:
+        yield from row()
+
+
+def sketch(texts: DataFrame, p: Params, sizes: Iterable[int] | None = None, within: dict[int, str] | None = None) -> str:
+    """Path of the merged sketch of phrases of so many words: for each line and block, the cells that reach the
+    threshold. within: merged sketches by number of words, all of which a phrase's parts have to pass to be counted.
+    Tasks' blocks are compressed, and those of one place are added as they stream by."""
+    sizes = frozenset(range(1, p.max_words + 1) if sizes is None else sizes)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _touched(batches, p, sizes, _let_through(within, p) if within else None)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _merged(batches, p)
 
     parts = texts.mapInPandas(count, _CELLS).repartition("line", "block").sortWithinPartitions("line", "block")
     return stored_at(parts.mapInPandas(merge, _CELLS), "phrase-sketch")[1]
 
 
-_held: dict[str, np.ndarray] = {}
+_held: dict[str, list[np.ndarray]] = {}
 
 
-def _load(path: str, p: Params) -> np.ndarray:
-    """The merged sketch, kept by the worker for its next tasks; only the last one is."""
+def _passing(path: str, p: Params) -> list[np.ndarray]:
+    """For each line of a merged sketch the cells that reach the threshold, in order; a worker keeps those of the last
+    two sketches for its next tasks."""
     if path not in _held:
-        _held.clear()
-        cells = np.zeros((p.depth, p.width), _cell_type(p.min_count))
-        block = min(BLOCK, p.width)
+        while len(_held) > 1:
+            del _held[next(iter(_held))]
+        lines: list[list[np.ndarray]] = [[np.zeros(0, np.uint32)] for _ in range(p.depth)]
         system, folder = at(path)
         for part in pq.ParquetDataset(folder, filesystem=system).fragments:
             for batch in part.to_batches(batch_size=64):
                 for line, b, packed in zip(*(batch.column(n).to_pylist() for n in ("line", "block", "cells")), strict=True):
-                    cells[line, b * block : (b + 1) * block] = np.frombuffer(zlib.decompress(packed), cells.dtype)
-        _held[path] = cells
+                    lines[line].append(_unpacked(packed)[0] + np.uint32(b * _block(p.width)))
+        _held[path] = [np.sort(np.concatenate(x)) for x in lines]
     return _held[path]
 
 
-def phrase_counts(texts: DataFrame, path: str, p: Params) -> DataFrame:
+def _load(path: str, p: Params) -> np.ndarray:
+    """A narrow merged sketch as a whole: what each cell has counted at most, up to the threshold."""
+    cells = np.full((p.depth, p.width), p.min_count - 1, _cell_type(p.min_count))
+    for line, passing in enumerate(_passing(path, p)):
+        cells[line, passing] = p.min_count
+    return cells
+
+
+def _let_through(sketches: dict[int, str], p: Params) -> Passes:
+    """Whether all cells of phrases reach the threshold; phrases of as many words as no sketch has counted all pass."""
+
+    def passes(words: int, h: np.ndarray) -> np.ndarray:
+        often = np.ones(len(h), bool)
+        for line, cells in enumerate(_passing(sketches[words], p) if words in sketches else []):
+            x = _cells(h, line, p.width).astype(np.uint32)
+            often &= cells[np.minimum(np.searchsorted(cells, x), len(cells) - 1)] == x if len(cells) else False
+        return often
+
+    return passes
+
+
+def phrase_counts(texts: DataFrame, sketches: dict[int, str], p: Params) -> DataFrame:
     """lang, words, phrase, n of all phrases of one to max_words words with min_count occurrences or more, and one
-    row with words 0 and an empty phrase for each language's number of words.
+    row with words 0 and an empty phrase for each language's number of words. sketches: merged ones by number of words.
 
     In a chunk, phrases are told apart by exact numbers (that of the phrase without its last word, and the word's); a
     task adds up its chunks' counts and lets them go once it holds HELD_PHRASES; Spark adds these up before and after
@@ -207,22 +320,12 @@ def phrase_counts(texts: DataFrame, path: str, p: Params) -> DataFrame:
             held.clear()
 
         for chunk in _chunks(batches):
-            cells = _load(path, p)
             name = np.array(chunk.names, np.int64)
             word = name.copy()
-            alive = np.ones(len(name) + 1, bool)
-            for lang, n in zip(*np.unique(np.array(chunk.lang_of, object)[word].astype(str), return_counts=True), strict=True):
-                total = held.setdefault((str(lang), 0), {})
-                total[b""] = total.get(b"", 0) + int(n)
-            for words, starts, h in _phrase_hashes(chunk, p.max_words):
-                maybe = alive[starts] & (alive[starts + 1] if words > 1 else True)
-                starts, h = starts[maybe], h[maybe]
-                often = np.ones(len(starts), bool)
-                for line in range(p.depth):
-                    often &= cells[line][_cells(h, line, p.width)] >= p.min_count
-                starts = starts[often]
-                alive = np.zeros(len(name) + 1, bool)
-                alive[starts] = True
+            for lang, n in zip(chunk.lang_of, np.bincount(word[word >= 0]).tolist(), strict=True):
+                total = held.setdefault((lang, 0), {})
+                total[b""] = total.get(b"", 0) + n
+            for words, starts, _ in _phrase_hashes(chunk, p.max_words, _let_through(sketches, p)):
                 exact = name[starts] if words == 1 else name[starts] << 32 | word[starts + words - 1]
                 _, first, same, n = np.unique(exact, return_index=True, return_inverse=True, return_counts=True)
                 name[starts] = same
@@ -278,7 +381,11 @@ def collocations(docs: DataFrame, p: Params = Params(), lang: str = "lang", text
     ship(docs.sparkSession)
     text_batches(docs.sparkSession)
     texts = _plain_texts(docs, lang, text)
-    counts = stored(phrase_counts(texts, sketch(texts, p), p), "phrase-counts")
+    sketches = dict.fromkeys((1, 2), sketch(texts, p, (1, 2)))
+    if p.max_words > 2:
+        longer = range(3, p.max_words + 1)
+        sketches |= dict.fromkeys(longer, sketch(texts, p, longer, sketches))
+    counts = stored(phrase_counts(texts, sketches, p), "phrase-counts")
     left = scored(counts).join(within_longer(counts, p.subsumed), ["lang", "phrase"], "left_anti")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     first = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.top)

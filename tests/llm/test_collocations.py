@@ -5,6 +5,8 @@ from collections import Counter
 from fractions import Fraction
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,36 @@ def test_products_beyond_64_bits(spark):
     counts = spark.createDataFrame([("en", 0, "", 4 * 10**15), ("en", 1, "a", 3 * 10**15), ("en", 1, "b", 2 * 10**15 + 1), ("en", 2, "a b", 10**15 + 7)], "lang string, words int, phrase string, n long")
     row = co.scored(counts).first()
     assert row.score == 1000 * (10**15 + 7) * 4 * 10**15 // (3 * 10**15 * (2 * 10**15 + 1))
+
+
+def shuffled_mb(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite() / 1e6
+
+
+def test_rare_phrases_are_not_shuffled_by_name(spark):
+    """Two million words whose phrases are nearly all rarer than the threshold; the text has 10 MB."""
+    spark.range(0, 20_000, 1, 8).selectExpr("array_join(transform(sequence(1, 100), i -> hex(pmod(xxhash64(id, i), 50000))), ' ') AS text", "'en' AS lang").createOrReplaceTempView("rare")
+    before = shuffled_mb(spark)
+    assert co.collocations(spark.table("rare"), co.Params(min_count=2, top=5)).count() == 5
+    assert shuffled_mb(spark) - before < 20
+
+
+@pytest.mark.parametrize("p", [co.Params(max_words=3, min_count=9), co.Params(max_words=3, min_count=300, depth=2, width=1 << 14)])
+def test_tasks_cells_add_up(monkeypatch, p):
+    """However often a task lets its cells go and a merge adds up what it holds."""
+    monkeypatch.setattr(co, "CHUNK_WORDS", 100)
+    monkeypatch.setattr(co, "HELD_CELLS", 700)
+    monkeypatch.setattr(co, "MERGED_CELLS", 30)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in (40 * rng.random(60) ** 3).astype(int)) for _ in range(300)]
+    tasks = [pd.DataFrame({"lang": "en", "text": [t.encode() for t in texts[i::3]]}) for i in range(3)]
+    true, chunk = Counter(), co.Chunk()
+    for t in texts:
+        chunk.add("en", t.encode())
+    for words, _, h in co._phrase_hashes(chunk, 3):
+        if words > 1:
+            true.update((line, c) for line in range(p.depth) for c in co._cells(h, line, p.width).tolist())
+    sent = pd.concat([x for t in tasks for x in co._touched(iter([t]), p, (2, 3))]).sort_values(["line", "block"])
+    assert len(sent) > 3 * len(sent.drop_duplicates(["line", "block"]))
+    got = {(r.line, r.block * co._block(p.width) + int(c)) for m in co._merged(iter([sent]), p) for r in m.itertuples() for c in co._unpacked(r.cells)[0]}
+    assert got == {k for k, n in true.items() if n >= p.min_count} != set()
